@@ -148,12 +148,13 @@ def song_condense(units: DataFrame, keys: tuple[str, ...] = ("artist", "song"),
         *[F.max(f"{prefix}{d}").alias(f"{prefix}{d}") for d in DIMS]))
 
 
-def label_max_pool(reviews: DataFrame, text_col: str = "verso_texto", order: str = "row_ord",
+def label_max_pool(reviews: DataFrame, text_col: str = "verso_texto", order: tuple[str, ...] = ("song_id", "verso_idx"),
                    extra_first: tuple[str, ...] = ("year", "artist")) -> DataFrame:
     """A3: one row per unit text: max of each label, first non-null of the extra columns in source order."""
+    ordc = F.struct(*[F.col(c) for c in order])
     return (reviews.where(F.col(text_col).isNotNull()).groupBy(text_col).agg(
         *[F.max(c).alias(c) for c in LABEL_COLS],
-        *[_first_nonnull(c, F.col(order)).alias(c) for c in extra_first]))
+        *[_first_nonnull(c, ordc).alias(c) for c in extra_first]))
 
 
 def label_merge_by_file_dim(reviews: DataFrame, keys: tuple[str, ...] = ("artist", "song", "verso_texto"),

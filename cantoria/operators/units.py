@@ -88,40 +88,50 @@ def verse_to_stanza(verses: DataFrame, songs: DataFrame, verse_col: str = "verso
                     keys: tuple[str, ...] = ("artist", "song")) -> DataFrame:
     """E5: replace each verse with the first stanza of its song whose collapsed, lower-cased text contains the
     collapsed, lower-cased verse; no match or no song -> the verse itself. An empty verse matches the first
-    stanza. Adds ``texto_entrenamiento``."""
+    stanza. Adds ``texto_entrenamiento``.
+
+    Stanzas and their search forms are built once per song (first lyric row per key), then equi-joined to the
+    verses: the study's scan of every song per verse becomes a hash join plus a bounded in-row search."""
     lyr = _first_lyrics_per_key(songs, list(keys))
-    joined = verses.join(lyr, list(keys), "left")
-    needle = collapse_ws(F.coalesce(normalize_text(verse_col), F.lit("")))
-    stanzas = stanza_array(F.coalesce(F.col("_lyrics"), F.lit("")))
-    hit = F.try_element_at(F.filter(stanzas, lambda s: F.contains(collapse_ws(s), needle)), F.lit(1))
-    return joined.withColumn("texto_entrenamiento", F.coalesce(hit, F.col(verse_col))).drop("_lyrics")
+    st = stanza_array(F.col("_lyrics"))
+    lyr = lyr.select(*keys, st.alias("_st")).select(*keys, "_st", F.transform("_st", lambda x: collapse_ws(x)).alias("_stn"))
+    # the needle is materialised first: a Python UDF (NFKC) cannot run inside a higher-order function
+    joined = (verses.join(lyr, list(keys), "left")
+              .withColumn("_needle", collapse_ws(F.coalesce(normalize_text(verse_col), F.lit("")))))
+    needle = F.col("_needle")
+    idx = F.filter(F.transform("_stn", lambda s, i: F.when(F.contains(s, needle), i)), lambda i: i.isNotNull())
+    hit = F.try_element_at(F.col("_st"), F.try_element_at(idx, F.lit(1)) + 1)
+    return joined.withColumn("texto_entrenamiento", F.coalesce(hit, F.col(verse_col))).drop("_st", "_stn", "_needle")
 
 
 def verse_to_window(verses: DataFrame, songs: DataFrame, verse_col: str = "verso_texto", prefix_chars: int = 15,
                     radius: int = 1, key: str = "song") -> DataFrame:
     """The song is looked up by title (last row wins, J5); the first stripped line containing the verse's
     first ``prefix_chars`` characters (case-insensitive) and its ``radius`` neighbours, joined with ' \\n ';
-    otherwise (no match, empty verse or empty lyrics) the verse."""
+    otherwise (no match, empty verse or empty lyrics) the verse. Lines are built once per title."""
     lyr = _first_lyrics_per_key(songs, [key], last=True)
-    joined = verses.join(lyr, [key], "left")
-    verse = normalize_text(verse_col)
-    lyrics = normalize_text(F.coalesce(F.col("_lyrics"), F.lit("")))
-    lines = nonblank_lines(lyrics)
+    lyr = lyr.select(key, nonblank_lines(normalize_text("_lyrics")).alias("_lines"))
+    joined = (verses.join(lyr, [key], "left")
+              .withColumn("_lines", F.coalesce("_lines", F.array().cast("array<string>")))
+              .withColumn("_verse", normalize_text(verse_col)))
+    verse = F.col("_verse")
     probe = F.lower(F.substring(verse, 1, prefix_chars))
-    found = F.filter(F.transform(lines, lambda l, i: F.when(F.contains(F.lower(l), probe), i)), lambda i: i.isNotNull())
+    found = F.filter(F.transform("_lines", lambda l, i: F.when(F.contains(F.lower(l), probe), i)),
+                     lambda i: i.isNotNull())
     pos = F.try_element_at(found, F.lit(1))
     start = F.greatest(pos - radius, F.lit(0))
-    window = F.array_join(F.slice(lines, start + 1, pos + radius + 1 - start), STANZA_JOINER)
-    out = F.when((verse == "") | (lyrics == "") | pos.isNull(), verse).otherwise(window)
-    return joined.withColumn("texto_entrenamiento", out).drop("_lyrics")
+    window = F.array_join(F.slice("_lines", start + 1, pos + radius + 1 - start), STANZA_JOINER)
+    out = F.when((verse == "") | (F.size("_lines") == 0) | pos.isNull(), verse).otherwise(window)
+    return joined.withColumn("texto_entrenamiento", out).drop("_lines", "_verse")
 
 
 def ngram_array(tok: Column, n_min: int = 1, n_max: int = 2) -> Column:
-    """Word n-grams (n_min..n_max) of a token array, shorter n first, in text order."""
+    """Word n-grams (n_min..n_max) of a token array, shorter n first, in text order. Pass a column
+    reference (not an expression): the lambdas index it once per n-gram."""
+    def grams_of(n: int) -> Column:
+        g = F.transform(F.sequence(F.lit(1), F.size(tok) - n + 1), lambda i: F.array_join(F.slice(tok, i, n), " "))
+        return F.when(F.size(tok) >= n, g).otherwise(F.array().cast("array<string>"))
     out = None
     for n in range(n_min, n_max + 1):
-        grams = F.transform(F.sequence(F.lit(1), F.size(tok) - n + 1),
-                            lambda i, n=n: F.array_join(F.slice(tok, i, n), " "))
-        grams = F.when(F.size(tok) >= n, grams).otherwise(F.array().cast("array<string>"))
-        out = grams if out is None else F.concat(out, grams)
+        out = grams_of(n) if out is None else F.concat(out, grams_of(n))
     return out

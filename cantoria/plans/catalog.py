@@ -125,3 +125,313 @@ def density_histogram(spark, sf):
 @register("song_fingerprint")
 def song_fingerprint(spark, sf):
     return load_songs(spark, sf).select("song_id", fingerprint("artist", "song").alias("huella"))
+
+
+# ------------------------------------------------------------------------------------------ text projections
+from cantoria.fixed import LANG_STOPWORDS, STOPWORDS_ES  # noqa: E402
+from cantoria.functions import scores as sc  # noqa: E402
+from cantoria.functions import text as tx  # noqa: E402
+from cantoria.operators import select as sel  # noqa: E402
+from cantoria.sources.reviews import review_rows, reviews_union  # noqa: E402
+
+
+@register("collapse_ws")
+def collapse_ws_q(spark, sf):
+    return un.to_verses(load_songs(spark, sf)).select("song_id", "verso_idx",
+                                                      tx.collapse_ws("verso_texto").alias("texto_norm"))
+
+
+@register("parse_release_title")
+def parse_release_title(spark, sf):
+    s = load_songs(spark, sf)
+    title = F.when(F.col("song_id") % 3 == 0, F.col("artist")).otherwise(
+        F.concat(F.col("artist"), F.lit("* (2) - "), F.col("album")))
+    artist, album = tx.parse_release_title(title)
+    return s.select("song_id", artist.alias("artista"), album.alias("album"))
+
+
+@register("min_length_filter")
+def min_length_filter(spark, sf):
+    s = load_songs(spark, sf)
+    return s.where(F.length("lyrics") >= 150).select("song_id", F.length("lyrics").alias("n_chars"))
+
+
+def detect_language(text_col: str = "lyrics", langs: dict = LANG_STOPWORDS):
+    """P6 (re-aimed): stop-word hit count per language, argmax (ties: first language), none -> null."""
+    tok = tx.word_runs(text_col)
+    def hits(words):
+        wl = sorted(set(words))
+        return F.size(F.filter(tok, lambda t: t.isin(wl)))
+    counts = {l: hits(w) for l, w in langs.items()}
+    mx = F.greatest(*counts.values())
+    expr = F.when(mx == 0, F.lit(None).cast("string"))
+    for l, c in counts.items():
+        expr = expr.when(c == mx, F.lit(l))
+    return expr
+
+
+@register("language_filter")
+def language_filter(spark, sf):
+    s = load_songs(spark, sf).select("song_id", "lang", detect_language().alias("lang_detectado"))
+    return s.where(F.col("lang_detectado") == "es")
+
+
+@register("tokenize")
+def tokenize(spark, sf):
+    t = tx.tokens("lyrics", "word")
+    return load_songs(spark, sf).select("song_id", F.size(t).alias("n_tokens"),
+                                        F.array_join(t, " ").alias("tokens_txt"))
+
+
+@register("tokenize_alnum_hyphen")
+def tokenize_alnum_hyphen(spark, sf):
+    t = tx.tokens("lyrics", "code")
+    return load_songs(spark, sf).select("song_id", F.size(t).alias("n_tokens"),
+                                        F.array_join(t, " ").alias("tokens_txt"))
+
+
+@register("remove_stopwords")
+def remove_stopwords(spark, sf):
+    return load_songs(spark, sf).select("song_id", tx.remove_stopwords("lyrics", STOPWORDS_ES).alias("lyrics_limpias"))
+
+
+@register("coerce_year")
+def coerce_year(spark, sf):
+    y = tx.year_num("year")
+    return load_songs(spark, sf).select("song_id", y.alias("year_num"), tx.bucket(y, 10).alias("decada"),
+                                        tx.bucket(y, 5).alias("lustro"))
+
+
+@register("year_range_filter")
+def year_range_filter(spark, sf):
+    y = tx.year_num("year")
+    return (load_songs(spark, sf).where(y.between(1970, 2025))
+            .select("song_id", y.cast("int").alias("year_n")))
+
+
+@register("coerce_labels")
+def coerce_labels(spark, sf):
+    lab = table(spark, sf, "labels")
+    return lab.select("doc_id", tx.label_int(F.col("quality").cast("string")).alias("es_util_real"),
+                      tx.label_int(F.col("toxic").cast("string")).alias("toxico"))
+
+
+def gold(spark, sf) -> DataFrame:
+    """A3 over the derived review union: one row per verse text."""
+    return ru.label_max_pool(reviews_union(spark, sf))
+
+
+@register("dominant_dimension")
+def dominant_dimension(spark, sf):
+    dom, mx = sc.dominant_dimension("val_")
+    return (gold(spark, sf).select("verso_texto", dom.alias("dimension_dominante"), mx.alias("intensidad_max"))
+            .where(F.col("intensidad_max") > 0))
+
+
+@register("round_clip_labels")
+def round_clip_labels(spark, sf):
+    r = song_rollup(spark, sf).where(F.col("total_estrofas").isNotNull())
+    return r.select("song_id", *[sc.ordinal(F.col(f"{c}_avg") * 3).alias(f"val_{d}")
+                                 for c, d in zip(INTENSITY_COLS, DIMS)])
+
+
+def density_percent(df: DataFrame, col: str = "densidad_semantica_v2") -> DataFrame:
+    """Percent when the column's maximum is <= 1 (one scalar aggregate, read back as a literal),
+    half-even rounded to int."""
+    mx = df.agg(F.max(col)).first()[0]
+    scale = 100.0 if mx is not None and mx <= 1 else 1.0
+    return df.withColumn("densidad_porcentual", F.bround(F.col(col) * scale, 0).cast("int"))
+
+
+@register("density_percent")
+def density_percent_q(spark, sf):
+    return density_percent(song_rollup(spark, sf)).select("song_id", "densidad_porcentual")
+
+
+@register("density_category")
+def density_category(spark, sf):
+    return song_rollup(spark, sf).select(
+        "song_id", sc.density_category("densidad_semantica_v2", ru.PASS_LABEL, ru.NOISE_LABEL).alias("categoria"))
+
+
+# ------------------------------------------------------------------------------------- marking, kwic, filters
+def deduped_songs(spark, sf) -> DataFrame:
+    """W5 on the song fingerprint, first song_id wins."""
+    return sel.dedupe(load_songs(spark, sf), fingerprint("artist", "song"), ["song_id"])
+
+
+def marked(spark, sf) -> DataFrame:
+    return lx.lexical_mark(deduped_songs(spark, sf), STANDIN_STRONG_TERMS, mode="word")
+
+
+@register("keep_first_dedupe")
+def keep_first_dedupe(spark, sf):
+    return deduped_songs(spark, sf).select("song_id", "artist", "song")
+
+
+@register("lexical_mark")
+def lexical_mark(spark, sf):
+    return lx.lexical_mark(load_songs(spark, sf), STANDIN_STRONG_TERMS, mode="word").select(
+        "song_id", "conteo_narco", "es_narco_fuerte")
+
+
+@register("keyword_in_context")
+def keyword_in_context(spark, sf):
+    flagged = marked(spark, sf).where("es_narco_fuerte")
+    return lx.keyword_in_context(flagged, STANDIN_STRONG_TERMS, mode="word")
+
+
+@register("rank_by_decade_hits")
+def rank_by_decade_hits(spark, sf):
+    m = marked(spark, sf).withColumn("decada", tx.bucket(tx.year_num("year"), 10))
+    return (m.where(F.col("decada") > 0).select("song_id", "decada", "conteo_narco")
+            .orderBy(F.asc("decada"), F.desc("conteo_narco"), F.asc("song_id")))
+
+
+@register("dimension_regex_filter")
+def dimension_regex_filter(spark, sf):
+    v = un.to_verses(load_songs(spark, sf))
+    hits = F.array(*[F.when(F.coalesce(F.col("verso_texto").rlike(lx.dimension_regex(LEX[d])), F.lit(False)),
+                            F.lit(d)) for d in DIMS])
+    return v.select("song_id", "verso_idx", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("dim"))
+
+
+@register("vocabulary_intersect")
+def vocabulary_intersect(spark, sf):
+    return load_songs(spark, sf).select(
+        "song_id", F.array_join(lx.vocabulary_intersect("lyrics", STANDIN_STRONG_TERMS, mode="word"), ",")
+        .alias("terminos"))
+
+
+@register("word_frequency_topn")
+def word_frequency_topn(spark, sf):
+    stop = sorted(set(STOPWORDS_ES))
+    toks = load_songs(spark, sf).select(F.explode(tx.tokens("lyrics", "word")).alias("term"))
+    return ru.top_n(toks.where(~F.col("term").isin(stop)), "term", 100)
+
+
+def origin_vocab(spark, sf):
+    r = review_rows(spark, sf)
+    return r.select("origen", F.explode(tx.tokens("verso_texto", "word")).alias("term"))
+
+
+@register("vocabulary_except")
+def vocabulary_except(spark, sf):
+    t = origin_vocab(spark, sf)
+    b = t.where(F.col("origen") == "K-Means").select("term")
+    a = t.where(F.col("origen") == "Regex").select("term")
+    return b.distinct().join(a, "term", "left_anti")
+
+
+@register("exclusive_terms")
+def exclusive_terms(spark, sf):
+    t = origin_vocab(spark, sf)
+    stop = sorted(set(STOPWORDS_ES))
+    b = t.where((F.col("origen") == "K-Means") & (F.length("term") > 3) & ~F.col("term").isin(stop)).select("term")
+    a = t.where(F.col("origen") == "Regex").select("term")
+    return ru.top_n(b.join(a, "term", "left_anti"), "term", 20)
+
+
+@register("ngrams")
+def ngrams(spark, sf):
+    stop = sorted({tx_strip for tx_strip in (_strip_py(w) for w in STOPWORDS_ES)})
+    tok = F.filter(tx.word_runs(tx.strip_accents(F.lower("lyrics"))), lambda t: ~t.isin(stop))
+    # the token array is materialised as a column so the n-gram lambdas index it instead of re-tokenising
+    grams = (load_songs(spark, sf).select(tok.alias("_tok"))
+             .select(F.explode(un.ngram_array(F.col("_tok"), 1, 2)).alias("ngram")))
+    return ru.top_n(grams, "ngram", 100)
+
+
+def _strip_py(w: str) -> str:
+    import unicodedata
+    return "".join(c for c in unicodedata.normalize("NFD", w) if unicodedata.category(c) != "Mn")
+
+
+# --------------------------------------------------------------------------------------------- unit expansion
+@register("verse_to_stanza")
+def verse_to_stanza(spark, sf):
+    s = load_songs(spark, sf)
+    return un.verse_to_stanza(un.to_verses(s), s).select("song_id", "verso_idx", "texto_entrenamiento")
+
+
+@register("verse_to_window")
+def verse_to_window(spark, sf):
+    s = load_songs(spark, sf)
+    return un.verse_to_window(reviews_union(spark, sf), s).select("song_id", "verso_idx", "texto_entrenamiento")
+
+
+# ---------------------------------------------------------------------------------------------------- joins
+def pool(spark, sf) -> DataFrame:
+    """Verse pool: flagged songs (deduped, decade > 0) -> E1 verses -> first occurrence per verse text in the
+    order decade asc, hits desc."""
+    m = marked(spark, sf).withColumn("decada", tx.bucket(tx.year_num("year"), 10))
+    flagged = m.where((F.col("decada") > 0) & F.col("es_narco_fuerte"))
+    v = un.to_verses(flagged, keys=["song_id", "artist", "song", "year", "decada", "conteo_narco"])
+    v = v.withColumn("_neg", -F.col("conteo_narco"))
+    return sel.dedupe(v, "verso_texto", ["decada", "_neg", "song_id", "verso_idx"]).drop("_neg")
+
+
+@register("pool_minus_reviewed")
+def pool_minus_reviewed(spark, sf):
+    seen = reviews_union(spark, sf).select(tx.py_strip("verso_texto").alias("_seen")).distinct()
+    p = pool(spark, sf).withColumn("_seen", tx.py_strip("verso_texto"))
+    return p.join(seen, "_seen", "left_anti").select("song_id", "artist", "song", "year", "verso_idx", "verso_texto")
+
+
+@register("neighbour_context")
+def neighbour_context(spark, sf):
+    p = pool_minus_reviewed(spark, sf)
+    return sel.neighbour_context(p).select("song_id", "verso_idx", "texto_contexto")
+
+
+def first_lyrics(spark, sf):
+    return (load_songs(spark, sf).groupBy("artist", "song")
+            .agg(F.min_by("lyrics", "song_id").alias("lyrics")))
+
+
+@register("attach_lyrics_left")
+def attach_lyrics_left(spark, sf):
+    d = ru.song_density_inline(load_songs(spark, sf), LEX)
+    return r6(d.join(first_lyrics(spark, sf), ["artist", "song"], "left")
+              .select("artist", "song", "densidad_agenciamiento", "lyrics"))
+
+
+@register("attach_lyrics_inner")
+def attach_lyrics_inner(spark, sf):
+    d = ru.density_threshold(ru.song_density_inline(load_songs(spark, sf), LEX), DENSITY_SERIES)
+    return r6(d.join(first_lyrics(spark, sf), ["artist", "song"], "inner").where(F.col("lyrics").isNotNull())
+              .select("artist", "song", "densidad_agenciamiento", "lyrics"))
+
+
+@register("lookup_last_wins")
+def lookup_last_wins(spark, sf):
+    lk = load_songs(spark, sf).groupBy("song").agg(F.max_by("lyrics", "song_id").alias("_l"))
+    r = reviews_union(spark, sf).join(lk, "song", "left")
+    return r.select("song_id", "verso_idx", "song", F.length(F.coalesce("_l", F.lit(""))).alias("lyrics_len"))
+
+
+def truth(spark, sf) -> DataFrame:
+    return ru.song_truth(review_rows(spark, sf))
+
+
+@register("song_truth")
+def song_truth(spark, sf):
+    return truth(spark, sf)
+
+
+def truth_density(spark, sf) -> DataFrame:
+    dens = song_rollup(spark, sf).select("artist", "song", "densidad_semantica_v2")
+    return (truth(spark, sf).join(dens, ["artist", "song"], "inner")
+            .where(F.col("densidad_semantica_v2").isNotNull()))
+
+
+@register("truth_join")
+def truth_join(spark, sf):
+    return r6(truth_density(spark, sf))
+
+
+@register("reviewed_only")
+def reviewed_only(spark, sf):
+    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("song_id"), F.col("quality").alias("es_util_real"))
+    s = load_songs(spark, sf).select("song_id").join(lab, "song_id", "left")
+    return ru.reviewed_only(s)

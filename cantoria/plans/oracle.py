@@ -80,3 +80,194 @@ SELECT bin, count(*) AS n, round((bin - 1) / 40.0, 6) AS lo, round(bin / 40.0, 6
 sql("song_fingerprint", k.with_(k.SONGS_CTE) + """
 SELECT song_id, regexp_replace(strip_accents(lower(coalesce(artist, '') || coalesce(song, ''))), '[^a-z0-9]', '', 'g')
        AS huella FROM songs""")
+
+
+# ------------------------------------------------------------------------------------------------- batch 2
+from cantoria.fixed import LANG_STOPWORDS, STANDIN_LEXICON, STANDIN_STRONG_TERMS, STOPWORDS_ES  # noqa: E402
+from cantoria.plans.sqlkit import q  # noqa: E402
+
+_S = k.with_(k.SONGS_CTE)
+_V = k.with_(k.SONGS_CTE, k.VERSES_CTE)
+
+sql("collapse_ws", _V + f"SELECT song_id, verso_idx, {k.collapse('verso_texto')} AS texto_norm FROM verses")
+
+sql("parse_release_title", _S + """
+SELECT song_id,
+  trim(regexp_replace(regexp_replace(CASE WHEN strpos(t, ' - ') > 0 THEN substr(t, 1, strpos(t, ' - ') - 1) ELSE t END,
+       '\\*', '', 'g'), '\\(\\d+\\)', '', 'g')) AS artista,
+  CASE WHEN strpos(t, ' - ') > 0 THEN trim(substr(t, strpos(t, ' - ') + 3)) ELSE 'Single/Album' END AS album
+FROM (SELECT song_id, CASE WHEN song_id % 3 = 0 THEN artist ELSE artist || '* (2) - ' || album END AS t FROM songs)""")
+
+sql("min_length_filter", _S + "SELECT song_id, CAST(length(lyrics) AS INTEGER) AS n_chars FROM songs WHERE length(lyrics) >= 150")
+
+_lang_hits = {l: k.hits(k.runs("lyrics"), w) for l, w in LANG_STOPWORDS.items()}
+_lang_case = "CASE WHEN greatest({all}) = 0 THEN NULL {whens} END".format(
+    all=", ".join(_lang_hits.values()),
+    whens=" ".join(f"WHEN {h} = greatest({', '.join(_lang_hits.values())}) THEN {q(l)}" for l, h in _lang_hits.items()))
+sql("language_filter", _S + f"SELECT * FROM (SELECT song_id, lang, {_lang_case} AS lang_detectado FROM songs) "
+    "WHERE lang_detectado = 'es'")
+
+sql("tokenize", _S + f"""SELECT song_id, CAST(len(tk) AS INTEGER) AS n_tokens, array_to_string(tk, ' ') AS tokens_txt
+FROM (SELECT song_id, {k.word_tokens('lyrics')} AS tk FROM songs)""")
+
+sql("remove_stopwords", _S + f"""SELECT song_id,
+  coalesce(array_to_string(list_filter({k.word_tokens('lyrics')}, lambda t: t NOT IN ({k.in_list(STOPWORDS_ES)})), ' '), '')
+  AS lyrics_limpias FROM songs""")
+
+sql("coerce_year", _S + f"""SELECT song_id, {k.year_num()} AS year_num, {k.bucket(k.year_num(), 10)} AS decada,
+  {k.bucket(k.year_num(), 5)} AS lustro FROM songs""")
+
+sql("year_range_filter", _S + f"""SELECT song_id, CAST({k.year_num()} AS INTEGER) AS year_n FROM songs
+WHERE {k.year_num()} BETWEEN 1970 AND 2025""")
+
+sql("coerce_labels", """SELECT doc_id,
+  coalesce(CAST(TRY_CAST(CAST(quality AS VARCHAR) AS DOUBLE) AS INTEGER), 0) AS es_util_real,
+  coalesce(CAST(TRY_CAST(CAST(toxic AS VARCHAR) AS DOUBLE) AS INTEGER), 0) AS toxico FROM labels""")
+
+# review rows derived from labels (sources.reviews)
+REVIEW_CTES = [k.SONGS_CTE, k.VERSES_CTE, f"""review_rows AS (
+  SELECT v.*, {k.intensities('v.verso_texto', prefix='val_')}, l.quality, l.toxic,
+         CASE WHEN v.song_id % 2 = 1 THEN 'K-Means' ELSE 'Regex' END AS origen,
+         (['AR','MO','DI','PO','NA','GO'])[CAST(v.song_id % 6 AS INTEGER) + 1] AS dim_archivo,
+         CAST(l.quality AS INTEGER) AS es_util_real
+  FROM verses v JOIN labels l ON v.song_id = l.doc_id)""", """reviews_union AS (
+  SELECT song_id, artist, song, year, verso_idx, verso_texto, origen, {cols} FROM review_rows)""".format(
+    cols=", ".join(f"CAST(CASE WHEN dim_archivo = '{d}' THEN val_{d} ELSE 0 END AS INTEGER) AS val_{d}" for d in DIMS)),
+    """gold AS (
+  SELECT verso_texto, {maxes},
+         first(year ORDER BY song_id, verso_idx) FILTER (WHERE year IS NOT NULL) AS year,
+         first(artist ORDER BY song_id, verso_idx) FILTER (WHERE artist IS NOT NULL) AS artist
+  FROM reviews_union WHERE verso_texto IS NOT NULL GROUP BY verso_texto)""".format(
+    maxes=", ".join(f"max(val_{d}) AS val_{d}" for d in DIMS))]
+_R = k.with_(*REVIEW_CTES)
+
+_VALS = ", ".join(f"val_{d}" for d in DIMS)
+_DOM = "CASE " + " ".join(f"WHEN val_{d} = greatest({_VALS}) THEN '{d}'" for d in DIMS) + " ELSE 'AR' END"
+sql("dominant_dimension", _R + f"""SELECT verso_texto, {_DOM} AS dimension_dominante, greatest({_VALS}) AS intensidad_max
+FROM gold WHERE greatest({_VALS}) > 0""")
+
+sql("round_clip_labels", _SR + "SELECT song_id, " + ", ".join(
+    f"CAST(least(greatest(round_even(intensidad_{d}_avg * 3, 0), 0), 3) AS INTEGER) AS val_{d}" for d in DIMS)
+    + " FROM song_rollup WHERE total_estrofas IS NOT NULL")
+
+sql("density_percent", _SR + """SELECT song_id,
+  CAST(round_even(densidad_semantica_v2 * CASE WHEN (SELECT max(densidad_semantica_v2) FROM song_rollup) <= 1
+       THEN 100.0 ELSE 1.0 END, 0) AS INTEGER) AS densidad_porcentual FROM song_rollup""")
+
+sql("density_category", _SR + f"""SELECT song_id, CASE WHEN coalesce(densidad_semantica_v2, 0) > 0 THEN '{PASS_LABEL}'
+  ELSE '{NOISE_LABEL}' END AS categoria FROM song_rollup""")
+
+_FP = "regexp_replace(strip_accents(lower(coalesce(artist, '') || coalesce(song, ''))), '[^a-z0-9]', '', 'g')"
+DEDUP_CTE = f"""dedup AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY {_FP} ORDER BY song_id) AS rn FROM songs) WHERE rn = 1)"""
+_STRONG = k.in_list(STANDIN_STRONG_TERMS)
+MARKED_CTE = f"""marked AS (SELECT *, CAST(len(list_filter(list_distinct({k.word_tokens('lyrics')}),
+  lambda t: t IN ({_STRONG}))) AS INTEGER) AS conteo_narco FROM dedup)"""
+_M = k.with_(k.SONGS_CTE, DEDUP_CTE, MARKED_CTE)
+
+sql("keep_first_dedupe", k.with_(k.SONGS_CTE, DEDUP_CTE) + "SELECT song_id, artist, song FROM dedup")
+
+sql("lexical_mark", _S + f"""SELECT song_id, conteo_narco, conteo_narco >= 2 AS es_narco_fuerte FROM (
+  SELECT song_id, CAST(len(list_filter(list_distinct({k.word_tokens('lyrics')}), lambda t: t IN ({_STRONG})))
+         AS INTEGER) AS conteo_narco FROM songs)""")
+
+sql("keyword_in_context", _M + f"""SELECT song_id, pos, Artista, Cancion, Palabra,
+  '... ' || array_to_string(tk[greatest(pos - 4, 0) + 1: pos + 5], ' ') || ' ...' AS Contexto
+FROM (SELECT song_id, artist AS Artista, song AS Cancion, tk, CAST(i - 1 AS INTEGER) AS pos, tk[i] AS Palabra
+      FROM (SELECT *, {k.word_tokens('lyrics')} AS tk FROM marked WHERE conteo_narco >= 2),
+           LATERAL (SELECT unnest(range(1, len(tk) + 1)) AS i))
+WHERE Palabra IN ({_STRONG})""")
+
+sql("rank_by_decade_hits", _M + f"""SELECT song_id, decada, conteo_narco FROM (
+  SELECT song_id, conteo_narco, {k.bucket(k.year_num(), 10)} AS decada FROM marked) WHERE decada > 0""")
+
+sql("dimension_regex_filter", _V + " UNION ALL ".join(
+    f"SELECT song_id, verso_idx, '{d}' AS dim FROM verses WHERE list_has_any({k.runs('verso_texto')}, "
+    f"[{k.in_list(STANDIN_LEXICON[d])}])" for d in DIMS))
+
+sql("vocabulary_intersect", _S + f"""SELECT song_id, array_to_string(list_sort(list_filter(list_distinct(
+  {k.word_tokens('lyrics')}), lambda t: t IN ({_STRONG}))), ',') AS terminos FROM songs""")
+
+sql("word_frequency_topn", _S + f"""SELECT term, count(*) AS n FROM (SELECT unnest({k.word_tokens('lyrics')}) AS term FROM songs)
+WHERE term NOT IN ({k.in_list(STOPWORDS_ES)}) GROUP BY term ORDER BY n DESC, term LIMIT 100""")
+
+_OV = _R.rstrip() + f""",
+ov AS (SELECT origen, unnest({k.word_tokens('verso_texto')}) AS term FROM review_rows)
+"""
+sql("vocabulary_except", _OV + """SELECT DISTINCT term FROM ov WHERE origen = 'K-Means'
+  AND term NOT IN (SELECT term FROM ov WHERE origen = 'Regex')""")
+
+sql("exclusive_terms", _OV + f"""SELECT term, count(*) AS n FROM ov WHERE origen = 'K-Means' AND length(term) > 3
+  AND term NOT IN ({k.in_list(STOPWORDS_ES)}) AND term NOT IN (SELECT term FROM ov WHERE origen = 'Regex')
+GROUP BY term ORDER BY n DESC, term LIMIT 20""")
+
+
+def _strip_accents_py(w):
+    import unicodedata
+    return "".join(c for c in unicodedata.normalize("NFD", w) if unicodedata.category(c) != "Mn")
+
+
+_NG_STOP = k.in_list({_strip_accents_py(w) for w in STOPWORDS_ES})
+sql("ngrams", _S + f"""SELECT ngram, count(*) AS n FROM (
+  SELECT unnest(list_concat(tk, list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1]))) AS ngram
+  FROM (SELECT list_filter({k.runs('strip_accents(lower(lyrics))')}, lambda t: t NOT IN ({_NG_STOP})) AS tk FROM songs))
+GROUP BY ngram ORDER BY n DESC, ngram LIMIT 100""")
+
+LYR_FIRST_CTE = """lyr AS (SELECT artist, song, arg_min(lyrics, song_id) AS ly FROM songs
+  WHERE artist IS NOT NULL AND song IS NOT NULL GROUP BY artist, song)"""
+sql("verse_to_stanza", k.with_(k.SONGS_CTE, k.VERSES_CTE, LYR_FIRST_CTE) + f"""
+SELECT song_id, verso_idx, coalesce(st[list_filter(range(1, len(st) + 1),
+          lambda i: contains({k.collapse('st[i]')}, {k.collapse('verso_texto')}))[1]], verso_texto) AS texto_entrenamiento
+FROM (SELECT v.*, {k.stanza_list('l.ly')} AS st FROM verses v LEFT JOIN lyr l USING (artist, song))""")
+
+LYR_LAST_CTE = f"""lyr_t AS (SELECT song, list_filter(list_transform(string_split({k.strip('arg_max(lyrics, song_id)')}, chr(10)),
+  lambda l: {k.strip('l')}), lambda l: l <> '') AS lines FROM songs WHERE song IS NOT NULL GROUP BY song)"""
+sql("verse_to_window", k.with_(*REVIEW_CTES, LYR_LAST_CTE) + f"""
+SELECT song_id, verso_idx,
+  CASE WHEN vt = '' OR len(lines) = 0 OR p IS NULL THEN vt
+       ELSE array_to_string(lines[greatest(p - 1, 1): p + 1], ' ' || chr(10) || ' ') END AS texto_entrenamiento
+FROM (SELECT song_id, verso_idx, vt, lines,
+             list_filter(range(1, len(lines) + 1), lambda i: contains(lower(lines[i]), lower(left(vt, 15))))[1] AS p
+      FROM (SELECT r.song_id, r.verso_idx, {k.strip('r.verso_texto')} AS vt, coalesce(t.lines, []) AS lines
+            FROM reviews_union r LEFT JOIN lyr_t t USING (song)))""")
+
+POOL_CTE = f"""pool AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT v.*, d.decada, d.conteo_narco, row_number() OVER (PARTITION BY v.verso_texto
+         ORDER BY d.decada, d.conteo_narco DESC, v.song_id, v.verso_idx) AS rn
+  FROM verses v JOIN (SELECT song_id, conteo_narco, {k.bucket(k.year_num(), 10)} AS decada FROM marked) d USING (song_id)
+  WHERE d.decada > 0 AND d.conteo_narco >= 2) WHERE rn = 1)"""
+PMR_CTE = f"""pmr AS (SELECT song_id, artist, song, year, verso_idx, verso_texto FROM pool
+  WHERE {k.strip('verso_texto')} NOT IN (SELECT {k.strip('verso_texto')} FROM reviews_union))"""
+_P = k.with_(*REVIEW_CTES, DEDUP_CTE, MARKED_CTE, POOL_CTE, PMR_CTE)
+sql("pool_minus_reviewed", _P + "SELECT * FROM pmr")
+
+sql("neighbour_context", _P + f"""SELECT song_id, verso_idx, regexp_replace({k.strip("concat_ws(' ', pv, verso_texto, nx)")},
+  {q(k.PY_WS + '+')}, ' ', 'g') AS texto_contexto FROM (
+  SELECT *, coalesce(lag(verso_texto) OVER w, '') AS pv, coalesce(lead(verso_texto) OVER w, '') AS nx FROM pmr
+  WINDOW w AS (PARTITION BY artist, song ORDER BY song_id, verso_idx))""")
+
+_LYR_ANY = "lyr_any AS (SELECT artist, song, arg_min(lyrics, song_id) AS lyrics FROM songs GROUP BY artist, song)"
+sql("attach_lyrics_left", k.with_(k.SONGS_CTE, k.VERSES_CTE, k.SCORED_VERSES_CTE, k.DENSITY_CTE, _LYR_ANY) + """
+SELECT d.artist, d.song, round(d.densidad_agenciamiento, 6) AS densidad_agenciamiento, l.lyrics
+FROM density d LEFT JOIN lyr_any l ON d.artist = l.artist AND d.song = l.song""")
+
+sql("attach_lyrics_inner", k.with_(k.SONGS_CTE, k.VERSES_CTE, k.SCORED_VERSES_CTE, k.DENSITY_CTE, _LYR_ANY) + """
+SELECT d.artist, d.song, round(d.densidad_agenciamiento, 6) AS densidad_agenciamiento, l.lyrics
+FROM density d JOIN lyr_any l ON d.artist = l.artist AND d.song = l.song
+WHERE d.densidad_agenciamiento >= 0.0333 AND l.lyrics IS NOT NULL""")
+
+sql("lookup_last_wins", _R + """SELECT r.song_id, r.verso_idx, r.song, CAST(length(coalesce(t.l, '')) AS INTEGER) AS lyrics_len
+FROM reviews_union r LEFT JOIN (SELECT song, arg_max(lyrics, song_id) AS l FROM songs GROUP BY song) t USING (song)""")
+
+TRUTH_CTE = """truth AS (SELECT artist, song, CAST(max(es_util_real) AS INTEGER) AS es_util_real FROM review_rows
+  WHERE es_util_real IS NOT NULL AND artist IS NOT NULL AND song IS NOT NULL GROUP BY artist, song)"""
+sql("song_truth", k.with_(*REVIEW_CTES, TRUTH_CTE) + "SELECT * FROM truth")
+
+_TJ = k.with_(*REVIEW_CTES, TRUTH_CTE, k.STANZAS_CTE, k.SCORED_STANZAS_CTE, k.ROLLUP_CTE, k.SONG_ROLLUP_CTE) 
+TJ_CTE = """tj AS (SELECT t.artist, t.song, t.es_util_real, s.densidad_semantica_v2 FROM truth t
+  JOIN song_rollup s ON t.artist = s.artist AND t.song = s.song WHERE s.densidad_semantica_v2 IS NOT NULL)"""
+sql("truth_join", _TJ.rstrip() + ",\n" + TJ_CTE + "\nSELECT artist, song, es_util_real, round(densidad_semantica_v2, 6) "
+    "AS densidad_semantica_v2 FROM tj")
+
+sql("reviewed_only", _S + """SELECT s.song_id, l.quality AS es_util_real FROM songs s
+  LEFT JOIN labels l ON s.song_id = l.doc_id WHERE l.quality IS NOT NULL""")
