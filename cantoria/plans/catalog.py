@@ -435,3 +435,207 @@ def reviewed_only(spark, sf):
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("song_id"), F.col("quality").alias("es_util_real"))
     s = load_songs(spark, sf).select("song_id").join(lab, "song_id", "left")
     return ru.reviewed_only(s)
+
+
+# ------------------------------------------------------------------------------------------ time series, stats
+from cantoria.operators import stats as st  # noqa: E402
+
+AVG_COLS = [f"{c}_avg" for c in INTENSITY_COLS]
+
+
+def series_base(spark, sf) -> DataFrame:
+    """Songs with density >= 0.0333 and a numeric year in 1970..2025 (the series stages' input)."""
+    r = song_rollup(spark, sf).withColumn("year_n", year_num("year"))
+    return (r.where((F.col("densidad_semantica_v2") >= DENSITY_SERIES) & F.col("year_n").between(1970, 2025))
+            .withColumn("year", F.col("year_n").cast("int")).drop("year_n"))
+
+
+@register("centered_smooth")
+def centered_smooth(spark, sf):
+    y = ru.yearly_means(song_rollup(spark, sf))
+    cols = ["densidad_semantica_v2"] + AVG_COLS
+    w = Window.orderBy("year").rowsBetween(-1, 1)       # one row per year: a few dozen rows
+    return r6(y.select("year", *[F.avg(c).over(w).alias(c) for c in cols]))
+
+
+@register("shannon_entropy")
+def shannon_entropy(spark, sf):
+    return r6(st.shannon_entropy(series_base(spark, sf), "year", AVG_COLS))
+
+
+@register("entropy_bootstrap")
+def entropy_bootstrap(spark, sf):
+    return r6(st.entropy_bootstrap(series_base(spark, sf), "year", AVG_COLS, order="song_id"))
+
+
+@register("js_divergence")
+def js_divergence(spark, sf):
+    b = series_base(spark, sf).withColumn("lustro", bucket(F.col("year"), 5))
+    return r6(st.js_divergence(b, "lustro", AVG_COLS))
+
+
+@register("kruskal_wallis")
+def kruskal_wallis(spark, sf):
+    r = song_rollup(spark, sf).withColumn("year_n", year_num("year")).where(F.col("year_n").between(1970, 2025))
+    r = r.withColumn("decada", bucket(F.col("year_n"), 10))
+    return r6(st.kruskal_wallis(r, "densidad_semantica_v2", "decada"))
+
+
+@register("kruskal_wallis_test")
+def kruskal_wallis_test(spark, sf):
+    r = song_rollup(spark, sf).withColumn("year_n", year_num("year")).where(F.col("year_n").between(1970, 2025))
+    r = r.withColumn("decada", bucket(F.col("year_n"), 10))
+    return st.kruskal_test(r, "densidad_semantica_v2", "decada")
+
+
+@register("roc_auc")
+def roc_auc(spark, sf):
+    return r6(st.roc_auc(truth_density(spark, sf), "es_util_real", "densidad_semantica_v2"))
+
+
+@register("pr_f1_threshold")
+def pr_f1_threshold(spark, sf):
+    return r6(st.pr_f1_threshold(truth_density(spark, sf), "es_util_real", "densidad_semantica_v2"))
+
+
+@register("classification_report")
+def classification_report(spark, sf):
+    t = truth_density(spark, sf).withColumn("pred", (F.col("densidad_semantica_v2") >= DENSITY_SERIES).cast("int"))
+    return r6(st.classification_report(t, "es_util_real", "pred"))
+
+
+# ------------------------------------------------------------------------------------ samples and review sheets
+@register("capped_group_sample")
+def capped_group_sample(spark, sf):
+    pct = density_percent(song_rollup(spark, sf)).where(F.col("densidad_porcentual").between(1, 7))
+    stz = un.to_stanzas(load_songs(spark, sf), keys=["song_id"]).join(
+        pct.select("song_id", "densidad_porcentual"), "song_id")
+    return sel.quota_sample(stz, "densidad_porcentual", "song_id", "texto_entrenamiento", "estrofa_no", 50, 2)
+
+
+@register("one_stanza_per_song")
+def one_stanza_per_song(spark, sf):
+    s = load_songs(spark, sf).where(year_num("year").between(2015, 2025))
+    stz = un.to_stanzas(s, keys=["song_id"])
+    return sel.sample_units(stz, "song_id", "estrofa_no", 70, 1)
+
+
+@register("ordered_distinct_units")
+def ordered_distinct_units(spark, sf):
+    arr = sel.ordered_distinct_units(un.stanza_array(tx.normalize_text("lyrics")))
+    return load_songs(spark, sf).select("song_id", F.posexplode(arr).alias("pos", "texto_entrenamiento"))
+
+
+@register("order_by_year_or_density")
+def order_by_year_or_density(spark, sf):
+    d = ru.song_density_inline(load_songs(spark, sf), LEX)
+    return r6(d.where(F.col("densidad_agenciamiento") >= 0.08)
+              .select("artist", "song", "year", "densidad_agenciamiento")
+              .orderBy(F.desc("densidad_agenciamiento"), "artist", "song"))
+
+
+def dim_matches(spark, sf) -> DataFrame:
+    v = un.to_verses(load_songs(spark, sf))
+    hits = F.array(*[F.when(F.coalesce(F.col("verso_texto").rlike(lx.dimension_regex(LEX[d])), F.lit(False)),
+                            F.lit(d)) for d in DIMS])
+    return v.select("*", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("dim"))
+
+
+@register("seeded_sample")
+def seeded_sample(spark, sf):
+    m = dim_matches(spark, sf)
+    return sel.sample_n(m, 100, ["dim", "song_id", "verso_idx"], by="dim").select(
+        "dim", "song_id", "verso_idx", "verso_texto")
+
+
+@register("review_sheet")
+def review_sheet(spark, sf):
+    s = seeded_sample(spark, sf)
+    return sel.review_sheet(s, ["dim", "song_id", "verso_idx", "verso_texto"])
+
+
+@register("union_training")
+def union_training(spark, sf):
+    base = gold(spark, sf).select("verso_texto", *LABEL_COLS)
+    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("song_id"))
+    stz = un.to_stanzas(load_songs(spark, sf).join(lab, "song_id"), keys=["song_id"])
+    new = lx.score_units(stz, LEX, text_col="texto_entrenamiento").select(
+        F.col("texto_entrenamiento").alias("verso_texto"), F.col("intensidad_AR").alias("val_AR"),
+        F.col("intensidad_GO").alias("val_GO"))
+    u = base.unionByName(new, allowMissingColumns=True)
+    return u.select("verso_texto", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in LABEL_COLS])
+
+
+@register("scan_reviews_union")
+def scan_reviews_union(spark, sf):
+    return reviews_union(spark, sf)
+
+
+@register("label_max_pool")
+def label_max_pool(spark, sf):
+    return gold(spark, sf)
+
+
+@register("label_merge_by_file_dim")
+def label_merge_by_file_dim(spark, sf):
+    r = review_rows(spark, sf)
+    val = F.element_at(F.array(*[F.col(c) for c in LABEL_COLS]),
+                       (F.array_position(F.array(*[F.lit(d) for d in DIMS]), F.col("dim_archivo"))).cast("int"))
+    long = r.select("artist", "song", "verso_texto", F.col("dim_archivo").alias("dim"), val.alias("valor"))
+    return ru.label_merge_by_file_dim(long)
+
+
+@register("song_condense")
+def song_condense(spark, sf):
+    return ru.song_condense(scored_verses(spark, sf))
+
+
+@register("label_histogram")
+def label_histogram(spark, sf):
+    return r6(ru.label_histogram(gold(spark, sf), LABEL_COLS))
+
+
+@register("origin_decade_counts")
+def origin_decade_counts(spark, sf):
+    return ru.decade_counts(reviews_union(spark, sf))
+
+
+@register("top_artists")
+def top_artists(spark, sf):
+    return ru.top_n(reviews_union(spark, sf), "artist", 15)
+
+
+@register("label_correlation")
+def label_correlation(spark, sf):
+    return r6(st.correlation_pairs(gold(spark, sf), LABEL_COLS))
+
+
+@register("facet_counts")
+def facet_counts(spark, sf):
+    dom, mx = sc.dominant_dimension("val_")
+    g = gold(spark, sf).select(bucket(year_num("year"), 10).alias("decada"), dom.alias("dimension_dominante"),
+                               mx.alias("_mx")).where(F.col("_mx") > 0)
+    return g.groupBy("decada", "dimension_dominante").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("year_kde")
+def year_kde(spark, sf):
+    r = reviews_union(spark, sf).withColumn("year_n", year_num("year"))
+    return r6(st.gaussian_kde(r, "origen", "year_n", 1970, 2025).withColumnRenamed("x", "year"))
+
+
+@register("flow_stats")
+def flow_stats(spark, sf):
+    """Review counts per origin, after max-pool dedupe, after per-decade balancing (each decade topped up to
+    the largest; skipped when the smallest decade has one row), synthetic rows."""
+    r = reviews_union(spark, sf)
+    g = gold(spark, sf).withColumn("decada", bucket(year_num("year", default=2000), 10))
+    per_dec = g.groupBy("decada").agg(F.count(F.lit(1)).alias("c"))
+    bal = per_dec.agg(F.count(F.lit(1)).alias("k"), F.max("c").alias("c_max"), F.min("c").alias("c_min"),
+                      F.sum("c").alias("tot"))
+    counts = r.agg(F.count_if(F.col("origen") == "Regex").alias("regex_in"),
+                   F.count_if(F.col("origen") == "K-Means").alias("kmeans_in"))
+    out = st._one_row_join(counts, bal)
+    smote = F.when(F.least(F.lit(5), F.col("c_min") - 1) > 0, F.col("k") * F.col("c_max")).otherwise(F.col("tot"))
+    return out.select("regex_in", "kmeans_in", F.col("tot").alias("deduplicado"), smote.cast("bigint").alias("smote_out"),
+                      (smote - F.col("tot")).cast("bigint").alias("sinteticos_creados"))

@@ -271,3 +271,204 @@ sql("truth_join", _TJ.rstrip() + ",\n" + TJ_CTE + "\nSELECT artist, song, es_uti
 
 sql("reviewed_only", _S + """SELECT s.song_id, l.quality AS es_util_real FROM songs s
   LEFT JOIN labels l ON s.song_id = l.doc_id WHERE l.quality IS NOT NULL""")
+
+
+# ------------------------------------------------------------------------------------------------- batch 3
+_AVG = [f"{c}_avg" for c in INTENSITY_COLS]
+SERIES_CTE = f"""series AS (SELECT * REPLACE (CAST({k.year_num()} AS INTEGER) AS year) FROM song_rollup
+  WHERE densidad_semantica_v2 >= 0.0333 AND {k.year_num()} BETWEEN 1970 AND 2025)"""
+_SER = _SR.rstrip() + ",\n" + SERIES_CTE + "\n"
+
+
+def _entropy_sql(sums: list[str]) -> str:
+    tot = "(" + " + ".join(sums) + ")"
+    terms = " + ".join(f"(CASE WHEN {x} > 0 THEN ({x} / {tot}) * log2({x} / {tot}) ELSE 0 END)" for x in sums)
+    return f"CASE WHEN {tot} > 0 THEN -({terms}) + 0.0 ELSE 0.0 END"
+
+
+_YCOLS = ["densidad_semantica_v2"] + _AVG
+sql("centered_smooth", _SR + f"""SELECT year, {", ".join(f"round(avg({c}) OVER w, 6) AS {c}" for c in _YCOLS)} FROM (
+  SELECT CAST({k.year_num()} AS INTEGER) AS year, {", ".join(f"avg({c}) AS {c}" for c in _YCOLS)}
+  FROM song_rollup WHERE {k.year_num()} BETWEEN 1970 AND 2025 GROUP BY 1)
+WINDOW w AS (ORDER BY year ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
+
+sql("shannon_entropy", _SER + f"""SELECT year, canciones, round({_entropy_sql([f's{i}' for i in range(6)])}, 6) AS entropia
+FROM (SELECT year, count(*) AS canciones, {", ".join(f"CAST(sum({c}) AS DOUBLE) AS s{i}" for i, c in enumerate(_AVG))}
+      FROM series GROUP BY year)""")
+
+sql("entropy_bootstrap", _SER + f"""
+, nby AS (SELECT year, count(*) AS canciones FROM series GROUP BY year HAVING count(*) >= 3)
+, rows_ AS (SELECT s.*, row_number() OVER (PARTITION BY s.year ORDER BY s.song_id) - 1 AS idx
+            FROM series s JOIN nby USING (year))
+, draws AS (SELECT year, canciones, rep, j,
+            ('0x' || substr(md5(CAST(year AS VARCHAR) || '|' || CAST(rep AS VARCHAR) || '|' || CAST(j AS VARCHAR)
+                                || '|42'), 1, 12))::BIGINT % canciones AS idx
+            FROM nby, LATERAL (SELECT unnest(range(0, 100)) AS rep), LATERAL (SELECT unnest(range(0, canciones)) AS j))
+, sums AS (SELECT d.year, d.rep, {", ".join(f"CAST(sum(r.{c}) AS DOUBLE) AS s{i}" for i, c in enumerate(_AVG))}
+           FROM draws d JOIN rows_ r ON d.year = r.year AND d.idx = r.idx GROUP BY d.year, d.rep)
+, ent AS (SELECT year, rep, {_entropy_sql([f's{i}' for i in range(6)])} AS h FROM sums)
+SELECT e.year, n.canciones, round(avg(h), 6) AS entropia_media, round(quantile_cont(h, 0.05), 6) AS lim_inferior,
+       round(quantile_cont(h, 0.95), 6) AS lim_superior
+FROM ent e JOIN nby n USING (year) GROUP BY e.year, n.canciones""")
+
+
+def _jsd_sql() -> str:
+    parts = []
+    for i in range(6):
+        p, qq = f"p{i}", f"q{i}"
+        m = f"(({p} + {qq}) / 2)"
+        parts.append(f"(CASE WHEN {p} > 0 THEN {p} * ln({p} / {m}) ELSE 0 END)")
+        parts.append(f"(CASE WHEN {qq} > 0 THEN {qq} * ln({qq} / {m}) ELSE 0 END)")
+    return "(" + " + ".join(parts) + ") / 2"
+
+
+_dist = ", ".join(f"CASE WHEN tot > 0 THEN s{i} / tot ELSE 1.0 / 6 END AS q{i}" for i in range(6))
+sql("js_divergence", _SER + f"""
+, per AS (SELECT lustro, {", ".join(f"s{i}" for i in range(6))}, {" + ".join(f"s{i}" for i in range(6))} AS tot FROM (
+    SELECT {k.bucket('year', 5)} AS lustro, {", ".join(f"CAST(sum({c}) AS DOUBLE) AS s{i}" for i, c in enumerate(_AVG))}
+    FROM series GROUP BY 1))
+, dist AS (SELECT lustro, {_dist} FROM per)
+, pairs AS (SELECT lustro, lag(lustro) OVER (ORDER BY lustro) AS prev, {", ".join(f"q{i}" for i in range(6))},
+                   {", ".join(f"lag(q{i}) OVER (ORDER BY lustro) AS p{i}" for i in range(6))} FROM dist)
+SELECT CAST(prev AS VARCHAR) || 's -> ' || CAST(lustro AS VARCHAR) || 's' AS periodo, round({_jsd_sql()}, 6) AS jsd
+FROM pairs WHERE prev IS NOT NULL""")
+
+sql("kruskal_wallis", _SR + f"""
+, kw AS (SELECT densidad_semantica_v2 AS v, {k.bucket(k.year_num(), 10)} AS g FROM song_rollup
+         WHERE {k.year_num()} BETWEEN 1970 AND 2025 AND densidad_semantica_v2 IS NOT NULL)
+, rk AS (SELECT g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM kw)
+, ties AS (SELECT sum(t * t * t - t) AS tie FROM (SELECT count(*) AS t FROM kw GROUP BY v))
+, grp AS (SELECT g, count(*) AS ni, sum(r) AS ri FROM rk GROUP BY g)
+SELECT CAST(count(*) AS BIGINT) AS grupos, CAST(sum(ni) AS BIGINT) AS n,
+       round(CASE WHEN count(*) >= 2 THEN (12.0 / (sum(ni) * (sum(ni) + 1)) * sum(ri * ri / ni) - 3 * (sum(ni) + 1))
+             / (1 - max(tie) / (power(sum(ni), 3) - sum(ni))) END, 6) AS h
+FROM grp, ties""")
+
+TD = _TJ.rstrip() + ",\n" + TJ_CTE + "\n"
+SC_CTE = """, sc AS (SELECT densidad_semantica_v2 AS s, count(*) FILTER (WHERE es_util_real = 1) AS pos,
+                count(*) FILTER (WHERE es_util_real <> 1) AS neg FROM tj GROUP BY 1)
+, cum AS (SELECT *, sum(pos) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cp,
+                 sum(neg) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn FROM sc)
+"""
+sql("roc_auc", TD + SC_CTE + """SELECT CAST(sum(pos) AS BIGINT) AS positivos, CAST(sum(neg) AS BIGINT) AS negativos,
+  round(sum(neg * (2 * cp - pos)) / (2.0 * sum(pos) * sum(neg)), 6) AS auc FROM cum""")
+
+sql("pr_f1_threshold", TD + SC_CTE + """
+, pr AS (SELECT s AS umbral, cp / (cp + cn) AS precision, cp / (SELECT sum(pos) FROM sc) AS recall FROM cum)
+SELECT round(umbral, 6) AS umbral, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1
+FROM pr ORDER BY CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END DESC,
+  umbral ASC LIMIT 1""")
+
+sql("classification_report", TD + """
+, yp AS (SELECT es_util_real AS y, CAST(densidad_semantica_v2 >= 0.0333 AS INTEGER) AS p FROM tj)
+, ks AS (SELECT y AS k FROM yp UNION SELECT p FROM yp)
+, per AS (SELECT k, (SELECT count(*) FROM yp WHERE y = k) AS support, (SELECT count(*) FROM yp WHERE p = k) AS npred,
+                 (SELECT count(*) FROM yp WHERE y = k AND p = k) AS tp FROM ks)
+, m AS (SELECT CAST(k AS VARCHAR) AS clase, CASE WHEN npred > 0 THEN tp / npred ELSE 0.0 END AS precision,
+               CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall, support, tp FROM per)
+, m2 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM m)
+SELECT clase, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM m2
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM m2
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM m2
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+  round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM m2""")
+
+# samples
+_STZ_ALL = k.with_(k.SONGS_CTE, k.STANZAS_CTE, k.SCORED_STANZAS_CTE, k.ROLLUP_CTE, k.SONG_ROLLUP_CTE)
+sql("capped_group_sample", _STZ_ALL + """
+, pct AS (SELECT song_id, CAST(round_even(densidad_semantica_v2 * CASE WHEN (SELECT max(densidad_semantica_v2)
+          FROM song_rollup) <= 1 THEN 100.0 ELSE 1.0 END, 0) AS INTEGER) AS densidad_porcentual FROM song_rollup)
+, cand AS (SELECT s.song_id, s.estrofa_no, s.texto_entrenamiento, p.densidad_porcentual FROM stanzas s JOIN pct p USING (song_id)
+           WHERE p.densidad_porcentual BETWEEN 1 AND 7)
+, dist AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY song_id, texto_entrenamiento ORDER BY estrofa_no) AS d
+           FROM cand) WHERE d = 1)
+, firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY estrofa_no) AS r FROM dist) WHERE r <= 2)
+SELECT song_id, estrofa_no, texto_entrenamiento, densidad_porcentual FROM (
+  SELECT *, row_number() OVER (PARTITION BY densidad_porcentual ORDER BY md5(CAST(song_id AS VARCHAR) || '|42'), song_id, r) AS g
+  FROM firsts) WHERE g <= 50""")
+
+sql("one_stanza_per_song", k.with_(k.SONGS_CTE) + f"""
+, s2 AS (SELECT * FROM songs WHERE {k.year_num()} BETWEEN 2015 AND 2025)
+, stanzas AS (SELECT song_id, CAST(i - 1 AS INTEGER) AS estrofa_no, st[i] AS texto_entrenamiento
+  FROM (SELECT *, {k.stanza_list(k.strip('lyrics'))} AS st FROM s2), LATERAL (SELECT unnest(range(1, len(st) + 1)) AS i))
+, items AS (SELECT song_id FROM (SELECT DISTINCT song_id FROM stanzas)
+            ORDER BY md5(CAST(song_id AS VARCHAR) || '|42'), song_id LIMIT 70)
+SELECT song_id, estrofa_no, texto_entrenamiento FROM (
+  SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY md5(CAST(song_id AS VARCHAR) || '|' ||
+         CAST(estrofa_no AS VARCHAR) || '|42'), estrofa_no) AS r FROM stanzas WHERE song_id IN (SELECT song_id FROM items))
+WHERE r = 1""")
+
+sql("ordered_distinct_units", k.with_(k.SONGS_CTE, k.STANZAS_CTE) + """
+SELECT song_id, CAST(row_number() OVER (PARTITION BY song_id ORDER BY estrofa_no) - 1 AS INTEGER) AS pos, texto_entrenamiento
+FROM (SELECT *, row_number() OVER (PARTITION BY song_id, texto_entrenamiento ORDER BY estrofa_no) AS d FROM stanzas) WHERE d = 1""")
+
+sql("order_by_year_or_density", _DENS + """SELECT artist, song, year, round(densidad_agenciamiento, 6) AS densidad_agenciamiento
+FROM density WHERE densidad_agenciamiento >= 0.08""")
+
+_DM = k.with_(k.SONGS_CTE, k.VERSES_CTE) + ", dm AS (" + " UNION ALL ".join(
+    f"SELECT *, '{d}' AS dim FROM verses WHERE list_has_any({k.runs('verso_texto')}, [{k.in_list(STANDIN_LEXICON[d])}])"
+    for d in DIMS) + ")\n"
+_SAMPLE = _DM + """, samp AS (SELECT dim, song_id, verso_idx, verso_texto FROM (
+  SELECT *, row_number() OVER (PARTITION BY dim ORDER BY md5(dim || '|' || CAST(song_id AS VARCHAR) || '|' ||
+         CAST(verso_idx AS VARCHAR) || '|42'), dim, song_id, verso_idx) AS r FROM dm) WHERE r <= 100)
+"""
+sql("seeded_sample", _SAMPLE + "SELECT * FROM samp")
+sql("review_sheet", _SAMPLE + "SELECT *, " + ", ".join(f"CAST(NULL AS INTEGER) AS val_{d}" for d in DIMS) + " FROM samp")
+
+sql("union_training", k.with_(*REVIEW_CTES) + f"""
+, st2 AS (SELECT st[i] AS t FROM (SELECT s.*, {k.stanza_list(k.strip('s.lyrics'))} AS st FROM songs s
+          JOIN labels l ON s.song_id = l.doc_id), LATERAL (SELECT unnest(range(1, len(st) + 1)) AS i))
+SELECT verso_texto, {_VALS} FROM gold
+UNION ALL SELECT t, CAST(least({k.hits(k.runs('t'), STANDIN_LEXICON['AR'])}, 3) AS INTEGER), 0, 0, 0, 0,
+  CAST(least({k.hits(k.runs('t'), STANDIN_LEXICON['GO'])}, 3) AS INTEGER) FROM st2""")
+
+sql("scan_reviews_union", _R + "SELECT * FROM reviews_union")
+sql("label_max_pool", _R + "SELECT * FROM gold")
+sql("label_merge_by_file_dim", _R + "SELECT artist, song, verso_texto, " + ", ".join(
+    f"CAST(coalesce(max(CASE WHEN dim_archivo = '{d}' THEN val_{d} END), 0) AS INTEGER) AS intensidad_{d}" for d in DIMS)
+    + " FROM review_rows WHERE artist IS NOT NULL AND song IS NOT NULL AND verso_texto IS NOT NULL GROUP BY ALL")
+
+sql("song_condense", k.with_(k.SONGS_CTE, k.VERSES_CTE, k.SCORED_VERSES_CTE) + """
+SELECT artist, song, first(year ORDER BY song_id, verso_idx) FILTER (WHERE year IS NOT NULL) AS year,
+  count(verso_texto) AS total_versos, """ + ", ".join(f"max({c}) AS {c}" for c in INTENSITY_COLS)
+    + " FROM scored_verses WHERE artist IS NOT NULL AND song IS NOT NULL GROUP BY artist, song")
+
+sql("label_histogram", _R + f"""
+, lg AS (SELECT dim, label FROM (UNPIVOT gold ON {_VALS} INTO NAME dim VALUE label) WHERE label IS NOT NULL)
+, tot AS (SELECT dim, count(*) AS total, count(*) FILTER (WHERE label > 0) AS activos FROM lg GROUP BY dim)
+SELECT p.dim, p.label, p.n, t.total, t.activos, round(t.activos * 100.0 / t.total, 6) AS pct_activos
+FROM (SELECT dim, label, count(*) AS n FROM lg GROUP BY ALL) p JOIN tot t USING (dim)""")
+
+sql("origin_decade_counts", _R + f"""SELECT origen, {k.bucket(k.year_num(), 10)} AS decada, count(*) AS n FROM reviews_union
+WHERE {k.year_num()} IS NOT NULL GROUP BY ALL""")
+
+sql("top_artists", _R + "SELECT artist, count(*) AS n FROM reviews_union WHERE artist IS NOT NULL GROUP BY artist "
+    "ORDER BY n DESC, artist LIMIT 15")
+
+_LC = [f"val_{d}" for d in DIMS]
+sql("label_correlation", _R + " UNION ALL ".join(
+    f"SELECT '{a}' AS dim_a, '{b}' AS dim_b, round(corr({a}, {b}), 6) AS corr FROM gold"
+    for i, a in enumerate(_LC) for b in _LC[i + 1:]))
+
+sql("facet_counts", _R + f"""SELECT {k.bucket(k.year_num(), 10)} AS decada, {_DOM} AS dimension_dominante, count(*) AS n
+FROM gold WHERE greatest({_VALS}) > 0 GROUP BY ALL""")
+
+sql("year_kde", _R + f"""
+, h AS (SELECT origen, {k.year_num()} AS y, count(*) AS c FROM reviews_union WHERE {k.year_num()} IS NOT NULL GROUP BY ALL)
+, st AS (SELECT origen, sum(c) AS n, sum(y * c) / sum(c) AS m, sum(y * y * c) AS ss FROM h GROUP BY origen)
+, bw AS (SELECT origen, n, sqrt((ss - n * m * m) / (n - 1)) * pow(n, -0.2) AS bw FROM st)
+SELECT h.origen, CAST(x AS INTEGER) AS year,
+  round(sum(h.c * exp(-((x - h.y) ^ 2) / (2 * bw.bw * bw.bw))) / (max(bw.n) * max(bw.bw) * sqrt(2 * pi())), 6) AS densidad
+FROM h JOIN bw USING (origen), LATERAL (SELECT unnest(range(1970, 2026)) AS x)
+WHERE bw.bw > 0 GROUP BY h.origen, x""")
+
+sql("flow_stats", _R + f"""
+, dec AS (SELECT CAST(floor(coalesce({k.year_num()}, 2000) / 10) * 10 AS INTEGER) AS d, count(*) AS c FROM gold GROUP BY 1)
+, bal AS (SELECT count(*) AS k, max(c) AS c_max, min(c) AS c_min, sum(c) AS tot FROM dec)
+SELECT (SELECT count(*) FROM reviews_union WHERE origen = 'Regex') AS regex_in,
+       (SELECT count(*) FROM reviews_union WHERE origen = 'K-Means') AS kmeans_in,
+       CAST(tot AS BIGINT) AS deduplicado,
+       CAST(CASE WHEN least(5, c_min - 1) > 0 THEN k * c_max ELSE tot END AS BIGINT) AS smote_out,
+       CAST(CASE WHEN least(5, c_min - 1) > 0 THEN k * c_max ELSE tot END - tot AS BIGINT) AS sinteticos_creados
+FROM bal""")
