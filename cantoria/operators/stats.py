@@ -68,11 +68,14 @@ def _sum_array(arr: Column) -> Column:
 
 def entropy_of(sums: Column, base2: bool = True) -> Column:
     """Shannon entropy of an array of non-negative totals; zero total -> 0; 0 log 0 = 0."""
-    tot = _sum_array(sums)
     logf = (lambda p: F.log2(p)) if base2 else (lambda p: F.log(p))
-    h = -F.aggregate(F.transform(sums, lambda x: F.when(x > 0, (x / tot) * logf(x / tot)).otherwise(0.0)),
-                     F.lit(0.0), lambda a, x: a + x)
-    return F.when(tot > 0, h + F.lit(0.0)).otherwise(F.lit(0.0))
+
+    def finish(tot):
+        h = -F.aggregate(F.transform(sums, lambda x: F.when(x > 0, (x / tot) * logf(x / tot)).otherwise(0.0)),
+                         F.lit(0.0), lambda a, x: a + x)
+        return F.when(tot > 0, h + F.lit(0.0)).otherwise(F.lit(0.0))
+    # the total is the accumulator, bound once and visible to the per-element lambda
+    return F.aggregate(sums, F.lit(0.0), lambda a, x: a + x, finish)
 
 
 # ------------------------------------------------------------------------------------------------ X1 / X2
@@ -136,9 +139,9 @@ def js_divergence(df: DataFrame, period: str, cols: list[str]) -> DataFrame:
     (natural log) to the previous *existing* period (W8: lag over the few aggregated periods)."""
     k = len(cols)
     g = df.groupBy(period).agg(F.array(*[F.sum(c).cast("double") for c in cols]).alias("_s"))
-    tot = _sum_array(F.col("_s"))
-    dist = F.when(tot > 0, F.transform("_s", lambda x: x / tot)).otherwise(
-        F.array_repeat(F.lit(1.0 / k), k))
+    dist = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x,
+                       lambda tot: F.when(tot > 0, F.transform("_s", lambda x: x / tot))
+                       .otherwise(F.array_repeat(F.lit(1.0 / k), k)))
     g = g.select(period, dist.alias("_q"))
     w = Window.orderBy(period)          # one row per period: a handful of rows
     g = g.select(period, "_q", F.lag(period).over(w).alias("_prev"), F.lag("_q").over(w).alias("_p"))

@@ -639,3 +639,274 @@ def flow_stats(spark, sf):
     smote = F.when(F.least(F.lit(5), F.col("c_min") - 1) > 0, F.col("k") * F.col("c_max")).otherwise(F.col("tot"))
     return out.select("regex_in", "kmeans_in", F.col("tot").alias("deduplicado"), smote.cast("bigint").alias("smote_out"),
                       (smote - F.col("tot")).cast("bigint").alias("sinteticos_creados"))
+
+
+# ----------------------------------------------------------------------------------------------------- vectors
+from cantoria.operators import learn as ml  # noqa: E402
+from cantoria.operators import vectors as vx  # noqa: E402
+
+
+def hashed(df: DataFrame, text_col: str) -> DataFrame:
+    """Hash-encoded, unit-length vectors of a text column (M3 + M4)."""
+    return df.withColumn("_raw", vx.hash_encode(F.col(text_col))).withColumn("vec", vx.l2_normalize(F.col("_raw"))).drop("_raw")
+
+
+def long_vector(df: DataFrame, keys: list[str], vec: str, name: str = "valor") -> DataFrame:
+    return (df.select(*keys, F.posexplode(vec).alias("pos", name)).where(F.col(name) != 0))
+
+
+@register("encode_units")
+def encode_units(spark, sf):
+    v = un.to_verses(load_songs(spark, sf)).withColumn("raw", vx.hash_encode(F.col("verso_texto")))
+    return (long_vector(v, ["song_id", "verso_idx"], "raw", "n")
+            .select("song_id", "verso_idx", F.col("pos").alias("bucket"), F.col("n").cast("int").alias("n")))
+
+
+@register("l2_normalize")
+def l2_normalize(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    e = e.withColumn("u", vx.l2_normalize(F.col("e")))
+    return r6(e.select("vec_id", vx.norm(F.col("e")).alias("norma"), F.col("u")[0].alias("x0"),
+                       F.aggregate("u", F.lit(0.0), lambda a, x: a + x).alias("suma_unitaria")))
+
+
+def anchors(spark, sf) -> DataFrame:
+    """Per dimension: reviewed verses with a positive label, weighted by it, with hash vectors."""
+    g = hashed(gold(spark, sf), "verso_texto")
+    stack = F.expr("stack(6, " + ", ".join(f"'{d}', val_{d}" for d in DIMS) + ") as (dim, peso)")
+    return g.select("verso_texto", "vec", stack).where(F.col("peso") > 0)
+
+
+def centroids(spark, sf) -> DataFrame:
+    return vx.weighted_centroid(anchors(spark, sf), "dim", "vec", "peso")
+
+
+@register("weighted_centroid")
+def weighted_centroid(spark, sf):
+    return r6(long_vector(centroids(spark, sf), ["dim"], "centroide"))
+
+
+def topk(spark, sf) -> DataFrame:
+    p = hashed(pool_minus_reviewed(spark, sf), "verso_texto")
+    return vx.similarity_topk(p, centroids(spark, sf).withColumn("k_idx", F.lit(0)), "vec",
+                              ["song_id", "verso_idx"], ["dim"], k=1000)
+
+
+@register("similarity_topk")
+def similarity_topk(spark, sf):
+    return r6(topk(spark, sf).select("dim", "song_id", "verso_idx", "rank", "similitud_coseno"))
+
+
+@register("similarity_band")
+def similarity_band(spark, sf):
+    return r6(vx.band(topk(spark, sf)).select("dim", "song_id", "verso_idx", "rank", "similitud_coseno"))
+
+
+@register("score_distribution")
+def score_distribution(spark, sf):
+    return r6(st.quartiles(topk(spark, sf), "dim", "similitud_coseno"))
+
+
+@register("diverse_round_robin")
+def diverse_round_robin(spark, sf):
+    t = topk(spark, sf)
+    meta = pool_minus_reviewed(spark, sf).select("song_id", "verso_idx", "artist", "verso_texto",
+                                                 bucket(year_num("year", default=2000), 10).alias("decada"))
+    cands = t.join(meta, ["song_id", "verso_idx"]).withColumn("attractor", F.lit(0))
+    return sel.diverse_round_robin(cands, target=100, lo=0.20, hi=0.90)
+
+
+@register("vector_cache")
+def vector_cache(spark, sf):
+    """Keys (md5 of text + encoder id) of all verse texts; those of labelled songs' verses come from the
+    cache, the rest are encoded (anti join)."""
+    enc = "hash64"
+    key = F.md5(F.concat(F.col("verso_texto"), F.lit("|" + enc)))
+    cache = un.to_verses(load_songs(spark, sf).join(table(spark, sf, "labels").select(
+        F.col("doc_id").alias("song_id")), "song_id")).select(key.alias("clave")).distinct()
+    want = un.to_verses(load_songs(spark, sf)).select(key.alias("clave")).distinct()
+    hit = want.join(cache, "clave", "left_semi").withColumn("desde_cache", F.lit(True))
+    miss = want.join(cache, "clave", "left_anti").withColumn("desde_cache", F.lit(False))
+    return hit.unionByName(miss)
+
+
+@register("weighted_attractors")
+def weighted_attractors(spark, sf):
+    a = vx.weighted_attractors(anchors(spark, sf), "dim", "vec", "peso")
+    return a.select("dim", "k_idx", F.size("centroide").alias("ancho"))
+
+
+@register("knn_within_class")
+def knn_within_class(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    return vx.knn_lsh(e, "vec_id", "v", "label", k=5)
+
+
+@register("oversample_interpolate")
+def oversample_interpolate(spark, sf):
+    from cantoria.session import cut_lineage
+    g = cut_lineage(hashed(gold(spark, sf), "verso_texto")
+                    .withColumn("decada", bucket(year_num("year", default=2000), 10)))
+    nb = vx.knn_lsh(g.select("verso_texto", "decada", "vec"), "verso_texto", "vec", "decada", k=5,
+                    bucket_length=0.5, max_dist=1.5)
+    out = vx.oversample(g, "verso_texto", "vec", LABEL_COLS, "decada", nb)
+    return out.groupBy("decada", "sintetico").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ----------------------------------------------------------------------------------------------------- learning
+def clean_tokens(spark, sf) -> DataFrame:
+    stop = sorted(set(STOPWORDS_ES))
+    return load_songs(spark, sf).select("song_id", F.explode(
+        F.filter(tx.tokens("lyrics", "word"), lambda t: ~t.isin(stop))).alias("term"))
+
+
+@register("tfidf")
+def tfidf_q(spark, sf):
+    return r6(ml.tfidf(clean_tokens(spark, sf), "song_id", max_features=5000))
+
+
+def clustered(spark, sf):
+    stop = sorted(set(STOPWORDS_ES))
+    docs = load_songs(spark, sf).select("song_id", F.filter(tx.tokens("lyrics", "word"), lambda t: ~t.isin(stop))
+                                        .alias("tok"))
+    assign, _ = ml.cluster(ml.tfidf_vectors(docs, "tok", 5000), k=15)
+    long = ml.tfidf(clean_tokens(spark, sf), "song_id", max_features=5000)
+    return long, assign.select("song_id", "cluster")
+
+
+@register("cluster_documents")
+def cluster_documents(spark, sf):
+    _, assign = clustered(spark, sf)
+    return assign.select("song_id", "cluster")
+
+
+@register("cluster_profile")
+def cluster_profile(spark, sf):
+    long, assign = clustered(spark, sf)
+    return ml.cluster_profile(long, assign, "song_id", drop=[])
+
+
+@register("drop_clusters")
+def drop_clusters_q(spark, sf):
+    long, assign = clustered(spark, sf)
+    return ml.drop_clusters(assign.select("song_id", "cluster"), [0])
+
+
+@register("silhouette")
+def silhouette_q(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("v"), "label")
+    score = vx.silhouette(e, "v", "label")
+    return table(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("n")).withColumn("silueta", F.lit(score))
+
+
+@register("stratified_split")
+def stratified_split(spark, sf):
+    s = sel.stratified_split(gold(spark, sf), LABEL_COLS, 0.2, id_col="verso_texto")
+    return s.select("verso_texto", "estrato", "split")
+
+
+def gold_long(spark, sf) -> DataFrame:
+    stack = F.expr("stack(6, " + ", ".join(f"'{d}', val_{d}" for d in DIMS) + ") as (dim, label)")
+    return gold(spark, sf).select("verso_texto", stack)
+
+
+@register("balanced_weights")
+def balanced_weights(spark, sf):
+    g = gold_long(spark, sf)
+    c = g.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("n_c"))
+    t = c.groupBy("dim").agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"))
+    return r6(c.join(t, "dim").select("dim", "label", (F.col("n") / (F.col("k") * F.col("n_c"))).alias("peso")))
+
+
+@register("label_index")
+def label_index(spark, sf):
+    d = gold_long(spark, sf).select("dim", "label").distinct()
+    w = Window.partitionBy("dim").orderBy("label")            # <= 4 classes per dimension
+    return d.withColumn("indice", (F.row_number().over(w) - 1).cast("int"))
+
+
+def trained(spark, sf):
+    from cantoria.session import cut_lineage
+    g = hashed(gold(spark, sf), "verso_texto")
+    # one reliable checkpoint of the (review-sized) training table: six model fits read it instead of
+    # re-deriving it from the corpus each time
+    split = cut_lineage(sel.stratified_split(g, LABEL_COLS, 0.2, id_col="verso_texto"))
+    train = split.where(F.col("split") == "train")
+    models = ml.train_multilabel(train, "vec", LABEL_COLS, trees=20, depth=4)
+    return split, models
+
+
+@register("train_multilabel")
+def train_multilabel(spark, sf):
+    split, models = trained(spark, sf)
+    test = split.where(F.col("split") == "test")
+    scored = ml.score_units(test, "vec", models, prefix="pred_")
+    return scored.agg(*[F.avg((F.col(f"pred_{d}") == F.col(f"val_{d}")).cast("double")).alias(f"acc_{d}") for d in DIMS])
+
+
+@register("score_units")
+def score_units_q(spark, sf):
+    _, models = trained(spark, sf)
+    p = hashed(pool_minus_reviewed(spark, sf), "verso_texto")
+    s = ml.score_units(p, "vec", models)
+    stack = F.expr("stack(6, " + ", ".join(f"'{d}', intensidad_{d}" for d in DIMS) + ") as (dim, intensidad)")
+    return s.select(stack).groupBy("dim", "intensidad").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("project_low_dim")
+def project_low_dim(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return ml.project(e, "v", 3).select("vec_id", "c1", "c2", "c3")
+
+
+@register("topic_model")
+def topic_model(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return ml.topic_model(e, "v", k=8, min_size=15).select("vec_id", "topic")
+
+
+def topic_grams(spark, sf) -> DataFrame:
+    dom, mx = sc.dominant_dimension("val_")
+    stop = sorted({_strip_py(w) for w in STOPWORDS_ES})
+    g = gold(spark, sf).select("verso_texto", "year", dom.alias("topic"), mx.alias("_mx")).where(F.col("_mx") > 0)
+    tok = F.filter(tx.word_runs(tx.strip_accents(F.lower("verso_texto"))), lambda t: ~t.isin(stop))
+    return g.select("topic", "year", tok.alias("_tok")).select(
+        "topic", "year", F.explode(un.ngram_array(F.col("_tok"), 1, 2)).alias("ngram"))
+
+
+@register("class_tfidf")
+def class_tfidf(spark, sf):
+    return r6(ml.class_tfidf(topic_grams(spark, sf), "topic", "ngram", top=10))
+
+
+@register("topics_over_time")
+def topics_over_time(spark, sf):
+    dom, mx = sc.dominant_dimension("val_")
+    g = gold(spark, sf).withColumn("year_n", year_num("year")).where(F.col("year_n").between(1980, 2025))
+    g = g.select(dom.alias("topic"), mx.alias("_mx"), ml.time_bins("year_n", 1980, 2025, 20).alias("bin"))
+    return g.where(F.col("_mx") > 0).groupBy("topic", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("token_attribution")
+def token_attribution(spark, sf):
+    terms = sorted(set(LEX["AR"]))
+
+    def score(text):
+        return F.least(F.size(F.filter(tx.word_runs(text), lambda t: t.isin(terms))), F.lit(3))
+    return ml.token_attribution(gold(spark, sf).where(F.col("val_AR") > 0), "verso_texto", "verso_texto", score)
+
+
+@register("projection_frame")
+def projection_frame(spark, sf):
+    """Rows with year > 1900 sorted by year, marker size = max intensity * 3, axis bounds min-1 / max+1,
+    decade label '1970s'."""
+    r = song_rollup(spark, sf).withColumn("year_n", year_num("year")).where(F.col("year_n") > 1900)
+    r = r.where(F.col("total_estrofas").isNotNull())
+    xs = ["intensidad_AR_avg", "intensidad_MO_avg", "intensidad_DI_avg"]
+    bounds = r.agg(*[(F.min(c) - 1).alias(f"{c}_lo") for c in xs], *[(F.max(c) + 1).alias(f"{c}_hi") for c in xs])
+    mx = F.greatest(*[F.col(f"{c}_max") for c in INTENSITY_COLS])
+    out = st._one_row_join(r.select("song_id", "year_n", *xs, mx.alias("_mx")), bounds)
+    return r6(out.select("song_id", F.col("year_n").cast("int").alias("year"),
+                         F.concat(bucket(F.col("year_n"), 10).cast("string"), F.lit("s")).alias("decada"),
+                         (F.col("_mx") * 3).alias("tamano"), *xs, *[f"{c}_lo" for c in xs], *[f"{c}_hi" for c in xs])
+              .orderBy("year", "song_id"))

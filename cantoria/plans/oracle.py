@@ -472,3 +472,102 @@ SELECT (SELECT count(*) FROM reviews_union WHERE origen = 'Regex') AS regex_in,
        CAST(CASE WHEN least(5, c_min - 1) > 0 THEN k * c_max ELSE tot END AS BIGINT) AS smote_out,
        CAST(CASE WHEN least(5, c_min - 1) > 0 THEN k * c_max ELSE tot END - tot AS BIGINT) AS sinteticos_creados
 FROM bal""")
+
+
+# ------------------------------------------------------------------------------------------------- batch 4
+def _bucket(t: str) -> str:
+    return f"(('0x' || substr(md5({t}), 1, 8))::BIGINT % 64)"
+
+
+sql("encode_units", _V + f"""SELECT song_id, verso_idx, CAST(b AS INTEGER) AS bucket, CAST(count(*) AS INTEGER) AS n FROM (
+  SELECT song_id, verso_idx, {_bucket('t')} AS b FROM (SELECT song_id, verso_idx, unnest({k.runs('verso_texto')}) AS t FROM verses))
+GROUP BY ALL""")
+
+sql("l2_normalize", """SELECT vec_id, round(nrm, 6) AS norma, round(e[1] / nrm, 6) AS x0, round(list_sum(e) / nrm, 6) AS suma_unitaria
+FROM (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS nrm
+      FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings))""")
+
+
+def _sparse_unit(src: str, keys: str, text: str) -> str:
+    """Hash-encoded unit vectors in sparse long form (keys, b, u)."""
+    return f"""SELECT {keys}, b, c / sqrt(sum(c * c) OVER (PARTITION BY {keys})) AS u FROM (
+  SELECT {keys}, b, count(*) AS c FROM (SELECT {keys}, {_bucket('t')} AS b FROM
+    (SELECT {keys}, unnest({k.runs(text)}) AS t FROM {src})) GROUP BY ALL)"""
+
+
+CENT_CTES = [f"gu AS ({_sparse_unit('gold', 'verso_texto', 'verso_texto')})",
+             """anc AS (SELECT verso_texto, substr(dim, 5) AS dim, peso FROM (UNPIVOT gold ON {v} INTO NAME dim VALUE peso)
+  WHERE peso > 0)""".format(v=_VALS),
+             """cent0 AS (SELECT a.dim, g.b AS pos, sum(a.peso * g.u) / max(t.tw) AS m FROM anc a JOIN gu g USING (verso_texto)
+  JOIN (SELECT dim, sum(peso) AS tw FROM anc GROUP BY dim) t USING (dim) GROUP BY a.dim, g.b)""",
+             """cent AS (SELECT dim, pos, m / sqrt(sum(m * m) OVER (PARTITION BY dim)) AS v FROM cent0)"""]
+_CENT = _R.rstrip() + ",\n" + ",\n".join(CENT_CTES) + "\n"
+sql("weighted_centroid", _CENT + "SELECT dim, CAST(pos AS INTEGER) AS pos, round(v, 6) AS valor FROM cent WHERE v <> 0")
+
+_TOPK = k.with_(*REVIEW_CTES, DEDUP_CTE, MARKED_CTE, POOL_CTE, PMR_CTE, *CENT_CTES) + f"""
+, pu AS ({_sparse_unit('pmr', 'song_id, verso_idx', 'verso_texto')})
+, sims AS (SELECT d.dim, p.song_id, p.verso_idx, round(coalesce(s.sim, 0.0), 9) AS sim
+           FROM (SELECT DISTINCT dim FROM cent) d CROSS JOIN (SELECT song_id, verso_idx FROM pmr) p
+           LEFT JOIN (SELECT c.dim, u.song_id, u.verso_idx, sum(u.u * c.v) AS sim FROM pu u JOIN cent c ON u.b = c.pos
+                      GROUP BY ALL) s ON s.dim = d.dim AND s.song_id = p.song_id AND s.verso_idx = p.verso_idx)
+, topk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY sim DESC, song_id, verso_idx) AS rank
+           FROM sims) WHERE rank <= 1000)
+"""
+sql("similarity_topk", _TOPK + "SELECT dim, song_id, verso_idx, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS similitud_coseno FROM topk")
+sql("similarity_band", _TOPK + """SELECT dim, song_id, verso_idx, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS similitud_coseno
+FROM topk WHERE sim BETWEEN 0.6 AND 0.9""")
+sql("score_distribution", _TOPK + """SELECT dim, count(*) AS n, round(quantile_cont(sim, 0.25), 6) AS q1,
+  round(quantile_cont(sim, 0.5), 6) AS mediana, round(quantile_cont(sim, 0.75), 6) AS q3 FROM topk GROUP BY dim""")
+
+sql("vector_cache", _V + """, lv AS (SELECT DISTINCT md5(verso_texto || '|hash64') AS clave FROM verses v JOIN labels l ON v.song_id = l.doc_id)
+SELECT DISTINCT md5(verso_texto || '|hash64') AS clave,
+  md5(verso_texto || '|hash64') IN (SELECT clave FROM lv) AS desde_cache FROM verses""")
+
+_CT = f"""ct AS (SELECT song_id, unnest(list_filter({k.word_tokens('lyrics')}, lambda t: t NOT IN ({k.in_list(STOPWORDS_ES)}))) AS term
+  FROM songs)"""
+sql("tfidf", k.with_(k.SONGS_CTE, _CT) + """
+, tf AS (SELECT song_id, term, count(*) AS tf FROM ct GROUP BY ALL)
+, vocab AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tf GROUP BY term ORDER BY cf DESC, term LIMIT 5000)
+, nd AS (SELECT count(DISTINCT song_id) AS n FROM ct)
+, w AS (SELECT tf.song_id, tf.term, tf.tf * (ln((1.0 + nd.n) / (1.0 + vocab.df)) + 1) AS w FROM tf JOIN vocab USING (term), nd)
+SELECT song_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY song_id)), 6) AS weight FROM w""")
+
+sql("stratified_split", _R + f"""SELECT verso_texto, estrato, CASE WHEN n > 1 AND r <= ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split
+FROM (SELECT verso_texto, estrato, count(*) OVER (PARTITION BY estrato) AS n,
+             row_number() OVER (PARTITION BY estrato ORDER BY md5(verso_texto || '|42'), verso_texto) AS r
+      FROM (SELECT *, concat_ws('_', {_VALS}) AS estrato FROM gold))""")
+
+_GL = _R.rstrip() + f""",
+gl AS (SELECT verso_texto, substr(dim, 5) AS dim, label FROM (UNPIVOT gold ON {_VALS} INTO NAME dim VALUE label))
+"""
+sql("balanced_weights", _GL + """, c AS (SELECT dim, label, count(*) AS n_c FROM gl GROUP BY ALL)
+SELECT c.dim, c.label, round(t.n / (t.k * c.n_c), 6) AS peso FROM c JOIN (SELECT dim, sum(n_c) AS n, count(*) AS k FROM c GROUP BY dim) t
+USING (dim)""")
+sql("label_index", _GL + """SELECT dim, label, CAST(row_number() OVER (PARTITION BY dim ORDER BY label) - 1 AS INTEGER) AS indice
+FROM (SELECT DISTINCT dim, label FROM gl)""")
+
+_NG2 = k.in_list({_strip_accents_py(w) for w in STOPWORDS_ES})
+sql("class_tfidf", _R + f"""
+, tg AS (SELECT {_DOM} AS topic, list_filter({k.runs('strip_accents(lower(verso_texto))')}, lambda t: t NOT IN ({_NG2})) AS tk
+         FROM gold WHERE greatest({_VALS}) > 0)
+, grams AS (SELECT topic, unnest(list_concat(tk, list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1]))) AS ngram FROM tg)
+, tf AS (SELECT topic, ngram, count(*) AS tf FROM grams GROUP BY ALL)
+, f AS (SELECT ngram, sum(tf) AS f FROM tf GROUP BY ngram)
+, a AS (SELECT avg(wt) AS A FROM (SELECT topic, sum(tf) AS wt FROM tf GROUP BY topic))
+, sc AS (SELECT tf.topic, tf.ngram, tf.tf * ln(1 + a.A / f.f) AS score FROM tf JOIN f USING (ngram), a)
+SELECT topic, ngram, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, ngram) AS rank FROM sc) WHERE rank <= 10""")
+
+sql("topics_over_time", _R + f"""SELECT topic, bin, count(*) AS n FROM (
+  SELECT {_DOM} AS topic, CAST(least(floor(({k.year_num()} - 1980) / 2.25) + 1, 20) AS INTEGER) AS bin FROM gold
+  WHERE {k.year_num()} BETWEEN 1980 AND 2025 AND greatest({_VALS}) > 0) GROUP BY ALL""")
+
+_XS = ["intensidad_AR_avg", "intensidad_MO_avg", "intensidad_DI_avg"]
+sql("projection_frame", _SR + f"""
+, pf AS (SELECT *, {k.year_num()} AS yn FROM song_rollup WHERE {k.year_num()} > 1900 AND total_estrofas IS NOT NULL)
+, bd AS (SELECT {", ".join(f"min({c}) - 1 AS {c}_lo, max({c}) + 1 AS {c}_hi" for c in _XS)} FROM pf)
+SELECT song_id, CAST(yn AS INTEGER) AS year, CAST({k.bucket('yn', 10)} AS VARCHAR) || 's' AS decada,
+  greatest({", ".join(f"{c}_max" for c in INTENSITY_COLS)}) * 3 AS tamano,
+  {", ".join(f"round({c}, 6) AS {c}" for c in _XS)},
+  {", ".join(f"round({c}_lo, 6) AS {c}_lo, round({c}_hi, 6) AS {c}_hi" for c in _XS)}
+FROM pf, bd""")
