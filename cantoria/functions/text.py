@@ -26,9 +26,14 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# The characters Python's str.isspace() accepts, built by rule (so ``py_strip`` is exactly str.strip()).
+PY_WS_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
+
 def py_strip(col) -> Column:
-    """Python ``str.strip()``."""
-    return F.regexp_replace(_c(col), STRIP_RE, "")
+    """Python ``str.strip()``: Spark's trim with an explicit character set (touches only the two ends, unlike a
+    regex that would scan the whole text)."""
+    return F.trim(_c(col), F.lit(PY_WS_CHARS))
 
 
 def collapse_ws(col, lower: bool = True) -> Column:
@@ -46,16 +51,42 @@ def _nfkc_one(t):
     return t
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc_udf(s: pd.Series) -> pd.Series:
-    return s.map(_nfkc_one)
+def _nfkc_arrow(arr):
+    """NFKC over an Arrow string batch. ASCII strings are NFKC-stable, so only the non-ASCII ones (found with
+    a vectorised test) are converted to Python and normalised; the batch is rebuilt only if one changed."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    arr = pc.fill_null(arr, "")
+    non_ascii = pc.indices_nonzero(pc.invert(pc.string_is_ascii(arr))).to_pylist()
+    if not non_ascii:
+        return arr
+    changed = {}
+    for i, v in zip(non_ascii, arr.take(non_ascii).to_pylist()):
+        nv = _nfkc_one(v)
+        if nv != v:
+            changed[i] = nv
+    if not changed:
+        return arr
+    out = arr.to_pylist()
+    for i, nv in changed.items():
+        out[i] = nv
+    return pa.array(out, type=pa.string())
+
+
+if hasattr(F, "arrow_udf"):
+    # Arrow-native: the batch stays an Arrow string array end to end (no pandas objects).
+    _nfkc_udf = F.arrow_udf(T.StringType())(_nfkc_arrow)
+else:  # pragma: no cover - older Spark
+    @F.pandas_udf(T.StringType())
+    def _nfkc_udf(s: pd.Series) -> pd.Series:
+        return s.map(_nfkc_one)
 
 
 def normalize_text(col) -> Column:
-    """Drop unencodable characters, NFKC, strip; null -> ''.
+    """NFKC, strip; null -> ''. (Spark strings are valid UTF-8, so there is nothing unencodable to drop.)
 
-    NFKC has no SQL built-in, so it runs as an Arrow-batched pandas UDF (the only Python step of the text path).
-    """
+    NFKC has no SQL built-in, so it runs as an Arrow UDF over whole batches (pyarrow's utf8_normalize) — the
+    only Python step of the text path."""
     return py_strip(_nfkc_udf(_c(col)))
 
 

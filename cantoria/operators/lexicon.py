@@ -51,9 +51,11 @@ def score_units(units: DataFrame, lexicon: dict[str, list[str]], text_col: str =
     """
     n_terms = sum(len(set(v)) for v in lexicon.values())
     if n_terms <= INLINE_MAX_TERMS:
-        tok = tokens(text_col, mode)
-        return units.select("*", *[F.least(dim_hits(tok, _terms(lexicon, d)), F.lit(cap)).alias(f"intensidad_{d}")
-                                   for d in DIMS])
+        # tokens bound once as a column, then counted per dimension
+        tok = F.col("_tok")
+        return (units.withColumn("_tok", tokens(text_col, mode))
+                .select(*units.columns, *[F.least(dim_hits(tok, _terms(lexicon, d)), F.lit(cap)).alias(f"intensidad_{d}")
+                                          for d in DIMS]))
     if n_terms > BROADCAST_MAX_TERMS:
         raise ValueError(f"lexicon of {n_terms} terms exceeds the broadcast bound")
     if not id_cols:
@@ -69,13 +71,18 @@ def score_units(units: DataFrame, lexicon: dict[str, list[str]], text_col: str =
 
 def score_array(units: Column, lexicon: dict[str, list[str]], text_field: str, cap: int = 3,
                 mode: str = "runs") -> Column:
-    """E8 inside the document row: array<struct<..., text>> -> same structs plus the six intensities."""
+    """E8 inside the document row: array<struct<..., text>> -> same structs plus the six intensities.
+    Two passes over the array: the first binds each unit's tokens once, the second counts the hits of each
+    dimension against that bound token array (so a unit is tokenised once, not once per dimension)."""
+    fields = _struct_fields(units, text_field)
+    with_tok = F.transform(units, lambda u: F.struct(*[u[f].alias(f) for f in fields],
+                                                     tokens(u[text_field], mode).alias("_tok")))
+
     def one(u):
-        tok = tokens(u[text_field], mode)
-        fields = [u[f].alias(f) for f in _struct_fields(units, text_field)]
-        return F.struct(*fields, *[F.least(dim_hits(tok, _terms(lexicon, d)), F.lit(cap)).alias(f"intensidad_{d}")
-                                   for d in DIMS])
-    return F.transform(units, one)
+        return F.struct(*[u[f].alias(f) for f in fields],
+                        *[F.least(dim_hits(u["_tok"], _terms(lexicon, d)), F.lit(cap)).alias(f"intensidad_{d}")
+                          for d in DIMS])
+    return F.transform(with_tok, one)
 
 
 def _struct_fields(units: Column, text_field: str) -> list[str]:

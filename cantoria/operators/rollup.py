@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cantoria.fixed import DENSITY_FILTER, DENSITY_USEFUL, DIMS, INTENSITY_COLS, LABEL_COLS
 from cantoria.functions.scores import density_category, density_zone, is_active
-from cantoria.functions.text import bucket, normalize_text, year_num
+from cantoria.functions.text import PY_WS, bucket, normalize_text, year_num
 from cantoria.operators.lexicon import score_array
 from cantoria.operators.units import dense_verse_array, stanza_array, verse_array
 
@@ -74,8 +74,11 @@ def rollup_columns(units: Column | None = None, total_name: str = "total_estrofa
 
 def stanza_rollup_inline(songs: DataFrame, lexicon: dict[str, list[str]], normalize: bool = True) -> DataFrame:
     """One row per song that has stanzas (song_id + rollup), without any shuffle."""
-    scored = with_scored_units(songs, lexicon, "stanza", normalize)
-    return scored.where(F.size("_units") > 0).select("song_id", *rollup_columns())
+    # A song has a stanza iff its text has a non-whitespace character: filtering on that (cheap) predicate
+    # first keeps the optimizer from re-evaluating the scored units inside a pushed-down filter.
+    has_text = F.col("lyrics").rlike("[^" + PY_WS[1:-1] + "]")
+    scored = with_scored_units(songs.where(has_text), lexicon, "stanza", normalize)
+    return scored.select("song_id", *rollup_columns())
 
 
 def rollup_back_to_songs(songs: DataFrame, lexicon: dict[str, list[str]], normalize: bool = True) -> DataFrame:
@@ -122,19 +125,21 @@ def song_density(units: DataFrame, keys: tuple[str, ...] = ("artist", "song"), t
 def song_density_inline(songs: DataFrame, lexicon: dict[str, list[str]], unit: str = "verse",
                         keys: tuple[str, ...] = ("artist", "song")) -> DataFrame:
     """A6 with in-row pre-aggregation: each song row is reduced to (count, active, maxes) first, then only one
-    row per song is shuffled to combine songs sharing a key."""
+    row per song is shuffled to combine songs sharing a key. Songs without units drop out in the aggregate
+    (their count is 0 and they never provide the first year), not in a filter over the scored array."""
     keys = list(keys)
     scored = with_scored_units(_keys_not_null(songs, keys), lexicon, unit)
-    per_song = scored.where(F.size("_units") > 0).select(
-        *keys, "song_id", "year",
-        F.size("_units").cast("bigint").alias("_n"), _active_count(F.col("_units")).alias("_a"),
-        *[F.array_max(_dim_values(F.col("_units"), c)).alias(c) for c in INTENSITY_COLS])
-    return (per_song.groupBy(*keys).agg(
-        _first_nonnull("year", F.col("song_id")).alias("year"),
+    u = F.col("_units")
+    per_song = scored.select(
+        *keys, "song_id", "year", F.size(u).cast("bigint").alias("_n"), _active_count(u).alias("_a"),
+        *[F.array_max(_dim_values(u, c)).alias(c) for c in INTENSITY_COLS])
+    agg = per_song.groupBy(*keys).agg(
+        F.min_by(F.col("year"), F.when((F.col("_n") > 0) & F.col("year").isNotNull(), F.col("song_id"))).alias("year"),
         F.sum("_n").alias("total_versos"),
         F.sum("_a").alias("versos_activos"),
         *[F.max(c).alias(c) for c in INTENSITY_COLS])
-        .withColumn("densidad_agenciamiento", F.col("versos_activos") / F.col("total_versos")))
+    return (agg.where(F.col("total_versos") > 0)
+            .withColumn("densidad_agenciamiento", F.col("versos_activos") / F.col("total_versos")))
 
 
 def song_condense(units: DataFrame, keys: tuple[str, ...] = ("artist", "song"), text_col: str = "verso_texto",

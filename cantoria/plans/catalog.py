@@ -20,6 +20,7 @@ from cantoria.operators import rollup as ru
 from cantoria.operators import units as un
 from cantoria.sources.tables import songs as load_songs
 from cantoria.sources.tables import table
+from cantoria.session import cut_lineage
 
 LEX = STANDIN_LEXICON
 QUERIES: dict = {}
@@ -42,8 +43,11 @@ def scored_verses(spark, sf) -> DataFrame:
 
 
 def song_rollup(spark, sf) -> DataFrame:
-    """J4 + A7: every song with its stanza rollup (nulls when it has no stanza)."""
-    return ru.rollup_back_to_songs(load_songs(spark, sf), LEX)
+    """J4 + A7: every song with its stanza rollup (nulls when it has no stanza).
+
+    The rollup is a stage table (one small row per song, no text): it is checkpointed into the shared folder,
+    so the statistics built on it read it once instead of re-deriving stanzas in every plan branch."""
+    return cut_lineage(ru.rollup_back_to_songs(load_songs(spark, sf), LEX))
 
 
 # ---------------------------------------------------------------------------------------------------- sources
@@ -217,8 +221,8 @@ def coerce_labels(spark, sf):
 
 
 def gold(spark, sf) -> DataFrame:
-    """A3 over the derived review union: one row per verse text."""
-    return ru.label_max_pool(reviews_union(spark, sf))
+    """A3 over the derived review union: one row per verse text (a review-sized stage table, checkpointed)."""
+    return cut_lineage(ru.label_max_pool(reviews_union(spark, sf)))
 
 
 @register("dominant_dimension")
@@ -910,3 +914,25 @@ def projection_frame(spark, sf):
                          F.concat(bucket(F.col("year_n"), 10).cast("string"), F.lit("s")).alias("decada"),
                          (F.col("_mx") * 3).alias("tamano"), *xs, *[f"{c}_lo" for c in xs], *[f"{c}_hi" for c in xs])
               .orderBy("year", "song_id"))
+
+
+# ---------------------------------------------------------------------------------------------------- streaming
+from cantoria.streaming import ingest as stream  # noqa: E402
+
+
+@register("incremental_ingest")
+def incremental_ingest(spark, sf):
+    """The documents file streamed through ingest (length >= 150, fingerprint dedupe against the target)."""
+    target, q = stream.ingest_stream(spark, sf, glob="documents.parquet")
+    stream.run_to_completion(q)
+    return spark.read.parquet(target).select("song_id", "artist", "song", "year", "huella")
+
+
+@register("incremental_rollup")
+def incremental_rollup(spark, sf):
+    """R2: per-year counters maintained by a streaming aggregation; mean density = sum / songs with stanzas."""
+    target, q = stream.rollup_stream(spark, sf, glob="documents.parquet")
+    stream.run_to_completion(q)
+    r = spark.read.parquet(target)
+    return r6(r.select("year", "canciones", "estrofas", "activas",
+                       (F.col("suma_densidad") / F.col("con_estrofas")).alias("densidad_media")))

@@ -571,3 +571,13 @@ SELECT song_id, CAST(yn AS INTEGER) AS year, CAST({k.bucket('yn', 10)} AS VARCHA
   {", ".join(f"round({c}, 6) AS {c}" for c in _XS)},
   {", ".join(f"round({c}_lo, 6) AS {c}_lo, round({c}_hi, 6) AS {c}_hi" for c in _XS)}
 FROM pf, bd""")
+
+
+# ------------------------------------------------------------------------------------------------- streaming
+sql("incremental_ingest", k.with_(k.SONGS_CTE) + f"""SELECT song_id, artist, song, year, huella FROM (
+  SELECT *, {_FP} AS huella, row_number() OVER (PARTITION BY {_FP} ORDER BY song_id) AS rn FROM songs
+  WHERE length(lyrics) >= 150) WHERE rn = 1""")
+
+sql("incremental_rollup", _SR + """SELECT year, count(*) AS canciones, CAST(sum(total_estrofas) AS BIGINT) AS estrofas,
+  CAST(sum(estrofas_activas) AS BIGINT) AS activas, round(sum(densidad_semantica_v2) / count(densidad_semantica_v2), 6)
+  AS densidad_media FROM song_rollup GROUP BY year""")
