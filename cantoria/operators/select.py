@@ -21,17 +21,23 @@ def hash_key(*cols, seed: int = SEED) -> Column:
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
-def dedupe(df: DataFrame, key, order: list[str]) -> DataFrame:
-    """Keep the first row (smallest ``order``) per key.
-
-    Aggregation form (``min_by`` of the whole row): partial aggregation keeps one candidate per key per task, so
-    a key holding a third of all rows is reduced map-side instead of landing whole in one window partition."""
+def dedupe(df: DataFrame, key, order: list[str], last: bool = False) -> DataFrame:
+    """Keep the first row (smallest ``order``; ``last``: largest) per key; null keys form no group.
+
+    Two steps, so full rows (with their text) are never sorted or held in aggregation buffers:
+    1. winners = (key, min(order)) — a small hash aggregate, combined map-side, so a key holding a third of all
+       rows is reduced to one row per task before the shuffle;
+    2. the rows are joined to the winners with a shuffled hash join (the winners are the build side; the
+       corpus is streamed, not sorted; AQE splits a skewed key on the streamed side).
+    ``order`` must identify a row within its key (e.g. a document id)."""
     kcol = F.col(key) if isinstance(key, str) else key
-    cols = df.columns
-    packed = df.select(kcol.alias("_k"), F.struct(*[F.col(c) for c in order]).alias("_o"),
-                       F.struct(*[F.col(c) for c in cols]).alias("_row"))
-    first = packed.groupBy("_k").agg(F.min_by("_row", "_o").alias("_row"))
-    return first.select("_row.*")
+    keyed = df.withColumn("_k", kcol)
+    ordc = F.struct(*[F.col(c) for c in order]) if len(order) > 1 else F.col(order[0])
+    pick = F.max if last else F.min
+    winners = (keyed.where(F.col("_k").isNotNull()).groupBy("_k").agg(pick(ordc).alias("_o"))
+               .select("_k", *([F.col(f"_o.{c}").alias(c) for c in order] if len(order) > 1
+                               else [F.col("_o").alias(order[0])])))
+    return keyed.join(winners.hint("shuffle_hash"), ["_k", *order], "left_semi").drop("_k")
 
 
 def neighbour_context(df: DataFrame, keys=("artist", "song"), order=("song_id", "verso_idx"),

@@ -76,12 +76,13 @@ def to_stanzas(songs: DataFrame, text_col: str = "lyrics", keys: list[str] = SON
 
 def _first_lyrics_per_key(songs: DataFrame, keys: list[str], last: bool = False) -> DataFrame:
     """One lyric per key (first or last in source order); null keys never match, as in an equi-join."""
-    pick = F.max_by if last else F.min_by
+    from cantoria.operators.select import dedupe
     cond = None
     for k in keys:
         cond = F.col(k).isNotNull() if cond is None else cond & F.col(k).isNotNull()
-    return (songs.where(cond).groupBy(*keys)
-            .agg(pick(F.col("lyrics"), F.col("song_id")).alias("_lyrics")))
+    key = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys]) if len(keys) > 1 else F.col(keys[0])
+    picked = dedupe(songs.where(cond).select(*keys, "song_id", "lyrics"), key, ["song_id"], last=last)
+    return picked.select(*keys, F.col("lyrics").alias("_lyrics"))
 
 
 def verse_to_stanza(verses: DataFrame, songs: DataFrame, verse_col: str = "verso_texto",

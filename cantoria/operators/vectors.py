@@ -131,10 +131,10 @@ def similarity_topk(pool: DataFrame, attractors: DataFrame, vec: str, key_cols:
                     attractor_cols: list[str], k: int = TOPK_MAX) -> DataFrame:
     """Inner product of unit vectors; per attractor the min(k, N) best pool rows (rank 1 = most similar;
     ties by the pool key). ``attractors`` must be small: its size is checked, then it travels as one literal."""
-    n_att = attractors.count()
-    if n_att > MAX_ATTRACTORS:
-        raise ValueError(f"{n_att} attractors exceed the literal bound {MAX_ATTRACTORS}; use LSH (knn_lsh)")
-    att = attractors.select(*attractor_cols, "centroide").orderBy(*attractor_cols).collect()
+    # one bounded read: at most MAX_ATTRACTORS + 1 rows ever reach the driver
+    att = attractors.select(*attractor_cols, "centroide").orderBy(*attractor_cols).limit(MAX_ATTRACTORS + 1).collect()
+    if len(att) > MAX_ATTRACTORS:
+        raise ValueError(f"more than {MAX_ATTRACTORS} attractors exceed the literal bound; use LSH (knn_lsh)")
     ids = [tuple(r[c] for c in attractor_cols) for r in att]
     lit_vecs = F.array(*[F.array(*[F.lit(float(x)) for x in r["centroide"]]) for r in att])
     scored = pool.select(*key_cols, F.col(vec).alias("_v"))

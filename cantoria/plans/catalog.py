@@ -389,8 +389,8 @@ def neighbour_context(spark, sf):
 
 
 def first_lyrics(spark, sf):
-    return (load_songs(spark, sf).groupBy("artist", "song")
-            .agg(F.min_by("lyrics", "song_id").alias("lyrics")))
+    s = load_songs(spark, sf).select("artist", "song", "song_id", "lyrics")
+    return sel.dedupe(s, F.concat_ws("\u0001", "artist", "song"), ["song_id"]).drop("song_id")
 
 
 @register("attach_lyrics_left")
@@ -409,7 +409,8 @@ def attach_lyrics_inner(spark, sf):
 
 @register("lookup_last_wins")
 def lookup_last_wins(spark, sf):
-    lk = load_songs(spark, sf).groupBy("song").agg(F.max_by("lyrics", "song_id").alias("_l"))
+    lk = sel.dedupe(load_songs(spark, sf).select("song", "song_id", F.col("lyrics").alias("_l")), "song", ["song_id"],
+                    last=True).drop("song_id")
     r = reviews_union(spark, sf).join(lk, "song", "left")
     return r.select("song_id", "verso_idx", "song", F.length(F.coalesce("_l", F.lit(""))).alias("lyrics_len"))
 

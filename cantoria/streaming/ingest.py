@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from cantoria.fixed import MIN_LYRIC_CHARS, STANDIN_LEXICON
 from cantoria.functions.text import fingerprint
 from cantoria.operators.rollup import rollup_columns, with_scored_units
+from cantoria.operators.select import dedupe
 from cantoria.session import ensure_checkpoint_dir
 from cantoria.sources.tables import songs_from_documents
 
@@ -51,8 +52,7 @@ def _ingest_batch(target: str, min_chars: int):
         spark = batch.sparkSession
         songs = (songs_from_documents(batch).where(F.length("lyrics") >= min_chars)
                  .withColumn("huella", fingerprint("artist", "song")))
-        first = (songs.groupBy("huella").agg(F.min_by(F.struct(*songs.columns), F.col("song_id")).alias("r"))
-                 .select("r.*"))
+        first = dedupe(songs, "huella", ["song_id"])
         try:
             seen = spark.read.parquet(target).where(F.col("lote") != batch_id).select("huella")
             first = first.join(seen, "huella", "left_anti")
