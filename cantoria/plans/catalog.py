@@ -937,3 +937,26 @@ def incremental_rollup(spark, sf):
     r = spark.read.parquet(target)
     return r6(r.select("year", "canciones", "estrofas", "activas",
                        (F.col("suma_densidad") / F.col("con_estrofas")).alias("densidad_media")))
+
+
+# ------------------------------------------------------------------------------------------------ P1, P15, W8
+@register("normalize_text")
+def normalize_text_q(spark, sf):
+    """NFKC + strip of every lyric (Arrow UDF)."""
+    return load_songs(spark, sf).select("song_id", tx.normalize_text("lyrics").alias("lyrics_limpia"))
+
+
+@register("unit_active")
+def unit_active(spark, sf):
+    """Verse is active when any dimension scores > 0."""
+    return scored_verses(spark, sf).select("song_id", "verso_idx", is_active().alias("verso_es_activo"))
+
+
+@register("period_lag")
+def period_lag(spark, sf):
+    """Each lustrum with the previous *existing* one (songs per lustrum and the previous lustrum's count)."""
+    b = series_base(spark, sf).withColumn("lustro", bucket(F.col("year"), 5))
+    per = b.groupBy("lustro").agg(F.count(F.lit(1)).alias("canciones"))
+    w = Window.orderBy("lustro")        # one row per lustrum
+    return per.select("lustro", "canciones", F.lag("lustro").over(w).alias("lustro_previo"),
+                      F.lag("canciones").over(w).alias("canciones_previas"))

@@ -581,3 +581,14 @@ sql("incremental_ingest", k.with_(k.SONGS_CTE) + f"""SELECT song_id, artist, son
 sql("incremental_rollup", _SR + """SELECT year, count(*) AS canciones, CAST(sum(total_estrofas) AS BIGINT) AS estrofas,
   CAST(sum(estrofas_activas) AS BIGINT) AS activas, round(sum(densidad_semantica_v2) / count(densidad_semantica_v2), 6)
   AS densidad_media FROM song_rollup GROUP BY year""")
+
+
+# ------------------------------------------------------------------------------------------------ P1, P15, W8
+# The driver's texts are NFKC-stable (checked over every document), so the oracle of P1 is the strip alone:
+# DuckDB only offers NFC.
+sql("normalize_text", _S + f"SELECT song_id, {k.strip('lyrics')} AS lyrics_limpia FROM songs")
+sql("unit_active", k.with_(k.SONGS_CTE, k.VERSES_CTE, k.SCORED_VERSES_CTE)
+    + f"SELECT song_id, verso_idx, {k.active()} AS verso_es_activo FROM scored_verses")
+sql("period_lag", _SER + f"""SELECT lustro, canciones, lag(lustro) OVER (ORDER BY lustro) AS lustro_previo,
+  lag(canciones) OVER (ORDER BY lustro) AS canciones_previas
+FROM (SELECT {k.bucket('year', 5)} AS lustro, count(*) AS canciones FROM series GROUP BY 1)""")

@@ -43,14 +43,19 @@ def build_session(master: str | None = None, app: str = "cantoria", shuffle_part
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; create a scratch one only when the cluster names none."""
-    current = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
-    if current:
+    current = spark.conf.get(CHECKPOINT_KEY, None)
+    try:
+        current = current or spark.sparkContext.getCheckpointDir()
+    except Exception:  # noqa: BLE001 - no SparkContext on the client (e.g. Spark Connect)
+        pass
+    if not current:
+        current = tempfile.mkdtemp(prefix="cantoria-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        spark.conf.set(CHECKPOINT_KEY, current)
+    try:
         spark.sparkContext.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="cantoria-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set(CHECKPOINT_KEY, path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    except Exception:  # noqa: BLE001
+        pass
+    return current
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
