@@ -21,23 +21,31 @@ def hash_key(*cols, seed: int = SEED) -> Column:
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
-def dedupe(df: DataFrame, key, order: list[str], last: bool = False) -> DataFrame:
+def dedupe(df: DataFrame, key, order: list[str], last: bool = False, method: str = "join") -> DataFrame:
     """Keep the first row (smallest ``order``; ``last``: largest) per key; null keys form no group.
+    ``order`` must identify a row within its key (e.g. a document id).
 
-    Two steps, so full rows (with their text) are never sorted or held in aggregation buffers:
+    ``join`` (for table scans): full rows (with their text) are never sorted or held in aggregation buffers.
     1. winners = (key, min(order)) — a small hash aggregate, combined map-side, so a key holding a third of all
        rows is reduced to one row per task before the shuffle;
-    2. the rows are joined to the winners with a shuffled hash join (the winners are the build side; the
-       corpus is streamed, not sorted; AQE splits a skewed key on the streamed side).
-    ``order`` must identify a row within its key (e.g. a document id)."""
+    2. rows are semi-joined to the winners on the key alone (the winners are already partitioned by it) with a
+       shuffled hash join — winners are the build side, the corpus is streamed, never sorted, and AQE can split
+       a skewed key on the streamed side. The order match is a residual join condition.
+    The input is read twice, so use it on scans (the winners branch reads only the key's columns).
+
+    ``window`` (for derived inputs such as exploded units): one pass, ``row_number() = 1`` per key — the
+    upstream is evaluated once and the rows are sorted once on the reduce side."""
     kcol = F.col(key) if isinstance(key, str) else key
-    keyed = df.withColumn("_k", kcol)
-    ordc = F.struct(*[F.col(c) for c in order]) if len(order) > 1 else F.col(order[0])
+    keyed = df.withColumn("_k", kcol).where(F.col("_k").isNotNull())
+    ordc = F.struct(*[F.col(c) for c in order])
+    if method == "window":
+        w = Window.partitionBy("_k").orderBy(*[F.desc(c) if last else F.asc(c) for c in order])
+        return keyed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_k", "_r")
     pick = F.max if last else F.min
-    winners = (keyed.where(F.col("_k").isNotNull()).groupBy("_k").agg(pick(ordc).alias("_o"))
-               .select("_k", *([F.col(f"_o.{c}").alias(c) for c in order] if len(order) > 1
-                               else [F.col("_o").alias(order[0])])))
-    return keyed.join(winners.hint("shuffle_hash"), ["_k", *order], "left_semi").drop("_k")
+    winners = keyed.groupBy(F.col("_k").alias("_wk")).agg(pick(ordc).alias("_o"))
+    # coalesce(...) keeps the order match out of the equi-join keys, so only the key drives partitioning
+    cond = (F.col("_k") == F.col("_wk")) & F.coalesce(ordc == F.col("_o"), F.lit(False))
+    return keyed.join(winners.hint("shuffle_hash"), cond, "left_semi").drop("_k")
 
 
 def neighbour_context(df: DataFrame, keys=("artist", "song"), order=("song_id", "verso_idx"),
@@ -68,7 +76,7 @@ def quota_sample(df: DataFrame, group_col: str, item_col: str, unit_col: str, un
     within their group; stop at ``per_group`` units per group. Two ranked windows, each bounded: per item
     (one song's units) and per group (``WindowGroupLimit`` prunes to ``per_group`` rows per task first)."""
     distinct_units = dedupe(df, F.concat_ws("\u0001", F.col(item_col).cast("string"), F.col(unit_col)),
-                            [item_col, unit_order])
+                            [item_col, unit_order], method="window")
     w_item = Window.partitionBy(item_col).orderBy(unit_order)
     firsts = distinct_units.withColumn("_r", F.row_number().over(w_item)).where(F.col("_r") <= per_item)
     w_grp = Window.partitionBy(group_col).orderBy(hash_key(item_col, seed=seed), F.col(item_col), F.col("_r"))

@@ -372,7 +372,7 @@ def pool(spark, sf) -> DataFrame:
     flagged = m.where((F.col("decada") > 0) & F.col("es_narco_fuerte"))
     v = un.to_verses(flagged, keys=["song_id", "artist", "song", "year", "decada", "conteo_narco"])
     v = v.withColumn("_neg", -F.col("conteo_narco"))
-    return sel.dedupe(v, "verso_texto", ["decada", "_neg", "song_id", "verso_idx"]).drop("_neg")
+    return sel.dedupe(v, "verso_texto", ["decada", "_neg", "song_id", "verso_idx"], method="window").drop("_neg")
 
 
 @register("pool_minus_reviewed")
