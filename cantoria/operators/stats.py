@@ -56,6 +56,26 @@ def cumulative_by_value(df: DataFrame, value: str, weights: list[str], descendin
     return out.select(value, *weights, *[(F.col(f"_in_{w}") + F.col(f"_o_{w}")).alias(f"cum_{w}") for w in weights])
 
 
+def row_index(df: DataFrame, by: str, order: str, n_ranges: int = 64) -> DataFrame:
+    """Dense 0-based index of each row within its group by ``order`` (unique within the group), without a
+    window over a whole group: each group is cut at approximate quantiles of ``order`` (a bounded table of
+    groups x n_ranges split points), rows are numbered inside (group, range) in parallel, and each range is
+    offset by the sizes of the lower ranges of its group (a table of at most groups x n_ranges rows)."""
+    probs = [i / n_ranges for i in range(1, n_ranges)]
+    splits = (df.groupBy(by).agg(F.percentile_approx(order, probs, 10_000).alias("_s"))
+              .select(by, F.array_sort(F.array_distinct("_s")).alias("_s")))
+    keyed = df.join(F.broadcast(splits), by, "left").withColumn(
+        "_rng", F.aggregate(F.coalesce("_s", F.array().cast("array<double>")), F.lit(0),
+                            lambda acc, s: acc + F.when(F.col(order) > s, 1).otherwise(0))).drop("_s")
+    w_in = Window.partitionBy(by, "_rng").orderBy(order)
+    inside = keyed.withColumn("_i", F.row_number().over(w_in) - 1)
+    sizes = keyed.groupBy(by, "_rng").agg(F.count(F.lit(1)).alias("_c"))
+    w_off = Window.partitionBy(by).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)  # <= n_ranges rows
+    offsets = sizes.select(by, "_rng", F.coalesce(F.sum("_c").over(w_off), F.lit(0)).alias("_off"))
+    return (inside.join(F.broadcast(offsets), [by, "_rng"])
+            .withColumn("_idx", (F.col("_i") + F.col("_off")).cast("bigint")).drop("_i", "_off", "_rng"))
+
+
 def _one_row_join(df: DataFrame, one: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row (broadcast equi-join on a constant key)."""
     return (df.withColumn("_one", F.lit(1))
@@ -98,8 +118,7 @@ def entropy_bootstrap(df: DataFrame, by: str, cols: list[str], order: str, reps:
     n_by = df.groupBy(by).agg(F.count(F.lit(1)).alias("canciones")).where(F.col("canciones") >= min_rows)
     base = df.join(n_by, by, "left_semi")
     if method == "multinomial":
-        w = Window.partitionBy(by).orderBy(order)
-        rows = base.select(by, (F.row_number().over(w) - 1).alias("_idx"), *cols)
+        rows = row_index(base.select(by, order, *cols), by, order).select(by, "_idx", *cols)
         draws = (n_by.select(by, "canciones", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
                  .select(by, "canciones", "rep", F.explode(F.sequence(F.lit(0), F.col("canciones") - 1)).alias("_j"))
                  .withColumn("_idx", F.pmod(hash_unit(by, "rep", "_j", seed=seed), F.col("canciones"))))

@@ -130,3 +130,13 @@ def test_classification_report_zero_division(spark):
     rows = {r["clase"]: r for r in st.classification_report(df, "y", "p").collect()}
     assert rows["1"]["precision"] == 0.0 and rows["1"]["f1"] == 0.0
     assert abs(rows["accuracy"]["f1"] - 2 / 3) < 1e-12
+
+
+def test_row_index_dense_per_group(spark):
+    random.seed(11)
+    rows = [(g, i) for g in range(3) for i in random.sample(range(10_000), 500 + 300 * g)]
+    df = spark.createDataFrame(rows, "g int, o long")
+    got = {(r["g"], r["o"]): r["_idx"] for r in st.row_index(df, "g", "o", n_ranges=8).collect()}
+    for g in range(3):
+        ordered = sorted(o for gg, o in rows if gg == g)
+        assert [got[(g, o)] for o in ordered] == list(range(len(ordered)))
