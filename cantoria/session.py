@@ -41,6 +41,35 @@ def build_session(master: str | None = None, app: str = "cantoria", shuffle_part
     return spark
 
 
+SCALE_DEFAULTS = {
+    # read splits and shuffle partitions sized for executor memory; AQE starts wide and coalesces
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "4000",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+    # long texts: keep Arrow batches bounded in bytes, not only in rows
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
+}
+
+
+def apply_scale_defaults(spark: SparkSession, overrides: dict | None = None) -> dict:
+    """Cluster profile for corpus-scale runs: set each of SCALE_DEFAULTS only where the session leaves it
+    unset (a value chosen by the cluster always wins). Returns what was set."""
+    done = {}
+    for k, v in {**SCALE_DEFAULTS, **(overrides or {})}.items():
+        try:
+            current = spark.conf.get(k, None)
+        except Exception:  # noqa: BLE001
+            current = None
+        if current is None:
+            spark.conf.set(k, v)
+            done[k] = v
+    return done
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; create a scratch one only when the cluster names none."""
     current = spark.conf.get(CHECKPOINT_KEY, None)
