@@ -96,9 +96,10 @@ def verse_to_stanza(verses: DataFrame, songs: DataFrame, verse_col: str = "verso
     lyr = _first_lyrics_per_key(songs, list(keys))
     st = stanza_array(F.col("_lyrics"))
     lyr = lyr.select(*keys, st.alias("_st")).select(*keys, "_st", F.transform("_st", lambda x: collapse_ws(x)).alias("_stn"))
-    # the needle is materialised first: a Python UDF (NFKC) cannot run inside a higher-order function
-    joined = (verses.join(lyr, list(keys), "left")
-              .withColumn("_needle", collapse_ws(F.coalesce(normalize_text(verse_col), F.lit("")))))
+    # the needle is computed below the join: a Python UDF (NFKC) cannot run inside a higher-order function, and
+    # an expression referenced from inside the per-stanza lambda would be re-evaluated for every stanza
+    joined = (verses.withColumn("_needle", collapse_ws(F.coalesce(normalize_text(verse_col), F.lit(""))))
+              .join(lyr, list(keys), "left"))
     needle = F.col("_needle")
     idx = F.filter(F.transform("_stn", lambda s, i: F.when(F.contains(s, needle), i)), lambda i: i.isNotNull())
     hit = F.try_element_at(F.col("_st"), F.try_element_at(idx, F.lit(1)) + 1)
@@ -112,18 +113,19 @@ def verse_to_window(verses: DataFrame, songs: DataFrame, verse_col: str = "verso
     otherwise (no match, empty verse or empty lyrics) the verse. Lines are built once per title."""
     lyr = _first_lyrics_per_key(songs, [key], last=True)
     lyr = lyr.select(key, nonblank_lines(normalize_text("_lyrics")).alias("_lines"))
-    joined = (verses.join(lyr, [key], "left")
-              .withColumn("_lines", F.coalesce("_lines", F.array().cast("array<string>")))
-              .withColumn("_verse", normalize_text(verse_col)))
+    joined = (verses.withColumn("_verse", normalize_text(verse_col))
+              .withColumn("_probe", F.lower(F.substring("_verse", 1, prefix_chars)))
+              .join(lyr, [key], "left")
+              .withColumn("_lines", F.coalesce("_lines", F.array().cast("array<string>"))))
     verse = F.col("_verse")
-    probe = F.lower(F.substring(verse, 1, prefix_chars))
+    probe = F.col("_probe")
     found = F.filter(F.transform("_lines", lambda l, i: F.when(F.contains(F.lower(l), probe), i)),
                      lambda i: i.isNotNull())
     pos = F.try_element_at(found, F.lit(1))
     start = F.greatest(pos - radius, F.lit(0))
     window = F.array_join(F.slice("_lines", start + 1, pos + radius + 1 - start), STANZA_JOINER)
     out = F.when((verse == "") | (F.size("_lines") == 0) | pos.isNull(), verse).otherwise(window)
-    return joined.withColumn("texto_entrenamiento", out).drop("_lines", "_verse")
+    return joined.withColumn("texto_entrenamiento", out).drop("_lines", "_verse", "_probe")
 
 
 def ngram_array(tok: Column, n_min: int = 1, n_max: int = 2) -> Column:

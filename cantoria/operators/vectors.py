@@ -78,13 +78,12 @@ def dot(a: Column, b: Column) -> Column:
 
 # --------------------------------------------------------------------------------------------- M6 / M5
 def weighted_centroid(df: DataFrame, by: str, vec: str, weight: str) -> DataFrame:
-    """M6: per group, the weight-weighted mean of the vectors, scaled to unit length. Exploded by position so
-    the sum runs as a distributed aggregation (one partial row per group and position per task)."""
-    el = df.select(by, F.col(weight).cast("double").alias("_w"), F.posexplode(vec).alias("_pos", "_x"))
-    s = el.groupBy(by, "_pos").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_m"))
-    arr = s.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("_pos", "_m"))).alias("_c"))
-    arr = arr.select(by, F.transform("_c", lambda z: z["_m"]).alias("_c"))
-    return arr.select(by, l2_normalize(F.col("_c")).alias("centroide"))
+    """M6: per group, the weight-weighted mean of the vectors, scaled to unit length. The weighted mean is
+    Spark ML's ``Summarizer`` — a JVM vector aggregate with partial aggregation, no per-element explode."""
+    from pyspark.ml.stat import Summarizer
+    m = (df.select(by, array_to_vector(vec).alias("_v"), F.col(weight).cast("double").alias("_w"))
+         .groupBy(by).agg(Summarizer.mean(F.col("_v"), F.col("_w")).alias("_m")))
+    return m.select(by, l2_normalize(vector_to_array("_m")).alias("centroide"))
 
 
 def weighted_attractors(anchors: DataFrame, by: str, vec: str, weight: str, k_max: int = 5,
