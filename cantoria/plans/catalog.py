@@ -960,3 +960,9 @@ def period_lag(spark, sf):
     w = Window.orderBy("lustro")        # one row per lustrum
     return per.select("lustro", "canciones", F.lag("lustro").over(w).alias("lustro_previo"),
                       F.lag("canciones").over(w).alias("canciones_previas"))
+
+
+@register("entropy_bootstrap_poisson")
+def entropy_bootstrap_poisson(spark, sf):
+    """X2 scale variant: Poisson(1) replicate weights from md5(year, song, rep) — no numbering, no join."""
+    return r6(st.entropy_bootstrap(series_base(spark, sf), "year", AVG_COLS, order="song_id", method="poisson"))

@@ -592,3 +592,26 @@ sql("unit_active", k.with_(k.SONGS_CTE, k.VERSES_CTE, k.SCORED_VERSES_CTE)
 sql("period_lag", _SER + f"""SELECT lustro, canciones, lag(lustro) OVER (ORDER BY lustro) AS lustro_previo,
   lag(canciones) OVER (ORDER BY lustro) AS canciones_previas
 FROM (SELECT {k.bucket('year', 5)} AS lustro, count(*) AS canciones FROM series GROUP BY 1)""")
+
+
+def _poisson_case() -> str:
+    import math
+    cdf, acc = [], 0.0
+    for i in range(13):
+        acc += math.exp(-1.0) / math.factorial(i)
+        cdf.append(acc)
+    return "CASE " + " ".join(f"WHEN u < {c!r} THEN {i}" for i, c in enumerate(cdf)) + " ELSE 13 END"
+
+
+sql("entropy_bootstrap_poisson", _SER + f"""
+, nby AS (SELECT year, count(*) AS canciones FROM series GROUP BY year HAVING count(*) >= 3)
+, reps AS (SELECT s.*, rep, ('0x' || substr(md5(CAST(s.year AS VARCHAR) || '|' || CAST(s.song_id AS VARCHAR) || '|'
+                 || CAST(rep AS VARCHAR) || '|42'), 1, 12))::BIGINT / 281474976710656.0 AS u
+           FROM series s JOIN nby USING (year), LATERAL (SELECT unnest(range(0, 100)) AS rep))
+, w AS (SELECT *, {_poisson_case()} AS wt FROM reps)
+, sums AS (SELECT year, rep, {", ".join(f"CAST(sum({c} * wt) AS DOUBLE) AS s{i}" for i, c in enumerate(_AVG))}
+           FROM w GROUP BY year, rep)
+, ent AS (SELECT year, rep, {_entropy_sql([f's{i}' for i in range(6)])} AS h FROM sums)
+SELECT e.year, n.canciones, round(avg(h), 6) AS entropia_media, round(quantile_cont(h, 0.05), 6) AS lim_inferior,
+       round(quantile_cont(h, 0.95), 6) AS lim_superior
+FROM ent e JOIN nby n USING (year) GROUP BY e.year, n.canciones""")
