@@ -79,14 +79,14 @@ def balanced_weights(df: DataFrame, y: str) -> DataFrame:
     tot = cnt.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
     w = cnt.withColumn("_one", F.lit(1)).join(F.broadcast(tot.withColumn("_one", F.lit(1))), "_one")
     w = w.select(y, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("peso"))
-    return df.join(F.broadcast(w), y)
+    return df.join(w, y)
 
 
 def label_index(df: DataFrame, y: str) -> DataFrame:
     """Present classes compressed to 0..k-1 in ascending order (and back by joining the same table)."""
     classes = df.select(y).distinct()
     idx = classes.withColumn("indice", (F.row_number().over(Window.orderBy(y)) - 1).cast("int"))  # <= 4 rows
-    return df.join(F.broadcast(idx), y)
+    return df.join(idx, y)
 
 
 # ------------------------------------------------------------------------------------------------ M10 / M12

@@ -259,10 +259,14 @@ def filter_audit(df: DataFrame, col: str = "densidad_agenciamiento", useful: flo
 
 
 def flow_stats(regex_in: DataFrame, kmeans_in: DataFrame, deduped: DataFrame, balanced: DataFrame) -> DataFrame:
-    """The one-row flow counters; synthetic = after balancing - deduplicated."""
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    s = (one(regex_in, "regex_in").crossJoin(one(kmeans_in, "kmeans_in"))
-         .crossJoin(one(deduped, "deduplicado")).crossJoin(one(balanced, "smote_out")))
+    """The one-row flow counters; synthetic = after balancing - deduplicated. One pass over a tagged union
+    of the four inputs (no join)."""
+    names = ["regex_in", "kmeans_in", "deduplicado", "smote_out"]
+    tagged = None
+    for df, name in zip([regex_in, kmeans_in, deduped, balanced], names):
+        t = df.select(F.lit(name).alias("_t"))
+        tagged = t if tagged is None else tagged.unionByName(t)
+    s = tagged.agg(*[F.count_if(F.col("_t") == n).alias(n) for n in names])
     return s.withColumn("sinteticos_creados", F.col("smote_out") - F.col("deduplicado"))
 
 

@@ -64,7 +64,9 @@ def row_index(df: DataFrame, by: str, order: str, n_ranges: int = 64) -> DataFra
     probs = [i / n_ranges for i in range(1, n_ranges)]
     splits = (df.groupBy(by).agg(F.percentile_approx(order, probs, 10_000).alias("_s"))
               .select(by, F.array_sort(F.array_distinct("_s")).alias("_s")))
-    keyed = df.join(F.broadcast(splits), by, "left").withColumn(
+    # per-group tables: no broadcast hint (the number of groups is not bounded here); AQE broadcasts them at
+    # run time when their measured size is small
+    keyed = df.join(splits, by, "left").withColumn(
         "_rng", F.aggregate(F.coalesce("_s", F.array().cast("array<double>")), F.lit(0),
                             lambda acc, s: acc + F.when(F.col(order) > s, 1).otherwise(0))).drop("_s")
     w_in = Window.partitionBy(by, "_rng").orderBy(order)
@@ -72,7 +74,7 @@ def row_index(df: DataFrame, by: str, order: str, n_ranges: int = 64) -> DataFra
     sizes = keyed.groupBy(by, "_rng").agg(F.count(F.lit(1)).alias("_c"))
     w_off = Window.partitionBy(by).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)  # <= n_ranges rows
     offsets = sizes.select(by, "_rng", F.coalesce(F.sum("_c").over(w_off), F.lit(0)).alias("_off"))
-    return (inside.join(F.broadcast(offsets), [by, "_rng"])
+    return (inside.join(offsets, [by, "_rng"])
             .withColumn("_idx", (F.col("_i") + F.col("_off")).cast("bigint")).drop("_i", "_off", "_rng"))
 
 
@@ -322,7 +324,7 @@ def gaussian_kde(df: DataFrame, by: str, value: str, grid_lo: int, grid_hi: int)
                            F.sum(F.col(value) * F.col(value) * F.col("_c")).alias("_ss"))
     st = st.withColumn("_sd", F.sqrt((F.col("_ss") - F.col("_n") * F.col("_m") ** 2) / (F.col("_n") - 1)))
     st = st.withColumn("_bw", F.col("_sd") * F.pow(F.col("_n"), -0.2)).where(F.col("_bw") > 0)
-    pts = h.join(F.broadcast(st.select(by, "_n", "_bw")), by).select(
+    pts = h.join(st.select(by, "_n", "_bw"), by).select(
         by, value, "_c", "_n", "_bw", F.explode(F.sequence(F.lit(grid_lo), F.lit(grid_hi))).alias("x"))
     contrib = F.col("_c") * F.exp(-((F.col("x") - F.col(value)) ** 2) / (2 * F.col("_bw") ** 2))
     return (pts.groupBy(by, "x").agg(F.sum(contrib).alias("_s"), F.first("_n").alias("_n"), F.first("_bw").alias("_bw"))

@@ -25,6 +25,7 @@ from cantoria.functions.scores import ordinal
 from cantoria.functions.text import tokens
 
 MAX_ATTRACTORS = 4096          # literal-array bound for the query side of J7
+MAX_GROUPS = 64                # M5 runs one small model search per group (dimension)
 HASH_DIM = 64
 
 
@@ -92,7 +93,9 @@ def weighted_attractors(anchors: DataFrame, by: str, vec: str, weight: str, k_ma
     k-means with the weight column for k in 2..min(k_max, n-1), keeping the first k with the best silhouette;
     centres scaled to unit length. One small Spark ML fit per (group, k); anchor sets are review-sized."""
     out = []
-    groups = [r[0] for r in anchors.select(by).distinct().orderBy(by).collect()]
+    groups = [r[0] for r in anchors.select(by).distinct().orderBy(by).limit(MAX_GROUPS + 1).collect()]
+    if len(groups) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} attractor groups: one model search per group is meant for dimensions")
     feats = anchors.select(by, array_to_vector(vec).alias("features"), F.col(weight).cast("double").alias("w"))
     for g in groups:
         part = feats.where(F.col(by) == g).cache()
