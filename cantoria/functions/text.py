@@ -19,6 +19,9 @@ PY_WS = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
 STRIP_RE = rf"\A{PY_WS}+|{PY_WS}+\z"
 WORD_RUN_RE = r"[\p{L}\p{N}_]+"            # a maximal run of Unicode word characters (Python's \w)
 WORD_CLASS_RE = r"[a-záéíóúñü]+"           # P7 token class
+# P7 in one pass: a class run with no word character on either side is exactly a maximal \w run made only of
+# class letters (so 'mère' yields nothing, not 'm' or 're').
+WORD_TOKEN_RE = r"(?<![\p{L}\p{N}_])[a-záéíóúñü]+(?![\p{L}\p{N}_])"
 CODE_TOKEN_RE = r"(?U)\b[a-záéíóúñü0-9-]+\b"  # P8 token rule
 
 
@@ -124,7 +127,7 @@ def tokens(col, mode: str = "word") -> Column:
     """P7 (``mode='word'``): whole tokens of ``[a-záéíóúñü]+``; a token touching a digit or another letter is
     dropped, not cut. P8 (``mode='code'``): the same class plus digits and '-'."""
     if mode == "word":
-        return F.filter(word_runs(col), lambda t: t.rlike(f"^{WORD_CLASS_RE}$"))
+        return F.regexp_extract_all(F.lower(_c(col)), F.lit(WORD_TOKEN_RE), 0)
     if mode == "code":
         return F.regexp_extract_all(F.lower(_c(col)), F.lit(CODE_TOKEN_RE), 0)
     if mode == "runs":

@@ -26,9 +26,11 @@ def tfidf(tokens_df: DataFrame, doc: str, term: str = "term", max_features: int
     tf = tokens_df.groupBy(doc, term).agg(F.count(F.lit(1)).alias("tf"))
     vocab = (tf.groupBy(term).agg(F.sum("tf").alias("_cf"), F.count(F.lit(1)).alias("_df"))
              .orderBy(F.desc("_cf"), F.asc(term)).limit(max_features))
-    n_docs = tokens_df.select(doc).distinct().count()
-    w = tf.join(F.broadcast(vocab), term).withColumn(
-        "_w", F.col("tf") * (F.log((1.0 + n_docs) / (1.0 + F.col("_df"))) + 1.0))
+    # document count as a one-row aggregate of the same plan (the tf exchange is reused, no extra job)
+    n_docs = tf.agg(F.count_distinct(doc).alias("_nd")).withColumn("_one", F.lit(1))
+    w = (tf.join(F.broadcast(vocab), term).withColumn("_one", F.lit(1))      # vocab: <= max_features rows
+         .join(F.broadcast(n_docs), "_one").drop("_one")                      # one row
+         .withColumn("_w", F.col("tf") * (F.log((1.0 + F.col("_nd")) / (1.0 + F.col("_df"))) + 1.0)))
     nrm = w.groupBy(doc).agg(F.sqrt(F.sum(F.col("_w") ** 2)).alias("_n"))
     return w.join(nrm, doc).select(doc, term, (F.col("_w") / F.col("_n")).alias("weight"))
 
