@@ -37,7 +37,8 @@ def dedupe(df: DataFrame, key, order: list[str], last: bool = False, method: str
     upstream is evaluated once and the rows are sorted once on the reduce side."""
     kcol = F.col(key) if isinstance(key, str) else key
     keyed = df.withColumn("_k", kcol).where(F.col("_k").isNotNull())
-    ordc = F.struct(*[F.col(c) for c in order])
+    # a single order column stays a plain (fixed-width) value so the winners aggregate is a hash aggregate
+    ordc = F.struct(*[F.col(c) for c in order]) if len(order) > 1 else F.col(order[0])
     if method == "window":
         w = Window.partitionBy("_k").orderBy(*[F.desc(c) if last else F.asc(c) for c in order])
         return keyed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_k", "_r")
