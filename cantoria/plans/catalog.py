@@ -24,6 +24,19 @@ from cantoria.session import cut_lineage
 
 LEX = STANDIN_LEXICON
 QUERIES: dict = {}
+_STAGES: dict = {}
+
+
+def stage(key: tuple, build) -> DataFrame:
+    """A derived stage table (small: review-sized or one row per song, no text) checkpointed once per query
+    invocation and shared by every branch of that query. ``reset_stages`` runs before each registered query."""
+    if key not in _STAGES:
+        _STAGES[key] = cut_lineage(build())
+    return _STAGES[key]
+
+
+def reset_stages() -> None:
+    _STAGES.clear()
 
 
 def register(name):
@@ -47,7 +60,7 @@ def song_rollup(spark, sf) -> DataFrame:
 
     The rollup is a stage table (one small row per song, no text): it is checkpointed into the shared folder,
     so the statistics built on it read it once instead of re-deriving stanzas in every plan branch."""
-    return cut_lineage(ru.rollup_back_to_songs(load_songs(spark, sf), LEX))
+    return stage(("song_rollup", sf), lambda: ru.rollup_back_to_songs(load_songs(spark, sf), LEX))
 
 
 # ---------------------------------------------------------------------------------------------------- sources
@@ -139,6 +152,11 @@ from cantoria.operators import select as sel  # noqa: E402
 from cantoria.sources.reviews import review_rows, reviews_union  # noqa: E402
 
 
+def reviews(spark, sf) -> DataFrame:
+    """S2 review union as a stage table (review-sized)."""
+    return stage(("reviews", sf), lambda: reviews_union(spark, sf))
+
+
 @register("collapse_ws")
 def collapse_ws_q(spark, sf):
     return un.to_verses(load_songs(spark, sf)).select("song_id", "verso_idx",
@@ -222,7 +240,7 @@ def coerce_labels(spark, sf):
 
 def gold(spark, sf) -> DataFrame:
     """A3 over the derived review union: one row per verse text (a review-sized stage table, checkpointed)."""
-    return cut_lineage(ru.label_max_pool(reviews_union(spark, sf)))
+    return stage(("gold", sf), lambda: ru.label_max_pool(reviews(spark, sf)))
 
 
 @register("dominant_dimension")
@@ -361,7 +379,7 @@ def verse_to_stanza(spark, sf):
 @register("verse_to_window")
 def verse_to_window(spark, sf):
     s = load_songs(spark, sf)
-    return un.verse_to_window(reviews_union(spark, sf), s).select("song_id", "verso_idx", "texto_entrenamiento")
+    return un.verse_to_window(reviews(spark, sf), s).select("song_id", "verso_idx", "texto_entrenamiento")
 
 
 # ---------------------------------------------------------------------------------------------------- joins
@@ -377,7 +395,7 @@ def pool(spark, sf) -> DataFrame:
 
 @register("pool_minus_reviewed")
 def pool_minus_reviewed(spark, sf):
-    seen = reviews_union(spark, sf).select(tx.py_strip("verso_texto").alias("_seen")).distinct()
+    seen = reviews(spark, sf).select(tx.py_strip("verso_texto").alias("_seen")).distinct()
     p = pool(spark, sf).withColumn("_seen", tx.py_strip("verso_texto"))
     return p.join(seen, "_seen", "left_anti").select("song_id", "artist", "song", "year", "verso_idx", "verso_texto")
 
@@ -411,7 +429,7 @@ def attach_lyrics_inner(spark, sf):
 def lookup_last_wins(spark, sf):
     lk = sel.dedupe(load_songs(spark, sf).select("song", "song_id", F.col("lyrics").alias("_l")), "song", ["song_id"],
                     last=True).drop("song_id")
-    r = reviews_union(spark, sf).join(lk, "song", "left")
+    r = reviews(spark, sf).join(lk, "song", "left")
     return r.select("song_id", "verso_idx", "song", F.length(F.coalesce("_l", F.lit(""))).alias("lyrics_len"))
 
 
@@ -573,7 +591,7 @@ def union_training(spark, sf):
 
 @register("scan_reviews_union")
 def scan_reviews_union(spark, sf):
-    return reviews_union(spark, sf)
+    return reviews(spark, sf)
 
 
 @register("label_max_pool")
@@ -602,12 +620,12 @@ def label_histogram(spark, sf):
 
 @register("origin_decade_counts")
 def origin_decade_counts(spark, sf):
-    return ru.decade_counts(reviews_union(spark, sf))
+    return ru.decade_counts(reviews(spark, sf))
 
 
 @register("top_artists")
 def top_artists(spark, sf):
-    return ru.top_n(reviews_union(spark, sf), "artist", 15)
+    return ru.top_n(reviews(spark, sf), "artist", 15)
 
 
 @register("label_correlation")
@@ -625,7 +643,7 @@ def facet_counts(spark, sf):
 
 @register("year_kde")
 def year_kde(spark, sf):
-    r = reviews_union(spark, sf).withColumn("year_n", year_num("year"))
+    r = reviews(spark, sf).withColumn("year_n", year_num("year"))
     return r6(st.gaussian_kde(r, "origen", "year_n", 1970, 2025).withColumnRenamed("x", "year"))
 
 
@@ -633,7 +651,7 @@ def year_kde(spark, sf):
 def flow_stats(spark, sf):
     """Review counts per origin, after max-pool dedupe, after per-decade balancing (each decade topped up to
     the largest; skipped when the smallest decade has one row), synthetic rows."""
-    r = reviews_union(spark, sf)
+    r = reviews(spark, sf)
     g = gold(spark, sf).withColumn("decada", bucket(year_num("year", default=2000), 10))
     per_dec = g.groupBy("decada").agg(F.count(F.lit(1)).alias("c"))
     bal = per_dec.agg(F.count(F.lit(1)).alias("k"), F.max("c").alias("c_max"), F.min("c").alias("c_min"),
