@@ -23,14 +23,16 @@ from cantoria.fixed import DIMS, N_CLUSTERS, SEED
 def tfidf(tokens_df: DataFrame, doc: str, term: str = "term", max_features: int = 5000) -> DataFrame:
     """M1 (long form): the ``max_features`` most frequent terms of the corpus (ties by term); raw counts times
     smooth idf ln((1 + n) / (1 + df)) + 1; rows scaled to unit L2 norm. Output (doc, term, weight)."""
-    tf = tokens_df.groupBy(doc, term).agg(F.count(F.lit(1)).alias("tf"))
+    from cantoria.session import cut_lineage
+    # the (doc, term, tf) table feeds three branches (vocabulary, document count, weights): it is computed once
+    # — tokens of a document sit in one partition, so the map-side partial count is already final — and cut
+    # into the shared checkpoint folder
+    tf = cut_lineage(tokens_df.groupBy(doc, term).agg(F.count(F.lit(1)).alias("tf")))
     vocab = (tf.groupBy(term).agg(F.sum("tf").alias("_cf"), F.count(F.lit(1)).alias("_df"))
              .orderBy(F.desc("_cf"), F.asc(term)).limit(max_features))
-    # document count as a one-row aggregate of the same plan (the tf exchange is reused, no extra job)
-    n_docs = tf.agg(F.count_distinct(doc).alias("_nd")).withColumn("_one", F.lit(1))
-    w = (tf.join(F.broadcast(vocab), term).withColumn("_one", F.lit(1))      # vocab: <= max_features rows
-         .join(F.broadcast(n_docs), "_one").drop("_one")                      # one row
-         .withColumn("_w", F.col("tf") * (F.log((1.0 + F.col("_nd")) / (1.0 + F.col("_df"))) + 1.0)))
+    n_docs = tf.select(doc).distinct().count()
+    w = (tf.join(F.broadcast(vocab), term)                                    # vocab: <= max_features rows
+         .withColumn("_w", F.col("tf") * (F.log(F.lit(1.0 + n_docs) / (1.0 + F.col("_df"))) + 1.0)))
     nrm = w.groupBy(doc).agg(F.sqrt(F.sum(F.col("_w") ** 2)).alias("_n"))
     return w.join(nrm, doc).select(doc, term, (F.col("_w") / F.col("_n")).alias("weight"))
 
@@ -78,9 +80,9 @@ def drop_clusters(df: DataFrame, ids: list[int], col: str = "cluster") -> DataFr
 def balanced_weights(df: DataFrame, y: str) -> DataFrame:
     """M9: n / (k * n_class) per row (k = number of classes present)."""
     cnt = df.groupBy(y).agg(F.count(F.lit(1)).alias("_nc"))
+    from cantoria.operators.stats import _one_row_join
     tot = cnt.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = cnt.withColumn("_one", F.lit(1)).join(F.broadcast(tot.withColumn("_one", F.lit(1))), "_one")
-    w = w.select(y, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("peso"))
+    w = _one_row_join(cnt, tot).select(y, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("peso"))
     return df.join(w, y)
 
 
@@ -157,9 +159,8 @@ def class_tfidf(grams: DataFrame, topic: str, term: str = "ngram", top: int = 10
     f = tf.groupBy(term).agg(F.sum("tf").alias("_f"))
     per_topic = tf.groupBy(topic).agg(F.sum("tf").alias("_wt"))
     a = per_topic.agg(F.avg("_wt").alias("_A"))
-    s = (tf.join(f, term).withColumn("_one", F.lit(1))
-         .join(F.broadcast(a.withColumn("_one", F.lit(1))), "_one")
-         .withColumn("score", F.col("tf") * F.log(1 + F.col("_A") / F.col("_f"))))
+    from cantoria.operators.stats import _one_row_join
+    s = _one_row_join(tf.join(f, term), a).withColumn("score", F.col("tf") * F.log(1 + F.col("_A") / F.col("_f")))
     w = Window.partitionBy(topic).orderBy(F.desc("score"), term)
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(topic, term, "score", "rank")
 

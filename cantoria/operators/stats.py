@@ -79,9 +79,14 @@ def row_index(df: DataFrame, by: str, order: str, n_ranges: int = 64) -> DataFra
 
 
 def _one_row_join(df: DataFrame, one: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row (broadcast equi-join on a constant key)."""
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    """Attach the columns of a one-row aggregate to every row as typed literals: the aggregate is read once
+    (a bounded single row), so the plan has no join at all (a constant-key join would be folded into a
+    nested-loop cross product)."""
+    rows = one.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("expected a one-row aggregate")
+    vals = rows[0].asDict()
+    return df.select("*", *[F.lit(vals[f.name]).cast(f.dataType).alias(f.name) for f in one.schema.fields])
 
 
 def _sum_array(arr: Column) -> Column:
