@@ -984,3 +984,58 @@ def period_lag(spark, sf):
 def entropy_bootstrap_poisson(spark, sf):
     """X2 scale variant: Poisson(1) replicate weights from md5(year, song, rep) — no numbering, no join."""
     return r6(st.entropy_bootstrap(series_base(spark, sf), "year", AVG_COLS, order="song_id", method="poisson"))
+
+
+@register("flow_edges")
+def flow_edges(spark, sf):
+    """A19 edges (source, target, value) of the flow diagram, from the flow counters."""
+    return ru.flow_edges(flow_stats(spark, sf))
+
+
+@register("word_frequency_raw")
+def word_frequency_raw(spark, sf):
+    """A1: the 30 most frequent tokens, stop words included."""
+    toks = load_songs(spark, sf).select(F.explode(tx.tokens("lyrics", "word")).alias("term"))
+    return ru.top_n(toks, "term", 30)
+
+
+# ---------------------------------------------------------------------------------------------------- sinks
+import uuid  # noqa: E402
+
+from cantoria.session import ensure_checkpoint_dir  # noqa: E402
+from cantoria.sources import sinks  # noqa: E402
+
+
+def _scratch(spark, name):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@register("write_stage")
+def write_stage(spark, sf):
+    """The marked song table written as a stage (overwrite, partitioned by decade) and read back."""
+    path = _scratch(spark, "stage")
+    m = load_songs(spark, sf).select("song_id", "artist", "song", "year",
+                                     bucket(year_num("year"), 10).alias("decada"))
+    sinks.save(m, path, partition_by=["decada"])
+    return spark.read.parquet(path).select("song_id", "artist", "song", "year", F.col("decada").cast("int"))
+
+
+@register("write_if_absent")
+def write_if_absent(spark, sf):
+    """A review sheet is written once; a second write of another sample is ignored (human work kept)."""
+    path = _scratch(spark, "sheet")
+    sheet = seeded_sample(spark, sf).select("dim", "song_id", "verso_idx")
+    sinks.save(sheet, path, if_absent=True)
+    sinks.save(sheet.limit(0), path, if_absent=True)
+    return spark.read.parquet(path)
+
+
+@register("append_batches")
+def append_batches(spark, sf):
+    """S3: the song table appended in two batches (ids below / from the median id) and read back whole."""
+    path = _scratch(spark, "append")
+    s = load_songs(spark, sf).select("song_id", "artist", "song")
+    mid = s.agg(F.percentile_approx("song_id", 0.5)).first()[0]
+    sinks.append(s.where(F.col("song_id") < mid), path)
+    sinks.append(s.where(F.col("song_id") >= mid), path)
+    return spark.read.parquet(path)

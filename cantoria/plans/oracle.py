@@ -615,3 +615,19 @@ sql("entropy_bootstrap_poisson", _SER + f"""
 SELECT e.year, n.canciones, round(avg(h), 6) AS entropia_media, round(quantile_cont(h, 0.05), 6) AS lim_inferior,
        round(quantile_cont(h, 0.95), 6) AS lim_superior
 FROM ent e JOIN nby n USING (year) GROUP BY e.year, n.canciones""")
+
+
+sql("flow_edges", ORACLE["flow_stats"].rstrip().replace("SELECT (SELECT count(*) FROM reviews_union WHERE origen = 'Regex') AS regex_in",
+    ", fs AS (SELECT (SELECT count(*) FROM reviews_union WHERE origen = 'Regex') AS regex_in", 1) + """)
+SELECT * FROM (VALUES ('Regex', 'Consolidado'), ('K-Means', 'Consolidado'), ('Consolidado', 'Deduplicado'),
+  ('Deduplicado', 'Balanceado'), ('Sintéticos', 'Balanceado')) e(source, target)
+  JOIN LATERAL (SELECT CASE WHEN e.source = 'Regex' THEN regex_in WHEN e.source = 'K-Means' THEN kmeans_in
+    WHEN e.source = 'Sintéticos' THEN sinteticos_creados ELSE deduplicado END AS value FROM fs) ON true""")
+
+sql("word_frequency_raw", _S + f"""SELECT term, count(*) AS n FROM (SELECT unnest({k.word_tokens('lyrics')}) AS term FROM songs)
+GROUP BY term ORDER BY n DESC, term LIMIT 30""")
+
+
+sql("write_stage", _S + f"SELECT song_id, artist, song, year, {k.bucket(k.year_num(), 10)} AS decada FROM songs")
+sql("write_if_absent", _SAMPLE + "SELECT dim, song_id, verso_idx FROM samp")
+sql("append_batches", _S + "SELECT song_id, artist, song FROM songs")
