@@ -59,8 +59,25 @@ def songs_from_documents(documents: DataFrame) -> DataFrame:
             ))
 
 
+def parallelism(spark: SparkSession) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no SparkContext on the client
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    """CPU-heavy text work runs per input split. A corpus of many files has far more splits than cores and is
+    left alone; a scan with fewer splits than the session's parallelism (e.g. one file with one row group) is
+    spread round-robin first, so the in-row work does not run in a single task. Planning only, no job."""
+    target = parallelism(df.sparkSession)
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return songs_from_documents(table(spark, sf_dir, "documents"))
+    return songs_from_documents(spread_small_scan(table(spark, sf_dir, "documents")))
 
 
 # SQL twin of ``songs_from_documents`` for the DuckDB oracle.
