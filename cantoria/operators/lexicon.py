@@ -35,13 +35,6 @@ def dim_hits(tok: Column, terms: list[str]) -> Column:
     return F.size(F.filter(tok, lambda t: t.isin(terms)))
 
 
-def score_struct(text: Column, lexicon: dict[str, list[str]], cap: int = 3, mode: str = "runs",
-                 prefix: str = "intensidad_") -> list[Column]:
-    """E8 per-unit intensities ``least(cap, hits)`` for each dimension, as a list of named Columns."""
-    tok = tokens(text, mode)
-    return [F.least(dim_hits(tok, _terms(lexicon, d)), F.lit(cap)).alias(f"{prefix}{d}") for d in DIMS]
-
-
 def score_units(units: DataFrame, lexicon: dict[str, list[str]], text_col: str = "verso_texto", cap: int = 3,
                 mode: str = "runs", id_cols: list[str] | None = None) -> DataFrame:
     """E8 on a unit table: adds ``intensidad_<dim>`` = min(cap, lexicon hits of that dimension).

@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 from cantoria.fixed import BOOTSTRAP_REPS, SEED
 from cantoria.session import cut_lineage
 
-LN2 = math.log(2.0)
-
-
 # ------------------------------------------------------------------------------------------------ helpers
 def hash_unit(*cols, seed: int = SEED) -> Column:
     """A reproducible uniform integer in [0, 2^48) from md5 of the key (same value in DuckDB)."""
