@@ -148,6 +148,7 @@ def song_fingerprint(spark, sf):
 from cantoria.fixed import LANG_STOPWORDS, STOPWORDS_ES  # noqa: E402
 from cantoria.functions import scores as sc  # noqa: E402
 from cantoria.functions import text as tx  # noqa: E402
+from cantoria.operators import joins as jn  # noqa: E402
 from cantoria.operators import select as sel  # noqa: E402
 from cantoria.sources.reviews import review_rows, reviews_union  # noqa: E402
 
@@ -395,9 +396,8 @@ def pool(spark, sf) -> DataFrame:
 
 @register("pool_minus_reviewed")
 def pool_minus_reviewed(spark, sf):
-    seen = reviews(spark, sf).select(tx.py_strip("verso_texto").alias("_seen")).distinct()
-    p = pool(spark, sf).withColumn("_seen", tx.py_strip("verso_texto"))
-    return p.join(seen, "_seen", "left_anti").select("song_id", "artist", "song", "year", "verso_idx", "verso_texto")
+    p = jn.minus(pool(spark, sf), reviews(spark, sf))
+    return p.select("song_id", "artist", "song", "year", "verso_idx", "verso_texto")
 
 
 @register("neighbour_context")
@@ -414,22 +414,19 @@ def first_lyrics(spark, sf):
 @register("attach_lyrics_left")
 def attach_lyrics_left(spark, sf):
     d = ru.song_density_inline(load_songs(spark, sf), LEX)
-    return r6(d.join(first_lyrics(spark, sf), ["artist", "song"], "left")
-              .select("artist", "song", "densidad_agenciamiento", "lyrics"))
+    return r6(jn.attach(d, load_songs(spark, sf), how="left").select("artist", "song", "densidad_agenciamiento", "lyrics"))
 
 
 @register("attach_lyrics_inner")
 def attach_lyrics_inner(spark, sf):
     d = ru.density_threshold(ru.song_density_inline(load_songs(spark, sf), LEX), DENSITY_SERIES)
-    return r6(d.join(first_lyrics(spark, sf), ["artist", "song"], "inner").where(F.col("lyrics").isNotNull())
+    return r6(jn.attach(d, load_songs(spark, sf), how="inner").where(F.col("lyrics").isNotNull())
               .select("artist", "song", "densidad_agenciamiento", "lyrics"))
 
 
 @register("lookup_last_wins")
 def lookup_last_wins(spark, sf):
-    lk = sel.dedupe(load_songs(spark, sf).select("song", "song_id", F.col("lyrics").alias("_l")), "song", ["song_id"],
-                    last=True).drop("song_id")
-    r = reviews(spark, sf).join(lk, "song", "left")
+    r = jn.lookup_last(reviews(spark, sf), load_songs(spark, sf))
     return r.select("song_id", "verso_idx", "song", F.length(F.coalesce("_l", F.lit(""))).alias("lyrics_len"))
 
 
@@ -443,9 +440,7 @@ def song_truth(spark, sf):
 
 
 def truth_density(spark, sf) -> DataFrame:
-    dens = song_rollup(spark, sf).select("artist", "song", "densidad_semantica_v2")
-    return (truth(spark, sf).join(dens, ["artist", "song"], "inner")
-            .where(F.col("densidad_semantica_v2").isNotNull()))
+    return jn.truth(truth(spark, sf), song_rollup(spark, sf))
 
 
 @register("truth_join")

@@ -92,3 +92,14 @@ def test_oversample_skipped_for_singleton_class(spark):
     nb = spark.createDataFrame([], "id string, vecino string, orden int")
     out = vx.oversample(df, "id", "v", ["val_AR"], "dec", nb)
     assert out.count() == 3 and out.where("sintetico").count() == 0
+
+
+def test_attach_dedupes_corpus_and_null_safe_mode(spark):
+    from cantoria.operators import joins as jn
+    corpus = spark.createDataFrame([(1, "a", "s", "first"), (2, "a", "s", "second"), (3, None, "t", "nullkey")],
+                                   "song_id long, artist string, song string, lyrics string")
+    df = spark.createDataFrame([("a", "s"), (None, "t")], "artist string, song string")
+    plain = {(r["artist"], r["song"]): r["lyrics"] for r in jn.attach(df, corpus).collect()}
+    assert plain == {("a", "s"): "first", (None, "t"): None}
+    compat = {(r["artist"], r["song"]): r["lyrics"] for r in jn.attach(df, corpus, null_safe=True).collect()}
+    assert compat == {("a", "s"): "first", (None, "t"): "nullkey"}
