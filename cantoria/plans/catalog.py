@@ -1034,3 +1034,21 @@ def append_batches(spark, sf):
     sinks.append(s.where(F.col("song_id") < mid), path)
     sinks.append(s.where(F.col("song_id") >= mid), path)
     return spark.read.parquet(path)
+
+
+@register("facet_margins")
+def facet_margins(spark, sf):
+    """A20 with margins: rows per decade x dominant dimension, plus per-decade, per-dimension and grand totals
+    (``cube``; a null key marks a margin)."""
+    dom, mx = sc.dominant_dimension("val_")
+    g = gold(spark, sf).select(bucket(year_num("year"), 10).alias("decada"), dom.alias("dimension_dominante"),
+                               mx.alias("_mx")).where(F.col("_mx") > 0)
+    return (g.cube("decada", "dimension_dominante")
+            .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("nivel")))
+
+
+@register("neighbour_context_lyric")
+def neighbour_context_lyric(spark, sf):
+    """W1 default scope: previous + current + next verse of the full lyric (in-row, no window, no shuffle)."""
+    s = load_songs(spark, sf).select("song_id", un.verse_array("lyrics").alias("_v"))
+    return s.select("song_id", F.inline(sel.neighbour_context_inline(F.col("_v"))))

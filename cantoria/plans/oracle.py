@@ -631,3 +631,13 @@ GROUP BY term ORDER BY n DESC, term LIMIT 30""")
 sql("write_stage", _S + f"SELECT song_id, artist, song, year, {k.bucket(k.year_num(), 10)} AS decada FROM songs")
 sql("write_if_absent", _SAMPLE + "SELECT dim, song_id, verso_idx FROM samp")
 sql("append_batches", _S + "SELECT song_id, artist, song FROM songs")
+
+
+sql("facet_margins", _R + f"""SELECT decada, dimension_dominante, count(*) AS n, CAST(GROUPING(decada, dimension_dominante) AS INTEGER) AS nivel
+FROM (SELECT {k.bucket(k.year_num(), 10)} AS decada, {_DOM} AS dimension_dominante FROM gold WHERE greatest({_VALS}) > 0)
+GROUP BY CUBE (decada, dimension_dominante)""")
+
+sql("neighbour_context_lyric", _V + f"""SELECT song_id, verso_idx, verso_texto,
+  regexp_replace({k.strip("concat_ws(' ', pv, verso_texto, nx)")}, {q(k.PY_WS + '+')}, ' ', 'g') AS texto_contexto FROM (
+  SELECT *, coalesce(lag(verso_texto) OVER w, '') AS pv, coalesce(lead(verso_texto) OVER w, '') AS nx FROM verses
+  WINDOW w AS (PARTITION BY song_id ORDER BY verso_idx))""")
