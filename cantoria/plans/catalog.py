@@ -1052,3 +1052,14 @@ def neighbour_context_lyric(spark, sf):
     """W1 default scope: previous + current + next verse of the full lyric (in-row, no window, no shuffle)."""
     s = load_songs(spark, sf).select("song_id", un.verse_array("lyrics").alias("_v"))
     return s.select("song_id", F.inline(sel.neighbour_context_inline(F.col("_v"))))
+
+
+@register("word_frequency_after_clusters")
+def word_frequency_after_clusters(spark, sf):
+    """A1 third list: top 100 tokens without stop words after dropping the listed noisy clusters."""
+    _, assign = clustered(spark, sf)
+    kept = ml.drop_clusters(assign, [0]).select("song_id")
+    stop = sorted(set(STOPWORDS_ES))
+    toks = (load_songs(spark, sf).join(kept, "song_id", "left_semi")
+            .select(F.explode(tx.tokens("lyrics", "word")).alias("term")).where(~F.col("term").isin(stop)))
+    return ru.top_n(toks, "term", 100)

@@ -78,6 +78,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001 - no SparkContext on the client (e.g. Spark Connect)
         pass
     if not current:
+        try:
+            master = spark.sparkContext.master
+        except Exception:  # noqa: BLE001
+            master = spark.conf.get("spark.master", "")
+        if not str(master).startswith("local"):
+            # a machine-local folder is not reachable by other executors: a cluster must name a shared one
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a shared folder (e.g. on the cluster's distributed store)")
         current = tempfile.mkdtemp(prefix="cantoria-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set(CHECKPOINT_KEY, current)
     try:
