@@ -284,7 +284,7 @@ def deduped_songs(spark, sf) -> DataFrame:
 
 
 def marked(spark, sf) -> DataFrame:
-    return lx.lexical_mark(deduped_songs(spark, sf), STANDIN_STRONG_TERMS, mode="word")
+    return lx.lexical_mark(deduped_songs(spark, sf), STANDIN_STRONG_TERMS, mode="code")
 
 
 @register("keep_first_dedupe")
@@ -294,14 +294,14 @@ def keep_first_dedupe(spark, sf):
 
 @register("lexical_mark")
 def lexical_mark(spark, sf):
-    return lx.lexical_mark(load_songs(spark, sf), STANDIN_STRONG_TERMS, mode="word").select(
+    return lx.lexical_mark(load_songs(spark, sf), STANDIN_STRONG_TERMS, mode="code").select(
         "song_id", "conteo_narco", "es_narco_fuerte")
 
 
 @register("keyword_in_context")
 def keyword_in_context(spark, sf):
     flagged = marked(spark, sf).where("es_narco_fuerte")
-    return lx.keyword_in_context(flagged, STANDIN_STRONG_TERMS, mode="word")
+    return lx.keyword_in_context(flagged, STANDIN_STRONG_TERMS, mode="code")
 
 
 @register("rank_by_decade_hits")
@@ -322,7 +322,7 @@ def dimension_regex_filter(spark, sf):
 @register("vocabulary_intersect")
 def vocabulary_intersect(spark, sf):
     return load_songs(spark, sf).select(
-        "song_id", F.array_join(lx.vocabulary_intersect("lyrics", STANDIN_STRONG_TERMS, mode="word"), ",")
+        "song_id", F.array_join(lx.vocabulary_intersect("lyrics", STANDIN_STRONG_TERMS, mode="code"), ",")
         .alias("terminos"))
 
 

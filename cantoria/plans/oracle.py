@@ -87,6 +87,31 @@ from cantoria.fixed import LANG_STOPWORDS, STANDIN_LEXICON, STANDIN_STRONG_TERMS
 from cantoria.plans.sqlkit import q  # noqa: E402
 
 _S = k.with_(k.SONGS_CTE)
+
+
+# P8 (`\b[a-záéíóúñü0-9-]+\b`, Unicode \b). The text is cut into maximal class runs and single other characters.
+# Inside a run, word boundaries exist only where letters/digits meet hyphens, plus at the run's edges when the
+# neighbouring character's word-ness differs; the leftmost-greedy match is then one token per run, from the first
+# boundary to the last (none when the run has fewer than two boundaries).
+def _p8_tokens(text: str) -> str:
+    segs = f"regexp_extract_all(lower({text}), '[a-záéíóúñü0-9-]+|[^a-záéíóúñü0-9-]')"
+    word = "regexp_full_match({c}, '[\\p{{L}}\\p{{N}}_]')"
+    run = "s[i]"
+    wp = f"coalesce(CASE WHEN i > 1 THEN {word.format(c='s[i - 1]')} END, false)"
+    wx = f"coalesce(CASE WHEN i < len(s) THEN {word.format(c='s[i + 1]')} END, false)"
+    n = f"length({run})"
+    l1 = f"length(regexp_extract({run}, '^(-+|[^-]+)'))"
+    ln = f"length(regexp_extract({run}, '(-+|[^-]+)$'))"
+    g0 = f"({wp} <> (left({run}, 1) <> '-'))"
+    ge = f"((right({run}, 1) <> '-') <> {wx})"
+    mn = f"(CASE WHEN {g0} THEN 0 WHEN {l1} < {n} THEN {l1} WHEN {ge} THEN {n} END)"
+    mx = f"(CASE WHEN {ge} THEN {n} WHEN {l1} < {n} THEN {n} - {ln} WHEN {g0} THEN 0 END)"
+    tok = (f"CASE WHEN regexp_full_match({run}, '[a-záéíóúñü0-9-]+') AND {mx} > {mn} "
+           f"THEN substr({run}, {mn} + 1, {mx} - {mn}) END")
+    return (f"list_filter((SELECT list_transform(range(1, len(s) + 1), lambda i: {tok}) FROM (SELECT {segs} AS s)), "
+            f"lambda t: t IS NOT NULL)")
+
+
 _V = k.with_(k.SONGS_CTE, k.VERSES_CTE)
 
 sql("collapse_ws", _V + f"SELECT song_id, verso_idx, {k.collapse('verso_texto')} AS texto_norm FROM verses")
@@ -161,20 +186,20 @@ _FP = "regexp_replace(strip_accents(lower(coalesce(artist, '') || coalesce(song,
 DEDUP_CTE = f"""dedup AS (SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY {_FP} ORDER BY song_id) AS rn FROM songs) WHERE rn = 1)"""
 _STRONG = k.in_list(STANDIN_STRONG_TERMS)
-MARKED_CTE = f"""marked AS (SELECT *, CAST(len(list_filter(list_distinct({k.word_tokens('lyrics')}),
+MARKED_CTE = f"""marked AS (SELECT *, CAST(len(list_filter(list_distinct({_p8_tokens('lyrics')}),
   lambda t: t IN ({_STRONG}))) AS INTEGER) AS conteo_narco FROM dedup)"""
 _M = k.with_(k.SONGS_CTE, DEDUP_CTE, MARKED_CTE)
 
 sql("keep_first_dedupe", k.with_(k.SONGS_CTE, DEDUP_CTE) + "SELECT song_id, artist, song FROM dedup")
 
 sql("lexical_mark", _S + f"""SELECT song_id, conteo_narco, conteo_narco >= 2 AS es_narco_fuerte FROM (
-  SELECT song_id, CAST(len(list_filter(list_distinct({k.word_tokens('lyrics')}), lambda t: t IN ({_STRONG})))
+  SELECT song_id, CAST(len(list_filter(list_distinct({_p8_tokens('lyrics')}), lambda t: t IN ({_STRONG})))
          AS INTEGER) AS conteo_narco FROM songs)""")
 
 sql("keyword_in_context", _M + f"""SELECT song_id, pos, Artista, Cancion, Palabra,
   '... ' || array_to_string(tk[greatest(pos - 4, 0) + 1: pos + 5], ' ') || ' ...' AS Contexto
 FROM (SELECT song_id, artist AS Artista, song AS Cancion, tk, CAST(i - 1 AS INTEGER) AS pos, tk[i] AS Palabra
-      FROM (SELECT *, {k.word_tokens('lyrics')} AS tk FROM marked WHERE conteo_narco >= 2),
+      FROM (SELECT *, {_p8_tokens('lyrics')} AS tk FROM marked WHERE conteo_narco >= 2),
            LATERAL (SELECT unnest(range(1, len(tk) + 1)) AS i))
 WHERE Palabra IN ({_STRONG})""")
 
@@ -186,7 +211,7 @@ sql("dimension_regex_filter", _V + " UNION ALL ".join(
     f"[{k.in_list(STANDIN_LEXICON[d])}])" for d in DIMS))
 
 sql("vocabulary_intersect", _S + f"""SELECT song_id, array_to_string(list_sort(list_filter(list_distinct(
-  {k.word_tokens('lyrics')}), lambda t: t IN ({_STRONG}))), ',') AS terminos FROM songs""")
+  {_p8_tokens('lyrics')}), lambda t: t IN ({_STRONG}))), ',') AS terminos FROM songs""")
 
 sql("word_frequency_topn", _S + f"""SELECT term, count(*) AS n FROM (SELECT unnest({k.word_tokens('lyrics')}) AS term FROM songs)
 WHERE term NOT IN ({k.in_list(STOPWORDS_ES)}) GROUP BY term ORDER BY n DESC, term LIMIT 100""")
@@ -641,3 +666,7 @@ sql("neighbour_context_lyric", _V + f"""SELECT song_id, verso_idx, verso_texto,
   regexp_replace({k.strip("concat_ws(' ', pv, verso_texto, nx)")}, {q(k.PY_WS + '+')}, ' ', 'g') AS texto_contexto FROM (
   SELECT *, coalesce(lag(verso_texto) OVER w, '') AS pv, coalesce(lead(verso_texto) OVER w, '') AS nx FROM verses
   WINDOW w AS (PARTITION BY song_id ORDER BY verso_idx))""")
+
+
+sql("tokenize_alnum_hyphen", _S + f"""SELECT song_id, CAST(len(tk) AS INTEGER) AS n_tokens, array_to_string(tk, ' ') AS tokens_txt
+FROM (SELECT song_id, {_p8_tokens('lyrics')} AS tk FROM songs)""")
