@@ -42,3 +42,11 @@ def test_read_reviews_union_missing_columns(spark):
     df = read_reviews(spark, [os.path.join(d, "5_booster_AR.csv"), os.path.join(d, "5_booster_GO_v2.csv")])
     got = {r["verso_texto"]: (r["origen"], r["val_AR"], r["val_GO"]) for r in df.collect()}
     assert got == {"uno": ("Regex", 2, 0), "dos": ("Regex", 0, 0), "tres": ("K-Means", 0, 1)}
+
+
+def test_scale_defaults_never_override(spark):
+    from cantoria.session import apply_scale_defaults
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 20))
+    done = apply_scale_defaults(spark)
+    assert "spark.sql.files.maxPartitionBytes" not in done
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") in (str(64 << 20), "64MB", "67108864b")
