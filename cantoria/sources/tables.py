@@ -71,9 +71,11 @@ def spread_small_scan(df: DataFrame) -> DataFrame:
     left alone; a scan with fewer splits than the session's parallelism (e.g. one file with one row group) is
     spread round-robin first, so the in-row work does not run in a single task. Planning only, no job."""
     target = parallelism(df.sparkSession)
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD API on the client (e.g. Spark Connect): leave the scan as it is
+        return df
+    return df.repartition(target) if splits < target else df
 
 
 def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
