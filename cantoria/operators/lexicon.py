@@ -1,7 +1,7 @@
 """Lexicon matching.
 
-Lexicons up to ``INLINE_MAX_TERMS`` terms are compiled into the plan as ``IN`` sets (Catalyst turns them into
-hash-set lookups inside whole-stage codegen): scoring is a per-row projection with no join and no shuffle.
+Lexicons up to ``INLINE_MAX_TERMS`` terms are compiled into the plan as ``IN`` lists (Catalyst turns lists of
+more than 10 terms into hash-set lookups): scoring is a per-row projection with no join and no shuffle.
 Larger lexicons go through a broadcast hash join whose build side is size-checked first.
 """
 
