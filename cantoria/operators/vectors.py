@@ -39,8 +39,11 @@ def hash_encode(text: Column, dim: int = HASH_DIM, mode: str = "runs") -> Column
     """M3 default encoder (offline, no weights): hashed token counts as array<double> of length ``dim``.
     Built in-row with ``aggregate`` over the token buckets: no explode, no shuffle."""
     buckets = F.transform(tokens(text, mode), lambda t: token_bucket(t, dim))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    return F.aggregate(buckets, zero, lambda acc, b: F.transform(acc, lambda v, i: F.when(i == b, v + 1.0).otherwise(v)))
+    # the bucket array is bound once (the initial value of an aggregate over a one-element array), then counted
+    # per bucket — no per-token copy of a dim-wide array
+    return F.aggregate(F.array(F.lit(0)), buckets, lambda acc, _: acc,
+                       lambda acc: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                                               lambda i: F.size(F.filter(acc, lambda b: b == i)).cast("double")))
 
 
 def encode_with(df: DataFrame, text_col: str, factory: Callable[[], Callable[[list[str]], np.ndarray]],
