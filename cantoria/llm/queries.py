@@ -6,10 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantoria.llm import mixing, quality_rules, sharding
+from cantoria.llm import mixing, neighbours, pii, quality_rules, sharding
 from cantoria.llm.common import table
 
 
+def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -25,10 +29,22 @@ def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.manifest(table(spark, sf_dir, "documents"))
 
 
+def held_out():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op10_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(~held_out()).select("doc_id", F.col("quality").cast("int").alias("label"))
+    out = neighbours.quality_scores(table(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op1_pii_weak_supervision": op1_pii_weak_supervision,
     "op3_quality_rules": op3_quality_rules,
     "op5_source_mixing": op5_source_mixing,
     "op6_rendezvous_sharding": op6_rendezvous_sharding,
+    "op10_neighbour_quality": op10_neighbour_quality,
 }
 
 ORACLE = {
