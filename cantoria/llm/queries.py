@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantoria.llm import mixing, neighbours, pii, quality_rules, sharding
+from cantoria.llm import mixing, neighbours, pii, quality_rules, sharding, warc
 from cantoria.llm.common import table
 
 
@@ -29,8 +29,12 @@ def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.manifest(table(spark, sf_dir, "documents"))
 
 
+def op9_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_table(spark, warc.write_pages(table(spark, sf_dir, "pages")))
+
+
 def held_out():
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op10_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +48,12 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op5_source_mixing": op5_source_mixing,
     "op6_rendezvous_sharding": op6_rendezvous_sharding,
+    "op9_warc_roundtrip": op9_warc_roundtrip,
     "op10_neighbour_quality": op10_neighbour_quality,
 }
 
 ORACLE = {
     "op3_quality_rules": quality_rules.sql(),
     "op5_source_mixing": mixing.sql(),
+    "op9_warc_roundtrip": warc.sql(),
 }
