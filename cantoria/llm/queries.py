@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantoria.llm import mixing, neighbours, pii, quality_rules, sharding, warc
+from cantoria.llm import decontaminate, line_dedup, mixing, neighbours, pii, quality_rules, sharding, warc
 from cantoria.llm.common import table
 
 
@@ -14,6 +14,15 @@ def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -45,6 +54,8 @@ def op10_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii_weak_supervision": op1_pii_weak_supervision,
+    "op2_line_dedup": op2_line_dedup,
+    "op4_decontamination": op4_decontamination,
     "op3_quality_rules": op3_quality_rules,
     "op5_source_mixing": op5_source_mixing,
     "op6_rendezvous_sharding": op6_rendezvous_sharding,
@@ -53,6 +64,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_line_dedup": line_dedup.sql(),
     "op3_quality_rules": quality_rules.sql(),
     "op5_source_mixing": mixing.sql(),
     "op9_warc_roundtrip": warc.sql(),
