@@ -9,7 +9,7 @@
 3. These hits join the seeds exactly. A seed is rare if it hits few documents. A (passage, item) pair is aligned if
    it has a rare seed or at least two different seeds.
 4. Local alignment (match 2, mismatch -1, gap -1) of the item with the passage; share = score / (2 x words of the
-   item). A share of 0.7 is what 80 % equal words reach; pairs from there are contaminations.
+   item). 80 % equal words reach 0.7; pairs from 0.6 on are contaminations, which leaves room for moved words.
 
 Defined results: null and empty texts or items match nothing; items shorter than SEED words are never found (they are
 too short to tell); repeated documents are found each, repeated items each; of several passages the best counts; an
@@ -28,7 +28,7 @@ from cantoria.llm.textbytes import chunks, column_bytes, shingle_hashes, word_ha
 
 SEED = 4
 BITS = 24
-SHARE = 0.7
+SHARE = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: a seed is rare if it hits at most this many documents, or this share of them
 RARE_DOCS, RARE_SHARE = 20, 1e-4
