@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantoria.llm import decontaminate, line_dedup, mixing, neighbours, pii, quality_rules, sharding, warc
+from cantoria.llm import decontaminate, jaccard_join, line_dedup, mixing, neighbours, pii, quality_rules, sharding, warc
 from cantoria.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.manifest(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_join(table(spark, sf_dir, "documents"))
+
+
 def op9_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_table(spark, warc.write_pages(table(spark, sf_dir, "pages")))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op5_source_mixing": op5_source_mixing,
     "op6_rendezvous_sharding": op6_rendezvous_sharding,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_warc_roundtrip": op9_warc_roundtrip,
     "op10_neighbour_quality": op10_neighbour_quality,
 }
