@@ -389,7 +389,9 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each class stays: the one with the least id (all with a null id stay)."""
+    """One document of each class stays: the one with the least id; of equal rows (id and text) one stays. Texts whose
+    documents all have a null id stay, once."""
     found = similarity_join(docs, key, text, **options)
     gone = found.filter(F.col(key) != F.col("class_id")).select(key).distinct()
-    return docs.join(gone, key, "left_anti")
+    kept = docs.join(gone, key, "left_anti").select(docs.columns)
+    return kept.withColumn("_same", F.xxhash64(text)).dropDuplicates([key, "_same"]).drop("_same")

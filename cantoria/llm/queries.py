@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cantoria.llm import decontaminate, jaccard_join, line_dedup, mixing, neighbours, pii, quality_rules, sharding, warc
 from cantoria.llm.common import table
 
@@ -66,6 +67,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_warc_roundtrip": op9_warc_roundtrip,
     "op10_neighbour_quality": op10_neighbour_quality,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {
