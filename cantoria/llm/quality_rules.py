@@ -108,6 +108,15 @@ def quality_rules(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame
     return verdict(measure(docs, text), rules)
 
 
+def keep(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """The documents that no rule rejects, with their own columns.
+
+    A plain filter on the verdict would be pushed below the projections and repeat their expressions many times over;
+    a row number, which is not deterministic, keeps it above them."""
+    judged = quality_rules(docs, text, rules).withColumn("_row", F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col("_row") >= 0)).select(docs.columns)
+
+
 def sql() -> str:
     """DuckDB SQL for op3 over the view documents."""
     def ratio(rule):
