@@ -86,8 +86,8 @@ def bitmap(seeds: DataFrame, bits: int = BITS) -> np.ndarray:
     low = F.col("seed").bitwiseAND(F.lit((1 << bits) - 1))
     cells = seeds.groupBy(F.shiftright(low, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(seed & 63 as int))")).alias("set"))
     out = np.zeros(1 << (bits - 6), np.int64)
-    for r in cells.collect():
-        out[r["cell"]] = r["set"]
+    got = cells.toArrow()
+    out[got["cell"].to_numpy()] = got["set"].to_numpy()
     return out.view(np.uint64)
 
 

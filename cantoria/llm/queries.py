@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cantoria.llm import decontaminate, jaccard_join, line_dedup, mixing, neighbours, pii, quality_rules, sharding, warc
+from cantoria.llm import decontaminate, jaccard_join, line_dedup, mixing, neighbours, pii, quality_rules, repeats, sharding, warc
 from cantoria.llm.common import table
 
 
@@ -39,6 +39,11 @@ def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.manifest(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_join(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op5_source_mixing": op5_source_mixing,
     "op6_rendezvous_sharding": op6_rendezvous_sharding,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_warc_roundtrip": op9_warc_roundtrip,
     "op10_neighbour_quality": op10_neighbour_quality,
