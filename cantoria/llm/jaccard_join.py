@@ -249,9 +249,10 @@ def _ties(signatures: DataFrame) -> DataFrame:
     shared = lambda df: (df.groupBy("path").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"), F.count(F.lit(1)).alias("n"))
                          .filter("lo < hi").select("path", "n"))
     counts = staged(shared(nodes.select("rec", F.col("n.path").alias("path"))), "paths")
-    busy = staged(signatures.join(nodes.select("rec", F.col("n.path").alias("path")).join(counts, "path", "left_semi").select("rec").distinct(), "rec", "left_semi"), "busy")
-    kind = "path bigint, kids array<struct<path:bigint,kids:array<bigint>>>"
-    level = busy.select("rec", "sketch", F.explode("paths").alias("n")).select("rec", "sketch", "n.*").join(counts, "path")
+    # joins by shuffle, however small one side may be: their cost follows the input alike at every size
+    sharing = nodes.select("rec", F.col("n.path").alias("path")).join(counts.hint("merge"), "path", "left_semi").select("rec").distinct()
+    busy = staged(signatures.join(sharing.hint("merge"), "rec", "left_semi"), "busy")
+    level = busy.select("rec", "sketch", F.explode("paths").alias("n")).select("rec", "sketch", "n.*").join(counts.hint("merge"), "path")
     leaves = [level.filter(F.col("n") <= SMALL).select(F.col("path").alias("leaf"), "rec", "sketch")]
     level = level.filter(F.col("n") > SMALL).select("rec", "sketch", F.explode("kids").alias("n")).select("rec", "sketch", "n.*")
     level = staged(level, "split")
@@ -376,7 +377,7 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     groups = staged(groups.join(sizes, "root").withColumnRenamed("node", "rec"), "groups")
     shared = spark.sparkContext.broadcast(bitmap(groups.select(F.col("rec").alias("seed")), BITS))
     sets = rows.select("rec", "text").mapInArrow(_sets(shared, BITS), "rec bigint, tokens array<bigint>")
-    pairs = in_blocks(sets.join(groups, "rec"), "root", "n", "pair").select("pair", "rec", "own", "i", "j", "tokens")
+    pairs = in_blocks(sets.join(groups.hint("merge"), "rec"), "root", "n", "pair").select("pair", "rec", "own", "i", "j", "tokens")
     exact = staged(pairs.repartition("pair").sortWithinPartitions("pair").mapInArrow(_exact(similarity), "a bigint, b bigint, links bigint"), "links")
     classes = components(exact.filter("a <> b")).withColumnRenamed("node", "rec")
     links = exact.groupBy(F.col("a").alias("rec")).agg(F.sum("links").alias("n_links"))
