@@ -54,3 +54,13 @@ def numbered(df: DataFrame, group: list[str], levels: list[str], order: list, ou
     inside = Window.partitionBy(*group, *levels).orderBy(*order)
     return (df.join(cells.drop("_n"), [*group, *levels])
             .withColumn(out, F.col("_at") + F.row_number().over(inside) - 1).drop("_at"))
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """The whole row as one struct column _doc, so that added columns cannot clash with the input's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"))
+
+
+def unpacked(df: DataFrame, columns: list[str], added: list[str]) -> DataFrame:
+    """The packed columns and then the added ones; an added column replaces one of the same name."""
+    return df.select(*[F.col("_doc")[c].alias(c) for c in columns if c not in added], *added)

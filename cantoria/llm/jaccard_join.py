@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cantoria.llm.common import staged
+from cantoria.llm.common import packed, staged, unpacked
 from cantoria.llm.components import components
 from cantoria.llm.decontaminate import bitmap
 from cantoria.llm.textbytes import _ODD, chunks, column_bytes, mix, word_hashes
@@ -390,9 +390,10 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each class stays: the one with the least id; of equal rows (id and text) one stays. Texts whose
-    documents all have a null id stay, once."""
+    """One document of each class stays: the one with the least id; of equal rows (id and text) one stays. Documents
+    with a null id cannot be named and stay, one of each text."""
     found = similarity_join(docs, key, text, **options)
     gone = found.filter(F.col(key) != F.col("class_id")).select(key).distinct()
-    kept = docs.join(gone, key, "left_anti").select(docs.columns)
-    return kept.withColumn("_same", F.xxhash64(text)).dropDuplicates([key, "_same"]).drop("_same")
+    rows = packed(docs).select("_doc", F.col("_doc")[key].alias("id"), F.xxhash64(F.col("_doc")[text]).alias("body"))
+    kept = rows.join(gone.withColumnRenamed(key, "id"), "id", "left_anti").dropDuplicates(["id", "body"])
+    return unpacked(kept, docs.columns, [])

@@ -11,31 +11,28 @@
 Defined results: a null text stays null with no lines; a null site is a site of its own; blank lines are never
 boilerplate and stay; a text of boilerplate only becomes its blank lines, or empty; repeated lines of one document
 count once per site and are all removed; repeated documents are cleaned alike; an empty table gives an empty result;
-other columns pass through.
+other columns pass through,
+but columns named n_lines or n_removed are replaced.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cantoria.llm.common import SPACES, staged
+from cantoria.llm.common import SPACES, packed, staged, unpacked
 
 MIN_SITES = 5
 LOG2_BUCKETS = 12
 SIGMAS = 4
 
 
-def _lines(text: str) -> Column:
-    return F.split(F.col(text), "\n", -1)
-
-
 def line_table(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
     """id, body (hash of the text), site, at, h1, h2: one row per line with a word."""
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("body"), F.coalesce(F.concat(F.lit("="), F.col(site).cast("string")), F.lit("")).alias("site"),
-                       F.posexplode(_lines(text)).alias("at", "line"))
+                       F.posexplode(F.split(F.col(text), "\n", -1)).alias("at", "line"))
     line = F.btrim("line", F.lit(SPACES))
     return (rows.withColumn("line", line).filter(F.col("line") != "")
             .select("id", "body", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
@@ -62,16 +59,17 @@ def remove_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # a document may repeat a boilerplate line thousands of times and may itself be repeated: positions are a set
     gone = (lines.join(found, ["h1", "h2"], "left_semi").groupBy(F.col("id").alias("_id"), F.col("body").alias("_body"))
             .agg(F.collect_set("at").alias("_gone")))
-    own = docs.withColumn("_hash", F.xxhash64(text))
-    out = own.join(gone, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_body")), "left")
-    every = _lines(text)
+    whole = F.col("_doc")[text]
+    own = packed(docs).withColumn("_hash", F.xxhash64(whole))
+    out = own.join(gone, F.col("_doc")[key].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_body")), "left")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_every") - 1), F.col("_gone")), lambda i: F.get("_every", i))
     solid = F.size(F.filter("_every", lambda s: F.btrim(s, F.lit(SPACES)) != ""))
-    return (out.withColumn("_every", F.coalesce(every, F.array().cast("array<string>")))
-            .withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(solid).cast("bigint"),
-                          "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"),
-                          "_clean": F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))})
-            .withColumn(text, F.col("_clean")).drop("_id", "_body", "_hash", "_gone", "_every", "_clean"))
+    out = out.withColumn("_every", F.coalesce(F.split(whole, "\n", -1), F.array().cast("array<string>")))
+    out = out.withColumns({"n_lines": F.when(whole.isNull(), 0).otherwise(solid).cast("bigint"),
+                           "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"),
+                           "_clean": F.when(F.col("_gone").isNull(), whole).otherwise(F.array_join(kept, "\n"))})
+    out = unpacked(out.withColumnRenamed("_clean", text), docs.columns, ["n_lines", "n_removed", text])
+    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
 
 
 def sql() -> str:

@@ -4,8 +4,9 @@
 no shuffle, no explode, no user function, so the cost is one scan whatever the skew of sources or copies.
 
 Defined results: a null or empty text has no words, lines or symbols and is rejected (fewer than 50 words); a text
-without line breaks is one line; repeated rows are judged alike, each on its own; other columns are passed through
-(a clash with an added name is the caller's to rename: added names are listed in ``COUNTS``); an empty table gives an
+without line breaks is one line; repeated rows are judged alike, each on its own; other columns are passed through,
+but one named like an added column (``COUNTS``, base_failed, failed_rules, kept) is replaced by it; ``keep`` returns
+the input's columns as they were; an empty table gives an
 empty result. Word windows are compared by a 64-bit hash inside one text.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cantoria.llm.common import SPACES
+from cantoria.llm.common import SPACES, packed, unpacked
 
 SYMBOLS = "#*$%&|<>"
 #: fixed values: common function words of the four languages of the corpus
@@ -44,9 +45,9 @@ def _count_of(text: Column, chars: str) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the columns COUNTS (long)."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col("_doc")[text], F.lit(""))
     has_word = lambda line: F.length(F.trim(F.translate(line, SPACES[1:], " " * (len(SPACES) - 1)))) > 0
-    bound = docs.withColumns({
+    bound = packed(docs).withColumns({
         "_words": F.array_remove(F.split(F.translate(t, SPACES[1:], " " * (len(SPACES) - 1)), " ", -1), ""),
         "_lines": F.filter(F.split(t, "\n", -1), has_word)})
     n = F.size("_words")
@@ -76,8 +77,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_capitals": _count_of(t, CAPITALS),
         "n_bangs": _count_of(t, "!"),
     }
-    return (bound.withColumns({k: v.cast("bigint") for k, v in counts.items()})
-            .drop("_words", "_lines", "_tri", "_sorted", "_starts"))
+    return unpacked(bound.withColumns({k: v.cast("bigint") for k, v in counts.items()}), docs.columns, COUNTS)
 
 
 def base_failed() -> Column:
@@ -113,8 +113,9 @@ def keep(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
 
     A plain filter on the verdict would be pushed below the projections and repeat their expressions many times over;
     a row number, which is not deterministic, keeps it above them."""
-    judged = quality_rules(docs, text, rules).withColumn("_row", F.monotonically_increasing_id())
-    return judged.filter(F.col("kept") & (F.col("_row") >= 0)).select(docs.columns)
+    judged = quality_rules(packed(docs).select("_doc", F.col("_doc")[text].alias("text")), "text", rules)
+    judged = judged.withColumn("_row", F.monotonically_increasing_id()).filter(F.col("kept") & (F.col("_row") >= 0))
+    return unpacked(judged, docs.columns, [])
 
 
 def sql() -> str:

@@ -5,7 +5,7 @@ A shard added at the end takes only the records whose score it tops; no record m
 
 Defined results: a null key hashes like the empty string; a null text has no bytes (size 8, checksum 0); rows with the
 same key go to the same shard, one slot each; ties between shards go to the greater shard number; an empty table gives
-an empty result; other columns pass through.
+an empty result; other columns pass through, but ``place`` replaces columns with the names of its results.
 
 Scale: placing is a projection in the record's row. Slots are numbered in cells of (shard, md5 prefix of the key)
 whose counts combine map-side, so no task holds a whole shard.
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cantoria.llm.common import numbered, spread_key, staged
+from cantoria.llm.common import numbered, packed, spread_key, staged, unpacked
 
 SHARDS = 24
 
@@ -35,14 +35,14 @@ def place(rows: DataFrame, key: str = "doc_id", weights: list[float] | None = No
           shard: str = "shard", grown: str | None = "grown_shard") -> DataFrame:
     """Adds the shard and, if asked for, the shard with one more shard of grown_weight."""
     weights = weights or [1.0] * SHARDS
-    bound = rows.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("")))
+    bound = packed(rows).withColumn("_key", F.coalesce(F.col("_doc")[key].cast("string"), F.lit("")))
     bound = bound.withColumn("_best", _best(F.col("_key"), weights))
     out = bound.withColumn(shard, F.col("_best")["shard"])
     if grown:
         n = len(weights)
         more = F.struct(_score(F.col("_key"), n, grown_weight).alias("score"), F.lit(n).alias("shard"))
         out = out.withColumn(grown, F.greatest(F.col("_best"), more)["shard"])
-    return out.drop("_key", "_best")
+    return unpacked(out, rows.columns, [shard, grown] if grown else [shard])
 
 
 def manifest(docs: DataFrame, key: str = "doc_id", text: str = "text", weights: list[float] | None = None) -> DataFrame:

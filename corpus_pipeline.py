@@ -14,21 +14,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality_rules.keep(docs).select(COLUMNS)
+    return quality_rules.keep(docs.select(COLUMNS))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
-    return jaccard_join.one_of_each(docs).select(COLUMNS)
+    return jaccard_join.one_of_each(docs.select(COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
+    return decontaminate.decontaminate(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it (0 to 2 times)."""
+    docs = docs.select(COLUMNS)
     plan = mixing.mix_plan(docs).select("doc_id", "copies")
     # equal ids carry equal plans only by chance: each keeps the plan of one of its rows
     plan = plan.groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0")

@@ -1,0 +1,122 @@
+"""Personal data, line dedup and quality rules against plain Python."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+from cantoria.llm import line_dedup, pii, quality_rules
+
+SPACES = " \t\n\x0b\x0c\r"
+
+
+# ---------------------------------------------------------------- personal data
+
+def _luhn(d):
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        x = int(c)
+        if i % 2:
+            x = x * 2 - 9 if x > 4 else x * 2
+        total += x
+    return total % 10 == 0
+
+
+def base_spans(t):
+    t = t or ""
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    out = {
+        "email": [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)],
+        "ip": [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))],
+        "card": [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m)) <= 19 and _luhn(digits(m))],
+        "phone": [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m)) <= 15]}
+    return ",".join(f"{k}:{a}:{b}" for k in ["email", "ip", "card", "phone"] for a, b in out[k])
+
+
+def test_base_spans_equal_python(spark):
+    rnd = random.Random(1)
+    parts = ["a", "1", "2", ".", "@", "+", "-", " ", "(", ")", "é", "_", "4986109447343459", "555", "𝒳"]
+    texts = ["a@b.c_d@e.f", "é a.b@c.d.e. 1.2.3.4.5.6.7.8 0255.1.1.1 256.1.1.1", "+1 (772) 555-8768 and 4986-1094-4734-3459 +12 3",
+             "@@a@b@c.d@e.f", "𝒳 x@y.zz𝒳+1234567890 ", None, "", "x@y.z " * 300, "9" * 2000, "1.1.1.1 " * 200]
+    texts += ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 60))) for _ in range(300)]
+    got = {r.doc_id: r for r in pii.digest(pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for i, t in enumerate(texts):
+        want = base_spans(t)
+        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), t
+        assert got[i].spans[:len(want)] == want
+
+
+def test_long_runs_take_linear_time(spark):
+    texts = ["a" * 200_000 + "@", "1" * 200_000, "1." * 100_000, "+1 " + "(" * 100_000, "a.b@" + "c." * 50_000 + "d"]
+    rows = pii.digest(pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    assert {r.doc_id: r.n_email for r in rows} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1}
+
+
+def test_added_spans_and_edges(edge, empty):
+    rows = pii.digest(pii.spans(edge)).collect()
+    assert len(rows) == edge.count()
+    row = next(r for r in rows if r.doc_id == 12)
+    assert (row.n_email, row.n_phone) == (1, 1) and "secret:" in row.spans
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert all(r.base_sha256 == nothing and r.spans == "" for r in rows if r.doc_id in (None, 4, 5, 6, 7))
+    assert pii.digest(pii.spans(empty)).count() == 0
+
+
+def test_em_recovers_reliabilities():
+    rnd = random.Random(3)
+    counts = Counter()
+    for _ in range(4000):
+        y = rnd.random() < 0.4
+        votes = tuple(int(y) if rnd.random() < p else int(not y) for p in (0.95, 0.85, 0.75, 0.8))
+        counts[votes] += 1
+    table = [dict(zip(pii.LABELERS, v), kind="email", n=n) for v, n in counts.items()]
+    theta, _ = pii.em(table)
+    for name, p in zip(pii.LABELERS, (0.95, 0.85, 0.75, 0.8)):
+        assert abs(theta[name, 1, 1] - p) < 0.06 and abs(theta[name, 0, 0] - p) < 0.06
+
+
+# ---------------------------------------------------------------- quality rules
+
+def counts(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = Counter(tuple(words[i:i + 3]) for i in range(len(words) - 2))
+    covered = {j for i in range(len(words) - 2) if windows[tuple(words[i:i + 3])] >= 2 for j in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if x.strip(SPACES)]
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered))
+
+
+def test_quality_counts_equal_python(spark, edge, empty):
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice(["a ", "b ", "c\n", "#", "é ", "\t", "\n", "The of "]) for _ in range(rnd.randint(0, 80))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality_rules.quality_rules(df).collect():
+        want = counts(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert r.kept == (not r.base_failed and r.failed_rules == "")
+    rows = quality_rules.quality_rules(edge).collect()
+    assert len(rows) == edge.count() and all(not r.kept for r in rows if not r.text)
+    kept = quality_rules.keep(edge)
+    assert kept.columns == edge.columns and {r.kept for r in kept.collect()} == {"k"} and kept.count() > 0
+    assert quality_rules.keep(empty).count() == 0
+
+
+# ---------------------------------------------------------------- lines
+
+def test_lines_removed_by_exact_spread(spark, edge, empty):
+    rnd = random.Random(4)
+    pool = [f"line {i}" for i in range(40)] + ["", "  ", " line 1 "]
+    rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 8))), rnd.choice([f"s{k}" for k in range(9)] + [None])) for i in range(60)]
+    rows += [(100, None, "s1"), (101, "line 1\nline 1", None), (101, "line 1\nline 1", None)]
+    sites = defaultdict(set)
+    for _, t, s in rows:
+        for line in (t or "").split("\n"):
+            sites[line.strip(SPACES)].add(s)
+    bad = {x for x, s in sites.items() if x and len(s) >= 5}
+    want = Counter((i, None if t is None else "\n".join(x for x in t.split("\n") if x.strip(SPACES) not in bad)) for i, t, s in rows)
+    got = line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == want and bad
+    out = line_dedup.remove_boilerplate(edge)
+    assert out.count() == edge.count() and out.filter("text is null").count() == 2
+    assert line_dedup.remove_boilerplate(empty).count() == 0
