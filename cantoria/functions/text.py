@@ -143,10 +143,11 @@ def remove_stopwords(col, stopwords: list[str], mode: str = "word") -> Column:
 
 
 def parse_release_title(col) -> tuple[Column, Column]:
-    """P4: 'Artist - Album' -> (artist without '*' and '(n)', album or 'Single/Album')."""
-    parts = F.split(_c(col), " - ", 2)
+    """P4: 'Artist - Album' -> (artist without '*' and '(n)', album or 'Single/Album'). The album is the second of the
+    parts between separators, as it stands; further parts are not part of it."""
+    parts = F.split(_c(col), " - ")
     artist = F.trim(F.regexp_replace(F.regexp_replace(parts.getItem(0), r"\*", ""), r"\(\d+\)", ""))
-    album = F.when(F.size(parts) > 1, F.trim(parts.getItem(1))).otherwise(F.lit("Single/Album"))
+    album = F.when(F.size(parts) > 1, parts.getItem(1)).otherwise(F.lit("Single/Album"))
     return artist, album
 
 

@@ -77,20 +77,29 @@ def drop_clusters(df: DataFrame, ids: list[int], col: str = "cluster") -> DataFr
 
 
 # ------------------------------------------------------------------------------------------------ M9 / M11
-def balanced_weights(df: DataFrame, y: str) -> DataFrame:
-    """M9: n / (k * n_class) per row (k = number of classes present)."""
-    cnt = df.groupBy(y).agg(F.count(F.lit(1)).alias("_nc"))
-    from cantoria.operators.stats import _one_row_join
-    tot = cnt.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = _one_row_join(cnt, tot).select(y, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("peso"))
-    return df.join(w, y)
+def balanced_weights(df: DataFrame, y: str, by: str | None = None) -> DataFrame:
+    """M9: n / (k * n_class) per row (k = number of classes present), within each ``by`` when given."""
+    keys = [by] if by else []
+    cnt = df.groupBy(*keys, y).agg(F.count(F.lit(1)).alias("_nc"))     # one row per class
+    over = Window.partitionBy(*keys)
+    w = cnt.select(*keys, y, (F.sum("_nc").over(over) / (F.count(F.lit(1)).over(over) * F.col("_nc"))).alias("peso"))
+    return df.join(w, [*keys, y])
+
+
+def label_map(df: DataFrame, y: str, by: str | None = None) -> DataFrame:
+    """Present classes and their index 0..k-1 in ascending order (one row per class)."""
+    keys = [by] if by else []
+    return df.select(*keys, y).distinct().withColumn("indice", (F.row_number().over(Window.partitionBy(*keys).orderBy(y)) - 1).cast("int"))
+
+
+def label_index(df: DataFrame, y: str, by: str | None = None) -> DataFrame:
+    """M11 forward: adds the index of the row's class."""
+    return df.join(label_map(df, y, by), [*([by] if by else []), y])
 
 
-def label_index(df: DataFrame, y: str) -> DataFrame:
-    """Present classes compressed to 0..k-1 in ascending order (and back by joining the same table)."""
-    classes = df.select(y).distinct()
-    idx = classes.withColumn("indice", (F.row_number().over(Window.orderBy(y)) - 1).cast("int"))  # <= 4 rows
-    return df.join(idx, y)
+def label_decode(df: DataFrame, classes: DataFrame, y: str, by: str | None = None, index: str = "indice") -> DataFrame:
+    """M11 back: adds the class of an index, from the table that ``label_map`` gave."""
+    return df.join(classes.withColumnRenamed("indice", index), [*([by] if by else []), index])
 
 
 # ------------------------------------------------------------------------------------------------ M10 / M12
@@ -186,6 +195,6 @@ def token_attribution(df: DataFrame, id_col: str, text_col: str, score_fn, mode:
     return occ.select(id_col, "pos", "token", F.when(mx > 0, F.col("contrib") / mx).otherwise(0.0).alias("aporte"))
 
 
-__all__ = ["tfidf", "tfidf_vectors", "cluster", "cluster_profile", "drop_clusters", "balanced_weights", "label_index",
+__all__ = ["tfidf", "tfidf_vectors", "cluster", "cluster_profile", "drop_clusters", "balanced_weights", "label_index", "label_map", "label_decode",
            "train_multilabel", "score_units", "project", "topic_model", "class_tfidf", "time_bins",
            "token_attribution", "DIMS", "math"]

@@ -6,6 +6,9 @@ and Spark and DuckDB compute the same md5.
 
 from __future__ import annotations
 
+from functools import reduce
+from heapq import heapify, heappop, heappush
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,8 +55,11 @@ def dedupe(df: DataFrame, key, order: list[str], last: bool = False, method: str
 def neighbour_context(df: DataFrame, keys=("artist", "song"), order=("song_id", "verso_idx"),
                       text_col: str = "verso_texto", radius: int = 1) -> DataFrame:
     """W1 (pool scope): previous + current + next unit inside the given (filtered) table per song; missing
-    neighbours are ''; the result is stripped with whitespace runs collapsed (not lower-cased)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+    neighbours are ''; the result is stripped with whitespace runs collapsed (not lower-cased). Units with a null key
+    belong to no song: each is alone, so they neither see each other nor meet in one task."""
+    unkeyed = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in keys])
+    alone = F.when(unkeyed, F.concat_ws("|", *[F.col(c).cast("string") for c in order]))
+    w = Window.partitionBy(*keys, alone).orderBy(*order)
     parts = [F.coalesce(F.lag(text_col, i).over(w), F.lit("")) for i in range(radius, 0, -1)]
     parts += [F.col(text_col)]
     parts += [F.coalesce(F.lead(text_col, i).over(w), F.lit("")) for i in range(1, radius + 1)]
@@ -115,15 +121,24 @@ def ordered_distinct_units(units: Column) -> Column:
 
 def stratified_split(df: DataFrame, label_cols: list[str], test_frac: float = 0.2, seed: int = SEED,
                      id_col: str = "id") -> DataFrame:
-    """M8: key = labels joined by '_'; within each key the first ceil(frac * n) rows in hash order are test.
-    Singleton keys (the study's 'rare_combination' pool) fall into their own group and go to train."""
-    key = F.concat_ws("_", *[F.col(c).cast("string") for c in label_cols])
-    w = Window.partitionBy("_strat").orderBy(hash_key(id_col, seed=seed), id_col)
-    n = F.count(F.lit(1)).over(Window.partitionBy("_strat"))
-    out = (df.withColumn("_strat", key).withColumn("_r", F.row_number().over(w)).withColumn("_n", n)
-           .withColumn("split", F.when((F.col("_n") > 1) & (F.col("_r") <= F.ceil(F.col("_n") * test_frac)),
-                                       F.lit("test")).otherwise(F.lit("train"))))
-    return out.drop("_r", "_n").withColumnRenamed("_strat", "estrato")
+    """M8: key = labels joined by '_'; combinations that occur once are pooled as 'rare_combination' and split like
+    any other stratum. The test part has ceil(frac * rows) rows: every stratum gives floor(frac * n), and the strata
+    with the largest remainders give one more. Within a stratum rows are taken in hash order. The strata (at most the
+    label combinations) are the only table sorted in one task."""
+    keyed = df.withColumn("_key", F.concat_ws("_", *[F.col(c).cast("string") for c in label_cols]))
+    sizes = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("estrato", F.when(F.col("_n") == 1, F.lit("rare_combination")).otherwise(F.col("_key")))
+    strata = sizes.groupBy("estrato").agg(F.sum("_n").alias("_n"))
+    part = F.lit(float(test_frac)) * F.col("_n")
+    every = Window.partitionBy()
+    strata = strata.select("estrato", "_n", F.floor(part).alias("_low"), (part - F.floor(part)).alias("_rest"))
+    more = F.ceil(F.lit(float(test_frac)) * F.sum("_n").over(every)) - F.sum("_low").over(every)
+    turn = F.row_number().over(Window.orderBy(F.desc("_rest"), "estrato"))
+    strata = strata.select("estrato", (F.col("_low") + (turn <= more).cast("int")).alias("_quota"))
+    w = Window.partitionBy("estrato").orderBy(hash_key(id_col, seed=seed), id_col)
+    out = keyed.join(sizes.drop("_n"), "_key").join(strata, "estrato").withColumn("_r", F.row_number().over(w))
+    split = F.when(F.col("_r") <= F.col("_quota"), F.lit("test")).otherwise(F.lit("train"))
+    return out.withColumn("split", split).select(*df.columns, "estrato", "split")
 
 
 # ------------------------------------------------------------------------------------------------ W7 greedy
@@ -134,36 +149,27 @@ DIVERSE_SCHEMA = T.StructType([
 ])
 
 
-def _round_robin(pdf: pd.DataFrame, target: int, lo: float, hi: float, keep: str) -> pd.DataFrame:
-    """Greedy diverse pick for one dimension: band filter, dedupe by verse, sort by similarity, decades take
-    turns, an artist is used once across all decades, a decade with nothing left retires."""
-    pdf = pdf.sort_values(["attractor", "rank"], kind="stable")
-    pdf = pdf[(pdf["similitud_coseno"] >= lo) & (pdf["similitud_coseno"] <= hi)]
-    if keep == "best":
-        pdf = pdf.sort_values(["similitud_coseno"], ascending=False, kind="stable")
-    pdf = pdf.drop_duplicates(subset=["verso_texto"], keep="first")
-    pdf = pdf.sort_values(["similitud_coseno"], ascending=False, kind="stable")
-    queues = {d: g for d, g in pdf.groupby("decada", sort=True)}
-    ptr = {d: 0 for d in queues}
-    used, out, turn = set(), [], 0
-    active = sorted(queues)
-    while active and len(out) < target:
-        for d in list(active):
-            if len(out) >= target:
-                break
-            g = queues[d]
-            i = ptr[d]
-            while i < len(g) and g.iloc[i]["artist"] in used:
-                i += 1
-            if i >= len(g):
-                active.remove(d)
-                continue
-            row = g.iloc[i]
-            ptr[d] = i + 1
-            used.add(row["artist"])
-            out.append((row["dim"], turn, int(d), row["artist"], row["verso_texto"], float(row["similitud_coseno"])))
-            turn += 1
-    return pd.DataFrame(out, columns=[f.name for f in DIVERSE_SCHEMA.fields])
+def _picked_in_turns(cands: pd.DataFrame, target: int, lo: float, hi: float, keep: str) -> pd.DataFrame:
+    """The pick of one dimension. Candidates inside the band, one per verse (its first or its best occurrence), queue
+    up by decade, best first. A heap of (lap, decade) says whose turn it is; a decade gives its best candidate by an
+    artist nobody has given yet and enters the next lap, or leaves when it has none."""
+    best_first = {"by": ["similitud_coseno", "attractor", "rank"], "ascending": [False, True, True], "kind": "stable"}
+    first_seen = {"by": ["attractor", "rank"], "kind": "stable"}
+    inside = cands[cands["similitud_coseno"].between(lo, hi)].sort_values(**(best_first if keep == "best" else first_seen))
+    ranked = inside.drop_duplicates("verso_texto").sort_values(**best_first)
+    queues = {int(decade): iter(own.to_dict("records")) for decade, own in ranked.groupby("decada")}
+    turns = [(0, decade) for decade in queues]
+    heapify(turns)
+    artists: set = set()
+    picked: list[dict] = []
+    while turns and len(picked) < target:
+        lap, decade = heappop(turns)
+        choice = next((c for c in queues[decade] if c["artist"] not in artists), None)
+        if choice is not None:
+            artists.add(choice["artist"])
+            picked.append({**choice, "turn": len(picked)})
+            heappush(turns, (lap + 1, decade))
+    return pd.DataFrame(picked, columns=[f.name for f in DIVERSE_SCHEMA.fields])
 
 
 def diverse_round_robin(cands: DataFrame, target: int = DIVERSE_TARGET, lo: float = 0.60, hi: float = 0.90,
@@ -173,7 +179,7 @@ def diverse_round_robin(cands: DataFrame, target: int = DIVERSE_TARGET, lo: floa
     per dimension is safe at any corpus size. ``keep='first'`` reproduces the study's first-occurrence rule."""
     cols = ["dim", "attractor", "rank", "decada", "artist", "verso_texto", "similitud_coseno"]
     return cands.select(*cols).groupBy("dim").applyInPandas(
-        lambda pdf: _round_robin(pdf, target, lo, hi, keep), DIVERSE_SCHEMA)
+        lambda pdf: _picked_in_turns(pdf, target, lo, hi, keep), DIVERSE_SCHEMA)
 
 
 __all__ = ["dedupe", "neighbour_context", "neighbour_context_inline", "quota_sample", "sample_units", "sample_n",

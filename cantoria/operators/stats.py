@@ -126,7 +126,8 @@ def entropy_bootstrap(df: DataFrame, by: str, cols: list[str], order: str, reps:
         draws = (n_by.select(by, "canciones", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
                  .select(by, "canciones", "rep", F.explode(F.sequence(F.lit(0), F.col("canciones") - 1)).alias("_j"))
                  .withColumn("_idx", F.pmod(hash_unit(by, "rep", "_j", seed=seed), F.col("canciones"))))
-        picked = draws.join(rows, [by, "_idx"])
+        # one row per row and replicate: never a broadcast side, however few groups the draws come from
+        picked = draws.hint("merge").join(rows, [by, "_idx"])
         sums = picked.groupBy(by, "rep").agg(F.array(*[F.sum(c).cast("double") for c in cols]).alias("_s"))
     elif method == "poisson":
         rep_rows = base.select(by, order, *cols, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))

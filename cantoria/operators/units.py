@@ -94,7 +94,7 @@ def verse_to_stanza(verses: DataFrame, songs: DataFrame, verse_col: str = "verso
     Stanzas and their search forms are built once per song (first lyric row per key), then equi-joined to the
     verses: the study's scan of every song per verse becomes a hash join plus a bounded in-row search."""
     lyr = _first_lyrics_per_key(songs, list(keys))
-    st = stanza_array(F.col("_lyrics"))
+    st = stanza_array(normalize_text("_lyrics"))      # both sides pass P1
     lyr = lyr.select(*keys, st.alias("_st")).select(*keys, "_st", F.transform("_st", lambda x: collapse_ws(x)).alias("_stn"))
     # the needle is computed below the join: a Python UDF (NFKC) cannot run inside a higher-order function, and
     # an expression referenced from inside the per-stanza lambda would be re-evaluated for every stanza

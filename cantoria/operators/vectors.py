@@ -1,10 +1,9 @@
 """Unit vectors, attractors, similarity search and class balancing.
 
 Vectors are ``array<double>`` columns (``VectorUDT`` only at the ML boundary). Attractor sets are small by
-construction (at most 5 per dimension), so similarity search embeds them as a literal array in the plan: every
-pool row scores itself against all attractors in one projection, and the per-attractor top-k is a
-``row_number() <= k`` window that Spark plans as a partial ``WindowGroupLimit`` before the shuffle, so each task
-ships at most k rows per attractor.
+construction (at most 5 per dimension) and are the stated query set of similarity search: their matrix is broadcast,
+every Arrow batch of the pool is multiplied with it in blocks, and only rows that can be among a batch's k best of an
+attractor leave the task, before the ``row_number() <= k`` window ranks them.
 """
 
 from __future__ import annotations
@@ -13,19 +12,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cantoria.fixed import BAND_HI, BAND_LO, SEED, TOPK_MAX
 from cantoria.functions.scores import ordinal
 from cantoria.functions.text import tokens
 
-MAX_ATTRACTORS = 4096          # literal-array bound for the query side of J7
-MAX_GROUPS = 64                # M5 runs one small model search per group (dimension)
+ATTRACTOR_BLOCK = 512          # J7 compares a batch with so many attractors at once
 HASH_DIM = 64
 
 
@@ -96,9 +95,7 @@ def weighted_attractors(anchors: DataFrame, by: str, vec: str, weight: str, k_ma
     k-means with the weight column for k in 2..min(k_max, n-1), keeping the first k with the best silhouette;
     centres scaled to unit length. One small Spark ML fit per (group, k); anchor sets are review-sized."""
     out = []
-    groups = [r[0] for r in anchors.select(by).distinct().orderBy(by).limit(MAX_GROUPS + 1).collect()]
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} attractor groups: one model search per group is meant for dimensions")
+    groups = [r[0] for r in anchors.select(by).distinct().orderBy(by).collect()]       # the dimensions
     feats = anchors.select(by, array_to_vector(vec).alias("features"), F.col(weight).cast("double").alias("w"))
     for g in groups:
         part = feats.where(F.col(by) == g).cache()
@@ -134,22 +131,33 @@ def silhouette(df: DataFrame, vec: str, pred: str) -> float:
 # --------------------------------------------------------------------------------------------- J7 / F3
 def similarity_topk(pool: DataFrame, attractors: DataFrame, vec: str, key_cols: list[str],
                     attractor_cols: list[str], k: int = TOPK_MAX) -> DataFrame:
-    """Inner product of unit vectors; per attractor the min(k, N) best pool rows (rank 1 = most similar;
-    ties by the pool key). ``attractors`` must be small: its size is checked, then it travels as one literal."""
-    # one bounded read: at most MAX_ATTRACTORS + 1 rows ever reach the driver
-    att = attractors.select(*attractor_cols, "centroide").orderBy(*attractor_cols).limit(MAX_ATTRACTORS + 1).collect()
-    if len(att) > MAX_ATTRACTORS:
-        raise ValueError(f"more than {MAX_ATTRACTORS} attractors exceed the literal bound; use LSH (knn_lsh)")
-    ids = [tuple(r[c] for c in attractor_cols) for r in att]
-    lit_vecs = F.array(*[F.array(*[F.lit(float(x)) for x in r["centroide"]]) for r in att])
-    scored = pool.select(*key_cols, F.col(vec).alias("_v"))
-    sims = scored.select(*key_cols, F.posexplode(F.transform(lit_vecs, lambda a: dot(a, F.col("_v")))).alias("_a", "sim"))
-    sims = sims.withColumn("similitud_coseno", F.round("sim", 9))
-    w = Window.partitionBy("_a").orderBy(F.desc("similitud_coseno"), *key_cols)
-    top = sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    mapping = pool.sparkSession.createDataFrame([(i, *v) for i, v in enumerate(ids)],
-                                                ["_a", *attractor_cols])
-    return top.join(F.broadcast(mapping), "_a").drop("_a", "sim")
+    """Inner product of unit vectors; per attractor the min(k, N) best pool rows (rank 1 = most similar; ties by
+    the pool key). ``attractors`` is the query set: its matrix is held by every task, whatever its number of rows."""
+    att = attractors.select(*attractor_cols, "centroide").orderBy(*attractor_cols).toPandas()
+    matrix = np.array(att["centroide"].tolist(), dtype=float).reshape(len(att), -1)
+    shared = pool.sparkSession.sparkContext.broadcast((matrix, att[attractor_cols]))
+    fields = {f.name: f for f in [*pool.select(*key_cols).schema, *attractors.select(*attractor_cols).schema]}
+    schema = T.StructType([fields[c] for c in [*key_cols, *attractor_cols]]).add("sim", "double")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres, names = shared.value
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.array(pdf["_v"].tolist(), dtype=float)
+            for start in range(0, len(centres), ATTRACTOR_BLOCK):
+                sims = x @ centres[start:start + ATTRACTOR_BLOCK].T
+                # rows within rounding of the batch's k-th best stay: ties are settled by the window
+                least = np.partition(sims, -k, axis=0)[-k] if len(sims) > k else np.full(sims.shape[1], -np.inf)
+                row, col = np.nonzero(sims >= least - 1e-8)
+                out = pd.concat([pdf[key_cols].iloc[row].reset_index(drop=True), names.iloc[col + start].reset_index(drop=True)], axis=1)
+                out["sim"] = sims[row, col]
+                yield out
+
+    sims = pool.select(*key_cols, F.col(vec).alias("_v")).mapInPandas(run, schema)
+    sims = sims.withColumn("similitud_coseno", F.round("sim", 9)).drop("sim")
+    w = Window.partitionBy(*attractor_cols).orderBy(F.desc("similitud_coseno"), *key_cols)
+    return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def band(df: DataFrame, lo: float = BAND_LO, hi: float = BAND_HI, col: str = "similitud_coseno") -> DataFrame:
@@ -158,19 +166,73 @@ def band(df: DataFrame, lo: float = BAND_LO, hi: float = BAND_HI, col: str = "si
 
 
 # --------------------------------------------------------------------------------------------- J8 / M7
-def knn_lsh(df: DataFrame, id_col: str, vec: str, by: str, k: int = 5, bucket_length: float = 2.0,
-            num_tables: int = 4, max_dist: float = 4.0, seed: int = SEED) -> DataFrame:
-    """J8 at scale: approximate k nearest neighbours inside each class with Euclidean LSH. Candidate pairs
-    come only from shared hash buckets (no all-pairs product); the k best by exact distance are kept."""
-    feats = df.select(id_col, by, array_to_vector(vec).alias("features"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(feats)
-    pairs = lsh.approxSimilarityJoin(feats, feats, max_dist, distCol="dist")
-    pairs = pairs.select(F.col(f"datasetA.{id_col}").alias(id_col), F.col(f"datasetB.{id_col}").alias("vecino"),
-                         F.col(f"datasetA.{by}").alias(by), F.col(f"datasetB.{by}").alias("_b2"), "dist")
-    pairs = pairs.where((F.col(by) == F.col("_b2")) & (F.col(id_col) != F.col("vecino"))).drop("_b2")
+KNN_BLOCK = 2048
+
+
+def knn_exact(df: DataFrame, id_col: str, vec: str, by: str, k: int = 5, block: int = KNN_BLOCK) -> DataFrame:
+    """The k nearest rows (Euclidean distance, ties by id) inside each class. A class is cut into blocks of about
+    ``block`` rows by the hash of the id; every pair of blocks is one group, compared as a matrix, and returns at most
+    k rows per query row, so no pair table and no whole class is ever in one task."""
+    sizes = df.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_b"))
+    rows = (df.select(id_col, by, F.col(vec).alias("_v")).join(sizes, by)
+            .withColumn("_own", F.pmod(F.xxhash64(id_col), F.col("_b")).cast("int"))
+            .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_b") - 1))))
+    asked = rows.select(id_col, by, "_v", F.col("_own").alias("_q"), F.col("_other").alias("_c"), F.lit(True).alias("_ask"))
+    given = rows.select(id_col, by, "_v", F.col("_other").alias("_q"), F.col("_own").alias("_c"), F.lit(False).alias("_ask"))
+    own = df.schema[id_col].dataType
+    schema = T.StructType([T.StructField(id_col, own), T.StructField("vecino", own), T.StructField(by, df.schema[by].dataType),
+                           T.StructField("dist", T.DoubleType())])
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, c = pdf[pdf["_ask"]], pdf[~pdf["_ask"]].sort_values(id_col)
+        if not len(q) or not len(c):
+            return pd.DataFrame(columns=[f.name for f in schema.fields])
+        x, y = np.array(q["_v"].tolist(), dtype=float), np.array(c["_v"].tolist(), dtype=float)
+        qid, cid = q[id_col].to_numpy(), c[id_col].to_numpy()
+        parts = []
+        for at in range(0, len(x), 256):
+            some = x[at:at + 256]
+            # differences, not the product form: equal vectors get distance 0 exactly
+            dist = np.stack([np.sqrt(((y - v) ** 2).sum(axis=1)) for v in some])
+            dist[qid[at:at + 256][:, None] == cid[None, :]] = np.inf
+            best = np.argsort(dist, axis=1, kind="stable")[:, :k]
+            far = np.take_along_axis(dist, best, 1)
+            row, col = np.nonzero(np.isfinite(far))
+            parts.append(pd.DataFrame({id_col: qid[at + row], "vecino": cid[best[row, col]], by: pdf[by].iloc[0], "dist": far[row, col]}))
+        return pd.concat(parts)
+
+    found = asked.unionByName(given).groupBy(by, "_q", "_c").applyInPandas(nearest, schema)
     w = Window.partitionBy(id_col).orderBy("dist", "vecino")
-    return pairs.withColumn("orden", F.row_number().over(w)).where(F.col("orden") <= k)
+    return found.withColumn("orden", F.row_number().over(w)).where(F.col("orden") <= k)
+
+
+# --------------------------------------------------------------------------------------------- M18
+def cached_vectors(df: DataFrame, text_col: str, path: str, encoder: str, encode) -> DataFrame:
+    """Key, text, vector and whether the cache held it, for the distinct texts of ``df``. The cache is a Parquet
+    folder keyed by md5(text | encoder id); missing texts are encoded (``encode(df)`` adds ``vec``), appended and read
+    back with the others."""
+    want = df.select(F.md5(F.concat(F.col(text_col), F.lit("|" + encoder))).alias("clave"), F.col(text_col))
+    want = want.where(F.col(text_col).isNotNull()).dropDuplicates(["clave"])
+    before = read_cache(df.sparkSession, path)
+    fresh = want if before is None else want.join(before.select("clave"), "clave", "left_anti")
+    encode(fresh).select("clave", F.col(text_col).alias("texto"), "vec").write.mode("append").parquet(path)
+    known = F.lit(False)
+    if before is not None:
+        # ``before`` lists the files of its time: what this call appended is not among them
+        want = want.join(before.select("clave", F.lit(True).alias("_held")).dropDuplicates(["clave"]), "clave", "left")
+        known = F.coalesce("_held", F.lit(False))
+    vectors = read_cache(df.sparkSession, path).dropDuplicates(["clave"])
+    return want.withColumn("desde_cache", known).join(vectors.select("clave", "vec"), "clave").select("clave", text_col, "vec", "desde_cache")
+
+
+def read_cache(spark, path: str) -> DataFrame | None:
+    """The vector cache, or None where none was written yet; any other failure to read is raised."""
+    try:
+        return spark.read.schema("clave string, texto string, vec array<double>").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def oversample(df: DataFrame, id_col: str, vec: str, labels: list[str], by: str, neighbours: DataFrame,

@@ -167,8 +167,9 @@ def collapse_ws_q(spark, sf):
 @register("parse_release_title")
 def parse_release_title(spark, sf):
     s = load_songs(spark, sf)
-    title = F.when(F.col("song_id") % 3 == 0, F.col("artist")).otherwise(
-        F.concat(F.col("artist"), F.lit("* (2) - "), F.col("album")))
+    title = (F.when(F.col("song_id") % 3 == 0, F.col("artist"))
+             .when(F.col("song_id") % 3 == 1, F.concat(F.col("artist"), F.lit("* (2) - "), F.col("album")))
+             .otherwise(F.concat(F.col("artist"), F.lit(" -  "), F.col("album"), F.lit("  - Remix - "), F.col("song"))))
     artist, album = tx.parse_release_title(title)
     return s.select("song_id", artist.alias("artista"), album.alias("album"))
 
@@ -647,16 +648,7 @@ def flow_stats(spark, sf):
     """Review counts per origin, after max-pool dedupe, after per-decade balancing (each decade topped up to
     the largest; skipped when the smallest decade has one row), synthetic rows."""
     r = reviews(spark, sf)
-    g = gold(spark, sf).withColumn("decada", bucket(year_num("year", default=2000), 10))
-    per_dec = g.groupBy("decada").agg(F.count(F.lit(1)).alias("c"))
-    bal = per_dec.agg(F.count(F.lit(1)).alias("k"), F.max("c").alias("c_max"), F.min("c").alias("c_min"),
-                      F.sum("c").alias("tot"))
-    counts = r.agg(F.count_if(F.col("origen") == "Regex").alias("regex_in"),
-                   F.count_if(F.col("origen") == "K-Means").alias("kmeans_in"))
-    out = st._one_row_join(counts, bal)
-    smote = F.when(F.least(F.lit(5), F.col("c_min") - 1) > 0, F.col("k") * F.col("c_max")).otherwise(F.col("tot"))
-    return out.select("regex_in", "kmeans_in", F.col("tot").alias("deduplicado"), smote.cast("bigint").alias("smote_out"),
-                      (smote - F.col("tot")).cast("bigint").alias("sinteticos_creados"))
+    return ru.flow_stats(r.where(F.col("origen") == "Regex"), r.where(F.col("origen") == "K-Means"), gold(spark, sf), balanced(spark, sf))
 
 
 # ----------------------------------------------------------------------------------------------------- vectors
@@ -736,16 +728,14 @@ def diverse_round_robin(spark, sf):
 
 @register("vector_cache")
 def vector_cache(spark, sf):
-    """Keys (md5 of text + encoder id) of all verse texts; those of labelled songs' verses come from the
-    cache, the rest are encoded (anti join)."""
-    enc = "hash64"
-    key = F.md5(F.concat(F.col("verso_texto"), F.lit("|" + enc)))
-    cache = un.to_verses(load_songs(spark, sf).join(table(spark, sf, "labels").select(
-        F.col("doc_id").alias("song_id")), "song_id")).select(key.alias("clave")).distinct()
-    want = un.to_verses(load_songs(spark, sf)).select(key.alias("clave")).distinct()
-    hit = want.join(cache, "clave", "left_semi").withColumn("desde_cache", F.lit(True))
-    miss = want.join(cache, "clave", "left_anti").withColumn("desde_cache", F.lit(False))
-    return hit.unionByName(miss)
+    """The verses of labelled songs are encoded into a cache first; then all verses ask for their vectors: what
+    the cache holds is read back, the rest is encoded and added."""
+    path = _scratch(spark, "vector-cache")
+    encode = lambda df: hashed(df, "verso_texto")
+    labelled = load_songs(spark, sf).join(table(spark, sf, "labels").select(F.col("doc_id").alias("song_id")), "song_id", "left_semi")
+    vx.cached_vectors(un.to_verses(labelled), "verso_texto", path, "hash64", encode)
+    out = vx.cached_vectors(un.to_verses(load_songs(spark, sf)), "verso_texto", path, "hash64", encode)
+    return out.select("clave", "desde_cache")
 
 
 @register("weighted_attractors")
@@ -757,17 +747,21 @@ def weighted_attractors(spark, sf):
 @register("knn_within_class")
 def knn_within_class(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    return vx.knn_lsh(e, "vec_id", "v", "label", k=5)
+    return r6(vx.knn_exact(e, "vec_id", "v", "label", k=5))
 
 
-@register("oversample_interpolate")
-def oversample_interpolate(spark, sf):
+def balanced(spark, sf) -> DataFrame:
+    """M7 output: the gold rows and the synthetic ones."""
     from cantoria.session import cut_lineage
     g = cut_lineage(hashed(gold(spark, sf), "verso_texto")
                     .withColumn("decada", bucket(year_num("year", default=2000), 10)))
-    nb = vx.knn_lsh(g.select("verso_texto", "decada", "vec"), "verso_texto", "vec", "decada", k=5,
-                    bucket_length=0.5, max_dist=1.5)
-    out = vx.oversample(g, "verso_texto", "vec", LABEL_COLS, "decada", nb)
+    nb = vx.knn_exact(g.select("verso_texto", "decada", "vec"), "verso_texto", "vec", "decada", k=5)
+    return vx.oversample(g, "verso_texto", "vec", LABEL_COLS, "decada", nb)
+
+
+@register("oversample_interpolate")
+def oversample_interpolate(spark, sf):
+    out = balanced(spark, sf)
     return out.groupBy("decada", "sintetico").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -830,17 +824,15 @@ def gold_long(spark, sf) -> DataFrame:
 
 @register("balanced_weights")
 def balanced_weights(spark, sf):
-    g = gold_long(spark, sf)
-    c = g.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("n_c"))
-    t = c.groupBy("dim").agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"))
-    return r6(c.join(t, "dim").select("dim", "label", (F.col("n") / (F.col("k") * F.col("n_c"))).alias("peso")))
+    return r6(ml.balanced_weights(gold_long(spark, sf), "label", by="dim").select("dim", "label", "peso").distinct())
 
 
 @register("label_index")
 def label_index(spark, sf):
-    d = gold_long(spark, sf).select("dim", "label").distinct()
-    w = Window.partitionBy("dim").orderBy("label")            # <= 4 classes per dimension
-    return d.withColumn("indice", (F.row_number().over(w) - 1).cast("int"))
+    """Forward map of every (dimension, class); the label is read back through the inverse map."""
+    g = gold_long(spark, sf)
+    forward = ml.label_index(g, "label", by="dim").select("dim", "indice").distinct()
+    return ml.label_decode(forward, ml.label_map(g, "label", by="dim"), "label", by="dim").select("dim", "label", "indice")
 
 
 def trained(spark, sf):

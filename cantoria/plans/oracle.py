@@ -120,8 +120,9 @@ sql("parse_release_title", _S + """
 SELECT song_id,
   trim(regexp_replace(regexp_replace(CASE WHEN strpos(t, ' - ') > 0 THEN substr(t, 1, strpos(t, ' - ') - 1) ELSE t END,
        '\\*', '', 'g'), '\\(\\d+\\)', '', 'g')) AS artista,
-  CASE WHEN strpos(t, ' - ') > 0 THEN trim(substr(t, strpos(t, ' - ') + 3)) ELSE 'Single/Album' END AS album
-FROM (SELECT song_id, CASE WHEN song_id % 3 = 0 THEN artist ELSE artist || '* (2) - ' || album END AS t FROM songs)""")
+  coalesce(string_split(t, ' - ')[2], 'Single/Album') AS album
+FROM (SELECT song_id, CASE song_id % 3 WHEN 0 THEN artist WHEN 1 THEN artist || '* (2) - ' || album
+                      ELSE artist || ' -  ' || album || '  - Remix - ' || song END AS t FROM songs)""")
 
 sql("min_length_filter", _S + "SELECT song_id, CAST(length(lyrics) AS INTEGER) AS n_chars FROM songs WHERE length(lyrics) >= 150")
 
@@ -557,10 +558,23 @@ sql("tfidf", k.with_(k.SONGS_CTE, _CT) + """
 , w AS (SELECT tf.song_id, tf.term, tf.tf * (ln((1.0 + nd.n) / (1.0 + vocab.df)) + 1) AS w FROM tf JOIN vocab USING (term), nd)
 SELECT song_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY song_id)), 6) AS weight FROM w""")
 
-sql("stratified_split", _R + f"""SELECT verso_texto, estrato, CASE WHEN n > 1 AND r <= ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split
-FROM (SELECT verso_texto, estrato, count(*) OVER (PARTITION BY estrato) AS n,
-             row_number() OVER (PARTITION BY estrato ORDER BY md5(verso_texto || '|42'), verso_texto) AS r
-      FROM (SELECT *, concat_ws('_', {_VALS}) AS estrato FROM gold))""")
+sql("knn_within_class", '''
+WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT a.vec_id, b.vec_id AS vecino, a.label, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, vecino) AS orden FROM p)
+SELECT vec_id, vecino, label, round(dist, 6) AS dist, CAST(orden AS INTEGER) AS orden FROM r WHERE orden <= 5''')
+
+sql("stratified_split", _R.rstrip() + f""",
+st0 AS (SELECT *, concat_ws('_', {_VALS}) AS e0 FROM gold),
+pooled AS (SELECT st0.*, CASE WHEN n0 = 1 THEN 'rare_combination' ELSE e0 END AS estrato
+           FROM st0 JOIN (SELECT e0, count(*) AS n0 FROM st0 GROUP BY e0) USING (e0)),
+sizes AS (SELECT estrato, count(*) AS n, floor(0.2::DOUBLE * count(*)) AS low, 0.2::DOUBLE * count(*) - floor(0.2::DOUBLE * count(*)) AS rest
+          FROM pooled GROUP BY estrato),
+quota AS (SELECT estrato, low + CASE WHEN row_number() OVER (ORDER BY rest DESC, estrato)
+            <= ceil(0.2::DOUBLE * sum(n) OVER ()) - sum(low) OVER () THEN 1 ELSE 0 END AS k FROM sizes)
+SELECT verso_texto, estrato, CASE WHEN r <= k THEN 'test' ELSE 'train' END AS split
+FROM (SELECT verso_texto, estrato, row_number() OVER (PARTITION BY estrato ORDER BY md5(verso_texto || '|42'), verso_texto) AS r FROM pooled)
+JOIN quota USING (estrato)""")
 
 _GL = _R.rstrip() + f""",
 gl AS (SELECT verso_texto, substr(dim, 5) AS dim, label FROM (UNPIVOT gold ON {_VALS} INTO NAME dim VALUE label))

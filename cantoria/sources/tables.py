@@ -24,16 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_songs(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType = SONGS_SCHEMA) -> DataFrame:
-    """Read a song table; CSV with header, BOM and multi-line quoted lyrics is supported. Rows with null
-    lyrics are dropped. Text ``nan`` years are kept as text; coercion happens at use (P10)."""
+    """Read a song table; CSV with header, BOM and multi-line quoted lyrics is supported. CSV columns are taken by
+    their header names, in any order; where the file has no ``song_id``, rows are numbered in reading order (unique
+    and increasing, not gapless). Rows with null lyrics are dropped. Text ``nan`` years are kept as text; coercion
+    happens at use (P10)."""
     if fmt == "csv":
-        df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-              .option("escape", '"').option("encoding", "UTF-8").csv(path))
-        # A UTF-8 BOM would land in the first header name; the explicit schema makes names positional, and the
-        # first value of the first row loses a BOM if present.
-        first = schema.fieldNames()[0]
-        if isinstance(schema[first].dataType, T.StringType):
-            df = df.withColumn(first, F.regexp_replace(first, "^﻿", ""))
+        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+        raw = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
+        missing = [f.name for f in schema if f.name not in raw.columns and f.name != "song_id"]
+        if missing:
+            raise ValueError(f"{path} has no column {', '.join(missing)}")
+        number = F.monotonically_increasing_id()
+        df = raw.select(*[(F.col(f.name) if f.name in raw.columns else number).cast(f.dataType).alias(f.name) for f in schema])
     else:
         df = spark.read.schema(schema).parquet(path) if schema is not None else spark.read.parquet(path)
     return df.dropna(subset=["lyrics"])
@@ -59,27 +61,19 @@ def songs_from_documents(documents: DataFrame) -> DataFrame:
             ))
 
 
-def parallelism(spark: SparkSession) -> int:
-    try:
-        return spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - no SparkContext on the client
-        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+SPREAD_KEY = "spark.cantoria.spreadPartitions"
 
 
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """CPU-heavy text work runs per input split. A corpus of many files has far more splits than cores and is
-    left alone; a scan with fewer splits than the session's parallelism (e.g. one file with one row group) is
-    spread round-robin first, so the in-row work does not run in a single task. Planning only, no job."""
-    target = parallelism(df.sparkSession)
-    try:
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD API on the client (e.g. Spark Connect): leave the scan as it is
-        return df
-    return df.repartition(target) if splits < target else df
+def spread_scan(df: DataFrame) -> DataFrame:
+    """CPU-heavy text work runs per input split; splits are sized by spark.sql.files.maxPartitionBytes. A session that
+    reads files which cannot be split (one row group) may ask for a round-robin exchange of the rows by setting
+    SPREAD_KEY to a number of partitions; without it no scan is ever shuffled."""
+    n = df.sparkSession.conf.get(SPREAD_KEY, None)
+    return df.repartition(int(n)) if n else df
 
 
 def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return songs_from_documents(spread_small_scan(table(spark, sf_dir, "documents")))
+    return songs_from_documents(spread_scan(table(spark, sf_dir, "documents")))
 
 
 # SQL twin of ``songs_from_documents`` for the DuckDB oracle.

@@ -16,7 +16,9 @@ Both write under the shared checkpoint folder named by ``spark.checkpoint.dir``
 from __future__ import annotations
 
 import uuid
+import zlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,39 +49,51 @@ def document_stream(spark: SparkSession, folder: str, glob: str = "documents*.pa
     return reader.parquet(folder)
 
 
-def _ingest_batch(target: str, min_chars: int):
+def _known(spark: SparkSession, target: str) -> DataFrame | None:
+    """Fingerprints of the target, or None before its first batch; any other failure to read it is raised."""
+    try:
+        return spark.read.schema("huella string, lote string").parquet(target)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _ingest_batch(target: str, min_chars: int, run_id: str = ""):
+    """``run_id`` names the checkpoint: batches of different checkpoints never share a partition of the target."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        lote = f"{run_id}b{batch_id:08d}"
         songs = (songs_from_documents(batch).where(F.length("lyrics") >= min_chars)
                  .withColumn("huella", fingerprint("artist", "song")))
         first = dedupe(songs, "huella", ["song_id"])
-        try:
-            seen = spark.read.parquet(target).where(F.col("lote") != batch_id).select("huella")
-            first = first.join(seen, "huella", "left_anti")
-        except Exception:  # noqa: BLE001 - first batch: the target does not exist yet
-            pass
-        (first.withColumn("lote", F.lit(batch_id)).write.mode("overwrite")
+        seen = _known(batch.sparkSession, target)
+        if seen is not None:
+            first = first.join(seen.where(F.col("lote") != lote).select("huella"), "huella", "left_anti")
+        (first.withColumn("lote", F.lit(lote)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("lote").parquet(target))
     return run
 
 
 def ingest_stream(spark: SparkSession, folder: str, target: str | None = None, min_chars: int = MIN_LYRIC_CHARS,
-                  glob: str = "documents*.parquet", available_now: bool = True) -> tuple[str, object]:
-    """Start R1; returns (target path, StreamingQuery). With ``available_now`` the query drains the folder and
-    stops."""
-    target = target or _scratch(spark, "ingest-table")
-    ckpt = _scratch(spark, "ingest-ckpt")
-    w = (document_stream(spark, folder, glob).writeStream.foreachBatch(_ingest_batch(target, min_chars))
+                  glob: str = "documents*.parquet", available_now: bool = True, checkpoint: str | None = None) -> tuple[str, object]:
+    """Start R1; returns (target path, StreamingQuery). The checkpoint belongs to the target (by default it lies beside
+    it), so a restart on the same target goes on where the last run ended. With ``available_now`` the query drains
+    the folder and stops."""
+    target = (target or _scratch(spark, "ingest-table")).rstrip("/")
+    ckpt = checkpoint or f"{target}-checkpoint"
+    run_id = f"c{zlib.crc32(ckpt.encode()):08x}-"
+    w = (document_stream(spark, folder, glob).writeStream.foreachBatch(_ingest_batch(target, min_chars, run_id))
          .option("checkpointLocation", ckpt))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return target, w.start()
 
 
 def rollup_stream(spark: SparkSession, folder: str, target: str | None = None, lexicon=STANDIN_LEXICON,
-                  glob: str = "documents*.parquet", available_now: bool = True) -> tuple[str, object]:
-    """Start R2; returns (target path, StreamingQuery)."""
-    target = target or _scratch(spark, "rollup-table")
-    ckpt = _scratch(spark, "rollup-ckpt")
+                  glob: str = "documents*.parquet", available_now: bool = True, checkpoint: str | None = None) -> tuple[str, object]:
+    """Start R2; returns (target path, StreamingQuery). The checkpoint, which holds the counters, belongs to the
+    target as in R1, so a restart adds to them."""
+    target = (target or _scratch(spark, "rollup-table")).rstrip("/")
+    ckpt = checkpoint or f"{target}-checkpoint"
     songs = songs_from_documents(document_stream(spark, folder, glob))
     scored = with_scored_units(songs, lexicon, "stanza").select("year", *rollup_columns())
     agg = (scored.groupBy("year").agg(
@@ -97,9 +111,8 @@ def rollup_stream(spark: SparkSession, folder: str, target: str | None = None, l
     return target, w.start()
 
 
-def run_to_completion(query, timeout_s: int = 600) -> None:
-    query.awaitTermination(timeout_s)
-    if query.isActive:
-        query.stop()
+def run_to_completion(query) -> None:
+    """Wait until the query has drained its input, however long that takes; raises what ended it otherwise."""
+    query.awaitTermination()
     if query.exception():
         raise query.exception()

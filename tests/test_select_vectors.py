@@ -103,3 +103,47 @@ def test_attach_dedupes_corpus_and_null_safe_mode(spark):
     assert plain == {("a", "s"): "first", (None, "t"): None}
     compat = {(r["artist"], r["song"]): r["lyrics"] for r in jn.attach(df, corpus, null_safe=True).collect()}
     assert compat == {("a", "s"): "first", (None, "t"): "nullkey"}
+
+
+def test_rare_combinations_are_pooled_and_split(spark):
+    rows = [(f"a{i}", 0, 0) for i in range(10)] + [(f"b{i}", 1, 0) for i in range(2)] + [(f"c{i}", 2, i) for i in range(1, 6)]
+    out = sel.stratified_split(spark.createDataFrame(rows, "id string, x int, y int"), ["x", "y"]).collect()
+    test = [r["estrato"] for r in out if r["split"] == "test"]
+    assert len(out) == 17 and len(test) == 4                      # ceil(0.2 * 17)
+    assert sum(r["estrato"] == "rare_combination" for r in out) == 5
+    assert sorted(test).count("0_0") == 2 and "rare_combination" in test
+
+
+def test_units_without_a_song_see_no_neighbours(spark):
+    rows = [("a", "s", 1, 0, "u"), ("a", "s", 1, 1, "v"), (None, "s", 2, 0, "x"), (None, "s", 3, 0, "y"), ("a", None, 4, 0, "z")]
+    df = spark.createDataFrame(rows, "artist string, song string, song_id long, verso_idx int, verso_texto string")
+    got = {r["verso_texto"]: r["texto_contexto"] for r in sel.neighbour_context(df).collect()}
+    assert got == {"u": "u v", "v": "u v", "x": "x", "y": "y", "z": "z"}
+
+
+def test_knn_exact_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 5))
+    df = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "id long, c int, v array<double>")
+    got = {}
+    for r in vx.knn_exact(df, "id", "v", "c", k=4, block=20).collect():
+        got.setdefault(r["id"], {})[r["orden"]] = r["vecino"]
+    for i in range(150):
+        dist = [(np.linalg.norm(x[i] - x[j]), j) for j in range(i % 2, 150, 2) if j != i]
+        assert [got[i][o] for o in (1, 2, 3, 4)] == [j for _, j in sorted(dist)[:4]]
+
+
+def test_vector_cache_round_trip(spark, tmp_path):
+    seen = []
+
+    def encode(df):
+        seen.append(df.count())
+        return df.withColumn("vec", F.array(F.length("t").cast("double")))
+
+    one = spark.createDataFrame([("a",), ("bb",), ("bb",), (None,)], "t string")
+    two = spark.createDataFrame([("bb",), ("ccc",)], "t string")
+    first = vx.cached_vectors(one, "t", f"{tmp_path}/c", "e", encode).collect()
+    again = vx.cached_vectors(two, "t", f"{tmp_path}/c", "e", encode).collect()
+    assert {(r["t"], r["vec"][0], r["desde_cache"]) for r in first} == {("a", 1.0, False), ("bb", 2.0, False)}
+    assert {(r["t"], r["vec"][0], r["desde_cache"]) for r in again} == {("bb", 2.0, True), ("ccc", 3.0, False)}
+    assert seen == [2, 1]

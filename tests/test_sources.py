@@ -50,3 +50,13 @@ def test_scale_defaults_never_override(spark):
     done = apply_scale_defaults(spark)
     assert "spark.sql.files.maxPartitionBytes" not in done
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") in (str(64 << 20), "64MB", "67108864b")
+
+
+def test_csv_columns_by_header_name(spark):
+    d = tempfile.mkdtemp(prefix="cantoria-csv-")
+    with open(f"{d}/songs.csv", "w", encoding="utf-8") as f:
+        f.write('\ufeffartist,album,year,song,lyrics\nana,A,1999,uno,"line one\nline ""two"""\nbob,B,nan,dos,\ncid,C,2001,tres,text\n')
+    rows = read_songs(spark, f"{d}/songs.csv", fmt="csv").orderBy("song_id").collect()
+    assert [(r["artist"], r["year"], r["song"], r["lyrics"]) for r in rows] == [
+        ("ana", "1999", "uno", 'line one\nline "two"'), ("cid", "2001", "tres", "text")]
+    assert rows[0]["song_id"] < rows[1]["song_id"]

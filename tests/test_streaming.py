@@ -22,3 +22,26 @@ def test_ingest_replay_and_cross_batch_dedupe(spark):
     run(b1, 1)
     got = sorted(r["song_id"] for r in spark.read.parquet(target).collect())
     assert got == [1, 161]
+
+
+def test_restart_keeps_earlier_batches(spark):
+    from cantoria.streaming.ingest import ingest_stream, run_to_completion
+    base = tempfile.mkdtemp(prefix="cantoria-restart-")
+    rows = [(i, f"{i} " * 100, "es", f"src{i}", 1) for i in range(1, 6)]
+    for name, part in (("a", rows[:3]), ("b", rows[3:])):
+        docs(spark, part).write.parquet(f"{base}/in/documents-{name}.parquet")
+        _, q = ingest_stream(spark, f"{base}/in/*", target=f"{base}/t", glob="*.parquet")
+        run_to_completion(q)
+    assert sorted(r["song_id"] for r in spark.read.parquet(f"{base}/t").collect()) == [1, 2, 3, 4, 5]
+    _, q = ingest_stream(spark, f"{base}/in/*", target=f"{base}/t", glob="*.parquet", checkpoint=f"{base}/other")
+    run_to_completion(q)
+    assert spark.read.parquet(f"{base}/t").count() == 5
+
+
+def test_unreadable_target_is_an_error(spark):
+    import pytest
+    target = tempfile.mkdtemp(prefix="cantoria-bad-")
+    with open(f"{target}/part-0.parquet", "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):
+        _ingest_batch(target, 150)(docs(spark, [(1, "x" * 200, "es", "s", 1)]), 0)

@@ -82,8 +82,8 @@ def test_density_category_null_is_noise(spark):
 
 def test_parse_release_title(spark):
     a, b = tx.parse_release_title(F.col("t"))
-    df = spark.createDataFrame([("Los Tigres* (2) - Jefe de Jefes",), ("Solo Artista",)], "t string")
-    assert [tuple(r) for r in df.select(a, b).collect()] == [("Los Tigres", "Jefe de Jefes"), ("Solo Artista", "Single/Album")]
+    df = spark.createDataFrame([("Los Tigres* (2) - Jefe de Jefes",), ("Solo Artista",), ("A - B  - C",)], "t string")
+    assert [tuple(r) for r in df.select(a, b).collect()] == [("Los Tigres", "Jefe de Jefes"), ("Solo Artista", "Single/Album"), ("A", "B ")]
 
 
 def test_nfkc(spark):
