@@ -104,29 +104,44 @@ def label_decode(df: DataFrame, classes: DataFrame, y: str, by: str | None = Non
 
 # ------------------------------------------------------------------------------------------------ M10 / M12
 def train_multilabel(df: DataFrame, vec: str, label_cols: list[str], weight: str | None = None,
-                     algo: str = "rf", seed: int = SEED, trees: int = 100, depth: int = 4) -> dict[str, PipelineModel]:
-    """One independent classifier per dimension on the same features. Spark's GBT is binary only, so the
-    boosted variant is ``OneVsRest(GBTClassifier)``; the default is a random forest (multi-class, weighted)."""
+                     algo: str = "rf", seed: int = SEED, trees: int | None = None, depth: int = 4,
+                     balanced: bool = True, validation: float = 0.1) -> dict[str, PipelineModel]:
+    """One independent classifier per dimension on the same features, rows weighted by class (M9) unless a
+    ``weight`` column is named or ``balanced`` is off.
+
+    ``rf``: random forest of 100 trees. ``gbt``: Spark's boosted trees are binary, so OneVsRest of at most 1,500 trees
+    (step 0.01) each; a fraction ``validation`` of the rows, drawn by hash of the vector, stops the boosting once they
+    no longer gain. ``trees`` overrides the number of trees."""
     base = df.withColumn("features", array_to_vector(vec))
+    held = F.pmod(F.xxhash64(F.col(vec), F.lit(seed)), F.lit(1000)) < int(1000 * validation)
     models = {}
     for c in label_cols:
         d = base.withColumn("label", F.col(c).cast("double"))
+        w = weight
+        if w is None and balanced:
+            d, w = balanced_weights(d, "label"), "peso"
         if algo == "gbt":
-            clf = OneVsRest(classifier=GBTClassifier(maxDepth=depth, maxIter=trees, stepSize=0.1, subsamplingRate=0.8,
-                                                     seed=seed), featuresCol="features", labelCol="label",
-                            predictionCol=f"pred_{c}")
-            if weight:
-                clf.setWeightCol(weight)
+            gbt = GBTClassifier(maxDepth=depth, maxIter=trees or 1500, stepSize=0.01, subsamplingRate=0.8, seed=seed,
+                                validationIndicatorCol="_held", validationTol=1e-4)
+            clf = OneVsRest(classifier=gbt, featuresCol="features", labelCol="label", predictionCol=f"pred_{c}")
+            d = d.withColumn("_held", held)
         else:
-            clf = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features",
+            clf = RandomForestClassifier(numTrees=trees or 100, maxDepth=depth, seed=seed, featuresCol="features",
                                          labelCol="label", predictionCol=f"pred_{c}",
                                          probabilityCol=f"prob_{c}", rawPredictionCol=f"raw_{c}")
-            if weight:
-                clf.setWeightCol(weight)
+        if w:
+            clf.setWeightCol(w)
         models[c] = Pipeline(stages=[clf]).fit(d)
     return models
 
 
+def accuracy_report(scored: DataFrame, truth: str, prediction: str) -> DataFrame:
+    """One row: rows, plain accuracy and balanced accuracy (mean recall of the classes present)."""
+    per = scored.groupBy(F.col(truth).alias("_y")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(truth) == F.col(prediction)).alias("_hit"))
+    return per.agg(F.sum("_n").alias("filas"), (F.sum("_hit") / F.sum("_n")).alias("exactitud"),
+                   F.avg(F.col("_hit") / F.col("_n")).alias("exactitud_balanceada"))
+
+
 def score_units(df: DataFrame, vec: str, models: dict[str, PipelineModel], prefix: str = "intensidad_") -> DataFrame:
     """One shared feature column, six chained ``transform`` calls, integer predictions."""
     out = df.withColumn("features", array_to_vector(vec))
@@ -148,16 +163,21 @@ def project(df: DataFrame, vec: str, k: int = 3) -> DataFrame:
 
 
 def topic_model(df: DataFrame, vec: str, k: int = 8, min_size: int = 15, seed: int = SEED,
-                dims: int = 5) -> DataFrame:
-    """M14 (re-aimed): vectors -> PCA(5) -> k-means; clusters smaller than ``min_size`` become topic -1."""
+                dims: int = 5, far: float = 0.98) -> DataFrame:
+    """M14 (re-aimed): vectors -> PCA(5) -> k-means. Rows farther from their centre than the ``far`` quantile of their
+    cluster, and clusters smaller than ``min_size``, become topic -1."""
     p = project(df, vec, dims)
     feats = p.withColumn("_f", F.array(*[F.col(f"c{i + 1}") for i in range(dims)]))
     d = feats.withColumn("features", array_to_vector("_f"))
     m = KMeans(k=k, seed=seed, predictionCol="_t").fit(d)
-    t = m.transform(d)
-    sizes = t.groupBy("_t").agg(F.count(F.lit(1)).alias("_sz"))
-    t = t.join(F.broadcast(sizes), "_t")
-    return t.select(*df.columns, F.when(F.col("_sz") >= min_size, F.col("_t")).otherwise(F.lit(-1)).alias("topic"))
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in m.clusterCenters()])       # k x dims numbers
+    own = F.element_at(centres, F.col("_t") + 1)
+    gap = F.aggregate(F.zip_with("_f", own, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    t = m.transform(d).withColumn("_d", gap)
+    limits = t.groupBy("_t").agg(F.count(F.lit(1)).alias("_sz"), F.percentile_approx("_d", far, 10000).alias("_far"))
+    t = t.join(F.broadcast(limits), "_t")                                                          # k rows
+    inside = (F.col("_sz") >= min_size) & (F.col("_d") <= F.col("_far"))
+    return t.select(*df.columns, F.when(inside, F.col("_t")).otherwise(F.lit(-1)).alias("topic"))
 
 
 # ------------------------------------------------------------------------------------------------ M15 / M16
@@ -174,6 +194,25 @@ def class_tfidf(grams: DataFrame, topic: str, term: str = "ngram", top: int = 10
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(topic, term, "score", "rank")
 
 
+def topic_info(docs: DataFrame, grams: DataFrame, topic: str = "topic", term: str = "ngram", top: int = 10, named: int = 4) -> DataFrame:
+    """Per topic its documents, its ``top`` terms and a name of the topic and its first terms."""
+    ranked = F.sort_array(F.collect_list(F.struct("rank", F.col(term).alias("t"))))                # <= top terms
+    terms = class_tfidf(grams, topic, term, top).groupBy(topic).agg(F.transform(ranked, lambda x: x["t"]).alias("_terms"))
+    size = docs.groupBy(topic).agg(F.count(F.lit(1)).alias("n"))
+    name = F.concat_ws("_", F.col(topic).cast("string"), F.slice("_terms", 1, named))
+    return size.join(terms, topic, "left").select(topic, "n", name.alias("nombre"), F.array_join("_terms", ", ").alias("terminos"))
+
+
+def topic_trend(docs: DataFrame, grams: DataFrame, topic: str = "topic", bin_col: str = "bin", term: str = "ngram", top: int = 5) -> DataFrame:
+    """Per topic and time bin its documents and ``top`` terms (M15 with every (topic, bin) as a class)."""
+    cell = F.struct(topic, bin_col).alias("_cell")
+    ranked = F.sort_array(F.collect_list(F.struct("rank", F.col(term).alias("t"))))
+    terms = (class_tfidf(grams.select(cell, term), "_cell", term, top).groupBy("_cell")
+             .agg(F.array_join(F.transform(ranked, lambda x: x["t"]), ", ").alias("terminos")))
+    size = docs.select(cell).groupBy("_cell").agg(F.count(F.lit(1)).alias("n"))
+    return size.join(terms, "_cell", "left").select(F.col(f"_cell.{topic}").alias(topic), F.col(f"_cell.{bin_col}").alias(bin_col), "n", "terminos")
+
+
 def time_bins(year: str, lo: int, hi: int, bins: int = 20):
     """Equal-width year bins over [lo, hi], the top edge in the last bin."""
     return F.least(F.floor((F.col(year) - lo) / ((hi - lo) / bins)).cast("int") + 1, F.lit(bins))
@@ -196,5 +235,5 @@ def token_attribution(df: DataFrame, id_col: str, text_col: str, score_fn, mode:
 
 
 __all__ = ["tfidf", "tfidf_vectors", "cluster", "cluster_profile", "drop_clusters", "balanced_weights", "label_index", "label_map", "label_decode",
-           "train_multilabel", "score_units", "project", "topic_model", "class_tfidf", "time_bins",
+           "train_multilabel", "score_units", "project", "topic_model", "class_tfidf", "topic_info", "topic_trend", "accuracy_report", "time_bins",
            "token_attribution", "DIMS", "math"]

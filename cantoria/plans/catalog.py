@@ -842,7 +842,7 @@ def trained(spark, sf):
     # re-deriving it from the corpus each time
     split = cut_lineage(sel.stratified_split(g, LABEL_COLS, 0.2, id_col="verso_texto"))
     train = split.where(F.col("split") == "train")
-    models = ml.train_multilabel(train, "vec", LABEL_COLS, trees=20, depth=4)
+    models = ml.train_multilabel(train, "vec", LABEL_COLS, depth=4)
     return split, models
 
 
@@ -851,7 +851,11 @@ def train_multilabel(spark, sf):
     split, models = trained(spark, sf)
     test = split.where(F.col("split") == "test")
     scored = ml.score_units(test, "vec", models, prefix="pred_")
-    return scored.agg(*[F.avg((F.col(f"pred_{d}") == F.col(f"val_{d}")).cast("double")).alias(f"acc_{d}") for d in DIMS])
+    out = None
+    for d in DIMS:
+        one = ml.accuracy_report(scored, f"val_{d}", f"pred_{d}").withColumn("dim", F.lit(d))
+        out = one if out is None else out.unionByName(one)
+    return r6(out)
 
 
 @register("score_units")
@@ -869,10 +873,41 @@ def project_low_dim(spark, sf):
     return ml.project(e, "v", 3).select("vec_id", "c1", "c2", "c3")
 
 
+def text_topics(spark, sf) -> DataFrame:
+    """Songs above the density threshold with the topic of their lyrics (keys only: no text is kept)."""
+    def build():
+        dense = ru.density_threshold(ru.song_density_inline(load_songs(spark, sf), LEX, unit="verse")).select("artist", "song")
+        picked = load_songs(spark, sf).join(dense, ["artist", "song"], "left_semi")
+        return ml.topic_model(hashed(picked, "lyrics").select("song_id", "year", "vec"), "vec", k=8, min_size=15).drop("vec")
+    return stage(("text_topics", sf), build)
+
+
+def lyric_grams(spark, sf, docs: DataFrame) -> DataFrame:
+    stop = sorted({_strip_py(w) for w in STOPWORDS_ES})
+    tok = F.filter(tx.word_runs(tx.strip_accents(F.lower("lyrics"))), lambda t: ~t.isin(stop))
+    words = load_songs(spark, sf).select("song_id", tok.alias("_tok")).join(docs, "song_id")
+    return words.select(*[c for c in docs.columns if c != "song_id"], F.explode(un.ngram_array(F.col("_tok"), 1, 2)).alias("ngram"))
+
+
 @register("topic_model")
 def topic_model(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return ml.topic_model(e, "v", k=8, min_size=15).select("vec_id", "topic")
+    """M14 on the lyrics of the songs above the threshold."""
+    return text_topics(spark, sf).select("song_id", "topic")
+
+
+@register("topic_info")
+def topic_info(spark, sf):
+    """M15 on the text topics: count, name and terms of every topic."""
+    docs = text_topics(spark, sf).select("song_id", "topic")
+    return ml.topic_info(docs, lyric_grams(spark, sf, docs))
+
+
+@register("topic_trend")
+def topic_trend(spark, sf):
+    """M16 on the text topics: documents and terms of every topic in 20 bins of 1980-2025."""
+    docs = text_topics(spark, sf).withColumn("year_n", year_num("year")).where(F.col("year_n").between(1980, 2025))
+    docs = docs.select("song_id", "topic", ml.time_bins("year_n", 1980, 2025, 20).alias("bin"))
+    return ml.topic_trend(docs, lyric_grams(spark, sf, docs))
 
 
 def topic_grams(spark, sf) -> DataFrame:
@@ -891,10 +926,12 @@ def class_tfidf(spark, sf):
 
 @register("topics_over_time")
 def topics_over_time(spark, sf):
+    """M16 with given topics (the dominant dimension): documents and terms per topic and bin."""
+    binned = lambda df: (df.withColumn("year_n", year_num("year")).where(F.col("year_n").between(1980, 2025))
+                         .withColumn("bin", ml.time_bins("year_n", 1980, 2025, 20)))
     dom, mx = sc.dominant_dimension("val_")
-    g = gold(spark, sf).withColumn("year_n", year_num("year")).where(F.col("year_n").between(1980, 2025))
-    g = g.select(dom.alias("topic"), mx.alias("_mx"), ml.time_bins("year_n", 1980, 2025, 20).alias("bin"))
-    return g.where(F.col("_mx") > 0).groupBy("topic", "bin").agg(F.count(F.lit(1)).alias("n"))
+    g = gold(spark, sf).select("year", dom.alias("topic"), mx.alias("_mx")).where(F.col("_mx") > 0)
+    return ml.topic_trend(binned(g).select("topic", "bin"), binned(topic_grams(spark, sf)).select("topic", "bin", "ngram"))
 
 
 @register("token_attribution")

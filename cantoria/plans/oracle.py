@@ -597,9 +597,18 @@ sql("class_tfidf", _R + f"""
 SELECT topic, ngram, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, ngram) AS rank FROM sc) WHERE rank <= 10""")
 
-sql("topics_over_time", _R + f"""SELECT topic, bin, count(*) AS n FROM (
-  SELECT {_DOM} AS topic, CAST(least(floor(({k.year_num()} - 1980) / 2.25) + 1, 20) AS INTEGER) AS bin FROM gold
-  WHERE {k.year_num()} BETWEEN 1980 AND 2025 AND greatest({_VALS}) > 0) GROUP BY ALL""")
+sql("topics_over_time", _R + f"""
+, tg AS (SELECT {_DOM} AS topic, CAST(least(floor(({k.year_num()} - 1980) / 2.25) + 1, 20) AS INTEGER) AS bin,
+                list_filter({k.runs('strip_accents(lower(verso_texto))')}, lambda t: t NOT IN ({_NG2})) AS tk
+         FROM gold WHERE {k.year_num()} BETWEEN 1980 AND 2025 AND greatest({_VALS}) > 0)
+, grams AS (SELECT topic, bin, unnest(list_concat(tk, list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1]))) AS ngram FROM tg)
+, tf AS (SELECT topic, bin, ngram, count(*) AS tf FROM grams GROUP BY ALL)
+, f AS (SELECT ngram, sum(tf) AS f FROM tf GROUP BY ngram)
+, a AS (SELECT avg(wt) AS A FROM (SELECT topic, bin, sum(tf) AS wt FROM tf GROUP BY topic, bin))
+, sc AS (SELECT tf.topic, tf.bin, tf.ngram, tf.tf * ln(1 + a.A / f.f) AS score FROM tf JOIN f USING (ngram), a)
+, rk AS (SELECT *, row_number() OVER (PARTITION BY topic, bin ORDER BY score DESC, ngram) AS rank FROM sc)
+, tr AS (SELECT topic, bin, string_agg(ngram, ', ' ORDER BY rank) AS terminos FROM rk WHERE rank <= 5 GROUP BY topic, bin)
+SELECT d.topic, d.bin, d.n, tr.terminos FROM (SELECT topic, bin, count(*) AS n FROM tg GROUP BY topic, bin) d LEFT JOIN tr USING (topic, bin)""")
 
 _XS = ["intensidad_AR_avg", "intensidad_MO_avg", "intensidad_DI_avg"]
 sql("projection_frame", _SR + f"""
