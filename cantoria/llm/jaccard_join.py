@@ -46,7 +46,7 @@ RECALL = 0.998
 LAMBDA = 0.6
 DEPTH = 3
 SMALL = 500
-BLOCK = 2048
+BLOCK = 1024
 SKETCH = 64
 BITS = 26
 PATHS = "array<struct<path:bigint,kids:array<struct<path:bigint,kids:array<bigint>>>>>"
@@ -109,7 +109,7 @@ def _children(nodes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.nda
     """(index of the node, path of the child) for every token that a node of the record samples."""
     limit = np.uint64(min(_U64 - 4096, _U64 / (LAMBDA * len(tokens))))
     at, paths = [], []
-    step = max(1, 4_000_000 // len(tokens))
+    step = max(1, 1_000_000 // len(tokens))
     for a in range(0, len(nodes), step):
         some = nodes[a:a + step]
         h = tokens[None, :] ^ some[:, None]
@@ -195,9 +195,9 @@ def _bounds(table: pa.Table, keys: list[str]) -> list[tuple[int, int]]:
 
 def matrix_components(near: np.ndarray) -> np.ndarray:
     """Least index of the component of every row of a symmetric boolean matrix."""
-    label = np.arange(len(near))
+    label = np.arange(len(near), dtype=np.int32)
     while True:
-        least = np.minimum(label, np.where(near, label[None, :], len(near)).min(axis=1))
+        least = np.minimum(label, np.where(near, label[None, :], np.int32(len(near))).min(axis=1))
         least = least[least]
         if (least == label).all():
             return label
@@ -289,8 +289,8 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     # tokens of few records: their pairs one by one; tokens of many: products of blocks of 0/1 columns
     for c in np.unique(count[(count > 1) & (count <= few)]):
         own = rows[head[count == c][:, None] + np.arange(c)]
-        for a in range(0, len(own), max(1, 2_000_000 // (c * c))):
-            part = own[a:a + max(1, 2_000_000 // (c * c))]
+        for a in range(0, len(own), max(1, 1_000_000 // (c * c))):
+            part = own[a:a + max(1, 1_000_000 // (c * c))]
             out += np.bincount((part[:, :, None] * n + part[:, None, :]).ravel(), minlength=n * n).reshape(n, n)
     many = np.flatnonzero(count > few)
     for a in range(0, len(many), 4096):
@@ -321,8 +321,8 @@ def _exact(similarity: float):
                 if len(at) < 2:
                     continue
                 sets = [values[ends[k]:ends[k + 1]] for k in at]
-                size = np.array([len(s) for s in sets], np.int64)
-                both = intersections(sets).astype(np.int64)
+                size = np.array([len(s) for s in sets], np.int32)
+                both = intersections(sets).astype(np.int32)
                 # common / (sum of sizes - common) >= p / q
                 near = (both * (p + q) >= p * (size[:, None] + size[None, :])) & (both > 0)
                 np.fill_diagonal(near, False)
