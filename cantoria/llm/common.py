@@ -31,6 +31,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Whole texts go to Python in Arrow batches of at most ``rows`` rows, unless the session sets a number itself."""
+    if spark.conf.get(ROWS_PER_BATCH, "-1") == "-1":
+        spark.conf.set(ROWS_PER_BATCH, str(rows))
+
+
 def spread_key(*cols) -> Column:
     """32 hex digits that spread rows evenly and order them reproducibly (md5 of the key; null like empty)."""
     return F.md5(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]))

@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 1. Words are lower-cased (ASCII and Latin-1) and freed of ASCII punctuation. Every window of ``SEED`` words of a
-   benchmark item is a seed. At the stated similarity four neighbouring words of an item always survive: 20 % changed
-   words leave a run of four, whatever the item's length.
+   benchmark item is a seed. At the stated share three neighbouring words of an item survive wherever the changed
+   words are (but for items of 4, 5 or 8 words, where the changes may leave pairs only).
 2. One pass over the texts finds windows whose hash is set in a bitmap of 2^``BITS`` bits built from the seeds (its
    size is fixed, so it may be broadcast; a fuller bitmap costs time, not results) and keeps the words around them,
    as far as the longest item reaches.
@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cantoria.llm.common import staged
+from cantoria.llm.common import bounded_batches, staged
 from cantoria.llm.textbytes import chunks, column_bytes, shingle_hashes, word_hashes
 
-SEED = 4
+SEED = 3
 BITS = 24
 SHARE = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -182,6 +182,7 @@ def _aligned(batches):
 def contaminations(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
                    item_text: str = "text", share: float = SHARE, bits: int = BITS) -> DataFrame:
     """doc_id, item_id, share, at: the best alignment of every contaminated (document, item)."""
+    bounded_batches(docs.sparkSession)
     words = staged(item_words(items, item_key, item_text).filter(F.size("words") >= SEED), "items")
     seeds = staged(seed_table(words), "seeds")
     longest = words.agg(F.max(F.size("words"))).first()[0] or 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cantoria.llm.common import spread_key, staged
+from cantoria.llm.common import bounded_batches, spread_key, staged
 from cantoria.llm.textbytes import chunks, column_bytes, word_hashes
 
 SAMPLE = 6000
@@ -165,6 +165,7 @@ def scores(found: DataFrame, model: dict, k: int = K) -> DataFrame:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and score of every document of docs; ``labels``: key and label (0 or 1) of the rows to learn from."""
+    bounded_batches(docs.sparkSession)
     found = staged(features(docs, key, text), "knn")
     model = fit(found, labels.select(F.col(key).alias("id"), F.col("label")))
     return scores(found, model).withColumnRenamed("id", key)
