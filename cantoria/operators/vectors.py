@@ -49,7 +49,7 @@ def encode_with(df: DataFrame, text_col: str, factory: Callable[[], Callable[[li
                 out_col: str = "features", batch_size: int = 256) -> DataFrame:
     """M3 with a pluggable encoder: ``factory()`` runs once per task (e.g. loads a model), the returned callable
     maps a list of texts to an (n, d) array; batches come from Arrow (``mapInPandas``)."""
-    schema = df.schema.add(out_col, "array<double>")
+    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.DoubleType()))])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = factory()

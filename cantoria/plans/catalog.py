@@ -18,6 +18,7 @@ from cantoria.functions.text import bucket, fingerprint, year_num
 from cantoria.operators import lexicon as lx
 from cantoria.operators import rollup as ru
 from cantoria.operators import units as un
+from cantoria.sources.tables import read_songs
 from cantoria.sources.tables import songs as load_songs
 from cantoria.sources.tables import table
 from cantoria.session import cut_lineage
@@ -717,12 +718,35 @@ def score_distribution(spark, sf):
     return r6(st.quartiles(topk(spark, sf), "dim", "similitud_coseno"))
 
 
+def attractor_set(spark, sf) -> DataFrame:
+    """M5 with its fallback: up to five attractors per dimension; a dimension without anchors gets the vector of its
+    lexicon terms."""
+    def build():
+        found = vx.weighted_attractors(anchors(spark, sf), "dim", "vec", "peso")
+        terms = spark.createDataFrame([(d, " ".join(sorted(set(LEX[d])))) for d in DIMS], "dim string, terminos string")
+        alone = hashed(terms.join(found.select("dim").distinct(), "dim", "left_anti"), "terminos")
+        return found.unionByName(alone.select("dim", F.lit(0).alias("k_idx"), F.col("vec").alias("centroide")))
+    return stage(("attractor_set", sf), build)
+
+
+def attractor_candidates(spark, sf) -> DataFrame:
+    """J7 over the context of every pooled verse (W1): what the pick needs travels with the search, nothing is joined
+    back."""
+    pool_ = sel.neighbour_context(pool_minus_reviewed(spark, sf)).withColumn("decada", bucket(year_num("year", default=2000), 10))
+    return vx.similarity_topk(hashed(pool_, "texto_contexto"), attractor_set(spark, sf), "vec",
+                              ["song_id", "verso_idx", "artist", "verso_texto", "decada"], ["dim", "k_idx"], k=1000)
+
+
+@register("attractor_search")
+def attractor_search(spark, sf):
+    """M5 -> J7: the nearest contexts of every attractor."""
+    return r6(attractor_candidates(spark, sf).select("dim", "k_idx", "song_id", "verso_idx", "rank", "similitud_coseno"))
+
+
 @register("diverse_round_robin")
 def diverse_round_robin(spark, sf):
-    t = topk(spark, sf)
-    meta = pool_minus_reviewed(spark, sf).select("song_id", "verso_idx", "artist", "verso_texto",
-                                                 bucket(year_num("year", default=2000), 10).alias("decada"))
-    cands = t.join(meta, ["song_id", "verso_idx"]).withColumn("attractor", F.lit(0))
+    """M5 -> J7 -> W7: the diverse pick of every dimension from all of its attractors."""
+    cands = attractor_candidates(spark, sf).withColumnRenamed("k_idx", "attractor")
     return sel.diverse_round_robin(cands, target=100, lo=0.20, hi=0.90)
 
 
@@ -1065,6 +1089,78 @@ def append_batches(spark, sf):
     return spark.read.parquet(path)
 
 
+@register("scan_songs_csv")
+def scan_songs_csv(spark, sf):
+    """S1 on a real CSV file: the songs written with a header, in another column order, and read back by name."""
+    path = _scratch(spark, "songs-csv")
+    cols = ["album", "lyrics", "song", "song_id", "artist", "year"]
+    load_songs(spark, sf).select(cols).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return read_songs(spark, path, fmt="csv").select("song_id", "artist", "album", "year", "song", "lyrics")
+
+
+@register("scan_reviews_files")
+def scan_reviews_files(spark, sf):
+    """S2 on real files: one sheet per dimension and origin, each with its own label column only, united by name."""
+    from cantoria.sources.reviews import ORIGIN_KMEANS, read_reviews
+    folder = _scratch(spark, "sheets")
+    base = ["song_id", "artist", "song", "year", "verso_idx", "verso_texto"]
+    rows = stage(("sheet_rows", sf), lambda: review_rows(spark, sf).select(*base, "origen", "dim_archivo", *[f"val_{d}" for d in DIMS]))
+    paths = []
+    for d in DIMS:
+        for marked, name in ((True, f"{folder}/revision_{d}_v2"), (False, f"{folder}/revision_{d}")):
+            own = rows.where((F.col("dim_archivo") == d) & ((F.col("origen") == ORIGIN_KMEANS) == F.lit(marked))).select(*base, f"val_{d}")
+            own.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(name)
+            paths.append(name)
+    out = read_reviews(spark, paths)
+    return out.select(F.col("song_id").cast("bigint").alias("song_id"), "artist", "song", "year", F.col("verso_idx").cast("int").alias("verso_idx"),
+                      "verso_texto", "origen", *[F.col(f"val_{d}").cast("int").alias(f"val_{d}") for d in DIMS])
+
+
+@register("flow_stats_file")
+def flow_stats_file(spark, sf):
+    """The flow counters written as a JSON object and read back."""
+    path = _scratch(spark, "flow-json")
+    stats = flow_stats(spark, sf)
+    sinks.write_flow_stats(stats, path)
+    return spark.read.schema(stats.schema).json(path)
+
+
+def hashing_encoder():
+    """A pluggable encoder with the rule of ``hash_encode``: counts of md5 buckets of the tokens."""
+    import hashlib
+
+    import numpy as np
+
+    def encode(texts):
+        out = np.zeros((len(texts), vx.HASH_DIM))
+        for i, text in enumerate(texts):
+            for t in text.split(" "):
+                out[i, int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % vx.HASH_DIM] += t != ""
+        return out
+    return encode
+
+
+@register("encode_units_plugged")
+def encode_units_plugged(spark, sf):
+    """M3 through the pluggable hook: the tokens of every verse, joined by spaces, encoded batch by batch in Python."""
+    v = un.to_verses(load_songs(spark, sf)).select("song_id", "verso_idx", F.array_join(tx.tokens("verso_texto", "runs"), " ").alias("_tok"))
+    v = vx.encode_with(v, "_tok", hashing_encoder, "raw")
+    return (long_vector(v, ["song_id", "verso_idx"], "raw", "n")
+            .select("song_id", "verso_idx", F.col("pos").alias("bucket"), F.col("n").cast("int").alias("n")))
+
+
+@register("save_vectors_models")
+def save_vectors_models(spark, sf):
+    """Vectors and a trained model are saved, loaded and used: rows, and rows on which both models agree."""
+    path = _scratch(spark, "saved")
+    sinks.save_vectors(hashed(gold(spark, sf), "verso_texto").select("verso_texto", "vec", "val_AR"), f"{path}/vectors")
+    rows = spark.read.parquet(f"{path}/vectors")
+    model = ml.train_multilabel(rows, "vec", ["val_AR"], trees=10)["val_AR"]
+    sinks.save_model(model, f"{path}/model")
+    both = ml.score_units(ml.score_units(rows, "vec", {"val_AR": model}, "a_"), "vec", {"val_AR": sinks.load_model(f"{path}/model")}, "b_")
+    return both.agg(F.count(F.lit(1)).alias("filas"), F.count_if(F.col("a_AR") == F.col("b_AR")).alias("iguales"))
+
+
 @register("facet_margins")
 def facet_margins(spark, sf):
     """A20 with margins: rows per decade x dominant dimension, plus per-decade, per-dimension and grand totals

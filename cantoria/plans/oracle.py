@@ -693,3 +693,8 @@ sql("neighbour_context_lyric", _V + f"""SELECT song_id, verso_idx, verso_texto,
 
 sql("tokenize_alnum_hyphen", _S + f"""SELECT song_id, CAST(len(tk) AS INTEGER) AS n_tokens, array_to_string(tk, ' ') AS tokens_txt
 FROM (SELECT song_id, {_p8_tokens('lyrics')} AS tk FROM songs)""")
+
+# the same results by another way: files written and read back, a Python encoder
+for _name, _same in (("scan_songs_csv", "scan_songs"), ("scan_reviews_files", "scan_reviews_union"), ("flow_stats_file", "flow_stats"),
+                     ("encode_units_plugged", "encode_units")):
+    sql(_name, ORACLE[_same])

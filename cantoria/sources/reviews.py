@@ -24,14 +24,16 @@ ORIGIN_REGEX = "Regex"
 
 
 def read_reviews(spark: SparkSession, paths: list[str], fmt: str = "csv", marker: str = "v2") -> DataFrame:
-    """Union review files by column name (missing columns -> null -> 0), origin from the file name."""
+    """Union review files by column name (missing columns -> null -> 0). The origin comes from the name of the path that
+    was asked for, or, where that is a pattern, from the name of each file."""
     frames = []
     for p in paths:
         reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"') \
             if fmt == "csv" else spark.read
         df = reader.format(fmt).load(p)
-        df = df.withColumn("origen", F.when(F.col("_metadata.file_name").contains(marker), F.lit(ORIGIN_KMEANS))
-                           .otherwise(F.lit(ORIGIN_REGEX)))
+        own = p.rstrip("/").rsplit("/", 1)[-1]
+        marked = F.col("_metadata.file_name").contains(marker) if set(own) & set("*?[{") else F.lit(marker in own)
+        df = df.withColumn("origen", F.when(marked, F.lit(ORIGIN_KMEANS)).otherwise(F.lit(ORIGIN_REGEX)))
         frames.append(df)
     out = frames[0]
     for f in frames[1:]:

@@ -13,8 +13,7 @@ def plan_of(spark, name):
 
 
 def shuffles(plan):
-    return [l for l in plan.splitlines() if "Exchange hashpartitioning" in l or "Exchange rangepartitioning" in l
-            or "Exchange SinglePartition" in l]
+    return [l for l in plan.splitlines() if re.search(r"(?<!Broadcast)(?<!Reused)Exchange ", l)]
 
 
 def test_in_row_stanza_rollup_has_no_shuffle(spark):
@@ -50,3 +49,21 @@ def test_no_cross_products_anywhere_in_the_flagship(spark):
     p = entry.entry(spark)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     assert len(shuffles(p)) <= 2
+
+
+def test_draws_of_the_bootstrap_are_never_broadcast(spark):
+    p = plan_of(spark, "entropy_bootstrap")
+    lines = p.splitlines()
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            depth = len(line) - len(line.lstrip(" :+-"))
+            below = []
+            for x in lines[i + 1:]:
+                if len(x) - len(x.lstrip(" :+-")) <= depth:
+                    break
+                below.append(x)
+            assert not any("Generate" in x for x in below)
+
+
+def test_scans_are_not_shuffled_unless_asked(spark):
+    assert "RoundRobinPartitioning" not in plan_of(spark, "lexicon_hits")
