@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cantoria.llm.common import packed, staged, unpacked
+from cantoria.llm.common import bounded_batches, packed, staged, unpacked
 from cantoria.llm.components import components
 from cantoria.llm.decontaminate import bitmap
 from cantoria.llm.textbytes import _ODD, chunks, column_bytes, mix, word_hashes
@@ -47,6 +47,8 @@ LAMBDA = 0.6
 DEPTH = 3
 SMALL = 500
 BLOCK = 1024
+#: records of a leaf that are grouped at once (sketches only)
+LEAF_BLOCK = 8192
 SKETCH = 64
 BITS = 26
 PATHS = "array<struct<path:bigint,kids:array<struct<path:bigint,kids:array<bigint>>>>>"
@@ -260,15 +262,15 @@ def _ties(signatures: DataFrame) -> DataFrame:
     leaves.append(level.filter(F.col("n") <= SMALL).select(F.col("path").alias("leaf"), "rec", "sketch"))
     last = staged(level.filter(F.col("n") > SMALL).select("rec", "sketch", F.explode("kids").alias("path")), "split")
     last = last.join(shared(last), "path")
-    leaves.append(in_blocks(last, "path", "n", "leaf").select("leaf", "rec", "sketch"))
+    leaves.append(in_blocks(last, "path", "n", "leaf", LEAF_BLOCK).select("leaf", "rec", "sketch"))
     rows = leaves[0].unionByName(leaves[1]).unionByName(leaves[2])
     return rows.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_forest, "a bigint, b bigint")
 
 
-def in_blocks(rows: DataFrame, key: str, n: str, out: str) -> DataFrame:
-    """Rows under ``out``, a key for every pair of blocks of at most about BLOCK rows that they belong to; a group that
+def in_blocks(rows: DataFrame, key: str, n: str, out: str, block: int) -> DataFrame:
+    """Rows under ``out``, a key for every pair of blocks of at most about ``block`` rows that they belong to; a group that
     fits one block keeps one key. Adds i and j, the blocks of the pair, and own, the block of the row."""
-    blocks = F.ceil(F.col(n) / BLOCK).cast("int")
+    blocks = F.ceil(F.col(n) / block).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rec"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
@@ -368,6 +370,7 @@ def _sets(bits_set, bits: int):
 def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """key, class_id, copy_of, n_links, n_copies of every document."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("rec", F.xxhash64("text"))
     signatures = staged(rows.select("rec", "text").mapInArrow(
@@ -377,7 +380,7 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     groups = staged(groups.join(sizes, "root").withColumnRenamed("node", "rec"), "groups")
     shared = spark.sparkContext.broadcast(bitmap(groups.select(F.col("rec").alias("seed")), BITS))
     sets = rows.select("rec", "text").mapInArrow(_sets(shared, BITS), "rec bigint, tokens array<bigint>")
-    pairs = in_blocks(sets.join(groups.hint("merge"), "rec"), "root", "n", "pair").select("pair", "rec", "own", "i", "j", "tokens")
+    pairs = in_blocks(sets.join(groups.hint("merge"), "rec"), "root", "n", "pair", BLOCK).select("pair", "rec", "own", "i", "j", "tokens")
     exact = staged(pairs.repartition("pair").sortWithinPartitions("pair").mapInArrow(_exact(similarity), "a bigint, b bigint, links bigint"), "links")
     classes = components(exact.filter("a <> b")).withColumnRenamed("node", "rec")
     links = exact.groupBy(F.col("a").alias("rec")).agg(F.sum("links").alias("n_links"))
