@@ -7,6 +7,7 @@ Tests and local runs get a scratch folder of their own when the setting is absen
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,7 +83,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             master = spark.sparkContext.master
         except Exception:  # noqa: BLE001
             master = spark.conf.get("spark.master", "")
-        if not str(master).startswith("local"):
+        if not re.match(r"local(\[|$)", str(master)):      # local-cluster has executors of its own
             # a machine-local folder is not reachable by other executors: a cluster must name a shared one
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a shared folder (e.g. on the cluster's distributed store)")
         current = tempfile.mkdtemp(prefix="cantoria-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
