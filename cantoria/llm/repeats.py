@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cantoria.llm.common import staged
+from cantoria.llm.common import bounded_batches, staged
 from cantoria.llm.decontaminate import bitmap
 from cantoria.llm.jaccard_join import _by_key
 from cantoria.llm.textbytes import chunks, column_bytes, mix, prefix_sums
@@ -45,7 +45,7 @@ SPAN = LENGTH - GRAM + 1      # windows of GRAM bytes in a string
 COLUMNS = 2 * LENGTH - GRAM   # of a piece, the anchor starting at column SPAN - 1
 BITS = 27
 #: pieces whose transform is built together (more only if one anchor has more)
-TOGETHER = 40_000
+TOGETHER = 16_000
 _NULL_ID = -(1 << 63)
 _A, _B = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
 
@@ -264,33 +264,39 @@ def _whole(code: str):
     return (part(16, 0xFFFF).alias("tag"), (place - part(8, 0xFF)).alias("start"), (place - part(0, 0xFF) + LENGTH).alias("stop"))
 
 
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column and the offsets of its rows."""
+    first = np.asarray(column.offsets, np.int64)
+    return np.asarray(column.values)[first[0]:first[-1]], first - first[0]
+
+
 def _remove(batches):
     for batch in batches:
         data, offsets = column_bytes(batch.column("text"))
-        starts, stops = batch.column("starts"), batch.column("stops")
-        gone = np.zeros(len(data) + 1, np.int32)
-        first = np.asarray(starts.offsets, np.int64)
-        if first[-1] > first[0]:
-            row = np.repeat(np.arange(batch.num_rows), np.diff(first))
-            a = np.asarray(starts.values)[first[0]:first[-1]] + offsets[row]
-            stop_first = np.asarray(stops.offsets, np.int64)
-            b = np.asarray(stops.values)[stop_first[0]:stop_first[-1]] + offsets[row]
-            np.add.at(gone, a, 1)
-            np.add.at(gone, b, -1)
-        gone = np.cumsum(gone[:-1]) > 0
-        edge = np.zeros(len(data) + 1, bool)
-        edge[offsets] = True
-        head = gone & (np.concatenate([[True], ~gone[:-1]]) | edge[:-1]) if len(gone) else gone
-        count = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offsets]).astype(np.int64)
-        kept = np.concatenate([[0], np.cumsum(~gone)])[offsets]
-        out = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(data[~gone])])
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(count(gone)), pa.array(count(head)), out.cast(pa.binary())],
-                                         names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+        starts, first = _flat(batch.column("starts"))
+        stops, _ = _flat(batch.column("stops"))
+        for a, b, part, at in chunks(data, offsets):
+            row = np.repeat(np.arange(b - a), np.diff(first[a:b + 1]))
+            depth = np.zeros(len(part) + 1, np.int32)
+            np.add.at(depth, starts[first[a]:first[b]] + at[row], 1)
+            np.add.at(depth, stops[first[a]:first[b]] + at[row], -1)
+            gone = np.cumsum(depth[:-1], dtype=np.int32) > 0
+            edge = np.zeros(len(part) + 1, bool)
+            edge[at] = True
+            head = gone.copy()
+            head[1:] &= ~gone[:-1] | edge[1:-1]
+            upto = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[at]
+            kept = upto(~gone)
+            out = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(kept), pa.py_buffer(part[~gone])])
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(np.diff(at)), pa.array(np.diff(upto(gone))),
+                                              pa.array(np.diff(upto(head))), out.cast(pa.binary())],
+                                             names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def covered_intervals(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
     """id, tag, start, stop: byte intervals to remove (they may overlap), of documents named by id and text tag."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = _named(docs, key, text)
     found = rows.mapInArrow(_occurrences, "key bigint, piece bigint, id bigint, code bigint")
     settled = staged(found.repartition("key").sortWithinPartitions("key").mapInArrow(_settle, "id bigint, code bigint, seed bigint"), "settled")
