@@ -12,11 +12,12 @@ as the longest document has bytes, each rewriting the whole transform. Here the
 2. Anchors are dealt by hash. Of equal pieces all but the earliest are covered whole; this needs hashes only. Anchors
    with a single piece are done.
 3. The earliest pieces of anchors that have several are cut from a second scan of the texts, which finds them by a
-   bitmap of fixed size, and dealt and sorted by anchor; Spark's shuffle files, written and read in sequence, are the
-   external files of the construction. Tasks stream them and build the positional Burrows-Wheeler transform column by
+   bitmap of fixed size, and written to the shared folder. Dealt and sorted by anchor, they are streamed by tasks, which build the positional Burrows-Wheeler transform column by
    column: each round inserts one symbol of every piece, updating the order of the pieces and the lengths of their
    common context from the arrays of the round before. Neighbours with LENGTH common columns hold equal strings; all
-   but the earliest are covered.
+   but the earliest are covered. An anchor with more than ``HOT`` pieces (a common passage that many documents
+   continue differently) is not given to one task: its strings are compared one by one by 128-bit hashes, whose
+   minimum combines map-side.
 4. The covered intervals of a document are merged and cut out.
 
 Hashes have 64 bits, so two different pieces are taken for equal with a chance of about 2^-64 a pair of equal anchors.
@@ -46,6 +47,8 @@ COLUMNS = 2 * LENGTH - GRAM   # of a piece, the anchor starting at column SPAN -
 BITS = 27
 #: pieces whose transform is built together (more only if one anchor has more)
 TOGETHER = 16_000
+#: pieces of one anchor that one task may get
+HOT = 20_000
 _NULL_ID = -(1 << 63)
 _A, _B = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
 
@@ -127,7 +130,7 @@ def _seed(anchor: np.ndarray, ids: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 
 def _settle(batches):
-    """id, code, seed: covered pieces (seed null), and the earliest pieces of anchors that have several."""
+    """id, code, seed, anchor: covered pieces (the last two null), and the earliest pieces of anchors that have several."""
     for table in _by_key(batches, ["key"]):
         key, piece, ids, code = (table.column(c).to_numpy() for c in ("key", "piece", "id", "code"))
         done = piece == 0
@@ -147,25 +150,28 @@ def _settle(batches):
         out = np.concatenate([covered, open_])
         if len(out):
             seed = _seed(key[out].view(np.uint64), ids[out], code[out]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(code[out]), pa.array(seed, mask=np.arange(len(out)) < len(covered))], names=["id", "code", "seed"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(code[out]), pa.array(seed, mask=np.arange(len(out)) < len(covered)),
+                                              pa.array(key[out], mask=np.arange(len(out)) < len(covered))], names=["id", "code", "seed", "anchor"])
 
 
 def _cut_pieces(shared, bits: int):
     mask = np.uint64((1 << bits) - 1)
 
     def run(batches):
-        table = shared.value
+        table, hot_table = shared.value
+        isin = lambda t, x: (t[((x & mask) >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1)
         for batch in batches:
             for part, anchor, _, ids, code, lo, hi in _batch_anchors(batch):
-                low = _seed(anchor, ids, code) & mask
-                hit = np.flatnonzero((table[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1))
+                hit = np.flatnonzero(isin(table, _seed(anchor, ids, code)))
                 if not len(hit):
                     continue
                 size = hi[hit] + LENGTH - lo[hit]
                 ends = np.concatenate([[0], np.cumsum(size)])
                 flat = part[np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(lo[hit], size)]
                 pieces = pa.Array.from_buffers(pa.binary(), len(hit), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[hit].view(np.int64)), pa.array(ids[hit]), pa.array(code[hit]), pieces], names=["anchor", "id", "code", "bytes"])
+                hot = isin(hot_table, anchor[hit]).astype(bool) if hot_table is not None else np.zeros(len(hit), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[hit].view(np.int64)), pa.array(ids[hit]), pa.array(code[hit]), pieces, pa.array(hot)],
+                                                 names=["anchor", "id", "code", "bytes", "hot"])
 
     return run
 
@@ -293,18 +299,47 @@ def _remove(batches):
                                              names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def _strings(batches):
+    """h1, h2, id, start, tag of every string of the pieces."""
+    for batch in batches:
+        place, tag, lo, hi = _decoded(batch.column("code").to_numpy())
+        pieces = batch.column("bytes")
+        ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset:pieces.offset + len(pieces) + 1].astype(np.int64)
+        data = np.frombuffer(pieces.buffers()[2], np.uint8)
+        count = hi - lo + 1
+        row = np.repeat(np.arange(len(count)), count)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        a = ends[:-1][row] + at
+        out = []
+        for flip in (0, 0x5B):  # two hashes of the same bytes
+            sums, down = prefix_sums(data ^ np.uint8(flip))
+            out.append(mix((sums[a + LENGTH] - sums[a]) * down[a]).view(np.int64))
+        ids = batch.column("id").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*out, ids[row], lo[row] + at, tag[row])], names=["h1", "h2", "id", "start", "tag"])
+
+
+def _hot_intervals(pieces: DataFrame) -> DataFrame:
+    strings = staged(pieces.select("id", "code", "bytes").mapInArrow(_strings, "h1 bigint, h2 bigint, id bigint, start bigint, tag bigint"), "strings")
+    first = strings.groupBy("h1", "h2").agg(F.min(F.struct("id", "start", "tag")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    later = strings.join(first, ["h1", "h2"]).filter(F.struct("id", "start", "tag") != F.col("first"))
+    return later.select("id", "tag", "start", (F.col("start") + LENGTH).alias("stop"))
+
+
 def covered_intervals(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
     """id, tag, start, stop: byte intervals to remove (they may overlap), of documents named by id and text tag."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = _named(docs, key, text)
     found = rows.mapInArrow(_occurrences, "key bigint, piece bigint, id bigint, code bigint")
-    settled = staged(found.repartition("key").sortWithinPartitions("key").mapInArrow(_settle, "id bigint, code bigint, seed bigint"), "settled")
+    settled = staged(found.repartition("key").sortWithinPartitions("key").mapInArrow(_settle, "id bigint, code bigint, seed bigint, anchor bigint"), "settled")
     open_ = settled.filter("seed is not null").select("seed")
-    shared = spark.sparkContext.broadcast(bitmap(open_, bits))
-    pieces = rows.mapInArrow(_cut_pieces(shared, bits), "anchor bigint, id bigint, code bigint, bytes binary")
-    partial = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_open_pieces, "id bigint, tag bigint, start bigint, stop bigint")
-    return settled.filter("seed is null").select("id", *_whole("code")).unionByName(partial)
+    hot = staged(settled.filter("anchor is not null").groupBy("anchor").count().filter(F.col("count") > HOT).select(F.col("anchor").alias("seed")), "hot")
+    any_hot = not hot.isEmpty()
+    shared = spark.sparkContext.broadcast((bitmap(open_, bits), bitmap(hot, bits) if any_hot else None))
+    pieces = staged(rows.mapInArrow(_cut_pieces(shared, bits), "anchor bigint, id bigint, code bigint, bytes binary, hot boolean"), "pieces")
+    partial = pieces.filter("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_open_pieces, "id bigint, tag bigint, start bigint, stop bigint")
+    found = settled.filter("seed is null").select("id", *_whole("code")).unionByName(partial)
+    return found.unionByName(_hot_intervals(pieces.filter("hot"))) if any_hot else found
 
 
 def _named(docs: DataFrame, key: str, text: str) -> DataFrame:

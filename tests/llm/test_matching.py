@@ -70,6 +70,7 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     rows = list(enumerate([mutated(hub, rnd, rnd.randint(0, 3)) for _ in range(120)]))
     monkeypatch.setattr(jaccard_join, "SMALL", 10)
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "LEAF_BLOCK", 20)
     got = jaccard_join.similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.class_id, r.copy_of, r.n_links, r.n_copies) for r in got} == brute_join(rows)
 
@@ -201,6 +202,18 @@ def test_repeats_equal_brute_force(spark):
     assert dict(got) == brute_repeats(rows)
 
 
+def test_hot_anchors_are_compared_string_by_string(spark, monkeypatch):
+    rnd = random.Random(12)
+    common = "".join(rnd.choice("abcdefgh ") for _ in range(230))
+    rows = [(i, "".join(rnd.choice("klmno") for _ in range(rnd.randint(0, 60))) + common[rnd.randint(0, 40):200 + rnd.randint(0, 30)]
+             + "".join(rnd.choice("pqrst") for _ in range(rnd.randint(0, 90)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_repeats(rows)
+    assert dict(removed(df)) == want
+    monkeypatch.setattr(repeats, "HOT", 5)
+    assert dict(removed(df)) == want
+
+
 def test_repeats_edges(spark, edge, empty):
     got = removed(edge)
     assert len(got) == edge.count() and removed(empty) == []
