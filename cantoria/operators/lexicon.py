@@ -1,8 +1,9 @@
 """Lexicon matching.
 
-Lexicons up to ``INLINE_MAX_TERMS`` terms are compiled into the plan as ``IN`` lists (Catalyst turns lists of
-more than 10 terms into hash-set lookups): scoring is a per-row projection with no join and no shuffle.
-Larger lexicons go through a broadcast hash join whose build side is size-checked first.
+A lexicon given as a Python dictionary is compiled into the plan as ``IN`` lists (Catalyst turns lists of more than 10
+terms into hash-set lookups): scoring is a per-row projection with no join and no shuffle, whatever its number of
+terms. A lexicon given as a (dim, term) table is joined; which of the two is used is the caller's choice, and both
+give the same scores.
 """
 
 from __future__ import annotations
@@ -15,9 +16,6 @@ from pyspark.sql import functions as F
 from cantoria.fixed import DIMS, KWIC_WINDOW, MIN_STRONG_TERMS, lexicon_pairs
 from cantoria.functions.text import tokens, word_runs
 
-INLINE_MAX_TERMS = 20_000
-BROADCAST_MAX_TERMS = 5_000_000
-
 
 def lexicon_table(spark: SparkSession, lexicon: dict[str, list[str]]) -> DataFrame:
     """(dim, term), distinct."""
@@ -36,30 +34,24 @@ def dim_hits(tok: Column, terms: list[str]) -> Column:
 
 
 def score_units(units: DataFrame, lexicon: dict[str, list[str]], text_col: str = "verso_texto", cap: int = 3,
-                mode: str = "runs", id_cols: list[str] | None = None) -> DataFrame:
-    """E8 on a unit table: adds ``intensidad_<dim>`` = min(cap, lexicon hits of that dimension).
-
-    Inline path (bounded lexicon): a projection. Join path (huge lexicon): explode tokens, broadcast-join the
-    size-checked (dim, term) table, count per (unit, dim), pivot over the fixed DIMS list.
-    """
-    n_terms = sum(len(set(v)) for v in lexicon.values())
-    if n_terms <= INLINE_MAX_TERMS:
-        # tokens bound once as a column, then counted per dimension
-        tok = F.col("_tok")
-        return (units.withColumn("_tok", tokens(text_col, mode))
-                .select(*units.columns, *[F.least(dim_hits(tok, _terms(lexicon, d)), F.lit(cap)).alias(f"intensidad_{d}")
-                                          for d in DIMS]))
-    if n_terms > BROADCAST_MAX_TERMS:
-        raise ValueError(f"lexicon of {n_terms} terms exceeds the broadcast bound")
-    if not id_cols:
-        raise ValueError("the join path needs unit id columns")
-    lex = F.broadcast(lexicon_table(units.sparkSession, lexicon))
-    hits = (units.select(*id_cols, F.explode(tokens(text_col, mode)).alias("term"))
-            .join(lex, "term").groupBy(*id_cols).pivot("dim", DIMS).count())
+                mode: str = "runs") -> DataFrame:
+    """E8 on a unit table: adds ``intensidad_<dim>`` = min(cap, lexicon hits of that dimension), in a projection."""
+    # tokens bound once as a column, then counted per dimension
+    tok = F.col("_tok")
+    return (units.withColumn("_tok", tokens(text_col, mode))
+            .select(*units.columns, *[F.least(dim_hits(tok, _terms(lexicon, d)), F.lit(cap)).alias(f"intensidad_{d}")
+                                      for d in DIMS]))
+
+
+def score_units_by_table(units: DataFrame, lexicon: DataFrame, id_cols: list[str], text_col: str = "verso_texto", cap: int = 3,
+                         mode: str = "runs") -> DataFrame:
+    """E8 with a lexicon table (dim, term) of any size; ``id_cols`` identify a unit. Tokens are counted per unit before
+    they meet the lexicon, and the join is left to the planner (no broadcast is forced)."""
+    words = units.select(*id_cols, F.explode(tokens(text_col, mode)).alias("term")).groupBy(*id_cols, "term").agg(F.count(F.lit(1)).alias("_n"))
+    hits = words.join(lexicon.select("dim", "term").distinct(), "term").groupBy(*id_cols).agg(
+        *[F.sum(F.when(F.col("dim") == d, F.col("_n"))).alias(f"_{d}") for d in DIMS])
     out = units.join(hits, id_cols, "left")
-    for d in DIMS:
-        out = out.withColumn(f"intensidad_{d}", F.least(F.coalesce(F.col(d), F.lit(0)), F.lit(cap)).cast("int")).drop(d)
-    return out
+    return out.select(*units.columns, *[F.least(F.coalesce(F.col(f"_{d}"), F.lit(0)), F.lit(cap)).cast("int").alias(f"intensidad_{d}") for d in DIMS])
 
 
 def score_array(units: Column, lexicon: dict[str, list[str]], text_field: str, cap: int = 3,

@@ -92,6 +92,13 @@ def lexicon_hits(spark, sf):
 
 
 # ---------------------------------------------------------------------------------------------------- rollups
+@register("lexicon_hits_by_table")
+def lexicon_hits_by_table(spark, sf):
+    """E8 with the lexicon as a table: the same scores as the projection."""
+    v = un.to_verses(load_songs(spark, sf))
+    return lx.score_units_by_table(v, lx.lexicon_table(spark, LEX), ["song_id", "verso_idx"])
+
+
 @register("song_density")
 def song_density(spark, sf):
     return r6(ru.song_density_inline(load_songs(spark, sf), LEX, unit="verse"))

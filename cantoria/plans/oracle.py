@@ -696,5 +696,5 @@ FROM (SELECT song_id, {_p8_tokens('lyrics')} AS tk FROM songs)""")
 
 # the same results by another way: files written and read back, a Python encoder
 for _name, _same in (("scan_songs_csv", "scan_songs"), ("scan_reviews_files", "scan_reviews_union"), ("flow_stats_file", "flow_stats"),
-                     ("encode_units_plugged", "encode_units")):
+                     ("encode_units_plugged", "encode_units"), ("lexicon_hits_by_table", "lexicon_hits")):
     sql(_name, ORACLE[_same])
