@@ -813,26 +813,23 @@ def clustered(spark, sf):
     docs = load_songs(spark, sf).select("song_id", F.filter(tx.tokens("lyrics", "word"), lambda t: ~t.isin(stop))
                                         .alias("tok"))
     assign, _ = ml.cluster(ml.tfidf_vectors(docs, "tok", 5000), k=15)
-    long = ml.tfidf(clean_tokens(spark, sf), "song_id", max_features=5000)
-    return long, assign.select("song_id", "cluster")
+    return assign.select("song_id", "cluster")
 
 
 @register("cluster_documents")
 def cluster_documents(spark, sf):
-    _, assign = clustered(spark, sf)
-    return assign.select("song_id", "cluster")
+    return clustered(spark, sf)
 
 
 @register("cluster_profile")
 def cluster_profile(spark, sf):
-    long, assign = clustered(spark, sf)
-    return ml.cluster_profile(long, assign, "song_id", drop=[])
+    long = ml.tfidf(clean_tokens(spark, sf), "song_id", max_features=5000)
+    return ml.cluster_profile(long, clustered(spark, sf), "song_id", drop=[])
 
 
 @register("drop_clusters")
 def drop_clusters_q(spark, sf):
-    long, assign = clustered(spark, sf)
-    return ml.drop_clusters(assign.select("song_id", "cluster"), [0])
+    return ml.drop_clusters(clustered(spark, sf), [0])
 
 
 @register("silhouette")
@@ -1189,7 +1186,7 @@ def neighbour_context_lyric(spark, sf):
 @register("word_frequency_after_clusters")
 def word_frequency_after_clusters(spark, sf):
     """A1 third list: top 100 tokens without stop words after dropping the listed noisy clusters."""
-    _, assign = clustered(spark, sf)
+    assign = clustered(spark, sf)
     kept = ml.drop_clusters(assign, [0]).select("song_id")
     stop = sorted(set(STOPWORDS_ES))
     toks = (load_songs(spark, sf).join(kept, "song_id", "left_semi")
