@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 1. Words are lower-cased (ASCII and Latin-1) and freed of ASCII punctuation. Every window of ``SEED`` words of a
    benchmark item is a seed. At the stated share three neighbouring words of an item survive wherever the changed
@@ -6,8 +6,8 @@
 2. One pass over the texts finds windows whose hash is set in a bitmap of 2^``BITS`` bits built from the seeds (its
    size is fixed, so it may be broadcast; a fuller bitmap costs time, not results) and keeps the words around them,
    as far as the longest item reaches.
-3. These hits join the seeds exactly. A seed is rare if it hits few documents. A (passage, item) pair is aligned if
-   it has a rare seed or at least two different seeds.
+3. These hits join the seeds exactly. Every (passage, item) pair with a seed is aligned, however many documents hold
+   the seed: pairs grow with (documents x items that share it), never with the square of the documents.
 4. Local alignment (match 2, mismatch -1, gap -1) of the item with the passage; share = score / (2 x words of the
    item). 80 % equal words reach 0.7; pairs from 0.6 on are contaminations, which leaves room for moved words.
 
@@ -30,8 +30,6 @@ SEED = 3
 BITS = 24
 SHARE = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: a seed is rare if it hits at most this many documents, or this share of them
-RARE_DOCS, RARE_SHARE = 20, 1e-4
 
 
 def folded(data: np.ndarray) -> np.ndarray:
@@ -187,20 +185,13 @@ def contaminations(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     seeds = staged(seed_table(words), "seeds")
     longest = words.agg(F.max(F.size("words"))).first()[0] or 0
     found = staged(passages(docs, bitmap(seeds, bits), 2 * longest, key, text, bits).withColumn("part_id", F.expr("uuid()")), "passages")
-    total = docs.count()
-    hits = found.select("part_id", "doc_id", F.explode(F.arrays_zip("seeds", "places")).alias("h"))
-    hits = hits.select("part_id", "doc_id", F.col("h.seeds").alias("seed"), F.col("h.places").alias("place"))
-    known = seeds.select("seed").distinct()
-    rare = (hits.join(known, "seed", "left_semi").groupBy("seed").agg(F.approx_count_distinct("doc_id").alias("docs"))
-            .select("seed", (F.col("docs") <= F.lit(max(RARE_DOCS, RARE_SHARE * total))).alias("rare")))
-    seeds = seeds.join(rare, "seed")
+    hits = found.select("part_id", F.explode(F.arrays_zip("seeds", "places")).alias("h"))
+    hits = hits.select("part_id", F.col("h.seeds").alias("seed"), F.col("h.places").alias("place"))
     span = hits.join(seeds, "seed").groupBy("part_id", "item_id").agg(
-        F.max("rare").alias("rare"), F.count_distinct("seed").alias("n"),
         F.min(F.col("place") - F.col("item_at")).alias("low"), F.max(F.col("place") - F.col("item_at")).alias("high"))
-    span = span.filter(F.col("rare") | (F.col("n") >= 2))
     pairs = (span.join(words.withColumnRenamed("words", "item"), "item_id").join(found.select("part_id", "doc_id", "at", "words"), "part_id"))
-    # the item may start a third of its length before the first and end as much after the last diagonal
-    slack = F.ceil(F.size("item") / 3).cast("int") + 1
+    # each gap costs -GAP, so an alignment that reaches the share leaves the diagonals of its seeds by so many words
+    slack = F.ceil(F.size("item") * (MATCH * (1 - share) / -GAP)).cast("int")
     start = F.greatest(F.col("low") - slack, F.lit(0))
     stop = F.least(F.col("high") + F.size("item") + slack, F.size("words"))
     pairs = pairs.select("doc_id", "item_id", (F.col("at") + start).cast("bigint").alias("at"), "item", F.slice("words", start + 1, stop - start).alias("part"))

@@ -156,6 +156,33 @@ def test_leaks_equal_brute_force(spark):
     assert want and {(r.doc_id, r.item_id): round(r.share, 9) for r in got.collect()} == want
 
 
+def test_leaks_of_short_items_in_many_documents(spark):
+    rnd = random.Random(21)
+    clean = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    windows = lambda w: {tuple(w[i:i + 3]) for i in range(len(w) - 2)}
+    items = [(n, " ".join(f"item{n}x{j}" for j in range(n))) for n in (3, 4, 5, 6, 7, 8, 9, 12, 15)]
+    docs = []
+    for n, item in items:
+        for i in range(45):
+            copy = item.split(" ")
+            if i % 3 == 1:  # two words stay, one changes, and so on until a window of three is left
+                copy = [w if (len(copy) - j) % 3 != 1 or j >= len(copy) - 3 else "changed" for j, w in enumerate(copy)]
+                copy = copy if len(copy) > 3 else [*copy, "changed"]
+            if i % 3 == 2:
+                copy = copy[:3] + [w for c in copy[3:] for w in rnd.choice([["added", c], [c]])][:-1] + ["other"]
+            text = prose(900 + i, 40).split() + copy + prose(990 + i, 40).split()
+            docs.append((len(docs), " ".join(text)))
+    got = decontaminate.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = {}
+    for d, t in docs:
+        for k, item in items:
+            w, x = clean(item), clean(t)
+            if windows(w) & windows(x) and (share := smith_waterman(w, x) / (2 * len(w))) >= decontaminate.SHARE:
+                want[d, k] = round(share, 9)
+    assert all(sum(1 for d, k in want if k == n) > 20 for n, _ in items)
+    assert {(r.doc_id, r.item_id): round(r.share, 9) for r in got.collect()} == want
+
+
 def test_decontamination_edges(spark, edge, empty):
     items = spark.createDataFrame([(1, edge.filter("doc_id = 0").first().text), (1, "x y z w v"), (None, None)], "item_id long, text string")
     kept = decontaminate.decontaminate(edge, items)
