@@ -183,6 +183,21 @@ def test_leaks_of_short_items_in_many_documents(spark):
     assert {(r.doc_id, r.item_id): round(r.share, 9) for r in got.collect()} == want
 
 
+def test_partial_and_edited_copies_are_leaks(spark):
+    rnd = random.Random(33)
+    items = [(n, " ".join(f"item{n}x{j}" for j in range(n))) for n in (16, 39, 59)]
+    docs = [(0, f"{prose(1, 50)} {' '.join(items[2][1].split()[:30])} {prose(2, 50)}")]
+    for n, item in items:
+        for _ in range(8):
+            copy = item.split()
+            for j in rnd.sample(range(n), n * 3 // 10):
+                copy[j] = "changed"
+            docs.append((len(docs), f"{prose(700 + len(docs), 50)} {' '.join(copy)} {prose(800 + len(docs), 50)}"))
+    docs.append((len(docs), prose(3, 2000)))
+    got = decontaminate.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(0, 59), *((1 + 8 * i + j, n) for i, (n, _) in enumerate(items) for j in range(8))}
+
+
 def test_decontamination_edges(spark, edge, empty):
     items = spark.createDataFrame([(1, edge.filter("doc_id = 0").first().text), (1, "x y z w v"), (None, None)], "item_id long, text string")
     kept = decontaminate.decontaminate(edge, items)
