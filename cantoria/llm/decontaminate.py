@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cantoria.llm.common import bounded_batches, staged
+from cantoria.llm.common import bounded_batches, packed, staged, unpacked
 from cantoria.llm.textbytes import chunks, column_bytes, shingle_hashes, word_hashes
 
 SEED = 3
@@ -91,7 +91,8 @@ def bitmap(seeds: DataFrame, bits: int = BITS) -> np.ndarray:
 
 
 def passages(docs: DataFrame, bits_set: np.ndarray, reach: int, key: str, text: str, bits: int = BITS) -> DataFrame:
-    """doc_id, at (first word), words, hits (seed, place in words): the stretches around windows in the bitmap."""
+    """doc_id, body (hash of the text), at (first word), words, hits (seed, place in words): the stretches around windows
+    in the bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(bits_set)
     mask = np.uint64((1 << bits) - 1)
 
@@ -121,14 +122,14 @@ def passages(docs: DataFrame, bits_set: np.ndarray, reach: int, key: str, text:
                 group = np.cumsum(new) - 1
                 bounds = np.append(heads, len(hit)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(row[heads] + a)), pa.array((lo - first[row[heads]]).astype(np.int64)),
+                    batch.column(0).take(pa.array(row[heads] + a)), batch.column(2).take(pa.array(row[heads] + a)), pa.array((lo - first[row[heads]]).astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words[flat].view(np.int64))),
                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(seeds[hit].view(np.int64))),
                     pa.ListArray.from_arrays(pa.array(bounds), pa.array((place - lo[group]).astype(np.int32)))],
-                    names=["doc_id", "at", "words", "seeds", "places"])
+                    names=["doc_id", "body", "at", "words", "seeds", "places"])
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text)).mapInArrow(
-        run, "doc_id bigint, at bigint, words array<bigint>, seeds array<bigint>, places array<int>")
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text), F.xxhash64(text).alias("body")).mapInArrow(
+        run, "doc_id bigint, body bigint, at bigint, words array<bigint>, seeds array<bigint>, places array<int>")
 
 
 def align(items: list[np.ndarray], stretches: list[np.ndarray]) -> np.ndarray:
@@ -174,13 +175,13 @@ def _aligned(batches):
             score[some] = align([item[i] for i in some], [part[i] for i in some])
             a = b
         share = score / (MATCH * np.array([len(i) for i in item]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), batch.column("at"), pa.array(share)],
-                                         names=["doc_id", "item_id", "at", "share"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("body"), batch.column("item_id"), batch.column("at"), pa.array(share)],
+                                         names=["doc_id", "body", "item_id", "at", "share"])
 
 
-def contaminations(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-                   item_text: str = "text", share: float = SHARE, bits: int = BITS) -> DataFrame:
-    """doc_id, item_id, share, at: the best alignment of every contaminated (document, item)."""
+def _flagged(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
+             item_text: str = "text", share: float = SHARE, bits: int = BITS) -> DataFrame:
+    """doc_id, body, item_id, at, share of every (passage, item) that reaches the share."""
     bounded_batches(docs.sparkSession)
     words = staged(item_words(items, item_key, item_text).filter(F.size("words") >= SEED), "items")
     seeds = staged(seed_table(words), "seeds")
@@ -190,18 +191,25 @@ def contaminations(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     hits = hits.select("part_id", F.col("h.seeds").alias("seed"), F.col("h.places").alias("place"))
     span = hits.join(seeds, "seed").groupBy("part_id", "item_id").agg(
         F.min(F.col("place") - F.col("item_at")).alias("low"), F.max(F.col("place") - F.col("item_at")).alias("high"))
-    pairs = (span.join(words.withColumnRenamed("words", "item"), "item_id").join(found.select("part_id", "doc_id", "at", "words"), "part_id"))
+    pairs = (span.join(words.withColumnRenamed("words", "item"), "item_id").join(found.select("part_id", "doc_id", "body", "at", "words"), "part_id"))
     # each gap costs -GAP, so an alignment that reaches the share leaves the diagonals of its seeds by so many words
     slack = F.ceil(F.size("item") * (MATCH * (1 - share) / -GAP)).cast("int")
     start = F.greatest(F.col("low") - slack, F.lit(0))
     stop = F.least(F.col("high") + F.size("item") + slack, F.size("words"))
-    pairs = pairs.select("doc_id", "item_id", (F.col("at") + start).cast("bigint").alias("at"), "item", F.slice("words", start + 1, stop - start).alias("part"))
-    scored = pairs.mapInArrow(_aligned, "doc_id bigint, item_id bigint, at bigint, share double")
-    return (scored.filter(F.col("share") >= share).groupBy("doc_id", "item_id")
+    pairs = pairs.select("doc_id", "body", "item_id", (F.col("at") + start).cast("bigint").alias("at"), "item", F.slice("words", start + 1, stop - start).alias("part"))
+    scored = pairs.mapInArrow(_aligned, "doc_id bigint, body bigint, item_id bigint, at bigint, share double")
+    return scored.filter(F.col("share") >= share)
+
+
+def contaminations(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """doc_id, item_id, share, at: the best alignment of every contaminated (document, item)."""
+    return (_flagged(docs, items, key, text, **options).groupBy("doc_id", "item_id")
             .agg(F.max(F.struct("share", "at")).alias("best")).select("doc_id", "item_id", "best.share", "best.at"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without a contamination (documents with a null id cannot be named and stay)."""
-    found = contaminations(docs, items, key, text, **options)
-    return docs.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti")
+    """The documents without a contamination: those go whose id (it may be null) and text are flagged."""
+    found = _flagged(docs, items, key, text, **options).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).distinct()
+    own = packed(docs).withColumn("_hash", F.xxhash64(F.col("_doc")[text]))
+    kept = own.join(found, F.col("_doc")[key].cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_body")), "left_anti")
+    return unpacked(kept, docs.columns, [])

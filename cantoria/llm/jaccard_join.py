@@ -367,8 +367,8 @@ def _sets(bits_set, bits: int):
     return run
 
 
-def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """key, class_id, copy_of, n_links, n_copies of every document."""
+def _classes(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """(id, rec) of every document; and rec, root, class_id, copy_of, n_links, n_copies of every text."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -388,15 +388,23 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     texts = members.groupBy("rec").agg(F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("n_copies"))
     texts = staged(texts.join(classes, "rec", "left").join(links, "rec", "left").withColumn("root", F.coalesce("root", "rec")), "texts")
     least = texts.groupBy("root").agg(F.min("copy_of").alias("class_id"))
-    texts = texts.join(least, "root").select("rec", "copy_of", "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "n_copies")
+    texts = texts.join(least, "root").select("rec", "root", "copy_of", "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "n_copies")
+    return members, texts
+
+
+def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """key, class_id, copy_of, n_links, n_copies of every document."""
+    members, texts = _classes(docs, key, text, **options)
     return members.join(texts, "rec").select(F.col("id").alias(key), "class_id", "copy_of", "n_links", "n_copies")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each class stays: the one with the least id; of equal rows (id and text) one stays. Documents
-    with a null id cannot be named and stay, one of each text."""
-    found = similarity_join(docs, key, text, **options)
-    gone = found.filter(F.col(key) != F.col("class_id")).select(key).distinct()
-    rows = packed(docs).select("_doc", F.col("_doc")[key].alias("id"), F.xxhash64(F.col("_doc")[text]).alias("body"))
-    kept = rows.join(gone.withColumnRenamed(key, "id"), "id", "left_anti").dropDuplicates(["id", "body"])
+    """One document of each class stays: the one with the least id (of several texts of the class with that id, the one
+    with the least hash); of equal rows (id and text) one stays. An id that different texts share stays with each text
+    that is its class's first. Documents with a null id stay, one of each text."""
+    _, texts = _classes(docs, key, text, **options)
+    first = (texts.filter(F.col("copy_of") == F.col("class_id")).groupBy("root").agg(F.min("class_id").alias("id"), F.min("rec").alias("body"))
+             .select("id", "body", F.lit(True).alias("first")))
+    rows = packed(docs).select("_doc", F.col("_doc")[key].alias("id"), F.xxhash64(F.coalesce(F.col("_doc")[text], F.lit(""))).alias("body"))
+    kept = rows.join(first, ["id", "body"], "left").filter(F.col("id").isNull() | F.col("first")).dropDuplicates(["id", "body"])
     return unpacked(kept, docs.columns, [])

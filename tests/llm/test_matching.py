@@ -86,6 +86,14 @@ def test_join_edges(edge, empty):
     assert jaccard_join.similarity_join(empty).count() == 0 and jaccard_join.one_of_each(empty).count() == 0
 
 
+def test_clashing_ids_keep_the_text_that_is_first(spark):
+    near = prose(41, 120)
+    rows = [(1, near), (5, near + " end"), (5, prose(42, 120)), (6, prose(43, 120)), (6, prose(43, 120) + " end"), (7, prose(42, 120))]
+    kept = [tuple(r) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert rows[0] in kept and rows[2] in kept and rows[1] not in kept and rows[5] not in kept
+    assert len(kept) == 3 and sum(i == 6 for i, _ in kept) == 1
+
+
 def test_intersections():
     rnd = np.random.default_rng(1)
     sets = [np.unique(rnd.integers(0, 60, 30).astype(np.uint64)) for _ in range(40)] + [np.zeros(0, np.uint64)]
@@ -198,6 +206,13 @@ def test_partial_and_edited_copies_are_leaks(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(0, 59), *((1 + 8 * i + j, n) for i, (n, _) in enumerate(items) for j in range(8))}
 
 
+def test_leaks_are_removed_by_id_and_text(spark):
+    item = prose(51, 20).replace("\n", " ")
+    rows = [(1, f"{prose(52, 40)} {item}"), (1, prose(53, 40)), (None, f"{prose(54, 40)} {item}"), (None, prose(55, 40)), (2, None)]
+    kept = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {tuple(r) for r in kept.collect()} == {rows[1], rows[3], rows[4]}
+
+
 def test_decontamination_edges(spark, edge, empty):
     items = spark.createDataFrame([(1, edge.filter("doc_id = 0").first().text), (1, "x y z w v"), (None, None)], "item_id long, text string")
     kept = decontaminate.decontaminate(edge, items)
