@@ -73,3 +73,11 @@ def packed(df: DataFrame) -> DataFrame:
 def unpacked(df: DataFrame, columns: list[str], added: list[str]) -> DataFrame:
     """The packed columns and then the added ones; an added column replaces one of the same name."""
     return df.select(*[F.col("_doc")[c].alias(c) for c in columns if c not in added], *added)
+
+
+def salted_lookup(rows: DataFrame, unique: DataFrame, keys: list[str], how: str = "left", salts: int = 8) -> DataFrame:
+    """Join of rows with a table on keys of which some may be a large part of all rows: the table stands once for every
+    salt and rows take the salt of their partition, so such a key is shared by ``salts`` tasks."""
+    left = rows.withColumn("_salt", F.spark_partition_id() % salts)
+    right = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")

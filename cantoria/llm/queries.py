@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cantoria.llm import decontaminate, jaccard_join, line_dedup, mixing, neighbours, pii, quality_rules, repeats, sharding, warc
+from cantoria.llm import (decontaminate, jaccard_join, lexical_search, line_dedup, mixing, neighbours, pii, prefix_trie, quality_rules, repeats,
+                          sharding, url_filter, warc)
 from cantoria.llm.common import table
 
 
@@ -62,6 +63,18 @@ def op10_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.rule_table(spark)).drop("url")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_pii_weak_supervision": op1_pii_weak_supervision,
     "op2_line_dedup": op2_line_dedup,
@@ -73,6 +86,9 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_warc_roundtrip": op9_warc_roundtrip,
     "op10_neighbour_quality": op10_neighbour_quality,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_url_filters": op12_url_filters,
+    "op13_lexical_search": op13_lexical_search,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -81,4 +97,7 @@ ORACLE = {
     "op3_quality_rules": quality_rules.sql(),
     "op5_source_mixing": mixing.sql(),
     "op9_warc_roundtrip": warc.sql(),
+    "op11_prefix_trie": prefix_trie.sql(),
+    "op12_url_filters": url_filter.sql(),
+    "op13_lexical_search": lexical_search.sql(),
 }
