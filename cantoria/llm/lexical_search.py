@@ -68,7 +68,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, size: int = CHUNK) -> Iterator
         while at < stop:
             end = min(at + size, stop)
             while end < stop and data[end] != 0x20:  # at most to the end of this term
-                gap = np.flatnonzero(data[end:end + size] == 0x20)
+                gap = np.flatnonzero(data[end:min(end + size, stop)] == 0x20)
                 end = end + int(gap[0]) if len(gap) else min(end + size, stop)
             yield np.array([a]), data[at:end], np.array([0, end - at])
             at = end
