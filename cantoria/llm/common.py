@@ -32,12 +32,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Whole texts go to Python in Arrow batches of at most ``rows`` rows, unless the session sets a number itself."""
-    if spark.conf.get(ROWS_PER_BATCH, "-1") == "-1":
-        spark.conf.set(ROWS_PER_BATCH, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
+    """Whole texts go to Python in Arrow batches of at most ``rows`` rows and about ``size`` bytes, unless the session
+    sets a number itself."""
+    for name, value in ((ROWS_PER_BATCH, rows), (BYTES_PER_BATCH, size)):
+        spark.conf.set(name, spark.conf.get(name, str(value)))
 
 
 def spread_key(*cols) -> Column:

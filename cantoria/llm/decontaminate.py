@@ -207,9 +207,23 @@ def contaminations(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
             .agg(F.max(F.struct("share", "at")).alias("best")).select("doc_id", "item_id", "best.share", "best.at"))
 
 
+def _key_cells(found: DataFrame, bits: int) -> DataFrame:
+    """cell, set: a bitmap of 2^bits bits over the hashes of the flagged (id, text), in at most 2^bits / 64 rows."""
+    low = F.xxhash64("_id", "_body").bitwiseAND(F.lit((1 << bits) - 1))
+    return (found.select(low.alias("low")).groupBy(F.shiftright("low", 6).alias("cell"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(low & 63 as int))")).alias("set")))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without a contamination: those go whose id (it may be null) and text are flagged."""
-    found = _flagged(docs, items, key, text, **options).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).distinct()
-    own = packed(docs).withColumn("_hash", F.xxhash64(F.col("_doc")[text]))
-    kept = own.join(found, F.col("_doc")[key].cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_body")), "left_anti")
-    return unpacked(kept, docs.columns, [])
+    """The documents without a contamination: those go whose id (it may be null) and text are flagged.
+
+    A broadcast bitmap of fixed size over the flagged keys lets all other documents pass where they are read; only
+    documents it holds are shuffled to the exact anti-join."""
+    found = staged(_flagged(docs, items, key, text, **options).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).distinct(), "flagged")
+    bits = options.get("bits", BITS)
+    own = packed(docs).withColumn("_key", F.col("_doc")[key].cast("bigint")).withColumn("_hash", F.xxhash64(F.col("_doc")[text]))
+    own = own.withColumn("_low", F.xxhash64("_key", "_hash").bitwiseAND(F.lit((1 << bits) - 1))).withColumn("cell", F.shiftright("_low", 6))
+    own = own.join(F.broadcast(_key_cells(found, bits)), "cell", "left")  # at most 2^bits / 64 rows
+    maybe = F.coalesce(F.expr("(shiftright(set, cast(_low & 63 as int)) & 1) = 1"), F.lit(False))
+    kept = own.filter(maybe).join(found, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_body")), "left_anti")
+    return unpacked(own.filter(~maybe).unionByName(kept), docs.columns, [])

@@ -54,12 +54,13 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: floa
 
 
 def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
-             budget: float = BUDGET, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """One row per document: key, source, size, source_size, target, copies."""
+             budget: float = BUDGET, cap: float = CAP, seed: int = SEED, body: str | None = None) -> DataFrame:
+    """One row per document: key, source, size, source_size, target, copies, and the hash of the text if ``body`` names it."""
     narrow = staged(docs.select(
         F.col(key).alias("id"), F.col(source).alias("source"), F.col(source).isNull().alias("no_source"),
         F.coalesce(F.col(source), F.lit("")).alias("src"),
-        F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("bigint").alias("size")), "mix")
+        F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("bigint").alias("size"),
+        *([F.xxhash64(text).alias("_body")] if body else [])), "mix")
     plan = targets(narrow, weights, budget, cap)
     plan = plan.select(F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("no_source"), "source_size", "target")
     md5 = spread_key("id")
@@ -69,7 +70,8 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     copies = F.floor((F.col("rank") + 1) * ratio + offset) - F.floor(F.col("rank") * ratio + offset)
     return (rows.join(plan, ["no_source", "src"])
-            .select(F.col("id").alias(key), "source", "size", "source_size", "target", copies.cast("bigint").alias("copies")))
+            .select(F.col("id").alias(key), "source", "size", "source_size", "target", copies.cast("bigint").alias("copies"),
+                    *([F.col("_body").alias(body)] if body else [])))
 
 
 def sql() -> str:
