@@ -30,10 +30,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it (0 to 2 times)."""
     docs = docs.select(COLUMNS)
-    plan = mixing.mix_plan(docs).select("doc_id", "copies")
-    # equal ids carry equal plans only by chance: each keeps the plan of one of its rows
-    plan = plan.groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    taken = docs.join(plan.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    # rows are told apart by id and text, which are unique after the second stage; ids may be null or clash
+    plan = mixing.mix_plan(docs, body="_body").groupBy(F.col("doc_id").alias("_id"), "_body").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_body")))
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
 
 
