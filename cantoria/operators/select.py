@@ -123,8 +123,8 @@ def stratified_split(df: DataFrame, label_cols: list[str], test_frac: float = 0.
                      id_col: str = "id") -> DataFrame:
     """M8: key = labels joined by '_'; combinations that occur once are pooled as 'rare_combination' and split like
     any other stratum. The test part has ceil(frac * rows) rows: every stratum gives floor(frac * n), and the strata
-    with the largest remainders give one more. Within a stratum rows are taken in hash order. The strata (at most the
-    label combinations) are the only table sorted in one task."""
+    with the largest remainders give one more. Within a stratum rows are taken in hash order (60 bits), numbered in ranges, so no
+    stratum is sorted in one task; the table of strata (at most the label combinations) is."""
     keyed = df.withColumn("_key", F.concat_ws("_", *[F.col(c).cast("string") for c in label_cols]))
     sizes = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("estrato", F.when(F.col("_n") == 1, F.lit("rare_combination")).otherwise(F.col("_key")))
@@ -135,8 +135,10 @@ def stratified_split(df: DataFrame, label_cols: list[str], test_frac: float = 0.
     more = F.ceil(F.lit(float(test_frac)) * F.sum("_n").over(every)) - F.sum("_low").over(every)
     turn = F.row_number().over(Window.orderBy(F.desc("_rest"), "estrato"))
     strata = strata.select("estrato", (F.col("_low") + (turn <= more).cast("int")).alias("_quota"))
-    w = Window.partitionBy("estrato").orderBy(hash_key(id_col, seed=seed), id_col)
-    out = keyed.join(sizes.drop("_n"), "_key").join(strata, "estrato").withColumn("_r", F.row_number().over(w))
+    from cantoria.operators.stats import row_index
+    first = F.conv(F.substring(hash_key(id_col, seed=seed), 1, 15), 16, 10).cast("bigint")
+    own = row_index(keyed.join(sizes.drop("_n"), "_key").withColumn("_h", first), "estrato", "_h")
+    out = own.join(strata, "estrato").withColumn("_r", F.col("_idx") + 1)
     split = F.when(F.col("_r") <= F.col("_quota"), F.lit("test")).otherwise(F.lit("train"))
     return out.withColumn("split", split).select(*df.columns, "estrato", "split")
 

@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -89,39 +88,6 @@ def weighted_centroid(df: DataFrame, by: str, vec: str, weight: str) -> DataFram
     return m.select(by, l2_normalize(vector_to_array("_m")).alias("centroide"))
 
 
-def weighted_attractors(anchors: DataFrame, by: str, vec: str, weight: str, k_max: int = 5,
-                        seed: int = SEED) -> DataFrame:
-    """M5: per group, anchors weighted by their label. Fewer than 3 anchors -> one weighted centroid; otherwise
-    k-means with the weight column for k in 2..min(k_max, n-1), keeping the first k with the best silhouette;
-    centres scaled to unit length. One small Spark ML fit per (group, k); anchor sets are review-sized."""
-    out = []
-    groups = [r[0] for r in anchors.select(by).distinct().orderBy(by).collect()]       # the dimensions
-    feats = anchors.select(by, array_to_vector(vec).alias("features"), F.col(weight).cast("double").alias("w"))
-    for g in groups:
-        part = feats.where(F.col(by) == g).cache()
-        n = part.count()
-        if n < 3:
-            c = weighted_centroid(anchors.where(F.col(by) == g), by, vec, weight)
-            out.append(c.select(by, F.lit(0).alias("k_idx"), "centroide"))
-            part.unpersist()
-            continue
-        best = None
-        for k in range(2, min(k_max, n - 1) + 1):
-            model = KMeans(k=k, seed=seed, weightCol="w", featuresCol="features").fit(part)
-            sil = ClusteringEvaluator(featuresCol="features").evaluate(model.transform(part))
-            if best is None or sil > best[0]:
-                best = (sil, model)
-        centers = [c.tolist() for c in best[1].clusterCenters()]
-        rows = anchors.sparkSession.createDataFrame([(g, i, c) for i, c in enumerate(centers)],
-                                                    f"{by} string, k_idx int, centroide array<double>")
-        out.append(rows.select(by, "k_idx", l2_normalize(F.col("centroide")).alias("centroide")))
-        part.unpersist()
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
-
-
 def silhouette(df: DataFrame, vec: str, pred: str) -> float:
     """Mean silhouette (Spark's evaluator; its default distance is squared Euclidean)."""
     d = df.select(array_to_vector(vec).alias("features"), F.col(pred).alias("prediction"))
@@ -246,8 +212,8 @@ def oversample(df: DataFrame, id_col: str, vec: str, labels: list[str], by: str,
     real = df.select(id_col, by, vec, *labels, F.lit(False).alias("sintetico"))
     if kk <= 0:
         return real
-    w = Window.partitionBy(by).orderBy(id_col)
-    idx = df.withColumn("_i", F.row_number().over(w) - 1)
+    from cantoria.operators.stats import row_index
+    idx = row_index(df.withColumn("_h", F.xxhash64(id_col)), by, "_h").withColumnRenamed("_idx", "_i").drop("_h")
     need = counts.where(F.col("_n") < c["mx"]).select(by, "_n", F.explode(F.sequence(F.lit(0), c["mx"] - F.col("_n") - 1))
                                                       .alias("_j"))
     h = F.md5(F.concat_ws("|", F.col(by).cast("string"), F.col("_j").cast("string"), F.lit(str(seed))))

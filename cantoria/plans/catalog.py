@@ -561,6 +561,14 @@ def order_by_year_or_density(spark, sf):
               .orderBy(F.desc("densidad_agenciamiento"), "artist", "song"))
 
 
+@register("order_by_year")
+def order_by_year(spark, sf):
+    """T2, the other order: every song with its density, oldest first (songs without a year last)."""
+    d = ru.song_density_inline(load_songs(spark, sf), LEX)
+    return r6(d.select("artist", "song", "year", "total_versos", "densidad_agenciamiento")
+              .orderBy(year_num("year").asc_nulls_last(), "artist", "song"))
+
+
 def dim_matches(spark, sf) -> DataFrame:
     v = un.to_verses(load_songs(spark, sf))
     hits = F.array(*[F.when(F.coalesce(F.col("verso_texto").rlike(lx.dimension_regex(LEX[d])), F.lit(False)),
@@ -660,6 +668,8 @@ def flow_stats(spark, sf):
 
 
 # ----------------------------------------------------------------------------------------------------- vectors
+from cantoria.operators import attractors as att  # noqa: E402
+from cantoria.operators import boosting as bo  # noqa: E402
 from cantoria.operators import learn as ml  # noqa: E402
 from cantoria.operators import vectors as vx  # noqa: E402
 
@@ -729,7 +739,7 @@ def attractor_set(spark, sf) -> DataFrame:
     """M5 with its fallback: up to five attractors per dimension; a dimension without anchors gets the vector of its
     lexicon terms."""
     def build():
-        found = vx.weighted_attractors(anchors(spark, sf), "dim", "vec", "peso")
+        found = att.weighted_attractors(anchors(spark, sf), "dim", "vec", "peso")
         terms = spark.createDataFrame([(d, " ".join(sorted(set(LEX[d])))) for d in DIMS], "dim string, terminos string")
         alone = hashed(terms.join(found.select("dim").distinct(), "dim", "left_anti"), "terminos")
         return found.unionByName(alone.select("dim", F.lit(0).alias("k_idx"), F.col("vec").alias("centroide")))
@@ -771,8 +781,8 @@ def vector_cache(spark, sf):
 
 @register("weighted_attractors")
 def weighted_attractors(spark, sf):
-    a = vx.weighted_attractors(anchors(spark, sf), "dim", "vec", "peso")
-    return a.select("dim", "k_idx", F.size("centroide").alias("ancho"))
+    """M5: the attractors of every dimension, best of ten starts, number of clusters by the exact silhouette."""
+    return r6(att.weighted_attractors(anchors(spark, sf), "dim", "vec", "peso").select("dim", "k_idx", F.posexplode("centroide").alias("pos", "valor")))
 
 
 @register("knn_within_class")
@@ -792,8 +802,8 @@ def balanced(spark, sf) -> DataFrame:
 
 @register("oversample_interpolate")
 def oversample_interpolate(spark, sf):
-    out = balanced(spark, sf)
-    return out.groupBy("decada", "sintetico").agg(F.count(F.lit(1)).alias("n"))
+    """M7: the real rows and the synthetic ones, with their vectors and labels."""
+    return r6(balanced(spark, sf).select("decada", "verso_texto", "sintetico", "vec", *LABEL_COLS))
 
 
 # ----------------------------------------------------------------------------------------------------- learning
@@ -832,6 +842,13 @@ def drop_clusters_q(spark, sf):
     return ml.drop_clusters(clustered(spark, sf), [0])
 
 
+@register("silhouette_euclidean")
+def silhouette_euclidean(spark, sf):
+    """X8 exact: Euclidean distances of all pairs, in blocks."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
+    return r6(att.silhouette(e, "vec_id", "v", "label"))
+
+
 @register("silhouette")
 def silhouette_q(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("v"), "label")
@@ -890,9 +907,48 @@ def train_multilabel(spark, sf):
 def score_units_q(spark, sf):
     _, models = trained(spark, sf)
     p = hashed(pool_minus_reviewed(spark, sf), "verso_texto")
-    s = ml.score_units(p, "vec", models)
-    stack = F.expr("stack(6, " + ", ".join(f"'{d}', intensidad_{d}" for d in DIMS) + ") as (dim, intensidad)")
-    return s.select(stack).groupBy("dim", "intensidad").agg(F.count(F.lit(1)).alias("n"))
+    return ml.score_units(p, "vec", models).select("song_id", "verso_idx", *[f"intensidad_{d}" for d in DIMS])
+
+
+#: step x rounds as in the study (0.01 x 1,500), in fewer and larger steps; patience in proportion
+BOOSTING = {"rounds": 50, "step": 0.3, "patience": 5}
+
+
+def boosted(spark, sf, labels):
+    g = hashed(gold(spark, sf), "verso_texto")
+    split = cut_lineage(sel.stratified_split(g, LABEL_COLS, 0.2, id_col="verso_texto"))
+    return split, bo.train(split, "vec", labels, held=F.col("split") == "test", **BOOSTING)
+
+
+@register("train_multilabel_boosted")
+def train_multilabel_boosted(spark, sf):
+    """M10 as the study trains it: six boosted models, stopped on the test rows (as there), beside the forests."""
+    split, model = boosted(spark, sf, LABEL_COLS)
+    forests = ml.train_multilabel(split.where(F.col("split") == "train"), "vec", LABEL_COLS, depth=4)
+    test = bo.score(ml.score_units(split.where(F.col("split") == "test"), "vec", forests, prefix="bosque_"), "vec", model)
+    out = None
+    for c, d in zip(LABEL_COLS, DIMS):
+        forest = ml.accuracy_report(test, c, f"bosque_{d}").select(F.col("exactitud").alias("bosque"), F.col("exactitud_balanceada").alias("bosque_balanceada"))
+        one = st._one_row_join(ml.accuracy_report(test, c, f"pred_{d}"), forest).withColumn("dim", F.lit(d)).withColumn("rondas", F.lit(model.best[c]))
+        out = one if out is None else out.unionByName(one)
+    return r6(out)
+
+
+@register("score_units_boosted")
+def score_units_boosted(spark, sf):
+    """M12 with the boosted models: every unreviewed verse with its six intensities."""
+    _, model = boosted(spark, sf, LABEL_COLS)
+    p = hashed(pool_minus_reviewed(spark, sf), "verso_texto").select("song_id", "verso_idx", "vec")
+    return bo.score(p, "vec", model, "intensidad_").drop("vec")
+
+
+@register("word_attribution")
+def word_attribution(spark, sf):
+    """M17 of a trained model: Shapley values of the highest intensity of AR, per word of the reviewed verses that have it."""
+    split, model = boosted(spark, sf, ["val_AR"])
+    top = model.classes["val_AR"][-1]
+    found = bo.explain(split.where(F.col("val_AR") == top).select("verso_texto", "vec"), "vec", model, "val_AR", top)
+    return r6(bo.word_contributions(found, "verso_texto", tx.tokens("verso_texto", "runs")))
 
 
 @register("project_low_dim")
@@ -1155,14 +1211,16 @@ def encode_units_plugged(spark, sf):
 
 @register("save_vectors_models")
 def save_vectors_models(spark, sf):
-    """Vectors and a trained model are saved, loaded and used: rows, and rows on which both models agree."""
+    """Vectors and six trained models are saved, loaded and used: every row with the scores of both."""
     path = _scratch(spark, "saved")
     sinks.save_vectors(hashed(gold(spark, sf), "verso_texto").select("verso_texto", "vec", "val_AR"), f"{path}/vectors")
     rows = spark.read.parquet(f"{path}/vectors")
-    model = ml.train_multilabel(rows, "vec", ["val_AR"], trees=10)["val_AR"]
-    sinks.save_model(model, f"{path}/model")
-    both = ml.score_units(ml.score_units(rows, "vec", {"val_AR": model}, "a_"), "vec", {"val_AR": sinks.load_model(f"{path}/model")}, "b_")
-    return both.agg(F.count(F.lit(1)).alias("filas"), F.count_if(F.col("a_AR") == F.col("b_AR")).alias("iguales"))
+    models = ml.train_multilabel(rows, "vec", LABEL_COLS)
+    for c, model in models.items():
+        sinks.save_model(model, f"{path}/{c}")
+    loaded = {c: sinks.load_model(f"{path}/{c}") for c in models}
+    both = ml.score_units(ml.score_units(rows, "vec", models, "a_"), "vec", loaded, "b_")
+    return both.select("verso_texto", *[f"{k}_{d}" for d in DIMS for k in "ab"])
 
 
 @register("facet_margins")

@@ -432,6 +432,16 @@ FROM (SELECT *, row_number() OVER (PARTITION BY song_id, texto_entrenamiento ORD
 sql("order_by_year_or_density", _DENS + """SELECT artist, song, year, round(densidad_agenciamiento, 6) AS densidad_agenciamiento
 FROM density WHERE densidad_agenciamiento >= 0.08""")
 
+sql("order_by_year", _DENS + """SELECT artist, song, year, total_versos, round(densidad_agenciamiento, 6) AS densidad_agenciamiento
+FROM density ORDER BY try_cast(year AS INTEGER) NULLS LAST, artist, song""")
+
+sql("silhouette_euclidean", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+s AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS d, count(*) AS n FROM e a, e b GROUP BY ALL),
+p AS (SELECT vec_id, max(CASE WHEN label = other THEN d / nullif(n - 1, 0) END) AS a, max(CASE WHEN label = other THEN n END) AS n,
+             min(CASE WHEN label <> other THEN d / n END) AS b FROM s GROUP BY vec_id)
+SELECT round(avg(CASE WHEN b IS NULL THEN NULL WHEN n = 1 THEN 0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silueta FROM p""")
+
 _DM = k.with_(k.SONGS_CTE, k.VERSES_CTE) + ", dm AS (" + " UNION ALL ".join(
     f"SELECT *, '{d}' AS dim FROM verses WHERE list_has_any({k.runs('verso_texto')}, [{k.in_list(STANDIN_LEXICON[d])}])"
     for d in DIMS) + ")\n"
