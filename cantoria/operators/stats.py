@@ -144,6 +144,43 @@ def entropy_bootstrap(df: DataFrame, by: str, cols: list[str], order: str, reps:
                     F.col("_p")[1].alias("lim_superior")))
 
 
+def entropy_bootstrap_counts(df: DataFrame, by: str, cols: list[str], reps: int = BOOTSTRAP_REPS, min_rows: int = 3,
+                             seed: int = SEED, buckets: int = 64) -> DataFrame:
+    """X2 by counts: drawing n rows with replacement is drawing multinomial counts of the distinct score vectors. They are
+    drawn down a tree of two levels: per group and replicate the draws of each of ``buckets`` hash buckets (every bucket
+    repeats the same seeded draw and takes its part), then those of the vectors in a bucket. Written are ``buckets`` x
+    ``reps`` sums a group, whatever its rows; equal rows combine map-side. Null scores count as 0."""
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols]
+    values = df.select(by, *filled).groupBy(by, *cols).agg(F.count(F.lit(1)).alias("_m"))
+    values = values.withColumn("_b", F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int"))
+    values = cut_lineage(values)
+    cells = values.groupBy(by, "_b").agg(F.sum("_m").alias("_m"))
+    plan = cells.groupBy(by).agg(F.sum("_m").alias("canciones"), F.sort_array(F.collect_list(F.struct("_b", "_m"))).alias("_plan"))   # <= buckets
+    plan = plan.where(F.col("canciones") >= min_rows)
+    tree = plan.select(by, F.explode("_plan._b").alias("_b"), "_plan", F.xxhash64(F.col(by).cast("string"), F.lit(seed)).alias("_key"))
+    of_by = dict(df.dtypes)[by]
+
+    def draws(values, cell):
+        import numpy as np
+        import pandas as pd
+        if not len(cell) or not len(values):
+            return pd.DataFrame(columns=[by, "rep", "_s"])
+        values, b = values.sort_values(cols), int(cell["_b"].iloc[0])
+        key, top = int(cell["_key"].iloc[0]) & (2 ** 64 - 1), cell["_plan"].iloc[0]
+        masses, place = np.array([c["_m"] for c in top]), [c["_b"] for c in top].index(b)
+        own, x = values["_m"].to_numpy(), values[cols].to_numpy(dtype=float)
+        taken = np.random.default_rng(key).multinomial(masses.sum(), masses / masses.sum(), reps)[:, place]
+        out = (np.random.default_rng([key, b]).multinomial(taken, own / own.sum()) @ x).tolist()
+        return pd.DataFrame({by: values[by].iloc[0], "rep": np.arange(reps, dtype=np.int32), "_s": out})
+
+    parts = values.groupBy(by, "_b").cogroup(tree.groupBy(by, "_b")).applyInPandas(draws, f"`{by}` {of_by}, rep int, _s array<double>")
+    sums = parts.groupBy(by, "rep").agg(F.array(*[F.sum(F.col("_s")[i]) for i in range(len(cols))]).alias("_s"))
+    stats = sums.select(by, entropy_of(F.col("_s")).alias("_h")).groupBy(by).agg(
+        F.avg("_h").alias("entropia_media"), F.percentile("_h", F.array(F.lit(0.05), F.lit(0.95))).alias("_p"))
+    return stats.join(plan.select(by, "canciones"), by).select(by, "canciones", "entropia_media", F.col("_p")[0].alias("lim_inferior"),
+                                                                F.col("_p")[1].alias("lim_superior"))
+
+
 def poisson1(u48: Column, kmax: int = 12) -> Column:
     """Inverse-CDF Poisson(1) draw from a uniform integer in [0, 2^48); CDF table built from the pmf."""
     u = u48.cast("double") / float(2 ** 48)

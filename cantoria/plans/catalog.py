@@ -495,6 +495,12 @@ def entropy_bootstrap(spark, sf):
     return r6(st.entropy_bootstrap(series_base(spark, sf), "year", AVG_COLS, order="song_id"))
 
 
+@register("entropy_bootstrap_tree")
+def entropy_bootstrap_tree(spark, sf):
+    """X2, exact resampling without a row per draw: multinomial counts of the distinct score vectors."""
+    return r6(st.entropy_bootstrap_counts(series_base(spark, sf), "year", AVG_COLS))
+
+
 @register("js_divergence")
 def js_divergence(spark, sf):
     b = series_base(spark, sf).withColumn("lustro", bucket(F.col("year"), 5))
@@ -1055,6 +1061,14 @@ def incremental_ingest(spark, sf):
     return spark.read.parquet(target).select("song_id", "artist", "song", "year", "huella")
 
 
+@register("incremental_ingest_stateful")
+def incremental_ingest_stateful(spark, sf):
+    """R1 with the fingerprints in keyed streaming state."""
+    target, q = stream.ingest_stateful(spark, sf, glob="documents.parquet")
+    stream.run_to_completion(q)
+    return spark.read.parquet(target).select("song_id", "artist", "song", "year", "huella")
+
+
 @register("incremental_rollup")
 def incremental_rollup(spark, sf):
     """R2: per-year counters maintained by a streaming aggregation; mean density = sum / songs with stanzas."""

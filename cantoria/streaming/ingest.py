@@ -6,6 +6,9 @@ target table (fingerprints never expire, so no watermark: the target table *is*
 Each batch is written into its own ``lote=<batch id>`` partition with dynamic partition overwrite, so a batch
 replayed after a failure replaces its own output instead of duplicating it.
 
+R1 ``ingest_stateful``: the same result with the fingerprints in Spark's keyed streaming state (one flag a fingerprint, in
+RocksDB), so a batch shuffles and looks up its own rows only, however large the target has grown.
+
 R2 ``rollup_stream``: per-year additive counters of the stanza rollup (songs, stanzas, active stanzas, density
 sum) kept by Spark's streaming aggregation state (one small row per year) and published as a complete snapshot
 each trigger.
@@ -18,6 +21,7 @@ from __future__ import annotations
 import uuid
 import zlib
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +41,9 @@ DOCUMENTS_SCHEMA = T.StructType([
 ])
 
 
+STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -88,6 +95,39 @@ def ingest_stream(spark: SparkSession, folder: str, target: str | None = None, m
     return target, w.start()
 
 
+def _first_of_key(key, parts, state):
+    """The first song (least id) of a fingerprint that no earlier batch had. A key's rows stream by: one is held."""
+    best = None
+    for rows in parts:
+        if not state.exists and len(rows):
+            best = rows if best is None else pd.concat([best, rows])
+            best = best.sort_values("song_id", kind="stable").head(1)
+    if best is not None:
+        state.update((True,))
+        yield best
+
+
+def ingest_stateful(spark: SparkSession, folder: str, target: str | None = None, min_chars: int = MIN_LYRIC_CHARS,
+                    glob: str = "documents*.parquet", available_now: bool = True, checkpoint: str | None = None,
+                    files_per_trigger: int | None = None) -> tuple[str, object]:
+    """Start R1 with the fingerprints in keyed state; returns (target path, StreamingQuery). The checkpoint holds the
+    state: one target, one checkpoint (by default it lies beside the target), and a restart goes on with what it knows.
+    A batch replayed after a failure sees the state from before it and replaces its own partition of the target."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    target = (target or _scratch(spark, "ingest-table")).rstrip("/")
+    songs = (songs_from_documents(document_stream(spark, folder, glob, files_per_trigger)).where(F.length("lyrics") >= min_chars)
+             .withColumn("huella", fingerprint("artist", "song")))
+    first = songs.groupBy("huella").applyInPandasWithState(_first_of_key, songs.schema, "visto boolean", "append", "NoTimeout")
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("lote", F.lit(f"b{batch_id:08d}")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("lote").parquet(target))
+
+    w = first.writeStream.outputMode("append").foreachBatch(append).option("checkpointLocation", checkpoint or f"{target}-checkpoint")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return target, w.start()
+
+
 def rollup_stream(spark: SparkSession, folder: str, target: str | None = None, lexicon=STANDIN_LEXICON,
                   glob: str = "documents*.parquet", available_now: bool = True, checkpoint: str | None = None) -> tuple[str, object]:
     """Start R2; returns (target path, StreamingQuery). The checkpoint, which holds the counters, belongs to the

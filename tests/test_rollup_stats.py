@@ -140,3 +140,28 @@ def test_row_index_dense_per_group(spark):
     for g in range(3):
         ordered = sorted(o for gg, o in rows if gg == g)
         assert [got[(g, o)] for o in ordered] == list(range(len(ordered)))
+
+
+def test_bootstrap_by_counts_has_the_moments_of_resampling(spark):
+    import numpy as np
+    from cantoria.operators import stats as st
+    rnd = np.random.default_rng(1)
+    rows = [(y, int(i), *[float(v) for v in rnd.integers(0, 4, 3)]) for y, n in ((1990, 400), (1991, 7), (1992, 2)) for i in range(n)]
+    rows += [(1990, 1000 + i, 3.0, 0.0, 0.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "year int, song_id int, a double, b double, c double")
+    cols = ["a", "b", "c"]
+    got = {r.year: r for r in st.entropy_bootstrap_counts(df, "year", cols, reps=400, buckets=8).collect()}
+    assert set(got) == {1990, 1991}
+
+    def entropy(s):
+        p = s[s > 0] / s.sum()
+        return -(p * np.log2(p)).sum()
+    for year in got:
+        x = np.array([r[2:] for r in rows if r[0] == year])
+        sample = np.array([entropy(x[rnd.integers(0, len(x), len(x))].sum(0)) for _ in range(4000)])
+        r = got[year]
+        assert r.canciones == len(x) and abs(r.entropia_media - sample.mean()) < 5 * sample.std() / 20
+        assert abs(r.lim_inferior - np.percentile(sample, 5)) < sample.std() and abs(r.lim_superior - np.percentile(sample, 95)) < sample.std()
+    again = st.entropy_bootstrap_counts(df.orderBy("b", "song_id").repartition(7), "year", cols, reps=400, buckets=8)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.values()))
+    assert st.entropy_bootstrap_counts(df.limit(0), "year", cols).count() == 0
