@@ -23,7 +23,7 @@ as the longest document has bytes, each rewriting the whole transform. Here the
 Hashes have 64 bits, so two different pieces are taken for equal with a chance of about 2^-64 a pair of equal anchors.
 
 Defined results: null and empty texts have nothing to remove; texts shorter than LENGTH stay whole; a null id counts
-as smaller than any other; rows with equal id and text are one document, each returned with the same result; of rows
+as smaller than any other, rows with null ids follow a hash of their text (ids below -2^62 are not supported); rows with equal id and text are one document, each returned with the same result; of rows
 with equal id and different texts the smaller start counts as earlier; an empty table gives an empty result; other
 columns are not carried.
 """
@@ -49,7 +49,8 @@ BITS = 27
 TOGETHER = 16_000
 #: pieces of one anchor that one task may get
 HOT = 20_000
-_NULL_ID = -(1 << 63)
+#: rows with a null id are told apart by 62 bits of their text's hash, below this number and thus before all other ids
+_NULL_IDS = -(1 << 62)
 _A, _B = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
 
 
@@ -343,7 +344,8 @@ def covered_intervals(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(_NULL_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+    unnamed = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(1)).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(-(1 << 63))
+    return docs.select(F.coalesce(F.col(key).cast("bigint"), unnamed).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
                        F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(1 << 16)).cast("int").alias("tag"))
 
 
@@ -355,4 +357,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", bit
     none = F.array().cast("array<bigint>")
     rows = _named(docs, key, text).join(gone, ["id", "tag"], "left").select("id", "text", F.coalesce("starts", none).alias("starts"), F.coalesce("stops", none).alias("stops"))
     out = rows.mapInArrow(_remove, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
-    return out.select(F.when(F.col("id") != _NULL_ID, F.col("id")).alias(key), "n_bytes", "n_removed", "n_spans", "kept")
+    return out.select(F.when(F.col("id") >= _NULL_IDS, F.col("id")).alias(key), "n_bytes", "n_removed", "n_spans", "kept")

@@ -259,6 +259,23 @@ def test_repeats_equal_brute_force(spark):
     assert dict(got) == brute_repeats(rows)
 
 
+def test_documents_without_ids_keep_their_own_bytes(spark):
+    rnd = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    passage = "".join(rnd.choice(letters) for _ in range(150))
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(120, 400))) + passage for _ in range(1500)]
+    out = repeats.remove_repeats(spark.createDataFrame([(None, t) for t in texts] + [(5, texts[0][:130] + passage)], "doc_id long, text string").repartition(6)).collect()
+    kept = {bytes(r.kept).decode(): r for r in out if r.doc_id is None}
+    whole = [k for k in kept if k in set(texts)]
+    assert len(kept) == 1500 and len(whole) == 1 and all(r.n_removed == r.n_bytes - len(k) for k, r in kept.items())
+    starts = {t[:110]: t for t in texts}
+    for k, r in kept.items():
+        if k not in whole:
+            assert starts[k[:110]].startswith(k) and 150 <= r.n_removed <= 156 and r.n_spans == 1
+    named = [r for r in out if r.doc_id == 5]
+    assert len(named) == 1 and named[0].n_removed == 280 and bytes(named[0].kept) == b""
+
+
 def test_hot_anchors_are_compared_string_by_string(spark, monkeypatch):
     rnd = random.Random(12)
     common = "".join(rnd.choice("abcdefgh ") for _ in range(230))
