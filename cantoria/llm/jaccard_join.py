@@ -13,9 +13,12 @@ record (64-bit hash of the text), so copies are never expanded.
    similarity 0.6 of a leader is tied to it, and a record leaves the leaf once it is surely within 0.8 of one. Jaccard
    distance is a metric, so two records of similarity 0.8 always end up tied together. A leaf returns a spanning
    forest, never its pairs.
-4. Components of these ties get their whole token sets once, by a fixed-size bitmap and an exact join, and all pairs
-   inside a component are compared exactly (in blocks, if it is large). Only counts per record and a spanning forest
-   of the true links leave the task.
+4. Components of these ties get their whole token sets once, by a fixed-size bitmap and an exact join. A component of
+   more than ``REFINE`` records is divided first: tokens are ordered by how many of its records hold them, and two sets
+   of the similarity share one of the rarest 1 - similarity of their tokens (plus one). Texts that only share a
+   template, a header or a licence have rarer tokens of their own there and fall apart, so they are never compared.
+5. All pairs inside what remains are compared exactly (in blocks, if it is large). Only counts per record and a
+   spanning forest of the true links leave the task.
 
 Result: one row per document: its class (least id that true links reach), the least id of its equal texts, the number
 of links of its text to different texts, and the number of its copies.
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cantoria.llm.common import bounded_batches, packed, staged, unpacked
+from cantoria.llm.common import bounded_batches, packed, salted_lookup, staged, unpacked
 from cantoria.llm.components import components
 from cantoria.llm.decontaminate import bitmap
 from cantoria.llm.textbytes import _ODD, chunks, column_bytes, mix, word_hashes
@@ -50,6 +53,8 @@ BLOCK = 1024
 #: records of a leaf that are grouped at once (sketches only)
 LEAF_BLOCK = 8192
 SKETCH = 64
+#: components of at most so many records are compared as they are (under REFINE / 2 pairs a record)
+REFINE = 32
 BITS = 26
 PATHS = "array<struct<path:bigint,kids:array<struct<path:bigint,kids:array<bigint>>>>>"
 _U64 = float(1 << 64)
@@ -367,6 +372,37 @@ def _sets(bits_set, bits: int):
     return run
 
 
+def _divided(grouped: DataFrame, similarity: float) -> DataFrame:
+    """root, rec, n of the records that may be similar to another one of their component: records that share a token of
+    their prefixes stay together (root is new), the others are left out."""
+    share = Fraction(str(similarity))
+    p, q = share.numerator, share.denominator
+    tokens = grouped.select("root", "rec", F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
+    common = tokens.groupBy("root", "token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    held = salted_lookup(tokens, common, ["root", "token"], how="inner").groupBy("root", "rec", "m").agg(
+        F.sort_array(F.collect_list(F.struct("f", "token"))).alias("common"))  # at most the tokens of one text
+    # the prefix has m - ceil(similarity * m) + 1 tokens; those of this record alone come first and are not listed
+    left = F.expr(f"m - (({p} * m + {q - 1}) div {q}) + 1 - (m - size(common))").cast("int")
+    prefix = held.withColumn("left", left).filter("left > 0").select("root", "rec", F.explode(F.slice("common", F.lit(1), F.col("left"))).alias("t"))
+    prefix = staged(prefix.select("root", "rec", F.col("t.token").alias("token")), "prefixes")
+    first = prefix.groupBy("root", "token").agg(F.min("rec").alias("least"), F.count(F.lit(1)).alias("f")).filter("f > 1")
+    ties = salted_lookup(prefix, first, ["root", "token"], how="inner").select(F.col("rec").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
+    parts = components(ties)
+    return parts.join(parts.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").withColumnRenamed("node", "rec")
+
+
+def compared(rows: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """pair, rec, own, i, j, tokens: the groups of records whose pairs are compared. rows: rec, text; groups: rec, root, n."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(groups.select(F.col("rec").alias("seed")), BITS))
+    sets = rows.select("rec", "text").mapInArrow(_sets(shared, BITS), "rec bigint, tokens array<bigint>")
+    # copies in other tasks give the same set again
+    sets = staged(sets.join(groups.hint("merge"), "rec"), "sets")
+    large = sets.filter(F.col("n") > REFINE).drop("n")
+    parts = staged(_divided(large.groupBy("rec").agg(F.first("root").alias("root"), F.first("tokens").alias("tokens")), similarity), "parts")
+    both = sets.filter(F.col("n") <= REFINE).unionByName(large.drop("root").join(parts.hint("merge"), "rec"))
+    return in_blocks(both, "root", "n", "pair", BLOCK).select("pair", "rec", "own", "i", "j", "tokens")
+
+
 def _classes(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """(id, rec) of every document; and rec, root, class_id, copy_of, n_links, n_copies of every text."""
     spark = docs.sparkSession
@@ -378,9 +414,7 @@ def _classes(docs: DataFrame, key: str, text: str, similarity: float = SIMILARIT
     groups = components(_ties(signatures))
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     groups = staged(groups.join(sizes, "root").withColumnRenamed("node", "rec"), "groups")
-    shared = spark.sparkContext.broadcast(bitmap(groups.select(F.col("rec").alias("seed")), BITS))
-    sets = rows.select("rec", "text").mapInArrow(_sets(shared, BITS), "rec bigint, tokens array<bigint>")
-    pairs = in_blocks(sets.join(groups.hint("merge"), "rec"), "root", "n", "pair", BLOCK).select("pair", "rec", "own", "i", "j", "tokens")
+    pairs = compared(rows, groups, similarity)
     exact = staged(pairs.repartition("pair").sortWithinPartitions("pair").mapInArrow(_exact(similarity), "a bigint, b bigint, links bigint"), "links")
     classes = components(exact.filter("a <> b")).withColumnRenamed("node", "rec")
     links = exact.groupBy(F.col("a").alias("rec")).agg(F.sum("links").alias("n_links"))

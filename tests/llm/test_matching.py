@@ -221,6 +221,23 @@ def test_decontamination_edges(spark, edge, empty):
     assert decontaminate.decontaminate(edge, items.limit(0)).count() == edge.count()
 
 
+def test_texts_of_one_template_are_not_all_compared(spark):
+    rnd = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for t, (shared, own) in enumerate([(100, 100), (120, 100), (140, 60)]):  # Jaccard of about 1/3, 0.37, 0.53
+        template = rnd.choices(words, k=shared)
+        rows += [(1000 * t + i, " ".join(template + rnd.choices(words, k=own))) for i in range(700)]
+    near = rows[5][1].rsplit(" ", 3)[0]
+    rows += [(9000 + i, near + f" end{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(5).withColumn("rec", F.xxhash64("text"))
+    groups = docs.select("rec", F.lit(7).cast("bigint").alias("root"), F.lit(len(rows)).cast("bigint").alias("n")).distinct()
+    sizes = [r["count"] for r in jaccard_join.compared(docs, groups, 0.8).groupBy("pair").count().collect()]
+    assert sum(sizes) == 61 and max(sizes) == 61
+    got = {r.id: (r.class_id, r.n_links) for r in jaccard_join.similarity_join(docs.drop("rec"), "id").collect()}
+    assert {i for i, (c, n) in got.items() if n} == {5, *range(9000, 9060)} and all(got[i] == (5, 60) for i in range(9000, 9060))
+
+
 # ---------------------------------------------------------------- repeated substrings
 
 def brute_repeats(rows):
