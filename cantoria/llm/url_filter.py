@@ -36,7 +36,10 @@ CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def rule_table(spark, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    """The rules as literals of a projection."""
+    listed = [F.struct(*[F.lit(v).cast("string").alias(c) for c, v in zip(("host", "path", "verdict"), r)]) for r in rules]
+    nothing = F.array().cast("array<struct<host:string,path:string,verdict:string>>")
+    return spark.range(1).select(F.inline(F.array(*listed) if listed else nothing))
 
 
 def _after_scheme(url: Column) -> Column:
