@@ -180,6 +180,14 @@ def topic_model(df: DataFrame, vec: str, k: int = 8, min_size: int = 15, seed: i
     return t.select(*df.columns, F.when(inside, F.col("_t")).otherwise(F.lit(-1)).alias("topic"))
 
 
+def density_topic_model(df: DataFrame, id_col: str, vec: str, min_size: int = 15, min_samples: int = 5, dims: int = 5) -> DataFrame:
+    """Vectors -> PCA(5) -> density clusters (``density.density_topics``); adds ``topic``, -1 for noise. Ids must
+    be unique."""
+    from cantoria.operators.density import density_topics
+    low = project(df.select(id_col, vec), vec, dims).select(id_col, F.array(*[F.col(f"c{i + 1}") for i in range(dims)]).alias("_low"))
+    return df.join(density_topics(low, id_col, "_low", min_size, min_samples), id_col)
+
+
 # ------------------------------------------------------------------------------------------------ M15 / M16
 def class_tfidf(grams: DataFrame, topic: str, term: str = "ngram", top: int = 10) -> DataFrame:
     """Per topic, tf * ln(1 + A / f) where tf = term count in the topic, f = term count over all topics,
@@ -235,5 +243,5 @@ def token_attribution(df: DataFrame, id_col: str, text_col: str, score_fn, mode:
 
 
 __all__ = ["tfidf", "tfidf_vectors", "cluster", "cluster_profile", "drop_clusters", "balanced_weights", "label_index", "label_map", "label_decode",
-           "train_multilabel", "score_units", "project", "topic_model", "class_tfidf", "topic_info", "topic_trend", "accuracy_report", "time_bins",
+           "train_multilabel", "score_units", "project", "topic_model", "density_topic_model", "class_tfidf", "topic_info", "topic_trend", "accuracy_report", "time_bins",
            "token_attribution", "DIMS", "math"]

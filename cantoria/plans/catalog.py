@@ -974,13 +974,16 @@ def project_low_dim(spark, sf):
     return ml.project(e, "v", 3).select("vec_id", "c1", "c2", "c3")
 
 
+def dense_lyrics(spark, sf) -> DataFrame:
+    """Vectors of the lyrics of the songs above the density threshold (no text is kept)."""
+    dense = ru.density_threshold(ru.song_density_inline(load_songs(spark, sf), LEX, unit="verse")).select("artist", "song")
+    picked = load_songs(spark, sf).join(dense, ["artist", "song"], "left_semi")
+    return hashed(picked, "lyrics").select("song_id", "year", "vec")
+
+
 def text_topics(spark, sf) -> DataFrame:
-    """Songs above the density threshold with the topic of their lyrics (keys only: no text is kept)."""
-    def build():
-        dense = ru.density_threshold(ru.song_density_inline(load_songs(spark, sf), LEX, unit="verse")).select("artist", "song")
-        picked = load_songs(spark, sf).join(dense, ["artist", "song"], "left_semi")
-        return ml.topic_model(hashed(picked, "lyrics").select("song_id", "year", "vec"), "vec", k=8, min_size=15).drop("vec")
-    return stage(("text_topics", sf), build)
+    """Songs above the density threshold with the topic of their lyrics around centres (keys only)."""
+    return stage(("text_topics", sf), lambda: ml.topic_model(dense_lyrics(spark, sf), "vec", k=8, min_size=15).drop("vec"))
 
 
 def lyric_grams(spark, sf, docs: DataFrame) -> DataFrame:
@@ -992,7 +995,13 @@ def lyric_grams(spark, sf, docs: DataFrame) -> DataFrame:
 
 @register("topic_model")
 def topic_model(spark, sf):
-    """M14 on the lyrics of the songs above the threshold."""
+    """M14 on the lyrics of the songs above the threshold: density clusters, -1 for noise."""
+    return ml.density_topic_model(dense_lyrics(spark, sf), "song_id", "vec", min_size=15).select("song_id", "topic")
+
+
+@register("topic_model_centres")
+def topic_model_centres(spark, sf):
+    """M14 around k-means centres: the topics that ``topic_info`` and ``topic_trend`` describe."""
     return text_topics(spark, sf).select("song_id", "topic")
 
 
