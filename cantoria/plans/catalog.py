@@ -15,6 +15,7 @@ from cantoria.fixed import (DENSITY_SERIES, DIMS, INTENSITY_COLS, LABEL_COLS, ST
                             STANDIN_STRONG_TERMS)
 from cantoria.functions.scores import is_active
 from cantoria.functions.text import bucket, fingerprint, year_num
+from cantoria.operators import containment as ct
 from cantoria.operators import lexicon as lx
 from cantoria.operators import rollup as ru
 from cantoria.operators import units as un
@@ -403,6 +404,20 @@ def verse_to_window(spark, sf):
     return un.verse_to_window(reviews(spark, sf), s).select("song_id", "verso_idx", "texto_entrenamiento")
 
 
+@register("verse_to_stanza_indexed")
+def verse_to_stanza_indexed(spark, sf):
+    """E5 by the index of word heads: the rows of ``verse_to_stanza``."""
+    s = load_songs(spark, sf)
+    return ct.verse_to_stanza_indexed(un.to_verses(s), s).select("song_id", "verso_idx", "texto_entrenamiento")
+
+
+@register("verse_to_window_indexed")
+def verse_to_window_indexed(spark, sf):
+    """E6 by the index of word heads: the rows of ``verse_to_window``."""
+    return (ct.verse_to_window_indexed(reviews(spark, sf), load_songs(spark, sf))
+            .select("song_id", "verso_idx", "texto_entrenamiento"))
+
+
 # ---------------------------------------------------------------------------------------------------- joins
 def pool(spark, sf) -> DataFrame:
     """Verse pool: flagged songs (deduped, decade > 0) -> E1 verses -> first occurrence per verse text in the

@@ -635,6 +635,8 @@ FROM pf, bd""")
 sql("incremental_ingest", k.with_(k.SONGS_CTE) + f"""SELECT song_id, artist, song, year, huella FROM (
   SELECT *, {_FP} AS huella, row_number() OVER (PARTITION BY {_FP} ORDER BY song_id) AS rn FROM songs
   WHERE length(lyrics) >= 150) WHERE rn = 1""")
+sql("verse_to_stanza_indexed", ORACLE["verse_to_stanza"])
+sql("verse_to_window_indexed", ORACLE["verse_to_window"])
 sql("incremental_ingest_stateful", ORACLE["incremental_ingest"])
 
 sql("incremental_rollup", _SR + """SELECT year, count(*) AS canciones, CAST(sum(total_estrofas) AS BIGINT) AS estrofas,
