@@ -13,7 +13,8 @@ A needle with no such word (one word, or two with a short second) has every unit
 is repeated for them, and the same join settles it. So nothing is missed and no text is cut.
 
 Rows with a null key find nothing, as in an equi-join; equal needles of a song are looked up once; songs without text and
-empty tables find nothing. Cost: the heads (about one short row a word) are shuffled, a unit's text once by (song, number).
+empty tables find nothing. Cost: the heads (about one short row a word) are shuffled, a unit's text once by (song, number),
+so the work is linear in the text; at 10,000 documents of some lines it takes four to five times as long as the scan.
 """
 
 from __future__ import annotations
@@ -51,8 +52,8 @@ def first_holding(needles: DataFrame, units: DataFrame, keys: list[str], searche
     """(keys, _needle, _no): the smallest number of a unit whose ``searched`` text contains the needle.
 
     ``needles`` has keys and ``_needle``; ``units`` has keys, ``_no`` and what ``searched`` is computed from, one row per
-    (keys, _no)."""
-    asked = needles.select(*keys, "_needle").where(F.col("_needle").isNotNull()).distinct()
+    (keys, _no). Needles must not be null: a filter on them would run their normalisation again."""
+    asked = needles.select(*keys, "_needle").distinct()
     asked = asked.withColumn("_words", F.split("_needle", " ", -1)).withColumn("_heads", needle_heads(F.col("_words"))).drop("_words")
     index = units.select(*keys, "_no", F.explode(unit_heads(searched)).alias("_head"))
     held = index.groupBy(*keys, "_head").agg(F.count(F.lit(1)).alias("_n"))

@@ -16,6 +16,7 @@ from cantoria.fixed import (DENSITY_SERIES, DIMS, INTENSITY_COLS, LABEL_COLS, ST
 from cantoria.functions.scores import is_active
 from cantoria.functions.text import bucket, fingerprint, year_num
 from cantoria.operators import containment as ct
+from cantoria.operators import layout as ly
 from cantoria.operators import lexicon as lx
 from cantoria.operators import rollup as ru
 from cantoria.operators import units as un
@@ -989,6 +990,13 @@ def project_low_dim(spark, sf):
     return ml.project(e, "v", 3).select("vec_id", "c1", "c2", "c3")
 
 
+@register("project_neighbours")
+def project_neighbours(spark, sf):
+    """M13 by the neighbour graph: three coordinates that keep neighbourhoods, for every vector."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return r6(ly.spectral_layout(e, "vec_id", "v", 3).select("vec_id", "c1", "c2", "c3"))
+
+
 def dense_lyrics(spark, sf) -> DataFrame:
     """Vectors of the lyrics of the songs above the density threshold (no text is kept)."""
     dense = ru.density_threshold(ru.song_density_inline(load_songs(spark, sf), LEX, unit="verse")).select("artist", "song")
