@@ -2,10 +2,11 @@
 
 1. ``candidates``: regular expressions cut every whole text into hits and the pieces between them; running sums of
    their lengths give code-point offsets, all in the document's row. Emails, addresses of the internet protocol,
-   payment cards and phone numbers that pass their checks are *base* spans; secrets, phone numbers without a country
-   code and national numbers are candidates that the method may add.
-2. Four labelers vote on every candidate (1 personal, 0 not, -1 no opinion): strict format, gazetteer of cue words,
-   characters around it, variety of its characters.
+   payment cards and phone numbers that pass their checks are *base* spans; secrets (after a key word, of a known form, blocks
+   of private keys, or long runs of mixed letters and digits), phone numbers without a country code, national numbers and
+   account numbers (IBAN, check digits tested) are candidates that the method may add.
+2. Four labelers vote on every candidate (1 personal, 0 not, -1 no opinion): strict format, gazetteers of cue words per
+   language, characters around it, variety of its characters.
 3. ``fit``: candidates are counted per (votes, features); these tables are bounded by the vocabulary of votes and
    features, not by the corpus. Expectation-maximisation (a naive Bayes model with one prior per kind) estimates the
    labelers' reliabilities; its probabilities are the targets of a logistic span classifier on the features.
@@ -30,10 +31,12 @@ from pyspark.sql import functions as F
 from cantoria.llm.common import staged
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
-EXTRA_KINDS = ["secret", "local_phone", "national_id"]
+EXTRA_KINDS = ["secret", "local_phone", "national_id", "iban"]
 KINDS = BASE_KINDS + EXTRA_KINDS
 
 _LOCAL = "A-Za-z0-9._%+-"
+#: words before a secret value
+SECRET_WORDS = ["password", "passwd", "pwd", "token", "secret", "api[_-]?key", "passwort", "schlüssel", "mot de passe", "jeton", "contraseña", "clave"]
 #: leftmost matches of the stated patterns; lookbehind or \G (end of the last match) only skip starts that cannot match
 PATTERNS = {
     "email": rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -41,12 +44,34 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "extra": (r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
-              r"|(?:password|passwd|pwd|token|secret|api[_-]?key)\x20?[=:]\x20?\"?[0-9A-Za-z_+/-]{12,128}\"?"
+              rf"|(?iu:{'|'.join(SECRET_WORDS)})\x20?[=:]\x20?\"?[0-9A-Za-z_+/-]{{12,}}+={{0,2}}\"?"
+              r"|-----BEGIN (?:[A-Z]++\x20){0,3}?PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END (?:[A-Z]++\x20){0,3}?PRIVATE KEY-----"
+              r"|(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}+|(?:\x20[0-9A-Z]{4}){2,7}+(?:\x20[0-9A-Z]{1,3})?)(?![0-9A-Za-z])"
+              r"|(?<![0-9A-Za-z_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[0-9A-Za-z_-]{32,}+"
               r"|\([0-9]{3}\)[\x20-]?[0-9]{3}[\x20-][0-9]{4}(?![0-9])"
               r"|(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 }
-CUES = r"mail|contact|write to|call|phone|tel\b|mobile|fax|\bip\b|host|server|card|visa|passw|token|secret|key|akia|ssn"
-ANTI_CUES = r"version|licen[sc]e|isbn|section|chapter|page|figure|equation|release"
+#: beginnings of words that speak for personal data, and of words that speak against it, per language
+CUES = {
+    "en": ["mail", "e-mail", "email", "contact", "write to", "call", "phone", "telephone", "mobile", "fax", "ip", "host", "server", "card", "visa",
+           "passw", "token", "secret", "key", "akia", "ssn", "account", "private key", "bearer"],
+    "de": ["kontakt", "anruf", "telefon", "handy", "karte", "passwort", "schlüssel", "konto", "schreib"],
+    "fr": ["courriel", "contactez", "appelez", "téléphone", "portable", "carte", "mot de passe", "jeton", "clé", "compte"],
+    "es": ["correo", "contacto", "llama", "teléfono", "móvil", "tarjeta", "contraseña", "clave", "cuenta"],
+}
+ANTI_CUES = {
+    "en": ["version", "license", "licence", "isbn", "section", "chapter", "page", "figure", "equation", "release", "checksum", "commit", "digest", "sha", "md5", "uuid"],
+    "de": ["fassung", "lizenz", "abschnitt", "kapitel", "seite", "abbildung", "gleichung", "prüfsumme"],
+    "fr": ["licence", "chapitre", "équation", "somme de contrôle"],
+    "es": ["versión", "licencia", "sección", "capítulo", "página", "figura", "ecuación"],
+}
+
+
+def begins(words: dict[str, list[str]]) -> str:
+    """A pattern that finds any of the words of all languages at the beginning of a word."""
+    return r"(?<!\p{L})(?:" + "|".join(sorted({w for own in words.values() for w in own})) + ")"
+
+
 OPENING = r"(^|[\s\"'(\[<:=,;])$"
 CLOSING = r"^($|[\s\"')\]>.,;:!?])"
 BLOCK = 64
@@ -102,7 +127,22 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def _extra_kind(m: Column) -> Column:
-    return (F.when(m.rlike(r"^\("), "local_phone").when(m.rlike(r"^[0-9]"), "national_id").otherwise("secret"))
+    return (F.when(m.rlike(r"^\("), "local_phone").when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "national_id")
+            .when(m.rlike(r"^[A-Z]{2}[0-9]{2}[0-9A-Z\x20]{11,38}$") & _account(m), "iban").otherwise("secret"))
+
+
+def _account(m: Column) -> Column:
+    """Whether an account number's remainder by 97 is 1 (country and check digits moved to the end, A = 10 to Z = 35)."""
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    moved = F.split(F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 4)), "")
+    rest = F.aggregate(moved, F.lit(0), lambda r, c: F.when(c == "", r).when(F.ascii(c) < 58, (r * 10 + F.ascii(c) - 48) % 97)
+                       .otherwise((r * 100 + F.ascii(c) - 55) % 97))
+    return F.length(plain).between(15, 34) & (rest == 1)
+
+
+def _proposed(m: Column) -> Column:
+    """Whether a match of the extra patterns is a candidate: what only looks like an account number is none."""
+    return ~m.rlike(r"^[A-Z]{2}[0-9]{2}[0-9A-Z\x20]*$") | _account(m) | m.rlike(r"^[0-9A-Za-z]{32,}$")
 
 
 def _judged(kind: Column, h: Column) -> Column:
@@ -111,9 +151,9 @@ def _judged(kind: Column, h: Column) -> Column:
     digits = F.length(_digits(m))
     strict = (F.when(kind == "email", m.rlike(r"\.[A-Za-z]{2,24}$")).when(kind == "ip", ~m.rlike(r"^(0|127|255)\."))
               .when(kind == "card", m.rlike(r"^[3-6]")).when(kind == "phone", m.rlike(r"^\+[1-9]") & (digits >= 10))
-              .when(kind == "secret", m.rlike(r"AKIA|[0-9A-Za-z]{16}") & (digits >= 2)).otherwise(digits >= 9))
+              .when(kind == "secret", m.rlike(r"AKIA|[0-9A-Za-z]{16}") & (digits >= 2)).when(kind == "iban", F.lit(True)).otherwise(digits >= 9))
     near = F.lower(F.concat(h["left"], m))
-    gazetteer = F.when(near.rlike(ANTI_CUES), 0).when(near.rlike(CUES), 1).otherwise(-1)
+    gazetteer = F.when(near.rlike(begins(ANTI_CUES)), 0).when(near.rlike(begins(CUES)), 1).otherwise(-1)
     context = (h["left"].rlike(OPENING) & h["right"].rlike(CLOSING)).cast("int")
     variety = (F.size(F.array_distinct(F.split(F.substring(m, 1, 200), ""))) >= 5).cast("int")
     side = lambda c: (F.when(c == "", "edge").when(c.rlike(r"\s"), "space").when(c.rlike("[0-9]"), "digit")
@@ -143,11 +183,13 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     t = F.coalesce(F.col(text), F.lit(""))
     #: what a text must hold for a pattern to match: a cheap test before the patterns
     digit = t.rlike("[0-9]")
-    may = {"email": t.contains("@") & t.contains("."), "ip": digit & t.contains("."), "card": digit, "phone": t.contains("+") & digit, "extra": digit}
+    may = {"email": t.contains("@") & t.contains("."), "ip": digit & t.contains("."), "card": digit, "phone": t.contains("+") & digit,
+           "extra": t.rlike(r"[=:0-9]|-----BEGIN|AKIA")}
     found = {}
     for kind in BASE_KINDS:
         found[f"_{kind}"] = F.coalesce(F.when(may[kind], _base_spans(t, kind).cast(SPAN)), F.array().cast(SPAN))
-    extra = F.transform(_hits(t, PATTERNS["extra"]), lambda h: _judged(_extra_kind(h["text"]), h)).cast(SPAN)
+    proposed = F.filter(_hits(t, PATTERNS["extra"]), lambda h: _proposed(h["text"]))
+    extra = F.transform(proposed, lambda h: _judged(_extra_kind(h["text"]), h)).cast(SPAN)
     found["_extra"] = F.coalesce(F.when(may["extra"], extra), F.array().cast(SPAN))
     rows = docs.select(F.col(key), *[v.alias(k) for k, v in found.items()])
     rows = rows.select(key, F.concat(*[F.col(f"_{k}") for k in BASE_KINDS]).alias("base"), "_extra")
@@ -206,7 +248,7 @@ def logistic(rows: list[tuple[list[str], float, float]], rounds: int = 400, rate
 def fit(found: DataFrame) -> dict[str, float]:
     """Weights of the span classifier from the counted votes and features of all candidates.
 
-    At most 3^4 vote patterns x 7 kinds x the combinations of FEATURES come to the driver, whatever the corpus."""
+    At most 3^4 vote patterns x 8 kinds x the combinations of FEATURES come to the driver, whatever the corpus."""
     rows = (found.select(F.explode(F.concat("base", "extra")).alias("s")).groupBy(*[F.col(f"s.{c}").alias(c) for c in ["kind", *LABELERS, *FEATURES]])
             .agg(F.count(F.lit(1)).alias("n")).orderBy("kind", *LABELERS, *FEATURES).collect())
     if not rows:
@@ -249,7 +291,8 @@ def joined(spans_: Column) -> Column:
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
+    """key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans (base and added)."""
     counts = [F.size(_of_kind("base", k)).cast("bigint").alias(f"n_{k}") for k in BASE_KINDS]
     return found.select(key, *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-                        joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("bigint").alias("n_added"))
+                        joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("bigint").alias("n_added"),
+                        (F.size("base") + F.size("added")).cast("bigint").alias("n_spans"))
