@@ -1,4 +1,4 @@
-"""E5 / E6 by the index of word heads equal the in-row scan and a plain reading."""
+"""E5 / E6 by the index of word heads equal the in-row scan."""
 
 import random
 
