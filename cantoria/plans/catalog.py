@@ -1099,7 +1099,7 @@ from cantoria.streaming import ingest as stream  # noqa: E402
 @register("incremental_ingest")
 def incremental_ingest(spark, sf):
     """The documents file streamed through ingest (length >= 150, fingerprint dedupe against the target)."""
-    target, q = stream.ingest_stream(spark, sf, glob="documents.parquet")
+    target, q = stream.ingest_stream(spark, stream.table_files(sf), glob=None)
     stream.run_to_completion(q)
     return spark.read.parquet(target).select("song_id", "artist", "song", "year", "huella")
 
@@ -1107,7 +1107,7 @@ def incremental_ingest(spark, sf):
 @register("incremental_ingest_stateful")
 def incremental_ingest_stateful(spark, sf):
     """R1 with the fingerprints in keyed streaming state."""
-    target, q = stream.ingest_stateful(spark, sf, glob="documents.parquet")
+    target, q = stream.ingest_stateful(spark, stream.table_files(sf), glob=None)
     stream.run_to_completion(q)
     return spark.read.parquet(target).select("song_id", "artist", "song", "year", "huella")
 
@@ -1115,7 +1115,7 @@ def incremental_ingest_stateful(spark, sf):
 @register("incremental_rollup")
 def incremental_rollup(spark, sf):
     """R2: per-year counters maintained by a streaming aggregation; mean density = sum / songs with stanzas."""
-    target, q = stream.rollup_stream(spark, sf, glob="documents.parquet")
+    target, q = stream.rollup_stream(spark, stream.table_files(sf), glob=None)
     stream.run_to_completion(q)
     r = spark.read.parquet(target)
     return r6(r.select("year", "canciones", "estrofas", "activas",

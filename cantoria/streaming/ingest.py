@@ -48,9 +48,18 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def document_stream(spark: SparkSession, folder: str, glob: str = "documents*.parquet",
+def table_files(sf_dir: str, name: str = "documents") -> str:
+    """Pattern for the files of a table, to stream with ``glob=None``: the table is one file or a folder of part files.
+    A pattern, as a stream takes a plain path for a folder."""
+    return f"{sf_dir.rstrip('/')}/{name}.parque[t]"
+
+
+def document_stream(spark: SparkSession, folder: str, glob: str | None = "documents*.parquet",
                     files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(DOCUMENTS_SCHEMA).option("pathGlobFilter", glob)
+    """``glob`` filters the names of the files themselves (None: every file), not those of folders above them."""
+    reader = spark.readStream.schema(DOCUMENTS_SCHEMA)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(folder)
@@ -82,7 +91,7 @@ def _ingest_batch(target: str, min_chars: int, run_id: str = ""):
 
 
 def ingest_stream(spark: SparkSession, folder: str, target: str | None = None, min_chars: int = MIN_LYRIC_CHARS,
-                  glob: str = "documents*.parquet", available_now: bool = True, checkpoint: str | None = None) -> tuple[str, object]:
+                  glob: str | None = "documents*.parquet", available_now: bool = True, checkpoint: str | None = None) -> tuple[str, object]:
     """Start R1; returns (target path, StreamingQuery). The checkpoint belongs to the target (by default it lies beside
     it), so a restart on the same target goes on where the last run ended. With ``available_now`` the query drains
     the folder and stops."""
@@ -108,7 +117,7 @@ def _first_of_key(key, parts, state):
 
 
 def ingest_stateful(spark: SparkSession, folder: str, target: str | None = None, min_chars: int = MIN_LYRIC_CHARS,
-                    glob: str = "documents*.parquet", available_now: bool = True, checkpoint: str | None = None,
+                    glob: str | None = "documents*.parquet", available_now: bool = True, checkpoint: str | None = None,
                     files_per_trigger: int | None = None) -> tuple[str, object]:
     """Start R1 with the fingerprints in keyed state; returns (target path, StreamingQuery). The checkpoint holds the
     state: one target, one checkpoint (by default it lies beside the target), and a restart goes on with what it knows.
@@ -129,7 +138,7 @@ def ingest_stateful(spark: SparkSession, folder: str, target: str | None = None,
 
 
 def rollup_stream(spark: SparkSession, folder: str, target: str | None = None, lexicon=STANDIN_LEXICON,
-                  glob: str = "documents*.parquet", available_now: bool = True, checkpoint: str | None = None) -> tuple[str, object]:
+                  glob: str | None = "documents*.parquet", available_now: bool = True, checkpoint: str | None = None) -> tuple[str, object]:
     """Start R2; returns (target path, StreamingQuery). The checkpoint, which holds the counters, belongs to the
     target as in R1, so a restart adds to them."""
     target = (target or _scratch(spark, "rollup-table")).rstrip("/")

@@ -84,3 +84,19 @@ def test_stateful_ingest_replays_a_lost_batch(spark):
     _, q = ingest_stateful(spark, f"{base}/in/*", target=f"{base}/t", glob="*.parquet")
     run_to_completion(q)
     assert sorted(map(tuple, spark.read.parquet(f"{base}/t").select("song_id", "lote").collect())) == want
+
+
+def test_streams_read_a_table_of_part_files_like_one_file(spark):
+    import os
+    import shutil
+    from cantoria.plans.catalog import QUERIES
+    base = tempfile.mkdtemp(prefix="cantoria-parts-")
+    rows = docs(spark, [(i, f"{i} line of some length here\n" * 10, "es", f"src{i}", 1) for i in range(1, 9)])
+    rows.repartition(3).write.parquet(f"{base}/parts/documents.parquet")
+    rows.coalesce(1).write.parquet(f"{base}/tmp")
+    part = next(f for f in os.listdir(f"{base}/tmp") if f.startswith("part-"))
+    os.makedirs(f"{base}/one")
+    shutil.copy(f"{base}/tmp/{part}", f"{base}/one/documents.parquet")
+    for name in ("incremental_ingest", "incremental_ingest_stateful", "incremental_rollup"):
+        one, parts = (sorted(map(tuple, QUERIES[name](spark, f"{base}/{k}").collect())) for k in ("one", "parts"))
+        assert one == parts and len(one) == 8
