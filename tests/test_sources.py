@@ -60,3 +60,18 @@ def test_csv_columns_by_header_name(spark):
     assert [(r["artist"], r["year"], r["song"], r["lyrics"]) for r in rows] == [
         ("ana", "1999", "uno", 'line one\nline "two"'), ("cid", "2001", "tres", "text")]
     assert rows[0]["song_id"] < rows[1]["song_id"]
+
+
+def test_save_vectors_models_scores_every_label_alike(spark):
+    from cantoria.fixed import DIMS
+    from cantoria.plans.catalog import QUERIES, reset_stages
+    d = tempfile.mkdtemp(prefix="cantoria-models-")
+    words = ["this are sus", "from con avec", "were por pour", "which los les", "have una une", "not del des"]
+    text = "\n".join(f"{w} and a verse of line {i}" for i, w in enumerate(words * 3))
+    spark.createDataFrame([(i, f"{text}\n{words[i % 6]} closes song {i}", "es", f"src{i}", 1) for i in range(12)],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    reset_stages()
+    rows = QUERIES["save_vectors_models"](spark, d).collect()
+    assert rows and all(r[f"a_{k}"] == r[f"b_{k}"] is not None for r in rows for k in DIMS)
+    assert all(len({r[f"a_{k}"] for r in rows}) > 1 for k in DIMS)
