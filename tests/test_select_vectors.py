@@ -147,3 +147,16 @@ def test_vector_cache_round_trip(spark, tmp_path):
     assert {(r["t"], r["vec"][0], r["desde_cache"]) for r in first} == {("a", 1.0, False), ("bb", 2.0, False)}
     assert {(r["t"], r["vec"][0], r["desde_cache"]) for r in again} == {("bb", 2.0, True), ("ccc", 3.0, False)}
     assert seen == [2, 1]
+
+
+def test_neighbours_copy_a_row_to_a_bounded_number_of_tasks(spark):
+    from cantoria.operators import vectors as vx
+    df = spark.range(900).select(F.col("id"), F.lit("a").alias("c"), F.array((F.col("id") % 97).cast("double"), (F.col("id") % 31).cast("double")).alias("v"))
+    assert vx.facing(df, "id", "c", block=10).count() <= (vx.KNN_SPREAD + 1) * 900
+    v = {r.id: np.array(r.v) for r in df.collect()}
+    got = {}
+    for r in vx.knn_exact(df, "id", "v", "c", k=3, block=10).collect():
+        got.setdefault(r.id, []).append((r.orden, r.vecino))
+    for i in (0, 1, 450, 899):
+        want = sorted(v, key=lambda j: (j == i, np.sqrt(((v[i] - v[j]) ** 2).sum()), j))[:3]
+        assert [j for _, j in sorted(got[i])] == want
