@@ -160,3 +160,11 @@ def test_neighbours_copy_a_row_to_a_bounded_number_of_tasks(spark):
     for i in (0, 1, 450, 899):
         want = sorted(v, key=lambda j: (j == i, np.sqrt(((v[i] - v[j]) ** 2).sum()), j))[:3]
         assert [j for _, j in sorted(got[i])] == want
+
+
+def test_neighbours_pass_over_missing_and_unusable_vectors(spark):
+    from cantoria.operators import vectors as vx
+    rows = [(i, "a", [float(i), 0.0]) for i in range(6)] + [(6, "a", None), (7, "a", [float("nan"), 1.0]), (8, "a", [None, 1.0])]
+    got = vx.knn_exact(spark.createDataFrame(rows, "id long, c string, v array<double>"), "id", "v", "c", k=5).collect()
+    near = {i: [j for _, j in sorted((r.orden, r.vecino) for r in got if r.id == i)] for i in range(9)}
+    assert near[0] == [1, 2, 3, 4, 5] and near[3] == [2, 4, 1, 5, 0] and not near[6] and not near[7] and not near[8]
