@@ -39,11 +39,13 @@ def tfidf(tokens_df: DataFrame, doc: str, term: str = "term", max_features: int
 
 def tfidf_vectors(docs: DataFrame, tokens_col: str, max_features: int = 5000, out: str = "features") -> DataFrame:
     """M1 as ML features: CountVectorizer (top terms) -> IDF, rescaled to the smooth ``idf + 1`` form ->
-    L2 normaliser; sparse vectors stay native (JVM) end to end."""
+    L2 normaliser; sparse vectors stay native (JVM) end to end. The counts are written once, without the tokens: the
+    weights, a model fitted on them and its predictions read them, and no text is tokenised again."""
     from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer
     from pyspark.ml.linalg import Vectors
     cv = CountVectorizer(inputCol=tokens_col, outputCol="_tf", vocabSize=max_features).fit(docs)
-    tf = cv.transform(docs)
+    from cantoria.session import cut_lineage
+    tf = cut_lineage(cv.transform(docs).drop(tokens_col))
     idf = IDF(inputCol="_tf", outputCol="_idf0").fit(tf)
     scale = Vectors.dense([x + 1.0 for x in idf.idf.toArray()])   # vocabulary-sized, bounded by max_features
     w = ElementwiseProduct(scalingVec=scale, inputCol="_tf", outputCol="_w").transform(tf)
@@ -77,13 +79,14 @@ def drop_clusters(df: DataFrame, ids: list[int], col: str = "cluster") -> DataFr
 
 
 # ------------------------------------------------------------------------------------------------ M9 / M11
-def balanced_weights(df: DataFrame, y: str, by: str | None = None) -> DataFrame:
-    """M9: n / (k * n_class) per row (k = number of classes present), within each ``by`` when given."""
+def balanced_weights(df: DataFrame, y: str, by: str | None = None, few: bool = False) -> DataFrame:
+    """M9: n / (k * n_class) per row (k = number of classes present), within each ``by`` when given. ``few``: the classes
+    are those of a classifier, so their table is broadcast and no row is shuffled by its class."""
     keys = [by] if by else []
     cnt = df.groupBy(*keys, y).agg(F.count(F.lit(1)).alias("_nc"))     # one row per class
     over = Window.partitionBy(*keys)
     w = cnt.select(*keys, y, (F.sum("_nc").over(over) / (F.count(F.lit(1)).over(over) * F.col("_nc"))).alias("peso"))
-    return df.join(w, [*keys, y])
+    return df.join(F.broadcast(w) if few else w, [*keys, y])
 
 
 def label_map(df: DataFrame, y: str, by: str | None = None) -> DataFrame:
@@ -112,19 +115,20 @@ def train_multilabel(df: DataFrame, vec: str, label_cols: list[str], weight: str
     ``rf``: random forest of 100 trees. ``gbt``: Spark's boosted trees are binary, so OneVsRest of at most 1,500 trees
     (step 0.01) each; a fraction ``validation`` of the rows, drawn by hash of the vector, stops the boosting once they
     no longer gain. ``trees`` overrides the number of trees."""
-    base = df.withColumn("features", array_to_vector(vec))
+    from cantoria.session import cut_lineage
     held = F.pmod(F.xxhash64(F.col(vec), F.lit(seed)), F.lit(1000)) < int(1000 * validation)
+    # every fit reads the rows several times: only what training needs, written once
+    base = cut_lineage(df.select(array_to_vector(vec).alias("features"), held.alias("_held"), *dict.fromkeys([*label_cols, *([weight] if weight else [])])))
     models = {}
     for c in label_cols:
         d = base.withColumn("label", F.col(c).cast("double"))
         w = weight
         if w is None and balanced:
-            d, w = balanced_weights(d, "label"), "peso"
+            d, w = balanced_weights(d, "label", few=True), "peso"
         if algo == "gbt":
             gbt = GBTClassifier(maxDepth=depth, maxIter=trees or 1500, stepSize=0.01, subsamplingRate=0.8, seed=seed,
                                 validationIndicatorCol="_held", validationTol=1e-4)
             clf = OneVsRest(classifier=gbt, featuresCol="features", labelCol="label", predictionCol=f"pred_{c}")
-            d = d.withColumn("_held", held)
         else:
             clf = RandomForestClassifier(numTrees=trees or 100, maxDepth=depth, seed=seed, featuresCol="features",
                                          labelCol="label", predictionCol=f"pred_{c}",
@@ -166,6 +170,8 @@ def topic_model(df: DataFrame, vec: str, k: int = 8, min_size: int = 15, seed: i
                 dims: int = 5, far: float = 0.98) -> DataFrame:
     """M14 (re-aimed): vectors -> PCA(5) -> k-means. Rows farther from their centre than the ``far`` quantile of their
     cluster, and clusters smaller than ``min_size``, become topic -1."""
+    from cantoria.session import cut_lineage
+    df = cut_lineage(df)          # PCA, k-means, the limits and the result all read the rows
     p = project(df, vec, dims)
     feats = p.withColumn("_f", F.array(*[F.col(f"c{i + 1}") for i in range(dims)]))
     d = feats.withColumn("features", array_to_vector("_f"))
@@ -184,6 +190,8 @@ def density_topic_model(df: DataFrame, id_col: str, vec: str, min_size: int = 15
     """Vectors -> PCA(5) -> density clusters (``density.density_topics``); adds ``topic``, -1 for noise. Ids must
     be unique."""
     from cantoria.operators.density import density_topics
+    from cantoria.session import cut_lineage
+    df = cut_lineage(df)          # PCA, the clusters and the result all read the rows
     low = project(df.select(id_col, vec), vec, dims).select(id_col, F.array(*[F.col(f"c{i + 1}") for i in range(dims)]).alias("_low"))
     return df.join(density_topics(low, id_col, "_low", min_size, min_samples), id_col)
 
@@ -192,7 +200,8 @@ def density_topic_model(df: DataFrame, id_col: str, vec: str, min_size: int = 15
 def class_tfidf(grams: DataFrame, topic: str, term: str = "ngram", top: int = 10) -> DataFrame:
     """Per topic, tf * ln(1 + A / f) where tf = term count in the topic, f = term count over all topics,
     A = average number of words per topic; the ``top`` terms per topic (ties by term)."""
-    tf = grams.groupBy(topic, term).agg(F.count(F.lit(1)).alias("tf"))
+    from cantoria.session import cut_lineage
+    tf = cut_lineage(grams.groupBy(topic, term).agg(F.count(F.lit(1)).alias("tf")))        # read by three branches in two jobs
     f = tf.groupBy(term).agg(F.sum("tf").alias("_f"))
     per_topic = tf.groupBy(topic).agg(F.sum("tf").alias("_wt"))
     a = per_topic.agg(F.avg("_wt").alias("_A"))
