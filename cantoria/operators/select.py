@@ -137,8 +137,9 @@ def stratified_split(df: DataFrame, label_cols: list[str], test_frac: float = 0.
     strata = strata.select("estrato", (F.col("_low") + (turn <= more).cast("int")).alias("_quota"))
     from cantoria.operators.stats import row_index
     first = F.conv(F.substring(hash_key(id_col, seed=seed), 1, 15), 16, 10).cast("bigint")
-    own = row_index(keyed.join(sizes.drop("_n"), "_key").withColumn("_h", first), "estrato", "_h")
-    out = own.join(strata, "estrato").withColumn("_r", F.col("_idx") + 1)
+    # the tables of strata are broadcast: a join on the stratum would send the greatest one, most of the rows, to one task
+    own = row_index(keyed.join(F.broadcast(sizes.drop("_n")), "_key").withColumn("_h", first), "estrato", "_h", few=True)
+    out = own.join(F.broadcast(strata), "estrato").withColumn("_r", F.col("_idx") + 1)
     split = F.when(F.col("_r") <= F.col("_quota"), F.lit("test")).otherwise(F.lit("train"))
     return out.withColumn("split", split).select(*df.columns, "estrato", "split")
 
