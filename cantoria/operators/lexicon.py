@@ -43,13 +43,21 @@ def score_units(units: DataFrame, lexicon: dict[str, list[str]], text_col: str =
                                       for d in DIMS]))
 
 
+BROADCAST_TERMS = 100_000
+
+
 def score_units_by_table(units: DataFrame, lexicon: DataFrame, id_cols: list[str], text_col: str = "verso_texto", cap: int = 3,
                          mode: str = "runs") -> DataFrame:
-    """E8 with a lexicon table (dim, term) of any size; ``id_cols`` identify a unit. Tokens are counted per unit before
-    they meet the lexicon, and the join is left to the planner (no broadcast is forced)."""
-    words = units.select(*id_cols, F.explode(tokens(text_col, mode)).alias("term")).groupBy(*id_cols, "term").agg(F.count(F.lit(1)).alias("_n"))
-    hits = words.join(lexicon.select("dim", "term").distinct(), "term").groupBy(*id_cols).agg(
-        *[F.sum(F.when(F.col("dim") == d, F.col("_n"))).alias(f"_{d}") for d in DIMS])
+    """E8 with a lexicon table (dim, term) of any size; ``id_cols`` identify a unit. A lexicon of at most
+    ``BROADCAST_TERMS`` rows goes to the tokens, so only hits are shuffled; for a larger one tokens are counted per unit
+    before they meet it, and the join is left to the planner."""
+    words = units.select(*id_cols, F.explode(tokens(text_col, mode)).alias("term"))
+    terms = lexicon.select("dim", "term").distinct()
+    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        found = words.join(F.broadcast(terms), "term").withColumn("_n", F.lit(1))
+    else:
+        found = words.groupBy(*id_cols, "term").agg(F.count(F.lit(1)).alias("_n")).join(terms, "term")
+    hits = found.groupBy(*id_cols).agg(*[F.sum(F.when(F.col("dim") == d, F.col("_n"))).alias(f"_{d}") for d in DIMS])
     out = units.join(hits, id_cols, "left")
     return out.select(*units.columns, *[F.least(F.coalesce(F.col(f"_{d}"), F.lit(0)), F.lit(cap)).cast("int").alias(f"intensidad_{d}") for d in DIMS])
 
