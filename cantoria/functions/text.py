@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,20 +61,20 @@ def _nfkc_arrow(arr):
     import pyarrow as pa
     import pyarrow.compute as pc
     arr = pc.fill_null(arr, "")
-    non_ascii = pc.indices_nonzero(pc.invert(pc.string_is_ascii(arr))).to_pylist()
-    if not non_ascii:
+    non_ascii = pc.indices_nonzero(pc.invert(pc.string_is_ascii(arr)))
+    places, values = [], []
+    for start in range(0, len(non_ascii), 64):        # few texts at a time are Python strings
+        some = non_ascii.slice(start, 64)
+        for i, v in zip(some.to_pylist(), arr.take(some).to_pylist()):
+            nv = _nfkc_one(v)
+            if nv != v:
+                places.append(i)
+                values.append(nv)
+    if not places:
         return arr
-    changed = {}
-    for i, v in zip(non_ascii, arr.take(non_ascii).to_pylist()):
-        nv = _nfkc_one(v)
-        if nv != v:
-            changed[i] = nv
-    if not changed:
-        return arr
-    out = arr.to_pylist()
-    for i, nv in changed.items():
-        out[i] = nv
-    return pa.array(out, type=pa.string())
+    changed = np.zeros(len(arr), dtype=bool)
+    changed[places] = True
+    return pc.replace_with_mask(arr, pa.array(changed), pa.array(values, type=arr.type))
 
 
 if hasattr(F, "arrow_udf"):
