@@ -12,21 +12,29 @@ the product is what costs. Here a song's units are rows, and each needle is look
 A needle with no such word (one word, or two with a short second) has every unit of its song as candidate: only the needle
 is repeated for them, and the same join settles it. So nothing is missed and no text is cut.
 
-Rows with a null key find nothing, as in an equi-join; equal needles of a song are looked up once; songs without text and
-empty tables find nothing. Cost: the heads (about one short row a word) are shuffled, a unit's text once by (song, number),
-so the work is linear in the text; at 10,000 documents of some lines it takes four to five times as long as the scan.
+The index is for the songs that need it: those of more than ``DIRECT`` lines, and those asked by more than ``HOT`` verses.
+Every other song has few units, so all of them are candidates and nothing is indexed: verses and unit rows meet in one join
+on the song that keeps only the pairs that ``contains`` settles, and the smallest number is taken where they met.
+
+Rows with a null key find nothing, as in an equi-join; equal needles of a song are looked up once in the index; songs without
+text and empty tables find nothing. Cost: verses and units are shuffled once each, by the song. For indexed songs one row of
+two numbers a word head is shuffled besides, and a unit's text by (song, number). So the work is linear in the text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cantoria.fixed import STANZA_JOINER
 from cantoria.functions.text import collapse_ws, normalize_text
 from cantoria.operators.units import _first_lyrics_per_key, nonblank_lines, stanza_array
+from cantoria.session import cut_lineage
 
 HEAD = 4
+DIRECT = 64              # lines of a song whose units are all candidates
+HOT = 10_000             # verses of a song that meet in one task
+BROADCAST_SONGS = 100_000
 
 
 def _heads(words: Column) -> Column:
@@ -53,13 +61,18 @@ def first_holding(needles: DataFrame, units: DataFrame, keys: list[str], searche
 
     ``needles`` has keys and ``_needle``; ``units`` has keys, ``_no`` and what ``searched`` is computed from, one row per
     (keys, _no). Needles must not be null: a filter on them would run their normalisation again."""
-    asked = needles.select(*keys, "_needle").distinct()
+    asked = needles.select(*keys, "_needle").distinct().withColumn("_id", F.unhex(F.md5(F.col("_needle").cast("binary"))))
+    asked = asked.withColumn("_song", F.xxhash64(*keys))
     asked = asked.withColumn("_words", F.split("_needle", " ", -1)).withColumn("_heads", needle_heads(F.col("_words"))).drop("_words")
+    # a song's head is one number: songs or heads of equal numbers only add candidates, which (keys, _no) and the text settle
     index = units.select(*keys, "_no", F.explode(unit_heads(searched)).alias("_head"))
-    held = index.groupBy(*keys, "_head").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = (asked.select(*keys, "_needle", F.explode("_heads").alias("_head")).join(held, [*keys, "_head"])
-              .groupBy(*keys, "_needle").agg(F.min(F.struct("_n", "_head"))["_head"].alias("_head")))
-    by_head = rarest.join(index, [*keys, "_head"]).select(*keys, "_needle", "_no")
+    index = index.select(F.xxhash64(*keys, "_head").alias("_at"), "_no").repartition("_at")
+    held = index.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"))
+    # needles meet the counts by song and digest, without their text
+    heads = asked.select("_song", "_id", *keys, F.explode("_heads").alias("_head")).select("_song", "_id", F.xxhash64(*keys, "_head").alias("_at"))
+    rarest = heads.join(held, "_at").groupBy("_song", "_id").agg(F.min(F.struct("_n", "_at"))["_at"].alias("_at"))
+    numbers = rarest.join(index, "_at").select("_song", "_id", "_no")
+    by_head = asked.join(numbers, ["_song", "_id"]).select(*keys, "_needle", "_no")
     counts = units.groupBy(*keys).agg(F.max("_no").alias("_last"))
     headless = (asked.where(F.size("_heads") == 0).join(counts, keys)
                 .select(*keys, "_needle", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("_no")))
@@ -67,10 +80,38 @@ def first_holding(needles: DataFrame, units: DataFrame, keys: list[str], searche
     return settled.where(F.contains("_text", F.col("_needle"))).groupBy(*keys, "_needle").agg(F.min("_no").alias("_no"))
 
 
-def _units(songs: DataFrame, keys: list[str], array: Column, last: bool) -> DataFrame:
-    """One row per unit of the song picked for a key, spread by (key, number): every later join reads this exchange."""
-    picked = _first_lyrics_per_key(songs, keys, last=last).withColumn("_lyrics", normalize_text("_lyrics"))
-    return picked.select(*keys, F.posexplode(array).alias("_no", "_unit")).repartition(*[F.col(k) for k in keys], F.col("_no"))
+def first_met(rows: DataFrame, units: DataFrame, keys: list[str], searched: Column) -> DataFrame:
+    """Every row with the columns of its song's first unit whose ``searched`` text contains the row's ``_needle`` (null:
+    none), by one join on the song. Rows without a song are spread."""
+    known = F.lit(True)
+    for c in keys:
+        known = known & F.col(c).isNotNull()
+    asked = rows.withColumn("_v", F.monotonically_increasing_id()).withColumn("_at", F.when(known, F.xxhash64(*keys)).otherwise(F.col("_v")))
+    given = units.select(F.xxhash64(*keys).alias("_in"), *[F.col(c).alias(f"_u_{c}") for c in keys],
+                         *[c for c in units.columns if c not in keys], searched.alias("_text"))
+    holds = (F.col("_at") == F.col("_in")) & F.contains("_text", F.col("_needle"))
+    for c in keys:
+        holds = holds & (F.col(c) == F.col(f"_u_{c}"))
+    first = F.row_number().over(Window.partitionBy("_at", *keys, "_v").orderBy("_no"))     # where the join has put them
+    return asked.join(given, holds, "left").withColumn("_r", first).where(F.col("_r") == 1)
+
+
+def _look_up(verses: DataFrame, needle, songs: DataFrame, units_of, keys: list[str], searched: Column, out: Column) -> DataFrame:
+    """The rows of ``needle(verses)`` with ``out`` of the unit found: by the index for songs of many lines or verses."""
+    lines = F.length("lyrics") - F.length(F.replace("lyrics", F.lit("\n"), F.lit("")))
+    hot = verses.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT)
+    many = cut_lineage(songs.where(lines >= DIRECT).select(*keys).unionByName(hot.select(*keys)).dropna().distinct())
+    n = many.limit(BROADCAST_SONGS + 1).count()
+    if n == 0:
+        return first_met(needle(verses), units_of(songs), keys, searched).select(*verses.columns, out)
+    given = F.broadcast(many) if n <= BROADCAST_SONGS else many
+    few = first_met(needle(verses.join(given, keys, "left_anti")), units_of(songs.join(given, keys, "left_anti")), keys, searched)
+    rows = needle(verses.join(given, keys, "left_semi"))
+    # spread by (key, number): every later join reads this exchange
+    units = units_of(songs.join(given, keys, "left_semi")).repartition(*[F.col(k) for k in keys], F.col("_no"))
+    found = first_holding(rows.where(F.col("_needle").isNotNull()), units, keys, searched)
+    long = rows.join(found, [*keys, "_needle"], "left").join(units, [*keys, "_no"], "left")
+    return few.select(*verses.columns, out).unionByName(long.select(*verses.columns, out))
 
 
 def verse_to_stanza_indexed(verses: DataFrame, songs: DataFrame, verse_col: str = "verso_texto",
@@ -78,11 +119,16 @@ def verse_to_stanza_indexed(verses: DataFrame, songs: DataFrame, verse_col: str
     """E5 with the rows of ``units.verse_to_stanza``: the first stanza of the verse's song that contains it (white space
     collapsed, lower case), else the verse; an empty or null verse gets the first stanza. Adds ``texto_entrenamiento``."""
     keys = list(keys)
-    units = _units(songs, keys, stanza_array("_lyrics"), last=False)
-    rows = verses.withColumn("_needle", collapse_ws(F.coalesce(normalize_text(verse_col), F.lit(""))))
-    found = first_holding(rows, units, keys, collapse_ws("_unit"))
-    joined = rows.join(found, [*keys, "_needle"], "left").join(units, [*keys, "_no"], "left")
-    return joined.select(*verses.columns, F.coalesce("_unit", F.col(verse_col)).alias("texto_entrenamiento"))
+
+    def units_of(songs):
+        picked = _first_lyrics_per_key(songs, keys).withColumn("_lyrics", normalize_text("_lyrics"))
+        return picked.select(*keys, F.posexplode(stanza_array("_lyrics")).alias("_no", "_unit"))
+
+    def needle(verses):
+        return verses.withColumn("_needle", collapse_ws(F.coalesce(normalize_text(verse_col), F.lit(""))))
+
+    return _look_up(verses, needle, songs, units_of, keys, collapse_ws("_unit"),
+                    F.coalesce("_unit", F.col(verse_col)).alias("texto_entrenamiento"))
 
 
 def verse_to_window_indexed(verses: DataFrame, songs: DataFrame, verse_col: str = "verso_texto", prefix_chars: int = 15,
@@ -90,18 +136,17 @@ def verse_to_window_indexed(verses: DataFrame, songs: DataFrame, verse_col: str
     """E6 with the rows of ``units.verse_to_window``: the first line of the title's last song that contains the verse's
     first ``prefix_chars`` characters, with ``radius`` lines on each side; else the verse. Line rows carry their window,
     so a line is written 2 x radius + 2 times."""
-    lines = nonblank_lines("_lyrics")
-    picked = _first_lyrics_per_key(songs, [key], last=True).withColumn("_lyrics", normalize_text("_lyrics"))
-    ranged = picked.select(key, lines.alias("_lines"))
-
     def window(line, i):
         start = F.greatest(i - radius, F.lit(0))
         return F.struct(i.alias("_no"), line.alias("_line"),
                         F.array_join(F.slice("_lines", start + 1, i + radius + 1 - start), STANZA_JOINER).alias("_window"))
 
-    units = ranged.select(key, F.inline(F.transform("_lines", window))).repartition(F.col(key), F.col("_no"))
-    rows = (verses.withColumn("_verse", normalize_text(verse_col))
-            .withColumn("_needle", F.lower(F.substring("_verse", 1, prefix_chars))))
-    found = first_holding(rows.where(F.col("_verse") != ""), units, [key], F.lower("_line"))
-    joined = rows.join(found, [key, "_needle"], "left").join(units, [key, "_no"], "left")
-    return joined.select(*verses.columns, F.coalesce("_window", "_verse").alias("texto_entrenamiento"))
+    def units_of(songs):
+        picked = _first_lyrics_per_key(songs, [key], last=True).withColumn("_lyrics", normalize_text("_lyrics"))
+        return picked.select(key, nonblank_lines("_lyrics").alias("_lines")).select(key, F.inline(F.transform("_lines", window)))
+
+    def needle(verses):
+        rows = verses.withColumn("_verse", normalize_text(verse_col))
+        return rows.withColumn("_needle", F.when(F.col("_verse") != "", F.lower(F.substring("_verse", 1, prefix_chars))))
+
+    return _look_up(verses, needle, songs, units_of, [key], F.lower("_line"), F.coalesce("_window", "_verse").alias("texto_entrenamiento"))

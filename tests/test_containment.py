@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cantoria.operators import containment as ct
@@ -80,3 +81,20 @@ def test_no_array_of_units_beside_a_verse(spark):
     songs, verses = _corpus(spark)
     plan = ct.verse_to_stanza_indexed(verses, songs)._jdf.queryExecution().optimizedPlan().toString()
     assert "CartesianProduct" not in plan and "try_element_at" not in plan
+
+
+@pytest.mark.parametrize("direct,hot,broadcast", [(0, 10_000, 100_000), (0, 10_000, 0), (9, 20, 100_000), (10 ** 6, 10 ** 6, 0)])
+def test_indexed_and_direct_songs_equal_the_scan(spark, monkeypatch, direct, hot, broadcast):
+    for name, v in (("DIRECT", direct), ("HOT", hot), ("BROADCAST_SONGS", broadcast)):
+        monkeypatch.setattr(ct, name, v)
+    songs, verses = _corpus(spark, 7)
+    cols = ["song_id", "n", "verso_texto", "texto_entrenamiento"]
+    verses = verses.unionByName(spark.createDataFrame([(200, None, None, i, t) for i, t in enumerate(["aa", "", None])], VERSE))
+    assert _rows(ct.verse_to_stanza_indexed(verses, songs).select(cols)) == _rows(un.verse_to_stanza(verses, songs).select(cols))
+    assert _rows(ct.verse_to_window_indexed(verses, songs).select(cols)) == _rows(un.verse_to_window(verses, songs).select(cols))
+
+
+def test_short_songs_shuffle_no_word_heads(spark):
+    songs, verses = _corpus(spark)
+    plan = ct.verse_to_stanza_indexed(verses, songs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_head" not in plan and plan.count("Join LeftOuter") == 1
