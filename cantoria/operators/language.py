@@ -31,7 +31,7 @@ def _sums(rows: DataFrame, model: DataFrame, languages: list[str], keys: list[st
     """keys, n (trigrams), s0.. (log-probability of the text in each language)."""
     floor = model.where("gram is null").first()                    # one row
     grams = rows.select(*keys, F.explode_outer(trigrams(F.col(text))).alias("gram"))
-    known = model.where("gram is not null")
+    known = F.broadcast(model.where("gram is not null"))           # at most languages x top rows: no trigram is shuffled
     both = grams.join(known, "gram", "left")
     return both.groupBy(*keys).agg(F.count("gram").alias("n"), *[
         F.sum(F.when(F.col("gram").isNotNull(), F.coalesce(F.col(f"p{i}"), F.lit(float(floor[f"p{i}"]))))).alias(f"s{i}") for i in range(len(languages))])

@@ -49,3 +49,9 @@ def test_edges(rows):
     assert lg.detect(rows.limit(0), model, least, "id", "text").count() == 0
     plan = lg.detect(rows, model, least, "id", "text")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_trigrams_of_a_text_are_not_shuffled(rows):
+    model, least = lg.learn(rows, "id", "text", "lang", top=40)
+    plan = lg.detect(rows, model, least, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
