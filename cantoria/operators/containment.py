@@ -82,7 +82,7 @@ def first_holding(needles: DataFrame, units: DataFrame, keys: list[str], searche
 
 def first_met(rows: DataFrame, units: DataFrame, keys: list[str], searched: Column) -> DataFrame:
     """Every row with the columns of its song's first unit whose ``searched`` text contains the row's ``_needle`` (null:
-    none), by one join on the song. Rows without a song are spread."""
+    none), by one join on the song; units that come twice give the row twice. Rows without a song are spread."""
     known = F.lit(True)
     for c in keys:
         known = known & F.col(c).isNotNull()
@@ -92,7 +92,7 @@ def first_met(rows: DataFrame, units: DataFrame, keys: list[str], searched: Colu
     holds = (F.col("_at") == F.col("_in")) & F.contains("_text", F.col("_needle"))
     for c in keys:
         holds = holds & (F.col(c) == F.col(f"_u_{c}"))
-    first = F.row_number().over(Window.partitionBy("_at", *keys, "_v").orderBy("_no"))     # where the join has put them
+    first = F.rank().over(Window.partitionBy("_at", *keys, "_v").orderBy("_no"))     # where the join has put them
     return asked.join(given, holds, "left").withColumn("_r", first).where(F.col("_r") == 1)
 
 

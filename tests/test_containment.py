@@ -98,3 +98,12 @@ def test_short_songs_shuffle_no_word_heads(spark):
     songs, verses = _corpus(spark)
     plan = ct.verse_to_stanza_indexed(verses, songs)._jdf.queryExecution().optimizedPlan().toString()
     assert "_head" not in plan and plan.count("Join LeftOuter") == 1
+
+
+@pytest.mark.parametrize("direct", [0, 64])
+def test_a_song_that_comes_twice_gives_its_verses_twice(spark, monkeypatch, direct):
+    monkeypatch.setattr(ct, "DIRECT", direct)
+    songs = spark.createDataFrame([(1, "a", "s", "2001", "uno dos\n\ntres")] * 2, SONG)
+    verses = spark.createDataFrame([(1, "a", "s", 0, "tres"), (1, "a", "s", 1, "nada"), (1, "b", "s", 2, "uno")], VERSE)
+    got = _rows(ct.verse_to_stanza_indexed(verses, songs).select("n", "texto_entrenamiento"))
+    assert got == _rows(spark.createDataFrame([(0, "tres"), (0, "tres"), (1, "nada"), (2, "uno")], "n int, t string"))
