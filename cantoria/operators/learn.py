@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -16,25 +19,84 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cantoria.fixed import DIMS, N_CLUSTERS, SEED
 
+TEXTS = 512                    # M1: texts whose tokens a task holds beside their Arrow batch
+COUNT = T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+
 # ------------------------------------------------------------------------------------------------ M1 TF-IDF
+def _slices(batches):
+    """Arrow batches cut to ``TEXTS`` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
+def term_counts(tokens_df: DataFrame, doc: str, term: str = "term") -> DataFrame:
+    """(doc, _counts): the distinct terms of each row's array of tokens with their number, in the row; rows without a token
+    are left out. Nothing is shuffled."""
+    tokens = F.col(term) if isinstance(tokens_df.schema[term].dataType, T.ArrayType) else F.array(term)
+    rows = tokens_df.select(doc, F.array_compact(tokens).alias("_tokens")).where(F.size("_tokens") > 0)
+    schema = T.StructType([tokens_df.schema[doc], T.StructField("_counts", T.ArrayType(COUNT))])
+
+    def count(batches):
+        for batch in _slices(batches):
+            lists = batch.column(1)
+            flat = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            many = len(flat.dictionary)
+            found, n = np.unique(row * many + flat.indices.to_numpy(), return_counts=True)
+            pairs = pa.StructArray.from_arrays([flat.dictionary.take(pa.array(found % many)), pa.array(n)], ["term", "tf"])
+            starts = np.searchsorted(found // many, np.arange(len(lists) + 1)).astype("int32")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(starts), pairs)], names=schema.names)
+
+    return rows.mapInArrow(count, schema)
+
+
 def tfidf(tokens_df: DataFrame, doc: str, term: str = "term", max_features: int = 5000) -> DataFrame:
     """M1 (long form): the ``max_features`` most frequent terms of the corpus (ties by term); raw counts times
-    smooth idf ln((1 + n) / (1 + df)) + 1; rows scaled to unit L2 norm. Output (doc, term, weight)."""
-    from cantoria.session import cut_lineage
-    # the (doc, term, tf) table feeds three branches (vocabulary, document count, weights): it is computed once
-    # — tokens of a document sit in one partition, so the map-side partial count is already final — and cut
-    # into the shared checkpoint folder
-    tf = cut_lineage(tokens_df.groupBy(doc, term).agg(F.count(F.lit(1)).alias("tf")))
-    vocab = (tf.groupBy(term).agg(F.sum("tf").alias("_cf"), F.count(F.lit(1)).alias("_df"))
-             .orderBy(F.desc("_cf"), F.asc(term)).limit(max_features))
-    n_docs = tf.select(doc).distinct().count()
-    w = (tf.join(F.broadcast(vocab), term)                                    # vocab: <= max_features rows
-         .withColumn("_w", F.col("tf") * (F.log(F.lit(1.0 + n_docs) / (1.0 + F.col("_df"))) + 1.0)))
-    nrm = w.groupBy(doc).agg(F.sqrt(F.sum(F.col("_w") ** 2)).alias("_n"))
-    return w.join(nrm, doc).select(doc, term, (F.col("_w") / F.col("_n")).alias("weight"))
+    smooth idf ln((1 + n) / (1 + df)) + 1; rows scaled to unit L2 norm. Output (doc, term, weight).
+
+    ``term`` is an array of tokens (a row a text) or one token (a row a token). Counts stay in the row of their text, so only
+    the vocabulary is shuffled and a norm is taken where the counts are. Rows that share a document, or have none, are
+    counted together by (document, term) instead."""
+    from cantoria.operators.density import _written
+    # read by three branches (repeated documents, vocabulary, weights): written once into the shared checkpoint folder, in columns
+    counts = _written(term_counts(tokens_df, doc, term))
+    sizes = counts.groupBy(doc).agg(F.count(F.lit(1)).alias("_n"))
+    again = _written(sizes.where((F.col("_n") > 1) | F.col(doc).isNull()).select(F.col(doc).alias("_doc")))
+    same = F.col(doc).eqNullSafe(F.col("_doc"))
+    shared = not again.isEmpty()
+    single = counts.join(again, same, "left_anti") if shared else counts
+    long = single.select(doc, F.inline("_counts"))
+    if shared:
+        merged = _written(counts.join(again, same, "left_semi").select(doc, F.inline("_counts")).groupBy(doc, "term").agg(F.sum("tf").alias("tf")))
+        # a text without a document counts in the vocabulary, but has no row of weights
+        together = merged.where(F.col(doc).isNotNull()).groupBy(doc).agg(F.collect_list(F.struct("term", "tf")).alias("_counts"))
+        single, long = single.unionByName(together), long.unionByName(merged)
+    n_docs = sizes.count()
+    vocab = (long.groupBy("term").agg(F.sum("tf").alias("_cf"), F.count(F.lit(1)).alias("_df"))
+             .orderBy(F.desc("_cf"), F.asc("term")).limit(max_features)
+             .select("term", (F.log(F.lit(1.0 + n_docs) / (1.0 + F.col("_df"))) + 1.0).alias("_idf")).collect())    # <= max_features rows
+    words, idf = [r["term"] for r in vocab], np.array([r["_idf"] for r in vocab], dtype=float)
+    schema = T.StructType([tokens_df.schema[doc], T.StructField(term, T.StringType()), T.StructField("weight", T.DoubleType())])
+
+    def weigh(batches):
+        known = pa.array(words, pa.string())
+        for batch in _slices(batches):
+            lists = batch.column(1)
+            pairs = lists.flatten()
+            place = pc.index_in(pc.struct_field(pairs, "term"), value_set=known)
+            kept = place.is_valid().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())[kept]
+            place = place.drop_null().to_numpy()
+            w = pc.struct_field(pairs, "tf").to_numpy()[kept] * idf[place]
+            norm = np.sqrt(np.bincount(row, w * w, len(lists)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), known.take(pa.array(place)), pa.array(w / norm[row])], names=schema.names)
+
+    return single.select(doc, "_counts").mapInArrow(weigh, schema)
 
 
 def tfidf_vectors(docs: DataFrame, tokens_col: str, max_features: int = 5000, out: str = "features") -> DataFrame:

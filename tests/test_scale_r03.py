@@ -104,3 +104,24 @@ def test_bootstrap_draws_are_made_in_many_tasks(spark, monkeypatch):
                    for y, n in sizes.items() for r in range(6) for j in range(n))
     assert Counter(tuple(d) for d in draws.select("year", "rep", "_j", "_idx").collect()) == want
     assert draws.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_tfidf_shuffles_no_text_and_merges_repeated_documents(spark):
+    texts = [(1, ["a", "b", "a"]), (2, ["b", "c"]), (2, ["c", "c", "d"]), (3, []), (4, None), (None, ["a", "e"]), (None, ["a"]), (5, ["a", "z"])]
+    rows = spark.createDataFrame(texts, "doc long, term array<string>")
+    tf = {}
+    for d, words in texts:
+        for w in words or []:
+            tf[d, w] = tf.get((d, w), 0) + 1
+    n = len({d for d, _ in tf})
+    cf = {w: sum(v for (_, x), v in tf.items() if x == w) for _, w in tf}
+    vocab = sorted(cf, key=lambda w: (-cf[w], w))[:4]
+    w = {(d, x): v * (np.log((1 + n) / (1 + sum(1 for _, y in tf if y == x))) + 1) for (d, x), v in tf.items() if x in vocab and d is not None}
+    want = {(d, x): v / np.sqrt(sum(u * u for (e, _), u in w.items() if e == d)) for (d, x), v in w.items()}
+    for given in (rows, rows.select("doc", F.explode("term").alias("term"))):
+        found = ml.tfidf(given, "doc", max_features=4)
+        assert found.columns == ["doc", "term", "weight"]
+        got = {(r["doc"], r["term"]): r["weight"] for r in found.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    single = ml.tfidf(rows.where("doc in (1, 5)"), "doc", max_features=4)
+    assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()      # weights and norms without a shuffle
