@@ -193,10 +193,22 @@ def _nearer(x, xid, y, yid, k, best, who):
     xx, yy = (x ** 2).sum(axis=1), (y ** 2).sum(axis=1)
     slack = 1e-9 * (1.0 + sum(z[np.isfinite(z)].max(initial=0.0) for z in (xx, yy)))
     size = max(1, PAIR_CELLS // len(y))
+    # ids as numbers: to compare them as objects, pair by pair, costs more than the distances
+    number = {}
+    yown = np.array([number.setdefault(i, len(number)) for i in yid])
+    xown = np.array([number.get(i, -1) for i in xid])
+    unique = len(number) == len(yid)                      # then an id's number is its place
+    # one product gives |x|^2 + |y|^2 - 2 xy
+    wide = np.hstack([x, xx[:, None], np.ones((len(x), 1))])
+    tall = np.vstack([-2.0 * y.T, np.ones((1, len(y))), yy[None, :]])
     for at in range(0, len(x), size):
         s = slice(at, at + size)
-        near = xx[s, None] + yy[None, :] - 2.0 * (x[s] @ y.T)
-        near[xid[s][:, None] == yid[None, :]] = np.inf
+        near = wide[s] @ tall
+        if unique:
+            own = np.flatnonzero(xown[s] >= 0)
+            near[own, xown[s][own]] = np.inf
+        else:
+            near[xown[s][:, None] == yown[None, :]] = np.inf
         limit = best[s, -1] ** 2
         if np.isinf(limit).any() and len(y) > k:
             limit = np.fmin(limit, np.partition(near, k - 1, axis=1)[:, k - 1])

@@ -125,3 +125,26 @@ def test_tfidf_shuffles_no_text_and_merges_repeated_documents(spark):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     single = ml.tfidf(rows.where("doc in (1, 5)"), "doc", max_features=4)
     assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()      # weights and norms without a shuffle
+
+
+def test_nearest_rows_compare_no_ids_pair_by_pair():
+    class Id(int):
+        asked = 0
+        __hash__ = int.__hash__
+
+        def __eq__(self, other):
+            Id.asked += 1
+            return int(self) == int(other)
+
+    r = np.random.default_rng(3)
+    for ids in (list(range(60)), [i % 40 for i in range(60)]):      # unique ids; repeated ids: rows of one id are no neighbours
+        v = r.normal(size=(60, 5))
+        names = np.array([*map(Id, ids), None], dtype=object)[:-1]
+        Id.asked = 0
+        best, who = np.full((60, 4), np.inf), np.full((60, 4), None, dtype=object)
+        for at in (0, 25):
+            vx._nearer(v, names, v[at:at + 25 if at == 0 else None], names[at:at + 25 if at == 0 else None], 4, best, who)
+        assert Id.asked < 400                                       # 60 x 60 before
+        for i in range(60):
+            near = sorted((np.sqrt(((v[j] - v[i]) ** 2).sum()), j) for j in range(60) if ids[j] != ids[i])[:4]
+            assert [int(w) for w in who[i]] == [ids[j] for _, j in near] and np.allclose(best[i], [d for d, _ in near])
