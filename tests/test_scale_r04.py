@@ -63,3 +63,30 @@ def test_a_vector_from_a_python_encoder_is_normalised(spark):
     rows = spark.createDataFrame([("uno dos dos",), ("",), (None,)], "t string")
     got = [r.v for r in rows.select(vx.l2_normalize(vx.hash_encode(F.col("t"))).alias("v")).collect()]
     assert sum(v * v for v in got[0]) == pytest.approx(1.0) and set(got[1]) == {0.0} and set(got[2]) == {None}
+
+
+def test_drawn_neighbours_by_number_give_the_rows_of_a_search_by_text(spark):
+    random = np.random.default_rng(5)
+    rows = [(f"t{random.integers(10 ** 9):09d}{i}", int(random.choice([1970, 1980, 1990], p=[0.6, 0.3, 0.1])), random.integers(0, 3, 4).astype(float).tolist(), int(i % 4))
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, dec int, v array<double>, val_AR int").repartition(4)
+    every = vx.knn_exact(df, "id", "v", "dec", k=5, block=40)
+    by_text = vx.oversample(df, "id", "v", ["val_AR"], "dec", every)
+    g = vx.numbered(df, "id", "n").localCheckpoint()
+    assert [r.id for r in g.orderBy("n").collect()] == sorted(r[0] for r in rows)
+    drawn = vx.draws(g, "id", "dec", key="n")
+    some = vx.knn_exact(g, "n", "v", "dec", k=5, block=40, asked=drawn)
+    assert {r.n for r in some.collect()} == {r.n for r in drawn.collect()}
+    by_number = vx.oversample(g, "id", "v", ["val_AR"], "dec", some, key="n", drawn=drawn)
+    plain = lambda d: sorted((r.id, r.dec, tuple(r.v), r.val_AR, r.sintetico) for r in d.collect())
+    assert plain(by_number) == plain(by_text) and by_number.where("sintetico").count() > 100
+
+
+def test_gold_rows_are_not_kept_as_a_checkpoint(spark, labelled):
+    import os
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(root) if "rdd-" in d for f in fs)
+    reset_stages()
+    before = size()
+    QUERIES["flow_stats"](spark, labelled).collect()
+    assert size() == before
