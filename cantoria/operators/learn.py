@@ -262,13 +262,14 @@ def density_topic_model(df: DataFrame, id_col: str, vec: str, min_size: int = 15
 def class_tfidf(grams: DataFrame, topic: str, term: str = "ngram", top: int = 10) -> DataFrame:
     """Per topic, tf * ln(1 + A / f) where tf = term count in the topic, f = term count over all topics,
     A = average number of words per topic; the ``top`` terms per topic (ties by term)."""
-    from cantoria.session import cut_lineage
-    tf = cut_lineage(grams.groupBy(topic, term).agg(F.count(F.lit(1)).alias("tf")))        # read by three branches in two jobs
-    f = tf.groupBy(term).agg(F.sum("tf").alias("_f"))
+    from cantoria.session import written
+    tf = written(grams.groupBy(topic, term).agg(F.count(F.lit(1)).alias("tf")), "terms")        # read by two branches
     per_topic = tf.groupBy(topic).agg(F.sum("tf").alias("_wt"))
     a = per_topic.agg(F.avg("_wt").alias("_A"))
     from cantoria.operators.stats import _one_row_join
-    s = _one_row_join(tf.join(f, term), a).withColumn("score", F.col("tf") * F.log(1 + F.col("_A") / F.col("_f")))
+    # a term has one row a topic at most, so its rows meet in one exchange; a null term has no score
+    own = tf.where(F.col(term).isNotNull()).withColumn("_f", F.sum("tf").over(Window.partitionBy(term)))
+    s = _one_row_join(own, a).withColumn("score", F.col("tf") * F.log(1 + F.col("_A") / F.col("_f")))
     w = Window.partitionBy(topic).orderBy(F.desc("score"), term)
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(topic, term, "score", "rank")
 

@@ -1002,8 +1002,9 @@ def project_neighbours(spark, sf):
 def dense_lyrics(spark, sf) -> DataFrame:
     """Vectors of the lyrics of the songs above the density threshold (no text is kept)."""
     dense = ru.density_threshold(ru.song_density_inline(load_songs(spark, sf), LEX, unit="verse")).select("artist", "song")
-    picked = load_songs(spark, sf).join(dense, ["artist", "song"], "left_semi")
-    return hashed(picked, "lyrics").select("song_id", "year", "vec")
+    # encoded before the join: vectors are shuffled by the song, lyrics are not
+    vectors = hashed(load_songs(spark, sf), "lyrics").select("song_id", "artist", "song", "year", "vec")
+    return vectors.join(dense, ["artist", "song"], "left_semi").select("song_id", "year", "vec")
 
 
 def text_topics(spark, sf) -> DataFrame:
@@ -1011,10 +1012,15 @@ def text_topics(spark, sf) -> DataFrame:
     return stage(("text_topics", sf), lambda: ml.topic_model(dense_lyrics(spark, sf), "vec", k=8, min_size=15).drop("vec"))
 
 
+BROADCAST_SONGS = 4_000_000          # (number, topic, bin): about 50 bytes each in a task's memory
+
+
 def lyric_grams(spark, sf, docs: DataFrame) -> DataFrame:
     stop = sorted({_strip_py(w) for w in STOPWORDS_ES})
     tok = F.filter(tx.word_runs(tx.strip_accents(F.lower("lyrics"))), lambda t: ~t.isin(stop))
-    words = load_songs(spark, sf).select("song_id", tok.alias("_tok")).join(docs, "song_id")
+    # song numbers and topics go to the lyrics as long as they are few; otherwise the lyrics, not their tokens, are shuffled
+    topics = F.broadcast(docs) if docs.limit(BROADCAST_SONGS + 1).count() <= BROADCAST_SONGS else docs
+    words = load_songs(spark, sf).select("song_id", "lyrics").join(topics, "song_id").withColumn("_tok", tok)
     return words.select(*[c for c in docs.columns if c != "song_id"], F.explode(un.ngram_array(F.col("_tok"), 1, 2)).alias("ngram"))
 
 

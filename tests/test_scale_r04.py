@@ -90,3 +90,15 @@ def test_gold_rows_are_not_kept_as_a_checkpoint(spark, labelled):
     before = size()
     QUERIES["flow_stats"](spark, labelled).collect()
     assert size() == before
+
+
+def test_terms_meet_their_totals_without_a_join(spark):
+    from cantoria.operators import learn as ml
+    grams = spark.createDataFrame([(t, w) for t, ws in ((0, "a a b c"), (1, "a b b d"), (None, "d d")) for w in ws.split()] + [(1, None)], "topic int, ngram string")
+    found = ml.class_tfidf(grams, "topic", top=2)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.topic, r["rank"]): (r.ngram, round(r.score, 9)) for r in found.collect()}
+    tf, f, words = {(0, "a"): 2, (0, "b"): 1, (0, "c"): 1, (1, "a"): 1, (1, "b"): 2, (1, "d"): 1, (None, "d"): 2}, {"a": 3, "b": 3, "c": 1, "d": 3}, (4 + 5 + 2) / 3
+    for t in (0, 1, None):
+        best = sorted((-n * np.log(1 + words / f[w]), w) for (k, w), n in tf.items() if k == t)[:2]
+        assert [got[t, i + 1] for i in range(len(best))] == [(w, round(-s, 9)) for s, w in best]
