@@ -102,3 +102,43 @@ def test_terms_meet_their_totals_without_a_join(spark):
     for t in (0, 1, None):
         best = sorted((-n * np.log(1 + words / f[w]), w) for (k, w), n in tf.items() if k == t)[:2]
         assert [got[t, i + 1] for i in range(len(best))] == [(w, round(-s, 9)) for s, w in best]
+
+
+def test_one_task_keeps_the_topics_of_the_rounds(spark, monkeypatch):
+    from cantoria.operators import density as de
+    random = np.random.default_rng(8)
+    x = np.concatenate([random.normal(c, s, (n, 3)) for c, n, s in ((0, 20, 0.3), (6, 16, 0.4))] + [random.uniform(-3, 12, (6, 3))]).round(2)
+    far = 2 ** 60                                                   # ids that no float holds
+    df = spark.createDataFrame([(far + i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").repartition(4)
+    pts, near = de.points(df, "id", "vec", 4, 8)
+    assert pts.select("cell").distinct().count() > 4
+    tree = de.spanning_tree(pts, near, 64)
+    of = lambda d: {frozenset(r.p for r in g) for g in groups(d)}
+
+    def groups(d):
+        out = {}
+        for r in d.collect():
+            out.setdefault(r.cluster, []).append(r)
+        return out.values()
+    walked = of(de._kept(pts, tree, 6))
+    monkeypatch.setattr(de, "ONE_TASK", -1)
+    assert walked == of(de._kept(pts, tree, 6)) and len(walked) >= 2
+
+
+def test_far_cells_are_not_compared(spark, monkeypatch):
+    """Groups that lie far apart: a point meets few of the others, and the lists are those of all pairs."""
+    from cantoria.operators import density as de
+    random = np.random.default_rng(2)
+    x = np.concatenate([random.normal(20 * c, 0.5, (50, 2)) for c in range(8)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    pairs, distances = spark.sparkContext.accumulator(0), de._distances
+
+    def counted(a, b):
+        pairs.add(len(a) * len(b))
+        return distances(a, b)
+    monkeypatch.setattr(de, "_distances", counted)
+    pts, near = de.points(df, "id", "vec", 4, 50)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert {(r.p, r.q) for r in near.collect()} == {(i, int(j)) for i in range(400) for j in np.argsort(d[i], kind="stable")[:de.LISTED]}
+    assert 0 < pairs.value < 400 * 400 // 2
